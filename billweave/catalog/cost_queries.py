@@ -389,7 +389,7 @@ for _dimension, _limit in {
 
 # --- compare --------------------------------------------------------------------------------------
 
-PCT = "CASE WHEN previous <> 0 THEN round((current - previous) / previous * 100, 4) + 0.0 END"
+PCT = f"CASE WHEN previous <> 0 THEN {r2('(current - previous) / previous * 100', 4)} END"
 
 
 def compare_cte(key: str, now: str, before: str, cost: str = "amortized_cost") -> str:

@@ -175,6 +175,11 @@ def focus_costs(spark: SparkSession, sf_dir: str, version: str = "1.2", **needs:
     return build(raw, F.lit("lineitem.parquet"))
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding, so that exact halves such as 0.125 round alike in both engines."""
+    return 1.2345678e-3 * 10.0**-digits
+
+
 def present(df: DataFrame, digits: int = 2) -> DataFrame:
     """Comparable results: rounded doubles, dates and timestamps as text."""
     out = []
@@ -182,7 +187,8 @@ def present(df: DataFrame, digits: int = 2) -> DataFrame:
         column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
         if kind == "double":
             wide = any(w in field.name for w in ("percentage", "share", "factor", "usd"))
-            column = F.round(column, max(digits, 4) if wide else digits) + F.lit(0.0)
+            places = max(digits, 4) if wide else digits
+            column = F.round(column + F.lit(nudge(places)), places) + F.lit(0.0)
         elif kind == "date":
             column = F.date_format(column, "yyyy-MM-dd")
         elif kind.startswith("timestamp"):
@@ -265,7 +271,7 @@ def sql(body: str, *ctes: str) -> str:
 
 
 def r2(expression: str, digits: int = 2) -> str:
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"(round({expression} + {nudge(digits)!r}, {digits}) + 0.0)"
 
 
 __all__ = ["CANONICAL_COLUMNS", "costs", "cur_export", "focus_costs", "focus_export", "present", "r2", "sql", "table"]
