@@ -56,19 +56,20 @@ def _trend(dimension, n, f):
 def _trend_sql(column, n, unit, where="TRUE"):
     return sql(
         f"""SELECT strftime(period, '%Y-%m-%d %H:%M:%S') AS period, CAST(rank AS INTEGER) AS rank, label, is_other,
-          {r2('total')} AS total FROM (
-          SELECT p.period, t.rank, {NONE.format('t.key')} AS label, FALSE AS is_other, coalesce(sum(g.total), 0) AS total
+          {r2('total')} AS total, CAST(row_count AS BIGINT) AS row_count FROM (
+          SELECT p.period, t.rank, {NONE.format('t.key')} AS label, FALSE AS is_other,
+            coalesce(sum(g.total), 0) AS total, coalesce(sum(g.n), 0) AS row_count
           FROM (SELECT DISTINCT period FROM g) p CROSS JOIN top t
           LEFT JOIN g ON g.period = p.period AND g.key IS NOT DISTINCT FROM t.key GROUP BY ALL
           UNION ALL
-          SELECT p.period, 0, 'Other', TRUE, coalesce(sum(g.total), 0)
+          SELECT p.period, 0, 'Other', TRUE, coalesce(sum(g.total), 0), coalesce(sum(g.n), 0)
           FROM (SELECT DISTINCT period FROM g) p
           LEFT JOIN (SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.key IS NOT DISTINCT FROM g.key)) g
             ON g.period = p.period
           WHERE (SELECT count(*) FROM (SELECT DISTINCT key FROM g)) > (SELECT count(*) FROM top)
           GROUP BY ALL)""",
-        f"g AS (SELECT date_trunc('{unit}', usage_start) AS period, {column} AS key, sum(amortized_cost) AS total "
-        f"FROM nc WHERE {where} GROUP BY ALL)",
+        f"g AS (SELECT date_trunc('{unit}', usage_start) AS period, {column} AS key, sum(amortized_cost) AS total, "
+        f"count(*) AS n FROM nc WHERE {where} GROUP BY ALL)",
         "top AS (SELECT key, row_number() OVER (ORDER BY total DESC, key NULLS LAST) AS rank FROM "
         f"(SELECT key, sum(total) AS total FROM g GROUP BY key) ORDER BY rank LIMIT {n})",
     )

@@ -50,12 +50,12 @@ def day_windows(
     """
     first = F.lit(check_from - timedelta(days=memory_days))
     last = check_to if isinstance(check_to, Column) else F.lit(check_to)
-    bounded = series.where(F.col("day") >= first)
     # A fixed number of partitions: the rows are few but each one is a lot of work, so they must not
     # be coalesced by size.
     tasks = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = bounded.repartition(tasks, *by, *SERIES_KEYS).groupBy(*by, *SERIES_KEYS).agg(
-        F.sort_array(F.collect_list(F.struct(F.datediff("day", first).alias("at"), "cost"))).alias("points")
+    in_reach = F.when(F.col("day") >= first, F.struct(F.datediff("day", first).alias("at"), "cost"))
+    gathered = series.repartition(tasks, *by, *SERIES_KEYS).groupBy(*by, *SERIES_KEYS).agg(
+        F.sort_array(F.collect_list(in_reach)).alias("points")
     )
     gathered = gathered.withColumn("last", last)
     n_days = F.datediff("last", first) + 1

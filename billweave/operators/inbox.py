@@ -35,10 +35,10 @@ RUN_SCHEMA = (
     "source_id string, fingerprint string, last_checked_day date, last_run_at timestamp, outcome string, "
     "message string, estimate_usd double"
 )
-# What the fold below carries per anomaly; the rest is derived from the points.
+# What the fold below carries per anomaly.
 _CARRIED = (
-    f"struct<id:string,kind:string,points:array<{POINT}>,status:string,escalated:boolean,"
-    "detected_at:timestamp,updated_at:timestamp>"
+    f"struct<id:string,kind:string,points:array<{POINT}>,first_day:date,last_day:date,worst:int,status:string,"
+    "escalated:boolean,detected_at:timestamp,updated_at:timestamp>"
 )
 
 
@@ -53,6 +53,11 @@ class InboxState:
         return cls(*[spark.createDataFrame([], s) for s in (ANOMALY_SCHEMA, MUTE_SCHEMA, RUN_SCHEMA)])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _first_day(points: Column) -> Column:
     return F.array_min(F.transform(points, lambda p: p["day"]))
 
@@ -65,32 +70,45 @@ def _worst(points: Column) -> Column:
     return F.array_max(F.transform(points, lambda p: severity_rank(p["severity"])))
 
 
-def _absorb(anomaly: Column, finding: Column, now: Column) -> Column:
+def _carry(a: Column, points: Column, **changes: Column) -> Column:
+    """``a`` with other points and what follows from them; ``points`` must be a bound value."""
+    derived = {
+        "points": points,
+        "first_day": _first_day(points),
+        "last_day": _last_day(points),
+        "worst": _worst(points),
+        **changes,
+    }
+    names = [field.split(":")[0] for field in _CARRIED.replace(POINT, "p")[7:-1].split(",")]
+    return F.struct(*[derived.get(n, a[n]).alias(n) for n in names]).cast(_CARRIED)
+
+
+def _absorb(a: Column, finding: Column, now: Column) -> Column:
     """One finding added to an anomaly; a point of the same day is replaced. An acknowledged anomaly
     whose severity rises through it opens again as escalated."""
-    others = F.filter(anomaly["points"], lambda p: p["day"] != finding["day"])
-    points = F.array_sort(F.concat(others, F.array(finding["point"])))
-    rises = (anomaly["status"] == "acknowledged") & (_worst(points) > _worst(anomaly["points"]))
-    return F.struct(
-        anomaly["id"].alias("id"),
-        anomaly["kind"].alias("kind"),
-        points.alias("points"),
-        F.when(rises, "open").otherwise(anomaly["status"]).alias("status"),
-        (anomaly["escalated"] | rises).alias("escalated"),
-        anomaly["detected_at"].alias("detected_at"),
-        now.alias("updated_at"),
-    ).cast(_CARRIED)
+    others = F.filter(a["points"], lambda p: p["day"] != finding["day"])
 
+    def absorbed(points):
+        rises = (a["status"] == "acknowledged") & (_worst(points) > a["worst"])
+        status = F.when(rises, "open").otherwise(a["status"])
+        return _carry(a, points, status=status, escalated=a["escalated"] | rises, updated_at=now)
 
-def _found(finding: Column, id_prefix: Column, now: Column) -> Column:
+    return _let(F.array_sort(F.concat(others, F.array(finding["point"]))), absorbed)
+
+
+def _founded(finding: Column, id_prefix: Column, now: Column) -> Column:
+    day = finding["day"]
     return F.struct(
-        F.concat(id_prefix, F.date_format(finding["day"], "yyyy-MM-dd")).alias("id"),
-        finding["kind"].alias("kind"),
-        F.array(finding["point"]).alias("points"),
-        F.lit("open").alias("status"),
-        F.lit(False).alias("escalated"),
-        now.alias("detected_at"),
-        now.alias("updated_at"),
+        F.concat(id_prefix, F.date_format(day, "yyyy-MM-dd")),
+        finding["kind"],
+        F.array(finding["point"]),
+        day,
+        day,
+        severity_rank(finding["point"]["severity"]),
+        F.lit("open"),
+        F.lit(False),
+        now,
+        now,
     ).cast(_CARRIED)
 
 
@@ -99,33 +117,34 @@ def _merge_one(anomalies: Column, finding: Column, id_prefix: Column, now: Colum
     reach = MAX_GAP_DAYS + 1
     in_reach = F.transform(
         anomalies,
-        lambda a: (finding["day"] >= F.date_sub(_first_day(a["points"]), reach))
-        & (finding["day"] <= F.date_add(_last_day(a["points"]), reach)),
-    )
-    target = F.array_position(in_reach, F.lit(True))  # 1-based, 0 for none
-    joined = F.transform(
-        anomalies, lambda a, i: F.when(i + 1 == target, _absorb(a, finding, now)).otherwise(a)
+        lambda a: (finding["day"] >= F.date_sub(a["first_day"], reach))
+        & (finding["day"] <= F.date_add(a["last_day"], reach)),
     )
-    return F.when(target > 0, joined).otherwise(F.concat(anomalies, F.array(_found(finding, id_prefix, now))))
+
+    def merged(at):  # 1-based position, 0 for none
+        joined = F.concat(
+            F.slice(anomalies, F.lit(1), at - 1),
+            F.array(_absorb(F.get(anomalies, at - 1), finding, now)),
+            F.slice(anomalies, at + 1, F.size(anomalies)),
+        )
+        founded = F.concat(anomalies, F.array(_founded(finding, id_prefix, now)))
+        return F.when(at > 0, joined).otherwise(founded)
+
+    return _let(F.array_position(in_reach, F.lit(True)).cast("int"), merged)
 
 
-def _keep_fired(anomaly: Column, fired: Column, checked_from: Column, checked_to: Column, now: Column) -> Column:
+def _keep_fired(a: Column, fired: Column, checked_from: Column, checked_to: Column, now: Column) -> Column:
     """Points of an open anomaly inside the checked range stay only if they fired again."""
     kept = F.filter(
-        anomaly["points"],
+        a["points"],
         lambda p: (p["day"] < checked_from) | (p["day"] > checked_to) | F.array_contains(fired, p["day"]),
     )
-    changed = F.size(kept) != F.size(anomaly["points"])
-    retracted = F.struct(
-        anomaly["id"].alias("id"),
-        anomaly["kind"].alias("kind"),
-        kept.alias("points"),
-        anomaly["status"].alias("status"),
-        anomaly["escalated"].alias("escalated"),
-        anomaly["detected_at"].alias("detected_at"),
-        F.when(changed, now).otherwise(anomaly["updated_at"]).alias("updated_at"),
-    ).cast(_CARRIED)
-    return F.when(anomaly["status"] == "open", retracted).otherwise(anomaly)
+
+    def retracted(points):
+        changed = F.size(points) != F.size(a["points"])
+        return _carry(a, points, updated_at=F.when(changed, now).otherwise(a["updated_at"]))
+
+    return F.when(a["status"] == "open", _let(kept, retracted)).otherwise(a)
 
 
 def merge_run(
@@ -147,7 +166,10 @@ def merge_run(
     fresh = findings.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("day", F.col("kind"), point))).alias("findings")
     )
-    carried = F.struct(*[F.col(n) for n in ("id", "kind", "points", "status", "escalated", "detected_at", "updated_at")])
+    worst = severity_rank(F.col("severity")).alias("worst")
+    carried = F.struct(
+        "id", "kind", "points", "first_day", "last_day", worst, "status", "escalated", "detected_at", "updated_at"
+    )
     known = anomalies.groupBy(*KEYS).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("position", carried.cast(_CARRIED).alias("a")))), lambda e: e["a"]
@@ -173,20 +195,13 @@ def merge_run(
             F.aggregate("findings", F.col("known"), lambda acc, f: _merge_one(acc, f, F.col("id_prefix"), stamp))
         ).alias("position", "a"),
     )
-    return rolled_up(merged.select(*KEYS, "position", "a.*", F.lit(False).alias("muted")))
-
-
-def rolled_up(anomalies: DataFrame) -> DataFrame:
-    """Recompute what follows from the points, in the state's column order."""
-    points = F.col("points")
-    derived = {
-        "first_day": _first_day(points),
-        "last_day": _last_day(points),
-        "total_impact": F.aggregate(points, F.lit(0.0), lambda s, p: s + (p["actual"] - p["expected"])),
-        "severity": severity_name(_worst(points)),
+    rolled_up = {
+        "total_impact": F.aggregate("points", F.lit(0.0), lambda s, p: s + (p["actual"] - p["expected"])),
+        "severity": severity_name(F.col("worst")),
+        "muted": F.lit(False),
     }
     columns = [c.split(" ")[0] for c in ANOMALY_SCHEMA.replace(POINT, "p").split(", ")]
-    return anomalies.select(*[derived.get(c, F.col(c)).alias(c) for c in columns])
+    return merged.select(*KEYS, "position", "a.*").select(*[rolled_up.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def apply_mutes(state: InboxState, today: date) -> InboxState:

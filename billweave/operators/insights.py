@@ -25,7 +25,7 @@ from billweave.model import (
     check_limit,
 )
 from billweave.operators.costs import MEASURES, compared, summary, timeseries, totals_by
-from billweave.operators.currency import single_currency, totals_of
+from billweave.operators.currency import currency_names, single_currency, totals_of
 from billweave.operators.predicates import matches
 
 # Share of the overall total below which "Other" is left out; most named series in a
@@ -42,7 +42,7 @@ def breakdown_with_other(nc: DataFrame, f: CostFilter, dimension: Dimension, n:
     """
     check_limit(n)
     rows = totals_by(nc, f, key=F.col(dimension.column))
-    top = rows.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key")).limit(n)
+    top = rows.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "row_count").limit(n)
     shown = top.agg(
         F.collect_list(F.struct(display_label(F.col("key")).alias("label"), F.lit(False).alias("is_other"), "total"))
         .alias("shown"),
@@ -66,7 +66,7 @@ def _other_entry(rest: Column, overall: Column) -> Column:
 def trend_with_other(
     nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10, max_series: int = MAX_TREND_SERIES
 ) -> DataFrame:
-    """Stacked trend: period, rank, label, is_other, total.
+    """Stacked trend: period, rank, label, is_other, total, row_count.
 
     Groups are ranked by their total over the whole range; the first ``min(n, max_series)`` keep
     their name, the rest is folded per period. Absent (period, group) pairs are 0. "Other" has rank
@@ -74,8 +74,8 @@ def trend_with_other(
     """
     keep = min(check_limit(n), max_series)
     points = totals_by(nc, f, period=period_start(f.granularity, F.col("usage_start")), key=F.col(dimension.column))
-    groups = points.groupBy("key").agg(F.sum("total").alias("total"))
-    top = groups.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key")).limit(keep)
+    groups = points.groupBy("key").agg(F.sum("total").alias("total"), F.sum("row_count").alias("rows"))
+    top = groups.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "rows").limit(keep)
     ranking = top.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("order"), F.col("key").isNull(), "key"))),
@@ -90,14 +90,14 @@ def trend_with_other(
         ),
         F.lit(0),
     ).getField("i")
-    ranked = points.withColumn("ranking", ranking).withColumn("position", F.coalesce(position, F.lit(-1)))
-    sums = [
-        F.coalesce(F.sum(F.when(F.col("position") == i, F.col("total"))), F.lit(0.0)).alias(f"total_{i}")
-        for i in range(-1, keep)
-    ]
-    per_period = ranked.groupBy("period").agg(
-        *[s.alias(f"s{i}") for i, s in enumerate(sums)], F.first("ranking").alias("ranking")
-    )
+    ranked = points.withColumn("ranking", ranking).withColumn("position", F.coalesce(position, F.lit(-1))).drop("ranking")
+    def folded_sum(measure, prefix):
+        zero = F.lit(0).cast(points.schema[measure].dataType)
+        hits = [F.sum(F.when(F.col("position") == i, F.col(measure))) for i in range(-1, keep)]
+        return [F.coalesce(hit, zero).alias(f"{prefix}{i}") for i, hit in enumerate(hits)]
+
+    sums = [*folded_sum("total", "s"), *folded_sum("row_count", "n")]
+    per_period = ranked.groupBy("period").agg(*sums).withColumn("ranking", ranking)
     folded = F.size(F.col("ranking")) < F.col("n_groups")
     named = [
         F.struct(
@@ -105,13 +105,19 @@ def trend_with_other(
             display_label(F.get("ranking", F.lit(i))).alias("label"),
             F.lit(False).alias("is_other"),
             F.col(f"s{i + 1}").alias("total"),
+            F.col(f"n{i + 1}").alias("row_count"),
         )
         for i in range(keep)
     ]
     other = F.struct(
-        F.lit(0).alias("rank"), F.lit(OTHER_LABEL).alias("label"), F.lit(True).alias("is_other"), F.col("s0").alias("total")
+        F.lit(0).alias("rank"),
+        F.lit(OTHER_LABEL).alias("label"),
+        F.lit(True).alias("is_other"),
+        F.col("s0").alias("total"),
+        F.col("n0").alias("row_count"),
     )
-    n_groups = groups.agg(F.struct(F.count("*").alias("n"), F.sum("total").alias("total"))).scalar().getField("n")
+    counted = groups.agg(F.struct(F.count("*").alias("n"), F.sum("total").alias("total"), F.sum("rows").alias("rows")))
+    n_groups = counted.scalar().getField("n")
     series = F.filter(
         F.array(other, *named),
         lambda s: F.when(s["is_other"], F.col("folded")).otherwise(s["rank"] <= F.size(F.col("ranking"))),
@@ -140,7 +146,10 @@ def comparison_table(
     """
     check_limit(n)
     rows = compared(nc, current, previous, dimension).select("key", "current", "previous")
-    top = rows.orderBy(F.desc("current"), F.asc_nulls_last("key")).limit(n).select(F.col("key").alias("top_key"))
+    # Ordering by every measure keeps this branch's aggregate equal to the other one's, so that
+    # both read one exchange.
+    top = rows.orderBy(F.desc("current"), F.asc_nulls_last("key"), "previous").limit(n)
+    top = top.select(F.col("key").alias("top_key"))
     # n rows at most, by the limit above.
     marked = rows.join(F.broadcast(top.withColumn("is_top", F.lit(True))), F.col("key").eqNullSafe(F.col("top_key")), "left")
     is_other = F.col("is_top").isNull()
@@ -288,58 +297,56 @@ def entity_detail(
     """Everything an entity page shows, from one scan: section, period, key, is_other, total, row_count.
 
     Sections: ``kpi`` (one row), ``trend`` (per period and charge category), ``by_<dimension>`` (top
-    rows plus "Other") and ``resources`` (top rows). Grouping sets compute all of them in one
-    aggregate; the per-section row_number limit is applied before its shuffle by Spark's window
-    group limit, so no section is gathered whole.
+    rows plus "Other") and ``resources`` (top rows). Each line is entered once per section and one
+    aggregate computes them all. Rows are limited by a row_number that Spark applies before the
+    shuffle as well (window group limit), so no section is gathered whole.
     """
     scoped = entity_filter(f, entity, value, tag_key)
-    dims = ENTITY_BREAKDOWNS[entity]
-    base = nc.where(matches(scoped)).select(
-        period_start(f.granularity, F.col("usage_start")).alias("period"),
-        *{d.column: F.col(d.column) for d in [*dims, Dimension.CHARGE_CATEGORY, Dimension.RESOURCE]}.values(),
-        "currency",
-        F.col(f.metric.column).alias("cost"),
+    breakdowns = {f"by_{d.value}": d for d in ENTITY_BREAKDOWNS[entity]}
+    no_period, period = F.lit(None).cast("timestamp_ntz"), period_start(f.granularity, F.col("usage_start"))
+    sections = [("kpi", no_period, F.lit(None).cast("string")), ("trend", period, F.col("charge_category"))]
+    sections += [(name, no_period, F.col(d.column)) for name, d in breakdowns.items()]
+    sections += [("resources", no_period, F.col(Dimension.RESOURCE.column))]
+    entries = F.array(
+        *[F.struct(F.lit(name).alias("section"), p.alias("period"), k.alias("key")) for name, p, k in sections]
     )
-    keys = [c for c in base.columns if c not in ("currency", "cost")]
-    sections = {"kpi": [], "trend": ["period", "charge_category"]}
-    sections |= {f"by_{d.value}": [d.column] for d in dims}
-    sections["resources"] = ["resource_id"]
-    sets = [["currency", *columns] for columns in sections.values()]
-    # Bit i (from the left) of the grouping id is 1 when column i is not part of the set.
-    bits = {name: "".join("0" if k in ["currency", *cols] else "1" for k in ["currency", *keys]) for name, cols in sections.items()}
-    section = F.coalesce(*[F.when(F.col("gid") == int(b, 2), F.lit(name)) for name, b in bits.items()])
-    key = F.coalesce(*[F.when(F.col("section") == name, F.col(cols[-1])) for name, cols in sections.items() if cols])
-    grouped = base.groupingSets(sets, "currency", *keys).agg(
-        F.grouping_id().alias("gid"), F.sum("cost").alias("total"), F.count("*").alias("row_count")
+    grouped = (
+        nc.where(matches(scoped))
+        .select(F.inline(entries), "currency", F.col(f.metric.column).alias("cost"))
+        .groupBy("section", "period", "key", "currency")
+        .agg(F.sum("cost").alias("total"), F.count("*").alias("row_count"))
     )
-    rows = single_currency(grouped, "error", *MEASURES)
-    labelled = rows.withColumn("section", section).select(
-        "section", "period", key.alias("key"), F.lit(False).alias("is_other"), "total", "row_count"
+    rows = single_currency(grouped, "error", *MEASURES).drop("currency")
+    # Every trend row is a partition of its own, so the limit leaves the trend whole.
+    trend_key = F.when(F.col("section") == "trend", F.col("key"))
+    order = Window.partitionBy("section", "period", trend_key).orderBy(
+        F.desc_nulls_last("total"), F.asc_nulls_last("key"), "row_count"
     )
-    ranked = F.row_number().over(
-        Window.partitionBy("section").orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"))
+    is_breakdown = F.startswith("section", F.lit("by_"))
+    shown = (
+        rows.withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= ENTITY_TOP_RESOURCES)
+        .where(~is_breakdown | (F.col("rank") <= ENTITY_BREAKDOWN_ROWS))
     )
-    limited = labelled.where(~F.col("section").isin("kpi", "trend")).withColumn("rank", ranked)
-    top = limited.where(F.col("rank") <= ENTITY_TOP_RESOURCES).where(
-        (F.col("section") == "resources") | (F.col("rank") <= ENTITY_BREAKDOWN_ROWS)
-    ).drop("rank")
-    overall = F.coalesce(totals_of(grouped.where(F.col("gid") == int(bits["kpi"], 2)), *MEASURES)["total"], F.lit(0.0))
+    kpi = F.sum(F.when(F.col("section") == "kpi", F.col("total")))
+    overall = grouped.agg(F.struct(kpi.alias("total"), F.sum("row_count").alias("n"), currency_names().alias("c")))
+    # The conditions on sections sit on aggregated columns: a filter on the section itself would be
+    # pushed into the scan and make it a different, second scan.
     rest = (
-        top.where(F.col("section") != "resources")
-        .groupBy("section")
-        .agg(F.sum("total").alias("shown"))
-        .withColumn("overall", overall)
+        shown.groupBy("section")
+        .agg(F.sum("total").alias("shown"), F.max(is_breakdown).alias("is_breakdown"), F.sum("row_count").alias("n"))
+        .withColumn("overall", F.coalesce(overall.scalar().getField("total"), F.lit(0.0)))
+        .withColumn("rest", F.col("overall") - F.col("shown"))
+        .where("is_breakdown AND n > 0")
+        .where(F.abs("rest") > F.abs("overall") * OTHER_MIN_SHARE)
         .select(
             "section",
-            F.lit(None).cast("timestamp_ntz").alias("period"),
+            no_period.alias("period"),
             F.lit(OTHER_LABEL).alias("key"),
             F.lit(True).alias("is_other"),
-            (F.col("overall") - F.col("shown")).alias("total"),
+            F.col("rest").alias("total"),
             F.lit(None).cast("bigint").alias("row_count"),
-            "overall",
         )
-        .where(F.abs("total") > F.abs("overall") * OTHER_MIN_SHARE)
-        .drop("overall")
     )
-    whole = labelled.where(F.col("section").isin("kpi", "trend"))
-    return whole.unionByName(top).unionByName(rest)
+    named = shown.select("section", "period", "key", F.lit(False).alias("is_other"), "total", "row_count")
+    return named.unionByName(rest)

@@ -21,30 +21,28 @@ def daily_series(
 ) -> DataFrame:
     """scope_kind, scope_key, day, cost for ``[start, end)``; a NULL key reads ``(none)``.
 
-    One scan feeds both series through grouping sets. NULL keys are named before grouping, so they
-    merge with a literal ``(none)`` in the same aggregate. With ``split`` there is a row per currency.
+    One scan feeds both series. NULL keys are named before grouping, so they merge with a literal
+    ``(none)`` in the same aggregate. With ``split`` there is a row per currency.
     """
     window = CostFilter.between(start, end)
+    # Two entries per line rather than SQL grouping sets: Spark reuses the exchange of this shape for
+    # the currency check, which it does not do across an Expand.
+    entries = F.array(
+        *[
+            F.struct(F.lit(kind).alias("scope_kind"), F.coalesce(column, F.lit(NONE_LABEL)).alias("scope_key"))
+            for kind, column in (("service", "service_name"), ("account", "account_id"))
+        ]
+    )
     base = nc.where(in_range(window) & daily_usage_only()).select(
+        F.inline(entries),
         F.col("usage_start").cast("date").alias("day"),
-        F.coalesce("service_name", F.lit(NONE_LABEL)).alias("service"),
-        F.coalesce("account_id", F.lit(NONE_LABEL)).alias("account"),
         "currency",
         F.col(metric.column).alias("cost"),
     )
-    sets = [["day", "service", "currency"], ["day", "account", "currency"]]
-    grouped = base.groupingSets(sets, "day", "service", "account", "currency").agg(
-        F.grouping("service").alias("by_account"),
-        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
-    )
+    keys = ["scope_kind", "scope_key", "day"]
+    grouped = base.groupBy(*keys, "currency").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
     # Rows without a currency do not count as a second one here.
     checked = single_currency(grouped, on_mixed, "cost", count_missing=False)
-    keyed = checked.select(
-        F.when(F.col("by_account") == 0, "service").otherwise("account").alias("scope_kind"),
-        F.when(F.col("by_account") == 0, F.col("service")).otherwise(F.col("account")).alias("scope_key"),
-        "day",
-        "currency",
-        "cost",
-    )
-    keys = ["scope_kind", "scope_key", "day", *(["currency"] if on_mixed == "split" else [])]
-    return keyed.groupBy(*keys).agg(F.sum("cost").alias("cost"))
+    if on_mixed == "split":
+        return checked
+    return checked.groupBy(*keys).agg(F.sum("cost").alias("cost"))

@@ -142,13 +142,14 @@ def focus_1_0(raw: DataFrame, source_file: Column) -> DataFrame:
 
 
 def cur_2(raw: DataFrame, source_file: Column) -> DataFrame:
-    arn = _read(raw, "reservation_arn", "string")
+    present = set(raw.columns)
+    arn = _read(present, "reservation_arn", "string")
     computed = {
         "provider": F.lit("AWS"),
         "publisher": F.lit("Amazon"),
-        "charge_category": cur_charge_category(_read(raw, "line_item_line_item_type", "string")),
-        "billed_cost": cur_billed_cost(raw),
-        "amortized_cost": cur_amortized_cost(raw),
+        "charge_category": cur_charge_category(_read(present, "line_item_line_item_type", "string")),
+        "billed_cost": cur_billed_cost(present),
+        "amortized_cost": cur_amortized_cost(present),
         "commitment_type": F.when(arn.isNotNull(), "Reservation"),
     }
     return _project(raw, CUR_2_COLUMNS, computed, CUR_2, source_file)
@@ -159,47 +160,48 @@ def cur_charge_category(line_item_type: Column) -> Column:
     return F.coalesce(*labels, F.lit("Other"))
 
 
-def cur_billed_cost(raw: DataFrame) -> Column:
-    net = _read(raw, "line_item_net_unblended_cost", "double")
-    return F.coalesce(net, _money(raw, "line_item_unblended_cost"))
+def cur_billed_cost(present: set[str]) -> Column:
+    net = _read(present, "line_item_net_unblended_cost", "double")
+    return F.coalesce(net, _money(present, "line_item_unblended_cost"))
 
 
-def cur_amortized_cost(raw: DataFrame) -> Column:
+def cur_amortized_cost(present: set[str]) -> Column:
     """Commitment fees spread over the usage they pay for; every missing operand is 0."""
-    kind = _read(raw, "line_item_line_item_type", "string")
-    reserved_fee = (kind == "Fee") & _read(raw, "reservation_arn", "string").isNotNull()
-    unused_commitment = _money(raw, "savings_plan_total_commitment_to_date") - _money(raw, "savings_plan_used_commitment")
-    unused_reservation = _money(raw, "reservation_unused_amortized_upfront_fee_for_billing_period") + _money(
-        raw, "reservation_unused_recurring_fee"
+    kind = _read(present, "line_item_line_item_type", "string")
+    reserved_fee = (kind == "Fee") & _read(present, "reservation_arn", "string").isNotNull()
+    unused_commitment = _money(present, "savings_plan_total_commitment_to_date") - _money(present, "savings_plan_used_commitment")
+    unused_reservation = _money(present, "reservation_unused_amortized_upfront_fee_for_billing_period") + _money(
+        present, "reservation_unused_recurring_fee"
     )
     return (
-        F.when(kind == "SavingsPlanCoveredUsage", _money(raw, "savings_plan_savings_plan_effective_cost"))
+        F.when(kind == "SavingsPlanCoveredUsage", _money(present, "savings_plan_savings_plan_effective_cost"))
         .when(kind == "SavingsPlanRecurringFee", unused_commitment)
-        .when(kind == "DiscountedUsage", _money(raw, "reservation_effective_cost"))
+        .when(kind == "DiscountedUsage", _money(present, "reservation_effective_cost"))
         .when(kind == "RIFee", unused_reservation)
         .when(kind.isin("SavingsPlanNegation", "SavingsPlanUpfrontFee") | reserved_fee, F.lit(0.0))
-        .otherwise(_money(raw, "line_item_unblended_cost"))
+        .otherwise(_money(present, "line_item_unblended_cost"))
     )
 
 
-def _read(raw: DataFrame, name: str, type_name) -> Column:
-    return F.col(name).cast(type_name) if name in raw.columns else F.lit(None).cast(type_name)
+def _read(present: set[str], name: str, type_name) -> Column:
+    """A column of the export, or a typed NULL when the export does not have it."""
+    return F.col(name).cast(type_name) if name in present else F.lit(None).cast(type_name)
 
 
-def _money(raw: DataFrame, name: str) -> Column:
-    return F.coalesce(_read(raw, name, "double"), F.lit(0.0))
+def _money(present: set[str], name: str) -> Column:
+    return F.coalesce(_read(present, name, "double"), F.lit(0.0))
 
 
 def _project(
     raw: DataFrame, copied: dict[str, str], computed: dict[str, Column], export_format: str, source_file: Column
 ) -> DataFrame:
     known = {**computed, "source_format": F.lit(export_format), "source_file": source_file}
-    out = []
+    present, out = set(raw.columns), []
     for field in CANONICAL_SCHEMA:
         if field.name in known:
             column = known[field.name]
         elif field.name in copied:
-            column = _read(raw, copied[field.name], field.dataType)
+            column = _read(present, copied[field.name], field.dataType)
         else:
             column = F.lit(None).cast(field.dataType)
         out.append(column.alias(field.name))
