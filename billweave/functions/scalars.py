@@ -15,6 +15,11 @@ def ntz(value: datetime) -> Column:
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
+def instant(value: datetime) -> Column:
+    """A UTC timestamp literal, whatever the driver's own time zone."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
+
+
 def period_start(granularity: Granularity, ts: Column) -> Column:
     # date_trunc returns a zoned timestamp; the session runs in UTC, so the cast back is exact.
     return F.date_trunc(granularity.value, ts).cast("timestamp_ntz")

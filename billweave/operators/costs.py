@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.functions.scalars import percent_change, period_start
+from billweave.functions.scalars import ntz, percent_change, period_start
 from billweave.model import (
     DEFAULT_BREAKDOWN_LIMIT,
     DEFAULT_SEARCH_LIMIT,
@@ -76,8 +76,8 @@ def summary(nc: DataFrame, f: CostFilter, on_mixed: str = "error") -> DataFrame:
         "total",
         "row_count",
         source_format.alias("source_format"),
-        F.lit(f.start).cast("timestamp_ntz").alias("start"),
-        F.lit(f.end).cast("timestamp_ntz").alias("end"),
+        ntz(f.start).alias("start"),
+        ntz(f.end).alias("end"),
     )
 
 

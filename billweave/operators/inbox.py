@@ -13,7 +13,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.functions.scalars import severity_name, severity_rank
+from billweave.functions.scalars import instant, severity_name, severity_rank
 from billweave.model import BadRequest
 
 # Days without a finding that an anomaly may bridge; days a closed anomaly is kept;
@@ -161,7 +161,7 @@ def merge_run(
     ``sources``; an open anomaly left without points disappears. Findings join an anomaly of the
     same key within three days of it, in day order; the rest start new ones.
     """
-    stamp = F.lit(now).cast("timestamp")
+    stamp = instant(now)
     point = F.struct("day", "expected", "actual", "severity").cast(POINT).alias("point")
     fresh = findings.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("day", F.col("kind"), point))).alias("findings")
@@ -234,9 +234,9 @@ def record_run(
 ) -> InboxState:
     """Replace the source's run; its last checked day never moves back."""
     spark = state.runs.sparkSession
-    row = spark.createDataFrame(
-        [(source_id, fingerprint, last_checked_day, now, outcome, message, estimate_usd)], RUN_SCHEMA
-    )
+    values = [(source_id, fingerprint, last_checked_day, outcome, message, estimate_usd)]
+    schema = ", ".join(c for c in RUN_SCHEMA.split(", ") if not c.startswith("last_run_at"))
+    row = spark.createDataFrame(values, schema).withColumn("last_run_at", instant(now))
     ours = F.col("source_id") == source_id
     runs = state.runs.where(~ours).unionByName(row)
     before = state.runs.where(ours).select("source_id", F.col("last_checked_day").alias("before"))
@@ -274,7 +274,7 @@ def acknowledge(state: InboxState, anomaly_id: str, now: datetime) -> InboxState
     changed = {
         "status": F.when(hit, "acknowledged").otherwise(F.col("status")),
         "escalated": ~hit & F.col("escalated"),
-        "updated_at": F.when(hit, F.lit(now).cast("timestamp")).otherwise(F.col("updated_at")),
+        "updated_at": F.when(hit, instant(now)).otherwise(F.col("updated_at")),
     }
     return replace(state, anomalies=state.anomalies.withColumns(changed))
 

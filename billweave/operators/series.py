@@ -14,17 +14,21 @@ from billweave.operators.predicates import daily_usage_only, in_range
 
 def daily_series(
     nc: DataFrame,
-    start: date,
-    end: date,
+    start: date | None = None,
+    end: date | None = None,
     metric: CostMetric = CostMetric.AMORTIZED,
     on_mixed: str = "error",
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
-    """scope_kind, scope_key, day, cost for ``[start, end)``; a NULL key reads ``(none)``.
+    """[by,] scope_kind, scope_key, day, cost for ``[start, end)``; a NULL key reads ``(none)``.
 
     One scan feeds both series. NULL keys are named before grouping, so they merge with a literal
     ``(none)`` in the same aggregate. With ``split`` there is a row per currency.
+    ``by`` names further key columns; without a range the whole table is summed.
     """
-    window = CostFilter.between(start, end)
+    lines = nc.where(daily_usage_only())
+    if start is not None:
+        lines = lines.where(in_range(CostFilter.between(start, end)))
     # Two entries per line rather than SQL grouping sets: Spark reuses the exchange of this shape for
     # the currency check, which it does not do across an Expand.
     entries = F.array(
@@ -33,13 +37,14 @@ def daily_series(
             for kind, column in (("service", "service_name"), ("account", "account_id"))
         ]
     )
-    base = nc.where(in_range(window) & daily_usage_only()).select(
+    base = lines.select(
+        *by,
         F.inline(entries),
         F.col("usage_start").cast("date").alias("day"),
         "currency",
         F.col(metric.column).alias("cost"),
     )
-    keys = ["scope_kind", "scope_key", "day"]
+    keys = [*by, "scope_kind", "scope_key", "day"]
     grouped = base.groupBy(*keys, "currency").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
     # Rows without a currency do not count as a second one here.
     checked = single_currency(grouped, on_mixed, "cost", count_missing=False)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import logging
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -148,6 +148,24 @@ def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
     return out
 
 
+def read_months(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
+    """The canonical frame with a ``billing_period`` column: the month a line was delivered in.
+
+    It is read off the file's folder, so all months still share one scan. Files that a manifest
+    keeps elsewhere get their month as a literal.
+    """
+    inside = [replace(p, files=tuple(f for f in p.files if f.startswith(p.folder + "/"))) for p in periods]
+    folder = F.regexp_extract("source_file", r"(?i)/billing_period=([^/]+)/[^/]*$", 1)
+    year, month = F.split_part(folder, F.lit("-"), F.lit(1)), F.split_part(folder, F.lit("-"), F.lit(2))
+    out = read_periods(spark, inside).withColumn("billing_period", F.concat_ws("-", year, F.lpad(month, 2, "0")))
+    for p in periods:
+        outside = tuple(f for f in p.files if not f.startswith(p.folder + "/"))
+        if outside:
+            nc = read_periods(spark, [replace(p, files=outside)])
+            out = out.unionByName(nc.withColumn("billing_period", F.lit(p.month)))
+    return out
+
+
 def load_source(
     spark: SparkSession, base: str, start: date | None = None, end_exclusive: date | None = None
 ) -> DataFrame:
