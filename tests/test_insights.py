@@ -1,0 +1,151 @@
+from dataclasses import replace
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from billweave.model import CostFilter, Dimension, Granularity
+from billweave.operators import insights
+from billweave.sinks.csv import write_csv
+
+from .billing import lines
+
+AUGUST = CostFilter.between("2026-08-01", "2026-09-01")
+JULY = CostFilter.between("2026-07-01", "2026-08-01")
+
+
+def demo(spark, costs_by_service, day="2026-08-10"):
+    return lines(spark, [dict(day=day, service_name=s, account_id="1", cost=c) for s, c in costs_by_service])
+
+
+def labels(df):
+    return [(r.label, r.is_other, pytest.approx(r.total)) for r in df.collect()]
+
+
+def test_other_bucket(spark):
+    nc = demo(spark, [("a", 50.0), ("b", 30.0), (None, 15.0), ("Other", 5.0)])
+    assert labels(insights.breakdown_with_other(nc, AUGUST, Dimension.SERVICE, 3)) == [
+        ("a", False, 50.0),
+        ("b", False, 30.0),
+        ("(none)", False, 15.0),
+        ("Other", True, 5.0),
+    ]
+    assert len(labels(insights.breakdown_with_other(nc, AUGUST, Dimension.SERVICE, 4))) == 4
+    assert labels(insights.breakdown_with_other(nc, JULY, Dimension.SERVICE)) == []
+
+
+def test_other_bucket_is_left_out_when_negligible_also_for_negative_totals(spark):
+    tiny = demo(spark, [("a", 10_000.0), ("b", 10.0)])
+    assert len(labels(insights.breakdown_with_other(tiny, AUGUST, Dimension.SERVICE, 1))) == 1
+    negative = demo(spark, [("a", -1000.0), ("b", -0.5)])
+    rows = labels(insights.breakdown_with_other(negative, AUGUST, Dimension.SERVICE, 1))
+    assert rows == [("b", False, -0.5), ("Other", True, -1000.0)]
+
+
+def test_trend_with_other(spark):
+    rows = [
+        ("2026-08-01", "a", 10.0),
+        ("2026-08-02", "a", 1.0),
+        ("2026-08-01", "b", 6.0),
+        ("2026-08-02", None, 5.0),
+        ("2026-08-02", "Other", 2.0),
+        ("2026-08-03", "c", 1.0),
+    ]
+    nc = lines(spark, [dict(day=d, service_name=s, account_id="1", cost=c) for d, s, c in rows])
+    f = replace(AUGUST, granularity=Granularity.DAY)
+    got = {(r.period.day, r.label, r.is_other): r.total for r in insights.trend_with_other(nc, f, Dimension.SERVICE, 3).collect()}
+    assert got == {
+        (1, "a", False): 10.0, (1, "b", False): 6.0, (1, "(none)", False): 0.0, (1, "Other", True): 0.0,
+        (2, "a", False): 1.0, (2, "b", False): 0.0, (2, "(none)", False): 5.0, (2, "Other", True): 2.0,
+        (3, "a", False): 0.0, (3, "b", False): 0.0, (3, "(none)", False): 0.0, (3, "Other", True): 1.0,
+    }
+    whole = insights.trend_with_other(nc, f, Dimension.SERVICE, 8).collect()
+    assert not any(r.is_other for r in whole) and len(whole) == 3 * 5
+    # The palette limit holds whatever n is asked for.
+    many = lines(spark, [dict(day="2026-08-01", service_name=f"s{i:02}", account_id="1", cost=float(i)) for i in range(20)])
+    shown = insights.trend_with_other(many, f, Dimension.SERVICE, 50).collect()
+    assert [r.label for r in sorted(shown, key=lambda r: r.rank)] == ["Other"] + [f"s{i}" for i in range(19, 11, -1)]
+
+
+@pytest.fixture(scope="module")
+def two_months(spark):
+    now = [("a", 100.0), ("b", 60.0), ("c", 20.0), ("d", 0.0), ("=x", 20.0)]
+    before = [("a", 50.0), ("b", 80.0), ("c", 20.0), ("e", 5.0)]
+    return demo(spark, now).unionByName(demo(spark, before, "2026-07-10"))
+
+
+def test_comparison_table(two_months):
+    rows = insights.comparison_table(two_months, AUGUST, JULY, Dimension.SERVICE, 2).collect()
+    assert [(r.label, r.is_other, r.current, r.previous) for r in rows] == [
+        ("a", False, 100.0, 50.0),
+        ("b", False, 60.0, 80.0),
+        ("Other", True, 40.0, 25.0),
+    ]
+    assert [r.percentage_change for r in rows] == [100.0, -25.0, 60.0]
+    assert [r.percentage_total for r in rows] == [50.0, 30.0, 20.0]
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_comparison_table_sorting_keeps_missing_changes_last(two_months, descending):
+    table = insights.comparison_table(two_months, AUGUST, JULY, Dimension.SERVICE, 10, "percentage_change", descending)
+    changes = [r.percentage_change for r in table.collect()]
+    known = [c for c in changes if c is not None]
+    assert changes[len(known):] == [None] * (len(changes) - len(known)) and len(known) == 4
+    assert known == sorted(known, reverse=descending)
+
+
+def test_csv_neutralises_formulas(spark, two_months, tmp_path):
+    table = insights.comparison_table(two_months, AUGUST, JULY, Dimension.SERVICE, 10, "label", False)
+    write_csv(table.withColumn("label", F.when(F.col("label") == "a", 'a "b", c').otherwise(F.col("label"))), str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.csv")))
+    head, *body = text.splitlines()
+    assert head == "Dimension,Cost,Previous Cost,Difference,Difference %,% Total"
+    assert any(line.startswith("'=x,") for line in body)
+    assert any(line.startswith('"a ""b"", c",100.0') for line in body)
+
+
+def test_movers(spark):
+    now = [(f"up{i}", 100.0 + i) for i in range(7)] + [(f"down{i}", 10.0) for i in range(3)] + [("same", 5.0)]
+    before = [(f"up{i}", 100.0) for i in range(7)] + [(f"down{i}", 20.0 + i) for i in range(3)] + [("same", 5.0)]
+    nc = demo(spark, now).unionByName(demo(spark, before, "2026-07-10"))
+    rows = insights.biggest_movers(nc, AUGUST, JULY, Dimension.SERVICE).collect()
+    assert [r.key for r in rows if r.direction == "increase"] == ["up6", "up5", "up4", "up3", "up2"]
+    assert [r.key for r in rows if r.direction == "decrease"] == ["down2", "down1", "down0"]
+
+
+def test_credits(spark):
+    rows = [("2026-07-05", "Usage", 100.0), ("2026-08-05", "Usage", 200.0), ("2026-08-06", "Credit", -50.0), ("2026-08-07", "Adjustment", 10.0), ("2026-08-07", None, 5.0), ("2026-08-08", "Discount", -20.0)]
+    nc = lines(spark, [dict(day=d, account_id="1", charge_category=k, cost=c) for d, k, c in rows])
+    whole = CostFilter.between("2026-07-01", "2026-09-01")
+    got = [(r.period.month, r.charges, r.credits, r.net, r.row_count, r.has_credits) for r in insights.credits_split(nc, whole).collect()]
+    assert got == [(7, 100.0, 0.0, 100.0, 1, False), (8, 205.0, -60.0, 145.0, 5, True)]
+    assert [(r.category, r.total) for r in insights.credit_categories(nc, whole).collect()] == [("Credit", -50.0), ("Discount", -20.0), ("Adjustment", 10.0)]
+    card = insights.credits_card(nc, whole).first()
+    assert (card.charges, card.credits, card.share_pct, card.visible) == (305.0, -60.0, 20, True)
+    empty = insights.credits_card(nc, JULY).first()
+    assert (empty.credits, empty.share_pct, empty.visible) == (0.0, 0, False)
+
+
+def test_run_rate_and_year_boundaries(spark):
+    nc = lines(spark, [dict(day=d, account_id="1", cost=10.0) for d in ("2025-12-31", "2026-02-01", "2026-02-10", "2026-02-11")])
+    row = insights.run_rate(nc, date(2026, 2, 10)).first()
+    assert (row.month_to_date, row.projected, row.days_elapsed, row.days_in_month) == (20.0, 56.0, 10, 28)
+    f = CostFilter.between("2025-01-01", "2027-01-01", granularity=Granularity.DAY)
+    assert [(r.position, f"{r.period:%F}") for r in insights.year_boundaries(nc, f).collect()] == [(1, "2026-02-01")]
+    assert insights.year_boundaries(nc, replace(f, granularity=Granularity.YEAR)).count() == 0
+
+
+def test_entity_detail(spark):
+    rows = [dict(day="2026-08-10", service_name="EC2", account_id=f"a{i:02}", region="us", resource_id=f"r{i}", cost=float(i + 1)) for i in range(20)]
+    rows += [dict(day="2026-08-11", service_name="S3", account_id="zz", region="eu", resource_id="r", cost=1000.0)]
+    rows += [dict(day="2026-07-11", service_name="EC2", account_id="zz", region="eu", resource_id="r", cost=1000.0)]
+    got = insights.entity_detail(lines(spark, rows), AUGUST, "service", "EC2").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.section, []).append(r)
+    assert set(by) == {"kpi", "trend", "by_account", "by_region", "by_charge_category", "resources"}
+    assert (by["kpi"][0].total, by["kpi"][0].row_count) == (210.0, 20)
+    assert [(r.key, r.total) for r in by["by_region"]] == [("us", 210.0)]
+    accounts = {r.key: r.total for r in by["by_account"]}
+    assert len(accounts) == 11 and accounts["Other"] == sum(range(1, 11)) and accounts["a19"] == 20.0
+    assert len(by["resources"]) == 15 and [r.key for r in by["trend"]] == ["Usage"]
