@@ -248,4 +248,4 @@ def _check_sql():
     )
 
 
-register("check_pipeline", _check, _check_sql())
+register("check_two_runs", _check, _check_sql())

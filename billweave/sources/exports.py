@@ -110,7 +110,10 @@ def discover(
         if row is not None and row.broken:
             log.warning("month %s skipped: its manifest cannot be parsed", p.month)
         elif row is not None:
-            out.append(PeriodFiles(p.month, p.folder, tuple(row.files)))
+            # Spark names the folder as a URI; keep the spelling of the listing.
+            local = row.folder + "/"
+            files = [f"{p.folder}/{f.removeprefix(local)}" if f.startswith(local) else f for f in row.files]
+            out.append(PeriodFiles(p.month, p.folder, tuple(files)))
         else:
             files = [e.path for e in storage.list_folder(spark, p.folder) if not e.is_dir and e.name.endswith(".parquet")]
             if files:
