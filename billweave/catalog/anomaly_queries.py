@@ -11,8 +11,9 @@ from billweave.catalog.registry import register
 from billweave.catalog.star import END_DAY, FIRST_DAY, present, r2, sql
 from billweave.model import Dimension
 from billweave.operators import anomalies, inbox
-from billweave.operators.rules import Override, Rules, resolve_rules
+from billweave.operators.rules import OVERRIDABLE, Override, Rules, resolve_rules
 from billweave.operators.series import daily_series
+from billweave.session import written
 
 START, END = date.fromisoformat(FIRST_DAY), date.fromisoformat(END_DAY)
 FROM_DAY = date(1995, 4, 1)
@@ -83,7 +84,7 @@ def findings_cte(rules: Rules) -> str:
         value = getattr(rules, name)
         return f"CASE {' '.join(cases)} ELSE {value} END" if cases else f"{value}"
 
-    columns = ", ".join(f"{pick(n)} AS {n}" for n in anomalies.OVERRIDABLE)
+    columns = ", ".join(f"{pick(n)} AS {n}" for n in OVERRIDABLE)
     return f"""found AS (
       SELECT *, CASE WHEN kind = 'drop' THEN 'down' ELSE 'up' END AS direction,
         CASE WHEN abs(delta) * 30 >= severity_high_usd THEN 'high'
@@ -266,6 +267,35 @@ def _merged_sql(muted="FALSE", where="TRUE"):
 register("inbox_merge", lambda spark, d: _inbox_rows(_merged(spark, d)), _merged_sql())
 
 
+def _retracted(spark, d):
+    # A second run over the same days that finds only the high ones again.
+    found = written(_findings(spark, d, RULE_SETS["drops_lookback_60"]), "findings")
+    tagged = found.select(F.lit("star").alias("source_id"), "*")
+    first = inbox.merge_run(inbox.InboxState.empty(spark).anomalies, tagged, NOW)
+    again = tagged.where("severity = 'high'")
+    return _inbox_rows(inbox.merge_run(first, again, NOW, checked=(START, END), sources=["star"]))
+
+
+def _retracted_sql():
+    rules = RULE_SETS["drops_lookback_60"]
+    return sql(
+        f"""SELECT 'star:' || scope_kind || ':' || scope_key || ':' || direction || ':' || strftime(min(day), '%Y-%m-%d') AS id,
+        scope_kind, scope_key, arg_min(kind, day) AS kind, direction,
+        strftime(min(day) FILTER (severity = 'high'), '%Y-%m-%d') AS first_day,
+        strftime(max(day) FILTER (severity = 'high'), '%Y-%m-%d') AS last_day,
+        count(*) FILTER (severity = 'high') AS points,
+        {r2("sum(actual - exp2) FILTER (severity = 'high')")} AS total_impact,
+        'high' AS severity, 'open' AS status, FALSE AS muted
+        FROM islands GROUP BY scope_kind, scope_key, direction, island HAVING count(*) FILTER (severity = 'high') > 0""",
+        *grid_ctes(rules.lookback_days, rules.memory_days),
+        findings_cte(rules),
+        ISLANDS_CTE,
+    )
+
+
+register("inbox_retraction", _retracted, _retracted_sql())
+
+
 def _visible(spark, d):
     # Mute one account, prune what is older than the retention, keep what the default view shows.
     today = date(2001, 11, 15)

@@ -12,7 +12,6 @@ from billweave.catalog.registry import register
 from billweave.catalog.star import costs as star_costs
 from billweave.catalog.star import present, r2, sql
 from billweave.functions.periods import Preset, preset_range
-from billweave.functions.scalars import period_start
 from billweave.model import CostFilter, CostMetric, Dimension, Granularity
 from billweave.operators import insights
 from billweave.operators.predicates import in_range
@@ -296,5 +295,3 @@ register(
         "tag_segment = 'BUILDING'", {"by_service": "service_name", "by_account": "account_id", "by_region": "region"}
     ),
 )
-
-__all__ = ["TODAY", "period_start"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.model import CANONICAL_COLUMNS
 from billweave.session import use_utc
 from billweave.sources.normalise import FOCUS_1_2_COLUMNS, NOT_IN_FOCUS_1_0, cur_2, focus_1_0, focus_1_2
 
@@ -272,6 +271,3 @@ def sql(body: str, *ctes: str) -> str:
 
 def r2(expression: str, digits: int = 2) -> str:
     return f"(round({expression} + {nudge(digits)!r}, {digits}) + 0.0)"
-
-
-__all__ = ["CANONICAL_COLUMNS", "costs", "cur_export", "focus_costs", "focus_export", "present", "r2", "sql", "table"]

@@ -23,7 +23,6 @@ from billweave.operators.rules import (
     MAD_SCALE,
     MIN_HISTORY_DAYS,
     MIN_PRIOR_TOTAL,
-    OVERRIDABLE,
     SPREAD_FLOOR,
     WEEKDAY_FACTOR_RANGE,
     Rules,
@@ -243,6 +242,3 @@ def detect(
     windows = day_windows(series, check_from, check_to, rules.memory_days, by)
     days = resolve_rules(levels(windows, rules.lookback_days, rules.memory_days), rules)
     return findings_of(with_spread(worth_a_look(days), rules.lookback_days)).select(*by, *FINDING_COLUMNS)
-
-
-__all__ = ["FINDING_COLUMNS", "OVERRIDABLE", "baselines", "day_windows", "detect", "last_settled_day", "levels"]

@@ -18,7 +18,6 @@ from billweave.model import (
     MAX_SERIES_POINTS,
     BadRequest,
     CostFilter,
-    CostMetric,
     Dimension,
     check_limit,
 )
@@ -228,19 +227,3 @@ class FilterValues:
             self._known[name] = [row.value for row in query().collect()]
         return self._known[name]
 
-
-__all__ = [
-    "CostMetric",
-    "FilterValues",
-    "breakdown",
-    "compare",
-    "compared",
-    "distinct_tag_keys",
-    "distinct_tag_values",
-    "distinct_values",
-    "search_resources",
-    "summary",
-    "timeseries",
-    "totals_by",
-    "with_changes",
-]

@@ -17,7 +17,7 @@ from billweave.operators.anomalies import detect
 from billweave.operators.footers import page_cost
 from billweave.operators.rules import Rules
 from billweave.operators.series import daily_series
-from billweave.session import cut_lineage
+from billweave.session import written
 from billweave.sinks.state import StateStore
 
 log = logging.getLogger(__name__)
@@ -128,6 +128,8 @@ def run_check(
 
 def _estimate(spark, source: Source, window: CheckWindow, guard: dict | None):
     """An estimate that cannot be made never blocks a check."""
+    if source.index is None:
+        return None
     try:
         scans = [[(window.query_start, window.query_end)]]
         return page_cost(source.index, scans, spark, source.remote, guard).first()
@@ -149,11 +151,11 @@ def _evaluate(store, source, rules, now, window, fingerprint, usd) -> Outcome:
     findings = no_findings
     if series is not None:
         # Small from here on (series x days), and read several times: written out once.
-        series = cut_lineage(series)
+        series = written(series, "series")
         newest = series.agg(F.max("day").alias("day")).first().day
         checked_to = newest - timedelta(days=rules.settling_days) if newest else None
         if checked_to is not None and checked_to >= window.check_from:
-            findings = cut_lineage(detect(series, window.check_from, checked_to, rules))
+            findings = written(detect(series, window.check_from, checked_to, rules), "findings")
     # Without a settled day nothing is retracted either.
     checked = (window.check_from, checked_to or window.check_from - timedelta(days=1))
     state = store.update(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Billing timestamps are UTC without a zone; date_trunc and casts must not shift them.
@@ -44,9 +44,12 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, eager: bool = True):
-    """Materialise a small intermediate result in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=eager)
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder, computed once.
+
+    Cuts the lineage of a small result that is read several times. ``checkpoint()`` would compute it
+    twice, once to count it and once to write it.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -74,6 +74,13 @@ class StateStore:
             raise StateConflict(folder)
         return version
 
+    def vacuum(self, keep: int = 10) -> None:
+        """Delete all but the newest ``keep`` snapshots; the one in force is never deleted."""
+        current = self.latest()
+        for version in self._versions()[:-keep]:
+            if current is not None and version < current:
+                storage.delete_folder(self.spark, self._folder(version))
+
     def update(self, change: Callable[[InboxState], InboxState]) -> InboxState:
         """Load, change and save in one step; returns the stored state."""
         self.save(change(self.load()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import logging
 import re
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import date
 
@@ -25,6 +26,7 @@ log = logging.getLogger(__name__)
 
 PERIOD_FOLDER = re.compile(r"(?i)^billing_period=([+-]?\d+)-(\d+)$")
 MANIFEST_NAME = "Manifest.json"
+FOOTERS_AT_ONCE = 8
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("dataFiles", T.ArrayType(T.StringType())),
@@ -137,10 +139,11 @@ def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
     The layout is detected per month, since a source may change format over time. Months with the
     same columns share one scan; the scans are combined by name.
     """
-    layouts = defaultdict(list)
-    for p in periods:
-        if p.files:
-            columns = tuple(spark.read.parquet(p.files[0]).columns)
+    layouts, filled = defaultdict(list), [p for p in periods if p.files]
+    # One footer per month, several at a time: each is a short job of its own.
+    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
+        headers = pool.map(lambda p: tuple(spark.read.parquet(p.files[0]).columns), filled)
+        for p, columns in zip(filled, headers):
             layouts[columns].extend(p.files)
     frames = [normalise(spark.read.parquet(*files), detect_format(columns)) for columns, files in layouts.items()]
     if not frames:

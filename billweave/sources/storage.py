@@ -39,6 +39,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, hadoop_path = _fs(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def create_marker(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small new file; False when it exists already, so only one writer can win."""
     fs, hadoop_path = _fs(spark, path)

@@ -183,3 +183,7 @@ def test_state_store(spark, tmp_path):
     assert store.load().runs.count() == 0
     assert (tmp_path / "state" / "v=4" / "runs").exists()
     assert store.save(InboxState.empty(spark)) == 5
+    store.vacuum(keep=2)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=4", "v=5"]
+    store.vacuum(keep=1)
+    assert store.latest() == 5
