@@ -268,11 +268,11 @@ register("inbox_merge", lambda spark, d: _inbox_rows(_merged(spark, d)), _merged
 
 
 def _retracted(spark, d):
-    # A second run over the same days that finds only the high ones again.
+    # A second run over the same days that finds only the large ones again.
     found = written(_findings(spark, d, RULE_SETS["drops_lookback_60"]), "findings")
     tagged = found.select(F.lit("star").alias("source_id"), "*")
     first = inbox.merge_run(inbox.InboxState.empty(spark).anomalies, tagged, NOW)
-    again = tagged.where("severity = 'high'")
+    again = tagged.where("abs(delta) >= 30000")
     return _inbox_rows(inbox.merge_run(first, again, NOW, checked=(START, END), sources=["star"]))
 
 
@@ -281,12 +281,12 @@ def _retracted_sql():
     return sql(
         f"""SELECT 'star:' || scope_kind || ':' || scope_key || ':' || direction || ':' || strftime(min(day), '%Y-%m-%d') AS id,
         scope_kind, scope_key, arg_min(kind, day) AS kind, direction,
-        strftime(min(day) FILTER (severity = 'high'), '%Y-%m-%d') AS first_day,
-        strftime(max(day) FILTER (severity = 'high'), '%Y-%m-%d') AS last_day,
-        count(*) FILTER (severity = 'high') AS points,
-        {r2("sum(actual - exp2) FILTER (severity = 'high')")} AS total_impact,
+        strftime(min(day) FILTER (abs(delta) >= 30000), '%Y-%m-%d') AS first_day,
+        strftime(max(day) FILTER (abs(delta) >= 30000), '%Y-%m-%d') AS last_day,
+        count(*) FILTER (abs(delta) >= 30000) AS points,
+        {r2("sum(actual - exp2) FILTER (abs(delta) >= 30000)")} AS total_impact,
         'high' AS severity, 'open' AS status, FALSE AS muted
-        FROM islands GROUP BY scope_kind, scope_key, direction, island HAVING count(*) FILTER (severity = 'high') > 0""",
+        FROM islands GROUP BY scope_kind, scope_key, direction, island HAVING count(*) FILTER (abs(delta) >= 30000) > 0""",
         *grid_ctes(rules.lookback_days, rules.memory_days),
         findings_cte(rules),
         ISLANDS_CTE,

@@ -59,6 +59,7 @@ CANONICAL_SCHEMA = T.StructType(
     ]
 )
 CANONICAL_COLUMNS = CANONICAL_SCHEMA.fieldNames()
+CANONICAL_TYPES = {f.name: f.dataType.simpleString() for f in CANONICAL_SCHEMA}
 
 # Request limits and result caps.
 MAX_RANGE_DAYS = 5 * 366

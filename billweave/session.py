@@ -28,7 +28,8 @@ def build_session(app: str = "billweave", master: str | None = None, **extra: st
 
 def use_utc(spark: SparkSession) -> SparkSession:
     """Set the one setting results depend on, on a session someone else built."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 

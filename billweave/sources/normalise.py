@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.model import CANONICAL_COLUMNS, CANONICAL_SCHEMA
+from billweave.model import CANONICAL_COLUMNS, CANONICAL_TYPES
 
 
 class UnsupportedExport(ValueError):
@@ -183,7 +183,7 @@ def cur_amortized_cost(present: set[str]) -> Column:
     )
 
 
-def _read(present: set[str], name: str, type_name) -> Column:
+def _read(present: set[str], name: str | None, type_name: str) -> Column:
     """A column of the export, or a typed NULL when the export does not have it."""
     return F.col(name).cast(type_name) if name in present else F.lit(None).cast(type_name)
 
@@ -197,14 +197,9 @@ def _project(
 ) -> DataFrame:
     known = {**computed, "source_format": F.lit(export_format), "source_file": source_file}
     present, out = set(raw.columns), []
-    for field in CANONICAL_SCHEMA:
-        if field.name in known:
-            column = known[field.name]
-        elif field.name in copied:
-            column = _read(present, copied[field.name], field.dataType)
-        else:
-            column = F.lit(None).cast(field.dataType)
-        out.append(column.alias(field.name))
+    for name, kind in CANONICAL_TYPES.items():
+        column = known[name] if name in known else _read(present, copied.get(name), kind)
+        out.append(column.alias(name))
     return raw.select(*out)
 
 
