@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from billweave.catalog.cost_queries import nc_for
 from billweave.catalog.registry import register
-from billweave.catalog.star import END_DAY, FIRST_DAY, present, r2, sql
+from billweave.catalog.star import END_DAY, FIRST_DAY, focus_costs, present, r2, sql
 from billweave.model import Dimension
 from billweave.operators import anomalies, inbox
 from billweave.operators.rules import OVERRIDABLE, Override, Rules, resolve_rules
 from billweave.operators.series import daily_series
 from billweave.session import written
+from billweave.sources.normalise import union_sources
 
 START, END = date.fromisoformat(FIRST_DAY), date.fromisoformat(END_DAY)
 FROM_DAY = date(1995, 4, 1)
@@ -189,6 +190,28 @@ for _name, _rules in RULE_SETS.items():
     )
 
 
+def _all_sources(spark, d):
+    # One job over every source: a currency and a set of series per source.
+    sources = {
+        "cur": nc_for(spark, d, Dimension.SERVICE, Dimension.ACCOUNT),
+        "focus": focus_costs(spark, d, "1.2", tags=False).withColumn("currency", F.lit("EUR")),
+    }
+    series = daily_series(union_sources(sources), START, END, by=("source_id",)).withColumn("cost", F.round("cost", 2))
+    to = anomalies.last_settled_day(series, SETTLING)
+    return anomalies.detect(series, FROM_DAY, to, Rules(), by=("source_id",))
+
+
+register(
+    "anomalies_all_sources",
+    lambda spark, d: present(_all_sources(spark, d)),
+    sql(
+        f"SELECT source_id, {FINDING_COLUMNS} FROM found CROSS JOIN (VALUES ('cur'), ('focus')) s(source_id)",
+        *grid_ctes(28, 35),
+        findings_cte(Rules()),
+    ),
+)
+
+
 def _resolved(spark, d):
     series = star_series(spark, d).groupBy("scope_kind", "scope_key").agg(F.count("*").alias("days"))
     return present(resolve_rules(series, RULE_SETS["overrides"]))

@@ -24,7 +24,8 @@ def daily_series(
 
     One scan feeds both series. NULL keys are named before grouping, so they merge with a literal
     ``(none)`` in the same aggregate. With ``split`` there is a row per currency.
-    ``by`` names further key columns; without a range the whole table is summed.
+    ``by`` names further key columns, such as a source id, each with a currency of its own; without a
+    range the whole table is summed.
     """
     lines = nc.where(daily_usage_only())
     if start is not None:
@@ -47,7 +48,7 @@ def daily_series(
     keys = [*by, "scope_kind", "scope_key", "day"]
     grouped = base.groupBy(*keys, "currency").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
     # Rows without a currency do not count as a second one here.
-    checked = single_currency(grouped, on_mixed, "cost", count_missing=False)
+    checked = single_currency(grouped, on_mixed, "cost", count_missing=False, within=by)
     if on_mixed == "split":
         return checked
     return checked.groupBy(*keys).agg(F.sum("cost").alias("cost"))

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.functions.scalars import instant
 from billweave.model import BadRequest
 from billweave.operators import inbox
 from billweave.operators.anomalies import detect
-from billweave.operators.footers import page_cost
+from billweave.operators.footers import ESTIMATE_COLUMNS, footer_index, page_cost
 from billweave.operators.rules import Rules
 from billweave.operators.series import daily_series
 from billweave.session import written
 from billweave.sinks.state import StateStore
+from billweave.sources import exports
 
 log = logging.getLogger(__name__)
 
@@ -61,6 +63,24 @@ class Source:
     series: Callable[[date, date], DataFrame] | None = None
 
 
+def billing_source(spark: SparkSession, source_id: str, base: str, remote: bool = False) -> Source:
+    """A source at a storage location: its files, their fingerprint and the index of their footers."""
+    periods = exports.discover(spark, base)
+    prints = sorted(exports.listing_fingerprints(spark, base).items())
+    found = exports.layouts(spark, periods)
+    index = None
+    for columns, files in found.items():
+        part = footer_index(spark, files, ESTIMATE_COLUMNS[exports.detect_format(columns)])
+        index = part if index is None else index.unionByName(part)
+    return Source(
+        source_id,
+        lambda: exports.read_periods(spark, periods) if found else None,
+        hashlib.sha256(repr(prints).encode()).hexdigest(),
+        index,
+        remote,
+    )
+
+
 @dataclass(frozen=True)
 class Outcome:
     """``kind``: ok, unchanged, disabled, skipped_cost_guard, needs_confirmation or error."""

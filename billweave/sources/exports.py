@@ -133,19 +133,22 @@ def _plain(uri: str) -> str:
     return f"{parsed.netloc}{unquote(parsed.path)}" if parsed.scheme else uri
 
 
-def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
-    """The canonical frame over all periods.
-
-    The layout is detected per month, since a source may change format over time. Months with the
-    same columns share one scan; the scans are combined by name.
-    """
-    layouts, filled = defaultdict(list), [p for p in periods if p.files]
-    # One footer per month, several at a time: each is a short job of its own.
+def layouts(spark: SparkSession, periods: list[PeriodFiles]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the columns they have, judged by one file per month, since a source may change its
+    format over time."""
+    by_columns, filled = defaultdict(list), [p for p in periods if p.files]
+    # Several footers at a time: each is a short job of its own.
     with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
         headers = pool.map(lambda p: tuple(spark.read.parquet(p.files[0]).columns), filled)
         for p, columns in zip(filled, headers):
-            layouts[columns].extend(p.files)
-    frames = [normalise(spark.read.parquet(*files), detect_format(columns)) for columns, files in layouts.items()]
+            by_columns[columns].extend(p.files)
+    return dict(by_columns)
+
+
+def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
+    """The canonical frame over all periods. Months with the same columns share one scan."""
+    found = layouts(spark, periods)
+    frames = [normalise(spark.read.parquet(*files), detect_format(columns)) for columns, files in found.items()]
     if not frames:
         return spark.createDataFrame([], CANONICAL_SCHEMA)
     out = frames[0]

@@ -77,6 +77,13 @@ class SeriesTable:
             raise RuntimeError(f"another job refreshed {self.path} at the same time")
         return months
 
+    def vacuum(self) -> None:
+        """Delete the folders that no month reads any more."""
+        used = {entry["folder"] for entry in self.ledger().values()}
+        for entry in storage.list_folder(self.spark, f"{self.path}/data"):
+            if entry.path not in used:
+                storage.delete_folder(self.spark, entry.path)
+
     def read(self, start: date | None = None, end: date | None = None) -> DataFrame:
         """scope_kind, scope_key, day, cost over all months. A day may have lines in two months'
         files, so the months are added up."""

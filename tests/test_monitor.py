@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from billweave.operators import inbox
 from billweave.operators.footers import INDEX_SCHEMA
 from billweave.operators.rules import Rules
-from billweave.plans.monitor import CheckWindow, Source, check_window, run_check, run_checks
+from billweave.plans.monitor import CheckWindow, Source, billing_source, check_window, run_check, run_checks
 from billweave.sinks.state import StateStore
 from billweave.sources.exports import load_source
 from billweave.streaming.daily_spend import daily_spend
@@ -99,6 +99,34 @@ def test_cost_guard(spark, tmp_path):
     assert run_check(store, Source("t", lambda: nc, "f", index), Rules(), NOW).kind == "ok"
 
 
+def test_source_at_a_location(spark, tmp_path):
+    base, store = str(tmp_path / "data"), StateStore(spark, str(tmp_path / "state"))
+    assert run_check(store, billing_source(spark, "s", base), Rules(), NOW).kind == "ok"
+    write_anomaly_export(spark, base)
+    source = billing_source(spark, "s", base, remote=True)
+    assert source.index.count() == 2
+    dear = {"egress_usd_per_gb": 1e6}
+    assert run_check(store, source, Rules(), NOW, guard=dear).kind == "skipped_cost_guard"
+    out = run_check(store, source, Rules(), NOW)
+    assert (out.kind, out.new_anomalies) == ("ok", 4) and out.estimate_usd > 0
+    assert billing_source(spark, "s", base).fingerprint == source.fingerprint
+
+
+def test_sources_may_have_different_currencies(spark):
+    from billweave.operators.anomalies import detect
+    from billweave.operators.series import daily_series
+    from billweave.sources.normalise import union_sources
+
+    nc = lines(spark, anomaly_lines())
+    both = union_sources({"us": nc, "eu": nc.withColumn("currency", F.lit("EUR"))})
+    series = daily_series(both, by=("source_id",))
+    rows = detect(series, date(2026, 9, 22), date(2026, 9, 28), by=("source_id",)).collect()
+    assert {s: sum(r.source_id == s for r in rows) for s in ("us", "eu")} == {"us": 8, "eu": 8}
+    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "222222222222", "EUR").otherwise("USD"))
+    with pytest.raises(Exception, match="EUR, USD"):
+        daily_series(union_sources({"us": nc, "eu": mixed}), by=("source_id",)).collect()
+
+
 def series_of(table):
     return {(r.scope_kind, r.scope_key, r.day.isoformat()): r.cost for r in table.read().collect()}
 
@@ -124,6 +152,9 @@ def test_ingest_follows_rewritten_files(spark, tmp_path):
     table.refresh(base)
     assert ("service", "S3", "2026-10-01") not in series_of(table)
     assert table.read(date(2026, 9, 1), date(2026, 10, 1)).count() == 2
+    kept = series_of(table)
+    table.vacuum()
+    assert series_of(table) == kept
 
 
 def test_continuous_check(spark, tmp_path):
