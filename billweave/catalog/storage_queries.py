@@ -235,8 +235,10 @@ def _check(spark, d):
 
 def _check_sql():
     rules = Rules(min_delta_pct=0.5)
-    # Both runs evaluate 7 days up to the newest day minus 2: 14 adjoining days.
-    within = "day BETWEEN DATE '2000-09-15' AND DATE '2000-09-28'"
+    # The runs evaluate adjoining days, from the first one's start to the newest day with data minus 2.
+    within = (
+        "day >= DATE '2000-09-15' AND day <= (SELECT max(day) - 2 FROM series WHERE day < DATE '2000-10-01')"
+    )
     grid = grid_ctes(rules.lookback_days, rules.memory_days)
     return sql(
         f"""SELECT id, kind, strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
