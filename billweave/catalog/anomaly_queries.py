@@ -13,7 +13,7 @@ from billweave.model import Dimension
 from billweave.operators import anomalies, inbox
 from billweave.operators.rules import OVERRIDABLE, Override, Rules, resolve_rules
 from billweave.operators.series import daily_series
-from billweave.session import written
+from billweave.session import scratch_dir, written
 from billweave.sources.normalise import union_sources
 
 START, END = date.fromisoformat(FIRST_DAY), date.fromisoformat(END_DAY)
@@ -292,7 +292,7 @@ register("inbox_merge", lambda spark, d: _inbox_rows(_merged(spark, d)), _merged
 
 def _retracted(spark, d):
     # A second run over the same days that finds only the large ones again.
-    found = written(_findings(spark, d, RULE_SETS["drops_lookback_60"]), "findings")
+    found = written(_findings(spark, d, RULE_SETS["drops_lookback_60"]), scratch_dir(spark, "findings"))
     tagged = found.select(F.lit("star").alias("source_id"), "*")
     first = inbox.merge_run(inbox.InboxState.empty(spark).anomalies, tagged, NOW)
     again = tagged.where("abs(delta) >= 30000")

@@ -18,9 +18,9 @@ from billweave.operators.anomalies import detect
 from billweave.operators.footers import ESTIMATE_COLUMNS, footer_index, page_cost
 from billweave.operators.rules import Rules
 from billweave.operators.series import daily_series
-from billweave.session import written
+from billweave.session import scratch_dir, written
 from billweave.sinks.state import StateStore
-from billweave.sources import exports
+from billweave.sources import exports, storage
 
 log = logging.getLogger(__name__)
 
@@ -139,7 +139,12 @@ def run_check(
                 return Outcome(sid, "skipped_cost_guard", estimate_usd=estimate.usd)
             if estimate.tier == "hard" and not confirmed:
                 return Outcome(sid, "needs_confirmation", estimate_usd=estimate.usd)
-        return _evaluate(store, source, rules, now, window, fingerprint, usd)
+        scratch = scratch_dir(spark, "check")
+        try:
+            return _evaluate(store, source, rules, now, window, fingerprint, usd, scratch)
+        finally:
+            # The stored snapshot does not depend on it any more.
+            storage.delete_folder(spark, scratch)
     except Exception as error:  # one failing source must not stop the others
         log.warning("check of %s failed: %s", sid, error)
         record("error", seen, message=str(error), usd=usd)
@@ -158,7 +163,7 @@ def _estimate(spark, source: Source, window: CheckWindow, guard: dict | None):
         return None
 
 
-def _evaluate(store, source, rules, now, window, fingerprint, usd) -> Outcome:
+def _evaluate(store, source, rules, now, window, fingerprint, usd, scratch) -> Outcome:
     sid, today, spark = source.source_id, now.date(), store.spark
     no_findings = detect_nothing(spark)
     span = (window.query_start, window.query_end)
@@ -171,11 +176,11 @@ def _evaluate(store, source, rules, now, window, fingerprint, usd) -> Outcome:
     findings = no_findings
     if series is not None:
         # Small from here on (series x days), and read several times: written out once.
-        series = written(series, "series")
+        series = written(series, f"{scratch}/series")
         newest = series.agg(F.max("day").alias("day")).first().day
         checked_to = newest - timedelta(days=rules.settling_days) if newest else None
         if checked_to is not None and checked_to >= window.check_from:
-            findings = written(detect(series, window.check_from, checked_to, rules), "findings")
+            findings = written(detect(series, window.check_from, checked_to, rules), f"{scratch}/findings")
     # Without a settled day nothing is retracted either.
     checked = (window.check_from, checked_to or window.check_from - timedelta(days=1))
     state = store.update(

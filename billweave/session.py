@@ -45,12 +45,11 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in the shared scratch folder, computed once.
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table at ``path`` in the shared scratch folder, computed once.
 
     Cuts the lineage of a small result that is read several times. ``checkpoint()`` would compute it
     twice, once to count it and once to write it.
     """
-    path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,5 @@
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ def test_exactly_four_anomalies_from_files(spark, tmp_path):
     out = run_check(store, source, Rules(), NOW)
     assert (out.kind, out.checked_from, out.checked_to, out.new_anomalies) == ("ok", date(2026, 9, 22), date(2026, 9, 28), 4)
     assert found(store) == EXPECTED
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("check-*"))
     assert run_check(store, source, Rules(), NOW).kind == "unchanged"
     manual = run_check(store, source, Rules(), NOW + timedelta(hours=1), automatic=False)
     assert (manual.kind, manual.new_anomalies) == ("ok", 0) and found(store) == EXPECTED
