@@ -6,12 +6,14 @@ Only file names and one footer per layout reach the driver; the data is read by
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import re
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import date
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +80,8 @@ def manifest_files(spark: SparkSession, folders: list[str]) -> DataFrame:
         .json([f"{f}/{MANIFEST_NAME}" for f in folders])
     )
     none = F.array().cast("array<string>")
-    keys = F.transform(F.coalesce("files", F.array().cast(MANIFEST_SCHEMA["files"].dataType)), lambda f: F.coalesce(f["key"], f["dataFile"]))
+    entries = F.coalesce("files", F.array().cast(MANIFEST_SCHEMA["files"].dataType))
+    keys = F.transform(entries, lambda f: F.coalesce(f["key"], f["dataFile"]))
     paths = F.concat(F.coalesce("dataFiles", none), F.filter(keys, lambda k: k.isNotNull()))
     return listed.select(
         folder.alias("folder"),
@@ -127,8 +130,6 @@ def discover(
 
 def _plain(uri: str) -> str:
     """A path without scheme and percent escapes, to match listings with input_file_name."""
-    from urllib.parse import unquote, urlparse
-
     parsed = urlparse(uri)
     return f"{parsed.netloc}{unquote(parsed.path)}" if parsed.scheme else uri
 
@@ -187,8 +188,6 @@ def listing_fingerprints(spark: SparkSession, base: str) -> dict[str, str]:
 
     A file that is rewritten in place changes the fingerprint of its month.
     """
-    import hashlib
-
     prints = {}
     for month, folder in ((p.month, p.folder) for p in billing_periods(spark, base)):
         digest = hashlib.sha256(prints.get(month, "").encode())
