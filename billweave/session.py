@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +33,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for intermediate tables, under the folder the cluster names in
-    ``spark.checkpoint.dir``. Only a session without that setting that runs in one local process
-    gets a folder of its own."""
+    """A fresh folder for intermediate tables, below the folder the cluster names in
+    ``spark.checkpoint.dir``. A session without that setting uses its warehouse, which driver and
+    executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="billweave-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
