@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import decontaminate, quality_rules, token_counts, url_filter
+from billweave.llm import decontaminate, near_dedup, quality_rules, token_counts, url_filter
 from billweave.llm.common import table
 
 
@@ -105,6 +105,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN cut ON m.lang IS NOT DISTINCT FROM cut.lang AND m.source IS NOT DISTINCT FROM cut.source"""
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -148,6 +152,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filter": Query(op2_url_filter, OP2_SQL),
     "op4_quality_rules": Query(op4_quality_rules, _op4_sql()),
+    "op5_near_dedup": Query(op5_near_dedup, None),
     "op7_decontamination": Query(op7_decontamination, OP7_SQL),
     "op8_token_counts": Query(op8_token_counts, None),
 }
