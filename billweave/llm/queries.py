@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import decontaminate, near_dedup, quality_rules, token_counts, url_filter
+from billweave.llm import decontaminate, near_dedup, pieces, quality_rules, substring_dedup, token_counts, url_filter
 from billweave.llm.common import table
 
 
@@ -43,6 +43,12 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled"""
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pieces.encoded_and_checked(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_pieces", "piece_ids", "round_trip")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = quality_rules.quality_rules(docs, carry=["doc_id"])
@@ -149,10 +155,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.substring_dedup(docs).select("doc_id", "text", "n_cut", "cut_ranges")
+
+
 QUERIES: dict[str, Query] = {
     "op2_url_filter": Query(op2_url_filter, OP2_SQL),
+    "op3_pieces": Query(op3_pieces, None),
     "op4_quality_rules": Query(op4_quality_rules, _op4_sql()),
     "op5_near_dedup": Query(op5_near_dedup, None),
     "op7_decontamination": Query(op7_decontamination, OP7_SQL),
     "op8_token_counts": Query(op8_token_counts, None),
+    "op9_substring_dedup": Query(op9_substring_dedup, None),
 }
