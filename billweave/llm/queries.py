@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import decontaminate, near_dedup, pieces, quality_rules, substring_dedup, token_counts, url_filter
+from billweave.llm import decontaminate, html_text, near_dedup, pieces, quality_rules, substring_dedup, token_counts, url_filter
 from billweave.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -161,6 +166,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": Query(op1_html_text, None),
     "op2_url_filter": Query(op2_url_filter, OP2_SQL),
     "op3_pieces": Query(op3_pieces, None),
     "op4_quality_rules": Query(op4_quality_rules, _op4_sql()),
