@@ -81,6 +81,7 @@ CONTAINERS = frozenset("html body article main section div td th center blockquo
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
+_OPENING = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
 _MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -113,13 +114,12 @@ class Page:
         self.opened: Counter[str] = Counter()
         self.runs: list[tuple[int, str | None]] = []  # element and text; None: a block begins or ends
         self.open = [0]
-        at = 0
-        while at < len(html):
-            token = _TOKEN.search(html, at)
-            if token is None:
-                break
+        at, last = 0, html.rfind(">") + 1
+        while at < last and (token := _TOKEN.search(html, at, last)):
             self._text(html[at : token.start()])
             at = token.end()
+            if token[0].startswith("<!--") and not token[0].endswith("-->"):
+                return
             name = token[1] or token[3]
             if name is None:
                 continue
@@ -131,7 +131,9 @@ class Page:
             if name in RAW:
                 end = _CLOSING[name].search(html, at)
                 at = end.start() if end else len(html)
-        self._text(html[at:])
+        # A tag or comment that the page does not end is no text.
+        rest = _OPENING.search(html, at)
+        self._text(html[at : rest.start()] if rest else html[at:])
 
     def _text(self, text: str) -> None:
         if text:
