@@ -85,7 +85,7 @@ def test_random_nesting_loses_no_word_of_the_article():
                 tag = rng.choice("p div ul blockquote b i a span h2 pre".split())
                 text = " ".join(next(words) for _ in range(rng.randint(1, 6)))
                 inner = inside(depth + 1) if depth < 3 and rng.random() < 0.4 else ""
-                out.append(f"<{tag}>{text}{inner}" + (f"</{tag}>" if rng.random() < 0.8 else ""))
+                out.append(f"<{tag}> {text} {inner} " + (f"</{tag}>" if rng.random() < 0.8 else ""))
             return " ".join(out)
 
         body = inside(0)
