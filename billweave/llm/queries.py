@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import decontaminate, html_text, near_dedup, pieces, quality_rules, substring_dedup, token_counts, url_filter
+from billweave.llm import chat_format, decontaminate, html_text, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
 from billweave.llm.common import table
 
 
@@ -120,6 +120,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 2: good and not toxic, 1: one of both, 0: neither."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.col("quality") + 1 - F.col("toxic")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), grade)
+    return quality_classifier.classify(docs, model).select("doc_id", "expected_grade", "p_top", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -165,13 +173,20 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(docs).select("doc_id", "text", "n_cut", "cut_ranges")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat_format.recover_roles(table(spark, sf_dir, "conversations"))
+    return chat_format.render(lines).select("conv_id", "turn", "speaker", "starts_turn", "rendered")
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": Query(op1_html_text, None),
     "op2_url_filter": Query(op2_url_filter, OP2_SQL),
     "op3_pieces": Query(op3_pieces, None),
     "op4_quality_rules": Query(op4_quality_rules, _op4_sql()),
     "op5_near_dedup": Query(op5_near_dedup, None),
+    "op6_quality_classifier": Query(op6_quality_classifier, None),
     "op7_decontamination": Query(op7_decontamination, OP7_SQL),
     "op8_token_counts": Query(op8_token_counts, None),
     "op9_substring_dedup": Query(op9_substring_dedup, None),
+    "op10_chat_format": Query(op10_chat_format, None),
 }
