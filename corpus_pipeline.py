@@ -1,19 +1,24 @@
-"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, tokenization.
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, SentencePiece ids.
 
 Each stage takes what its predecessor kept, as a table, and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` writes every stage's rows to the shared scratch folder before the
 next one reads them, so a lost executor costs at most one stage.
+
+Rows with null or empty texts fail the quality rules, so the later stages only meet them when they are
+called on their own; they let them through. Each stage treats ties, repeated rows and empty tables as its
+operator says.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import decontaminate, quality_rules
+from billweave.llm import decontaminate, near_dedup, pieces, quality_rules, substring_dedup
 from billweave.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,17 +29,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates on five-word shingles, the document with the smallest id stays; of
+    several rows with one id, the one whose text sorts first."""
+    found = near_dedup.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return out
+    row = F.min(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row")
+    first = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*").select(*docs.columns)
+    return out.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(first)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; a document that has nothing else goes."""
+    out = substring_dedup.substring_dedup(docs).where("n_cut = 0 OR text <> ''")
+    return out.withColumn("n_chars", _chars()).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; a document that is mostly benchmark goes."""
     out = decontaminate.remove_hits(docs, table(spark, sf_dir, "benchmark"))
-    return recounted(out)
+    return out.withColumn("n_chars", _chars()).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces."""
+    return pieces.encoded_and_checked(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+def _chars() -> Column:
+    return F.length("text").cast("long")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality), ("decontamination", decontamination)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("near_dedup", one_of_each_group),
+    ("substring_dedup", without_repeats),
+    ("decontamination", decontaminated),
+    ("sentencepiece", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The near-dedup, substring and tokenization stages have no SQL form; tests hold each against brute force.
+#: Near-dedup, substring dedup and SentencePiece have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 QUERY = Query(run, ORACLE_SQL)
