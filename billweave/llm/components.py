@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import stored
+from billweave.session import scratch_dir, written
+from billweave.sources.storage import delete_folder
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     driver. An id with very many edges is a hot key of an aggregate with partial minima and of a join that
     adaptive execution can split.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark, path = edges.sparkSession, scratch_dir(edges.sparkSession, "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
     mark = _mark(now)
     while mark[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(low.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = stored(small.where("u <> v").distinct(), "edges")
+        old, path = path, scratch_dir(spark, "edges")
+        now = written(small.where("u <> v").distinct(), path)
+        delete_folder(spark, old)
         before, mark = mark, _mark(now)
         if before == mark:
             break

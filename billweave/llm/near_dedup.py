@@ -9,9 +9,12 @@
 3. ``BANDS`` bands of ``ROWS`` registers are bucketed. Each bucket's members meet its smallest id; pairs
    whose collision-corrected Jaccard estimate is ``MARGIN`` standard deviations below the threshold end
    there, the others are verified on their full sets. Verified pairs are merged into components.
-4. Buckets that still hold several components go on: members meet other representatives, then every
-   member of another component. So no pair that shares a bucket is left out unless it is known to be
-   connected already, and a bucket full of copies costs one pair per member and no more.
+4. Buckets that still hold several components go on, first with another representative. Then, in small
+   buckets, members meet all of other components; members of large ones are paired by prefix: similar
+   sets share one of the rarest shingles of each, so many as may be missing from the other, and one more.
+   That is exact for any fixed order of shingles, and passages that very many documents share are not
+   among the rarest. So no pair that shares a bucket is left out unless it is connected already, a bucket
+   full of copies costs one pair per member, and one full of a common passage does not cost its square.
 
 A pair with similarity 0.8 shares no bucket with a probability of 3 in a million.
 
@@ -43,6 +46,10 @@ REGISTERS = 256
 BANDS, ROWS = 42, 6
 MANTISSA = 10
 MARGIN = 6.0
+#: Members of a bucket that are compared with each other; those of larger ones are paired by prefix.
+SMALL_BUCKET = 8
+#: Counters of the sketch that orders shingles by how common they are.
+COUNTERS = 1 << 20
 EMPTY = 0xFFFF
 #: Remembered word hashes per task; results don't depend on it.
 MEMORY = 1_000_000
@@ -168,9 +175,13 @@ def _passing(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int)
     """The pairs ``(a, b)`` whose sets are similar enough: by estimate first, then on the full sets."""
     threshold = percent / 100
     floor = threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-    side = lambda x: signed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("sig").alias(f"sig_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where((F.col("cls_a") == F.col("cls_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    sizes = signed.select("id", "n").distinct()
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    both = pairs.select("a", "b")
+    for x in ("a", "b"):
+        both = both.join(sizes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")), x)
+    both = both.where(alike).join(signed.select(F.col("id").alias("a"), "cls", F.col("sig").alias("sig_a")), "a")
+    both = both.join(signed.select(F.col("id").alias("b"), "cls", F.col("sig").alias("sig_b")), ["b", "cls"])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,11 +189,11 @@ def _passing(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int)
             registers = lambda raw: np.frombuffer(raw, dtype=np.uint16)
             mask = [
                 estimate(registers(x), registers(y), n, m, k) >= floor
-                for x, y, n, m, k in zip(c["sig_a"], c["sig_b"], c["n_a"], c["n_b"], c["cls_a"], strict=True)
+                for x, y, n, m, k in zip(c["sig_a"], c["sig_b"], c["n_a"], c["n_b"], c["cls"], strict=True)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    likely_pairs = both.select("a", "b", "cls_a", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(likely, "a bigint, b bigint").distinct()
+    likely_pairs = both.select("a", "b", "cls", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(likely, "a bigint, b bigint").distinct()
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,33 +234,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     links = _links_of_repeated_ids(sketch, same)
     edges = stored(links.unionAll(_passing(pairs, signed, sets, percent)), "links")
 
+    label = stored(components(edges), "labels")
     large = stored(buckets.where("size > 2"), "large-buckets")
-    tried, turn, label = pairs, 0, None
-    while True:
-        label = stored(components(edges), "labels")
-        open_ = large.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = open_.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
-        open_ = open_.join(mixed.select("key"), "key", "left_semi")
-        turn += 1
-        other = open_.select("key", F.col("id").alias("a"), F.col("component").alias("of"))
-        if turn <= 2:
-            order = F.xxhash64("a", "key", F.lit(turn))
-            other = other.groupBy("key").agg(F.min_by(F.struct("a", "of"), order).alias("r")).select("key", "r.a", "r.of")
-            met = open_.join(other, "key").where("component <> of")
-        else:
-            met = open_.join(other, "key").where("component < of")
-        new = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        new = stored(new.join(tried, ["a", "b"], "left_anti"), "pairs")
-        some = not new.isEmpty()
-        if some:
-            found = stored(_passing(new, signed, sets, percent), "links")
-            edges, tried = edges.unionAll(found), tried.unionAll(new)
-        if turn > 2:
-            if some:
-                label = stored(components(edges), "labels")
-            break
-        if not some and mixed.isEmpty():
-            break
+    # Another representative for the buckets that hold several components.
+    members = _of_open_buckets(large, label)
+    other = members.groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key")).alias("a"), F.min_by("component", F.xxhash64("id", "key")).alias("of"))
+    new = _new_pairs(members.join(other, "key").where("component <> of"), pairs)
+    found = stored(_passing(new, signed, sets, percent), "links")
+    tried, edges = pairs.unionAll(new), edges.unionAll(found)
+    label = stored(components(edges), "labels")
+    # All that is left: within small buckets by themselves, within large ones by prefix.
+    members = stored(_of_open_buckets(large, label), "open-buckets")
+    small = members.where(F.col("size") <= SMALL_BUCKET)
+    other = small.select("key", F.col("id").alias("a"), F.col("component").alias("of"))
+    within = small.join(other, "key").where("component < of").select("a", "id")
+    crowd = members.where(F.col("size") > SMALL_BUCKET).select("id", "component").distinct()
+    by_prefix = _prefix_pairs(sets.join(crowd, "id"), percent)
+    new = _new_pairs(within.unionAll(by_prefix), tried)
+    found = stored(_passing(new, signed, sets, percent), "links")
+    if not found.isEmpty():
+        label = stored(components(edges.unionAll(found)), "labels")
 
     found = sketch.select("id", "n", "digest").join(same, "digest", "left").select("id", "n", "rep")
     found = found.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
@@ -267,3 +271,61 @@ def _links_of_repeated_ids(sketch: DataFrame, same: DataFrame) -> DataFrame:
     nodes = sketch.where("id IS NOT NULL AND n > 0").join(same, "digest").select("id", "rep")
     spread = nodes.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     return nodes.join(spread, "id").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def _of_open_buckets(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """``(key, id, size, component)`` of the members of buckets that hold several components."""
+    members = buckets.join(label, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    return members.join(mixed.select("key"), "key", "left_semi")
+
+
+def _new_pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs ``a``, ``id`` in order, once each and without those tried."""
+    pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+
+
+def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``(a, id)`` of different components that share a shingle of both prefixes, from
+    ``(id, shingles, component)``.
+
+    The order is by a count of fixed size (``COUNTERS``), which is all that reaches the driver, and by
+    hash among equals. Components that have a shingle alone are left out before members are paired.
+    """
+    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(raw, dtype=np.uint64) >> shift).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+
+    common = np.zeros(COUNTERS, dtype=np.int64)
+    counted = members.select("shingles").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    for r in counted.toLocalIterator():
+        common[r.place] = r.n
+    shared = members.sparkSession.sparkContext.broadcast(common)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, place, sizes = [], [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                hashes = np.frombuffer(raw, dtype=np.uint64)
+                n = len(hashes)
+                first = np.lexsort((hashes, shared.value[(hashes >> shift).astype(np.int64)]))[: n - (n * percent + 99) // 100 + 1]
+                token.append(hashes[first].view(np.int64))
+                place.append(np.full(len(first), i))
+                sizes.append(np.full(len(first), n))
+            at = pa.array(np.concatenate(place) if place else np.empty(0, dtype=np.int64))
+            columns = [pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64)) for x in (token, sizes)]
+            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(at), columns[1], batch.column(2).take(at)], ["token", "id", "n", "component"])
+
+    rows = stored(members.select("id", "shingles", "component").mapInArrow(prefixes, "token bigint, id bigint, n bigint, component bigint"), "prefixes")
+    several = rows.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    rows = rows.join(several.select("token"), "token", "left_semi")
+    other = rows.select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("of"))
+    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return rows.join(other, "token").where(alike & (F.col("component") < F.col("of"))).select("a", "id")

@@ -108,3 +108,29 @@ def test_components(spark):
     assert {got[i] for i in [*range(41), 100]} == {0} and got[61] == got[60] == 60 and got[200] == 200
     assert 70 not in got and {got[b] for a, b in pairs if a == 200} == {200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_crowds_that_share_a_passage_are_paired_by_prefix(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    rng = random.Random(6)
+    common, texts = " ".join(rng.choices(VOCABULARY, k=40)), []
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(rng.randint(8, 25))]
+        texts.append(common + " " + " ".join(own))
+        if i % 3 == 0:
+            texts += [common + " " + " ".join(own[:-1] + ["other"]), common + " again " + " ".join(own)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want = brute(rows, 2)
+    assert run(spark, rows, 2) == want and len({c for _, _, c in want}) > 30
+
+
+def test_prefix_pairs_lose_none(spark):
+    rng, sets = random.Random(7), {}
+    for i in range(80):
+        base = sets[rng.randrange(i)] if i and rng.random() < 0.5 else frozenset(rng.sample(range(400), rng.randint(1, 60)))
+        sets[i] = frozenset(x if rng.random() > 0.06 else rng.randrange(400) for x in base)
+    mixed = {i: np.unique(near_dedup._mixed(np.array(sorted(s), dtype=np.uint64))) for i, s in sets.items()}
+    df = spark.createDataFrame([(i, bytearray(h.tobytes()), i) for i, h in mixed.items()], "id long, shingles binary, component long")
+    got = {tuple(sorted((r.a, r.id))) for r in near_dedup._prefix_pairs(df, 80).collect()}
+    assert {(i, j) for i, j in combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} <= got
