@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import register
@@ -332,6 +334,34 @@ register(
     _series(Granularity.MONTH, Dimension.SERVICE, part=True),
     _series_sql("month", "service_name"),
 )
+register(
+    "timeseries_day_by_resource",
+    _series(Granularity.DAY, Dimension.RESOURCE),
+    _series_sql("day", "resource_id"),
+)
+
+
+def _series_adds_up(spark, d):
+    """The series, the breakdown and the summary of one request have one total and one line count."""
+    nc = nc_for(spark, d)
+    parts = {
+        "series": costs.timeseries(nc, replace(WHOLE, granularity=Granularity.DAY), Dimension.RESOURCE),
+        "breakdown": costs.breakdown(nc, WHOLE, Dimension.RESOURCE),
+        "summary": costs.summary(nc, WHOLE),
+    }
+    sums = [F.sum("total").alias("total"), F.sum("row_count").alias("row_count")]
+    rows = [df.agg(*sums).select(F.lit(name).alias("report"), "*") for name, df in parts.items()]
+    return present(reduce(DataFrame.unionByName, rows))
+
+
+register(
+    "series_breakdown_summary_agree",
+    _series_adds_up,
+    sql(
+        f"SELECT unnest(['series', 'breakdown', 'summary']) AS report, {r2('t')} AS total, n AS row_count "
+        "FROM (SELECT sum(amortized_cost) AS t, count(*) AS n FROM nc)"
+    ),
+)
 register(
     "timeseries_day_by_category",
     _series(Granularity.DAY, Dimension.CHARGE_CATEGORY, f=YEAR_98),
@@ -387,6 +417,15 @@ for _dimension, _limit in {
         ),
     )
 
+register(
+    "breakdown_resource_all",
+    _breakdown(Dimension.RESOURCE, None),
+    sql(
+        f"SELECT resource_id AS key, 'USD' AS currency, {r2('sum(amortized_cost)')} AS total, "
+        "count(*) AS row_count FROM nc GROUP BY resource_id"
+    ),
+)
+
 # --- compare --------------------------------------------------------------------------------------
 
 PCT = f"CASE WHEN previous <> 0 THEN {r2('(current - previous) / previous * 100', 4)} END"
@@ -450,8 +489,7 @@ register(
     "compare_by_resource",
     _compare_resources,
     sql(
-        f"""SELECT key, 'USD' AS currency, {COMPARED} FROM j
-        ORDER BY abs({r2('current - previous')}) DESC, key LIMIT 1000""",
+        f"SELECT key, 'USD' AS currency, {COMPARED} FROM j",
         compare_cte(
             "resource_id",
             "usage_start >= TIMESTAMP '1998-06-01' AND usage_start < TIMESTAMP '1998-09-01'",
@@ -491,13 +529,12 @@ register(
 
 # --- lookups and search ---------------------------------------------------------------------------
 
-for _dimension in (Dimension.SERVICE, Dimension.ACCOUNT, Dimension.REGION):
+for _dimension in (Dimension.SERVICE, Dimension.ACCOUNT, Dimension.REGION, Dimension.RESOURCE):
     register(
         f"distinct_{_dimension.value}s",
         lambda spark, d, dim=_dimension: costs.distinct_values(nc_for(spark, d, dim), dim),
         sql(
-            f"SELECT DISTINCT {_dimension.column} AS value FROM nc WHERE {_dimension.column} IS NOT NULL "
-            "ORDER BY value LIMIT 1000"
+            f"SELECT DISTINCT {_dimension.column} AS value FROM nc WHERE {_dimension.column} IS NOT NULL"
         ),
     )
 register(
@@ -510,13 +547,20 @@ register(
 register(
     "distinct_tag_values",
     lambda spark, d: costs.distinct_tag_values(nc_for(spark, d, tags=True), "Team"),
-    sql("SELECT DISTINCT tag_team AS value FROM nc WHERE tag_team IS NOT NULL ORDER BY value LIMIT 1000"),
+    sql("SELECT DISTINCT tag_team AS value FROM nc WHERE tag_team IS NOT NULL"),
 )
 register(
     "distinct_tag_values_unknown_key",
     lambda spark, d: costs.distinct_tag_values(nc_for(spark, d, tags=True), "CostCentre"),
     sql("SELECT DISTINCT tag_team AS value FROM nc WHERE tag_team = 'CostCentre'"),
 )
+register(
+    "resource_search_all",
+    lambda spark, d: present(costs.search_resources(nc_for(spark, d), WHOLE, "7")),
+    sql(
+        f"SELECT resource_id, {r2('sum(amortized_cost)')} AS total FROM nc WHERE contains(resource_id, '7') GROUP BY resource_id"
+    ),
+)
 register(
     "resource_search",
     lambda spark, d: present(costs.search_resources(nc_for(spark, d), WHOLE, " PART-1 ", 200)),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 
@@ -21,16 +23,19 @@ NONE = "CASE WHEN coalesce({0}, '') = '' THEN '(none)' ELSE {0} END"
 # --- breakdown with "Other" -----------------------------------------------------------------------
 
 
-def _with_other(dimension, n, f=WHOLE):
-    return lambda spark, d: present(insights.breakdown_with_other(nc_for(spark, d, dimension), f, dimension, n))
+def _with_other(dimension, n, f=WHOLE, min_share=0.0):
+    return lambda spark, d: present(
+        insights.breakdown_with_other(nc_for(spark, d, dimension), f, dimension, n, min_share)
+    )
 
 
-def _with_other_sql(column, n, where="TRUE"):
+def _with_other_sql(column, n, where="TRUE", min_share=0.0):
     return sql(
         f"""SELECT {NONE.format('key')} AS label, FALSE AS is_other, {r2('total')} AS total FROM top
         UNION ALL
         SELECT 'Other', TRUE, {r2('o - s')} FROM (SELECT (SELECT coalesce(sum(total), 0) FROM g) AS o,
-          (SELECT coalesce(sum(total), 0) FROM top) AS s) WHERE abs(o - s) > abs(o) * 0.001""",
+          (SELECT coalesce(sum(total), 0) FROM top) AS s)
+        WHERE (SELECT count(*) FROM g) > {n} AND abs(o - s) >= abs(o) * {min_share}""",
         f"g AS (SELECT {column} AS key, sum(amortized_cost) AS total FROM nc WHERE {where} GROUP BY {column})",
         f"top AS (SELECT key, total FROM g ORDER BY total DESC, key NULLS LAST LIMIT {n})",
     )
@@ -39,6 +44,11 @@ def _with_other_sql(column, n, where="TRUE"):
 register("breakdown_with_other_service", _with_other(Dimension.SERVICE, 3), _with_other_sql("service_name", 3))
 register("breakdown_with_other_account", _with_other(Dimension.ACCOUNT, 10), _with_other_sql("account_id", 10))
 register("breakdown_with_other_resource", _with_other(Dimension.RESOURCE, 10), _with_other_sql("resource_id", 10))
+register(
+    "breakdown_with_other_negligible",
+    _with_other(Dimension.SERVICE, 4, min_share=0.5),
+    _with_other_sql("service_name", 4, min_share=0.5),
+)
 register(
     "breakdown_with_other_complete",
     _with_other(Dimension.REGION, 10, YEAR_98),
@@ -78,7 +88,7 @@ register("trend_month_by_service", _trend(Dimension.SERVICE, 4, WHOLE), _trend_s
 register(
     "trend_year_by_account",
     _trend(Dimension.ACCOUNT, 50, replace(WHOLE, granularity=Granularity.YEAR)),
-    _trend_sql("account_id", 8, "year"),
+    _trend_sql("account_id", 50, "year"),
 )
 register(
     "trend_day_by_region",
@@ -204,7 +214,8 @@ def _presets(spark, d):
         first, last = preset_range(preset, TODAY)
         ranges[preset.value] = CostFilter.between(first, last + timedelta(days=1))
     sums = [F.coalesce(F.sum(F.when(in_range(f), F.col("amortized_cost"))), F.lit(0.0)) for f in ranges.values()]
-    one = nc_for(spark, d).agg(*[s.alias(n) for n, s in zip(ranges, sums)])
+    wanted = reduce(or_, map(in_range, ranges.values()))
+    one = nc_for(spark, d).where(wanted).agg(*[s.alias(n) for n, s in zip(ranges, sums)])
     return present(
         one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("preset"), F.col(f"`{n}`").alias("total")) for n in ranges])).alias("p")).select("p.*")
     )
@@ -256,8 +267,8 @@ def _entity_sql(where, dims, pricing="pricing_category"):
         )
     rest = (
         f"SELECT section, {none}, 'Other', TRUE, {r2('o - s')}, CAST(NULL AS BIGINT) FROM ("
-        f"SELECT section, sum(total) AS s, (SELECT {total} FROM e) AS o FROM top WHERE section <> 'resources' "
-        "GROUP BY section) WHERE abs(o - s) > abs(o) * 0.001"
+        f"SELECT section, sum(total) AS s, sum(row_count) AS shown, (SELECT {total} FROM e) AS o FROM top "
+        "WHERE section <> 'resources' GROUP BY section) WHERE shown < (SELECT count(*) FROM e)"
     )
     shown = f"SELECT section, {none}, key, FALSE, {r2('total')}, row_count FROM top"
     return sql(

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 
 from billweave.functions.scalars import ntz, percent_change, period_start
 from billweave.model import (
-    DEFAULT_BREAKDOWN_LIMIT,
-    DEFAULT_SEARCH_LIMIT,
-    MAX_COMPARE_ROWS,
-    MAX_FILTER_VALUES,
-    MAX_SEARCH_LIMIT,
-    MAX_SERIES_POINTS,
     BadRequest,
     CostFilter,
     Dimension,
@@ -27,6 +21,11 @@ from billweave.operators.predicates import contains_text, in_range, matches
 MEASURES = ("total", "row_count")
 
 
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or as many as the caller asks for."""
+    return ordered if limit is None else ordered.limit(check_limit(limit))
+
+
 def totals_by(nc: DataFrame, f: CostFilter, on_mixed: str = "error", **keys: Column) -> DataFrame:
     """``keys`` + currency + total + row_count for the rows that match, currency-checked."""
     grouped = (
@@ -85,27 +84,26 @@ def timeseries(
     f: CostFilter,
     group_by: Dimension | None = None,
     on_mixed: str = "error",
-    limit: int = MAX_SERIES_POINTS,
+    limit: int | None = None,
 ) -> DataFrame:
     """period[, group], currency, total, row_count; ascending, gaps are not filled."""
     keys = {"period": period_start(f.granularity, F.col("usage_start"))}
     if group_by:
         keys["group"] = F.col(group_by.column)
     order = [F.asc("period"), *([F.asc_nulls_last("group")] if group_by else []), F.asc("currency")]
-    return totals_by(nc, f, on_mixed, **keys).orderBy(*order).limit(limit)
+    return first_rows(totals_by(nc, f, on_mixed, **keys).orderBy(*order), limit)
 
 
 def breakdown(
     nc: DataFrame,
     f: CostFilter,
     dimension: Dimension,
-    limit: int = DEFAULT_BREAKDOWN_LIMIT,
+    limit: int | None = None,
     on_mixed: str = "error",
 ) -> DataFrame:
-    """The ``limit`` most expensive keys: key, currency, total, row_count."""
-    check_limit(limit)
+    """The keys, the most expensive first: key, currency, total, row_count."""
     rows = totals_by(nc, f, on_mixed, key=F.col(dimension.column))
-    return rows.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "currency").limit(limit)
+    return first_rows(rows.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "currency"), limit)
 
 
 def compared(
@@ -158,11 +156,11 @@ def compare(
     previous: CostFilter,
     dimension: Dimension | None = None,
     on_mixed: str = "error",
-    limit: int = MAX_COMPARE_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """``compared`` ordered by the size of the change, largest first."""
     rows = compared(nc, current, previous, dimension, on_mixed)
-    return rows.orderBy(F.desc(F.abs("absolute_change")), F.asc_nulls_last("key"), "currency").limit(limit)
+    return first_rows(rows.orderBy(F.desc(F.abs("absolute_change")), F.asc_nulls_last("key"), "currency"), limit)
 
 
 def search_resources(nc: DataFrame, f: CostFilter, needle: str, limit: int | None = None) -> DataFrame:
@@ -170,60 +168,65 @@ def search_resources(nc: DataFrame, f: CostFilter, needle: str, limit: int | Non
     needle = needle.strip()
     if not needle:
         raise BadRequest("a search text is required")
-    limit = min(max(DEFAULT_SEARCH_LIMIT if limit is None else limit, 1), MAX_SEARCH_LIMIT)
-    return (
+    found = (
         nc.where(matches(f) & contains_text(F.col("resource_id"), needle))
         .groupBy("resource_id")
         .agg(F.sum(f.metric.column).alias("total"))
         .orderBy(F.desc_nulls_last("total"), "resource_id")
-        .limit(limit)
     )
+    return first_rows(found, limit)
 
 
-def distinct_values(nc: DataFrame, dimension: Dimension, limit: int = MAX_FILTER_VALUES) -> DataFrame:
+def distinct_values(nc: DataFrame, dimension: Dimension, limit: int | None = None) -> DataFrame:
     """Sorted non-NULL values over the whole table."""
     column = F.col(dimension.column)
-    return nc.where(column.isNotNull()).select(column.alias("value")).distinct().orderBy("value").limit(limit)
+    return first_rows(nc.where(column.isNotNull()).select(column.alias("value")).distinct().orderBy("value"), limit)
 
 
-def distinct_tag_keys(nc: DataFrame, limit: int = MAX_FILTER_VALUES) -> DataFrame:
-    return nc.select(F.explode(F.map_keys("tags")).alias("value")).distinct().orderBy("value").limit(limit)
+def distinct_tag_keys(nc: DataFrame, limit: int | None = None) -> DataFrame:
+    return first_rows(nc.select(F.explode(F.map_keys("tags")).alias("value")).distinct().orderBy("value"), limit)
 
 
-def distinct_tag_values(nc: DataFrame, key: str, limit: int = MAX_FILTER_VALUES) -> DataFrame:
+def distinct_tag_values(nc: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     if not key:
         raise BadRequest("a tag key is required")
     value = F.col("tags")[key]
-    return nc.where(value.isNotNull()).select(value.alias("value")).distinct().orderBy("value").limit(limit)
+    return first_rows(nc.where(value.isNotNull()).select(value.alias("value")).distinct().orderBy("value"), limit)
 
 
 class FilterValues:
     """Filter-value lookups for pickers, remembered until the data's fingerprint changes.
 
-    A list holds at most ``MAX_FILTER_VALUES`` values, so it is kept on the driver. A failed lookup
-    is not remembered.
+    A picker shows the first ``most`` values, which bounds what is kept on the driver; ``cut`` names
+    the lookups that have more, for which ``distinct_values`` and its like give all rows. A failed
+    lookup is not remembered.
     """
 
-    def __init__(self, nc: DataFrame, fingerprint: str):
+    def __init__(self, nc: DataFrame, fingerprint: str, most: int = 1000):
+        self.most = check_limit(most)
+        self.cut: set[tuple[str, str]] = set()
         self._nc = nc
         self._fingerprint = fingerprint
         self._known: dict[tuple[str, str], list[str]] = {}
 
     def refresh(self, nc: DataFrame, fingerprint: str) -> None:
         if fingerprint != self._fingerprint:
-            self._nc, self._fingerprint, self._known = nc, fingerprint, {}
+            self._nc, self._fingerprint, self._known, self.cut = nc, fingerprint, {}, set()
 
     def of(self, dimension: Dimension) -> list[str]:
-        return self._lookup(("column", dimension.column), lambda: distinct_values(self._nc, dimension))
+        return self._lookup(("column", dimension.column), lambda: distinct_values(self._nc, dimension, self.most + 1))
 
     def tag_keys(self) -> list[str]:
-        return self._lookup(("tag_keys", ""), lambda: distinct_tag_keys(self._nc))
+        return self._lookup(("tag_keys", ""), lambda: distinct_tag_keys(self._nc, self.most + 1))
 
     def tag_values(self, key: str) -> list[str]:
-        return self._lookup(("tag_values", key), lambda: distinct_tag_values(self._nc, key))
+        return self._lookup(("tag_values", key), lambda: distinct_tag_values(self._nc, key, self.most + 1))
 
     def _lookup(self, name, query) -> list[str]:
         if name not in self._known:
-            self._known[name] = [row.value for row in query().collect()]
+            values = [row.value for row in query().collect()]
+            if len(values) > self.most:
+                self.cut.add(name)
+            self._known[name] = values[: self.most]
         return self._known[name]
 

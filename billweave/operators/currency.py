@@ -19,7 +19,7 @@ def currency_names(count_missing: bool = True) -> Column:
 
 def at_most_one(currencies: Column) -> Column:
     """A filter condition that fails the query when more than one currency is present."""
-    message = F.concat(F.lit("multiple currencies present: ["), F.array_join(currencies, ", "), F.lit("]"))
+    message = F.concat(F.lit("amounts in several currencies cannot be added up: ["), F.array_join(currencies, ", "), F.lit("]"))
     return F.when(F.size(currencies) > 1, F.raise_error(message).cast("boolean")).otherwise(True)
 
 

@@ -217,8 +217,11 @@ def apply_mutes(state: InboxState, today: date) -> InboxState:
     return replace(state, anomalies=anomalies, mutes=live)
 
 
-def prune(state: InboxState, today: date) -> InboxState:
-    cutoff = today - timedelta(days=RETENTION_DAYS)
+def prune(state: InboxState, today: date, keep_days: int | None = RETENTION_DAYS) -> InboxState:
+    """Without anomalies whose last day is more than ``keep_days`` ago; None keeps all."""
+    if keep_days is None:
+        return state
+    cutoff = today - timedelta(days=keep_days)
     return replace(state, anomalies=state.anomalies.where(F.col("last_day") >= F.lit(cutoff)))
 
 

@@ -24,21 +24,21 @@ from billweave.model import (
     TagOp,
     check_limit,
 )
-from billweave.operators.costs import MEASURES, compared, summary, timeseries, totals_by
+from billweave.operators.costs import MEASURES, compared, summary, totals_by
 from billweave.operators.currency import currency_names, single_currency, totals_of
 from billweave.operators.predicates import matches
 
-# Share of the overall total below which "Other" is left out; most named series in a
-# stacked trend; charge categories shown as credits.
-OTHER_MIN_SHARE = 0.001
-MAX_TREND_SERIES = 8
+# Charge categories shown as credits.
 CREDIT_CATEGORIES = ["Credit", "Refund", "Discount", "Adjustment"]
 
 
-def breakdown_with_other(nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10) -> DataFrame:
+def breakdown_with_other(
+    nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10, min_share: float = 0.0
+) -> DataFrame:
     """Top ``n`` keys plus one "Other" row for the remainder: label, is_other, total.
 
-    The remainder is the overall total minus the rows shown, left out when negligible.
+    "Other" is the overall total minus the rows shown. It stands there whenever keys were folded, so
+    the rows add up to the total, unless the caller wants it left out below ``min_share`` of it.
     """
     check_limit(n)
     rows = totals_by(nc, f, key=F.col(dimension.column))
@@ -47,32 +47,32 @@ def breakdown_with_other(nc: DataFrame, f: CostFilter, dimension: Dimension, n:
         F.collect_list(F.struct(display_label(F.col("key")).alias("label"), F.lit(False).alias("is_other"), "total"))
         .alias("shown"),
         F.coalesce(F.sum("total"), F.lit(0.0)).alias("shown_total"),
+        F.sum("row_count").alias("shown_lines"),
     )
-    overall = F.coalesce(totals_of(rows, *MEASURES).getField("total"), F.lit(0.0))
+    totals = totals_of(rows, *MEASURES)
+    overall = F.coalesce(totals.getField("total"), F.lit(0.0))
     return (
         shown.withColumn("overall", overall)
         .withColumn("rest", F.col("overall") - F.col("shown_total"))
-        .select(F.explode(F.concat("shown", _other_entry(F.col("rest"), F.col("overall")))).alias("row"))
+        .withColumn("folded", totals.getField("row_count") > F.col("shown_lines"))
+        .select(F.explode(F.concat("shown", _other_entry(min_share))).alias("row"))
         .select("row.*")
     )
 
 
-def _other_entry(rest: Column, overall: Column) -> Column:
-    entry = F.struct(F.lit(OTHER_LABEL).alias("label"), F.lit(True).alias("is_other"), rest.alias("total"))
-    worth_showing = F.abs(rest) > F.abs(overall) * OTHER_MIN_SHARE
-    return F.filter(F.array(entry), lambda _: worth_showing)
+def _other_entry(min_share: float) -> Column:
+    entry = F.struct(F.lit(OTHER_LABEL).alias("label"), F.lit(True).alias("is_other"), F.col("rest").alias("total"))
+    shown = F.col("folded") & (F.abs("rest") >= F.abs("overall") * min_share)
+    return F.filter(F.array(entry), lambda _: shown)
 
 
-def trend_with_other(
-    nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10, max_series: int = MAX_TREND_SERIES
-) -> DataFrame:
+def trend_with_other(nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10) -> DataFrame:
     """Stacked trend: period, rank, label, is_other, total, row_count.
 
-    Groups are ranked by their total over the whole range; the first ``min(n, max_series)`` keep
-    their name, the rest is folded per period. Absent (period, group) pairs are 0. "Other" has rank
+    Groups are ranked by their total over the whole range; the first ``n`` keep their name, the rest is folded per period. Absent (period, group) pairs are 0. "Other" has rank
     0 and exists only when some group was folded.
     """
-    keep = min(check_limit(n), max_series)
+    keep = check_limit(n)
     points = totals_by(nc, f, period=period_start(f.granularity, F.col("usage_start")), key=F.col(dimension.column))
     groups = points.groupBy("key").agg(F.sum("total").alias("total"), F.sum("row_count").alias("rows"))
     top = groups.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "rows").limit(keep)
@@ -82,7 +82,7 @@ def trend_with_other(
             lambda g: g["key"],
         )
     ).scalar()
-    # At most max_series names, so the position is found by looking through the list.
+    # At most n names, so the position is found by looking through the list.
     position = F.get(
         F.filter(
             F.transform(F.col("ranking"), lambda g, i: F.struct(g.eqNullSafe(F.col("key")).alias("hit"), i.alias("i"))),
@@ -261,8 +261,8 @@ def run_rate(nc: DataFrame, today: date, metric: CostMetric = CostMetric.AMORTIZ
 
 def year_boundaries(nc: DataFrame, f: CostFilter) -> DataFrame:
     """Where a series enters a new year: the point's position and period. None at year granularity."""
-    points = timeseries(nc, f).select("period")
-    order = Window.orderBy("period")  # over the capped series
+    points = nc.where(matches(f)).select(period_start(f.granularity, F.col("usage_start")).alias("period")).distinct()
+    order = Window.orderBy("period")  # over the periods of the range, at most one for each day
     numbered = points.select(
         (F.row_number().over(order) - 1).alias("position"),
         "period",
@@ -273,15 +273,13 @@ def year_boundaries(nc: DataFrame, f: CostFilter) -> DataFrame:
     return numbered.where(F.year("period") != F.col("previous_year")).select("position", "period")
 
 
-# The breakdowns shown for each kind of entity, and their lengths.
+# The breakdowns shown for each kind of entity.
 ENTITY_BREAKDOWNS = {
     "service": [Dimension.ACCOUNT, Dimension.REGION, Dimension.CHARGE_CATEGORY],
     "account": [Dimension.SERVICE, Dimension.REGION],
     "resource": [Dimension.CHARGE_CATEGORY, Dimension.PRICING_CATEGORY, Dimension.REGION],
     "tag": [Dimension.SERVICE, Dimension.ACCOUNT, Dimension.REGION],
 }
-ENTITY_BREAKDOWN_ROWS = 10
-ENTITY_TOP_RESOURCES = 15
 
 
 def entity_filter(f: CostFilter, entity: str, value: str, tag_key: str | None = None) -> CostFilter:
@@ -292,12 +290,20 @@ def entity_filter(f: CostFilter, entity: str, value: str, tag_key: str | None =
 
 
 def entity_detail(
-    nc: DataFrame, f: CostFilter, entity: str, value: str, tag_key: str | None = None
+    nc: DataFrame,
+    f: CostFilter,
+    entity: str,
+    value: str,
+    tag_key: str | None = None,
+    breakdown_rows: int = 10,
+    resource_rows: int = 15,
+    min_share: float = 0.0,
 ) -> DataFrame:
     """Everything an entity page shows, from one scan: section, period, key, is_other, total, row_count.
 
-    Sections: ``kpi`` (one row), ``trend`` (per period and charge category), ``by_<dimension>`` (top
-    rows plus "Other") and ``resources`` (top rows). Each line is entered once per section and one
+    Sections: ``kpi`` (one row), ``trend`` (per period and charge category), ``by_<dimension>`` (the top
+    ``breakdown_rows`` plus "Other", as in ``breakdown_with_other``) and ``resources`` (the top
+    ``resource_rows``). Each line is entered once per section and one
     aggregate computes them all. Rows are limited by a row_number that Spark applies before the
     shuffle as well (window group limit), so no section is gathered whole.
     """
@@ -325,11 +331,12 @@ def entity_detail(
     is_breakdown = F.startswith("section", F.lit("by_"))
     shown = (
         rows.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= ENTITY_TOP_RESOURCES)
-        .where(~is_breakdown | (F.col("rank") <= ENTITY_BREAKDOWN_ROWS))
+        .where(F.col("rank") <= max(check_limit(breakdown_rows), check_limit(resource_rows)))
+        .where(F.col("rank") <= F.when(is_breakdown, breakdown_rows).otherwise(resource_rows))
     )
     kpi = F.sum(F.when(F.col("section") == "kpi", F.col("total")))
-    overall = grouped.agg(F.struct(kpi.alias("total"), F.sum("row_count").alias("n"), currency_names().alias("c")))
+    lines = F.sum(F.when(F.col("section") == "kpi", F.col("row_count")))
+    overall = grouped.agg(F.struct(kpi.alias("total"), lines.alias("n"), currency_names().alias("c")))
     # The conditions on sections sit on aggregated columns: a filter on the section itself would be
     # pushed into the scan and make it a different, second scan.
     rest = (
@@ -337,8 +344,8 @@ def entity_detail(
         .agg(F.sum("total").alias("shown"), F.max(is_breakdown).alias("is_breakdown"), F.sum("row_count").alias("n"))
         .withColumn("overall", F.coalesce(overall.scalar().getField("total"), F.lit(0.0)))
         .withColumn("rest", F.col("overall") - F.col("shown"))
-        .where("is_breakdown AND n > 0")
-        .where(F.abs("rest") > F.abs("overall") * OTHER_MIN_SHARE)
+        .where(F.col("is_breakdown") & (F.col("n") < overall.scalar().getField("n")))
+        .where(F.abs("rest") >= F.abs("overall") * min_share)
         .select(
             "section",
             no_period.alias("period"),

@@ -24,9 +24,8 @@ from billweave.sources import exports, storage
 
 log = logging.getLogger(__name__)
 
-# Settled days every check re-evaluates; most days of one check; extra days read.
+# Settled days that each check looks at again; days read before those that are needed.
 RECHECK_DAYS = 7
-MAX_CHECK_DAYS = 31
 READ_SLACK_DAYS = 2
 
 
@@ -37,14 +36,18 @@ class CheckWindow:
     check_from: date
 
 
-def check_window(today: date, last_checked: date | None, rules: Rules) -> CheckWindow:
-    """What a check reads and the first day it evaluates. The last day follows from the data."""
+def check_window(today: date, last_checked: date | None, rules: Rules, longest: int | None = None) -> CheckWindow:
+    """What a check reads and the first day it evaluates. The last day follows from the data.
+
+    All days since the last check are evaluated, however many; ``longest`` bounds them where a caller
+    wants only the newest."""
     latest = today - timedelta(days=1 + rules.settling_days)
     recent = latest - timedelta(days=RECHECK_DAYS - 1)
     check_from = recent
     if last_checked is not None:
-        oldest = latest - timedelta(days=MAX_CHECK_DAYS - 1)
-        check_from = max(min(last_checked + timedelta(days=1), recent), oldest)
+        check_from = min(last_checked + timedelta(days=1), recent)
+    if longest is not None:
+        check_from = max(check_from, latest - timedelta(days=longest - 1))
     reach = rules.memory_days + READ_SLACK_DAYS
     return CheckWindow(check_from - timedelta(days=reach), today + timedelta(days=1), check_from)
 
@@ -53,28 +56,36 @@ def check_window(today: date, last_checked: date | None, rules: Rules) -> CheckW
 class Source:
     """A billing source as a check sees it. ``load`` is called only when data must be read; None
     from it means that the source has no files yet. ``series`` replaces the scan of the cost table
-    where daily series are already kept: it gets the range to read."""
+    where daily series are already kept: it gets the range to read. ``index`` is called only for an
+    estimate, with the range of days to read."""
 
     source_id: str
     load: Callable[[], DataFrame | None]
     fingerprint: str
-    index: DataFrame | None = None
+    index: Callable[[date, date], DataFrame | None] | None = None
     remote: bool = False
     series: Callable[[date, date], DataFrame] | None = None
 
 
 def billing_source(spark: SparkSession, source_id: str, base: str, remote: bool = False) -> Source:
-    """A source at a storage location: its files, their fingerprint and the index of their footers."""
-    periods = exports.discover(spark, base)
+    """A source at a storage location. Making it reads no more than listings, which an unchanged
+    source needs; footers are read for the months of a check's window only."""
     prints = sorted(exports.listing_fingerprints(spark, base).items())
-    found = exports.layouts(spark, periods)
-    index = None
-    for columns, files in found.items():
-        part = footer_index(spark, files, ESTIMATE_COLUMNS[exports.detect_format(columns)])
-        index = part if index is None else index.unionByName(part)
+
+    def index(start: date, end: date) -> DataFrame | None:
+        out = None
+        for x in exports.layouts(spark, exports.discover(spark, base, start, end)):
+            part = footer_index(spark, list(x.files), ESTIMATE_COLUMNS[exports.detect_format(x.columns)])
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def load() -> DataFrame | None:
+        periods = exports.discover(spark, base)
+        return exports.read_periods(spark, periods) if any(p.files for p in periods) else None
+
     return Source(
         source_id,
-        lambda: exports.read_periods(spark, periods) if found else None,
+        load,
         hashlib.sha256(repr(prints).encode()).hexdigest(),
         index,
         remote,
@@ -156,8 +167,9 @@ def _estimate(spark, source: Source, window: CheckWindow, guard: dict | None):
     if source.index is None:
         return None
     try:
+        index = source.index(window.query_start, window.query_end)
         scans = [[(window.query_start, window.query_end)]]
-        return page_cost(source.index, scans, spark, source.remote, guard).first()
+        return page_cost(index, scans, spark, source.remote, guard).first()
     except BadRequest as error:
         log.warning("no estimate for %s: %s", source.source_id, error)
         return None

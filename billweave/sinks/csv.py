@@ -31,5 +31,7 @@ def exportable(table: DataFrame, titles: dict[str, str] | None = None) -> DataFr
 
 
 def write_csv(table: DataFrame, path: str, titles: dict[str, str] | None = None) -> None:
-    """Header line, quotes doubled, a field quoted when it needs to be. Rows keep their order."""
-    exportable(table, titles).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Header line, quotes doubled, a field quoted when it needs to be; blanks at the ends of a text are
+    kept. Rows keep their order."""
+    writer = exportable(table, titles).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

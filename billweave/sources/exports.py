@@ -1,16 +1,16 @@
 """Billing exports on storage: find the months, resolve their files, read and normalise them.
 
 Layout: ``<base>/BILLING_PERIOD=yyyy-MM/`` with Parquet files and an optional ``Manifest.json``.
-Only file names and one footer per layout reach the driver; the data is read by Spark.
+File names and their schemas reach the driver; footers are read on the executors, the data by Spark.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
 import re
 from collections import defaultdict
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from datetime import date
 from urllib.parse import unquote, urlparse
@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from billweave.functions.periods import month_range
 from billweave.model import CANONICAL_SCHEMA
 from billweave.sources import storage
+from billweave.sources.footers import footer_schemas
 from billweave.sources.normalise import detect_format, normalise
 
 log = logging.getLogger(__name__)
 
 PERIOD_FOLDER = re.compile(r"(?i)^billing_period=([+-]?\d+)-(\d+)$")
 MANIFEST_NAME = "Manifest.json"
-FOOTERS_AT_ONCE = 8
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("dataFiles", T.ArrayType(T.StringType())),
@@ -134,22 +134,33 @@ def _plain(uri: str) -> str:
     return f"{parsed.netloc}{unquote(parsed.path)}" if parsed.scheme else uri
 
 
-def layouts(spark: SparkSession, periods: list[PeriodFiles]) -> dict[tuple[str, ...], list[str]]:
-    """Files by the columns they have, judged by one file per month, since a source may change its
-    format over time."""
-    by_columns, filled = defaultdict(list), [p for p in periods if p.files]
-    # Several footers at a time: each is a short job of its own.
-    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
-        headers = pool.map(lambda p: tuple(spark.read.parquet(p.files[0]).columns), filled)
-        for p, columns in zip(filled, headers):
-            by_columns[columns].extend(p.files)
-    return dict(by_columns)
+@dataclass(frozen=True)
+class Layout:
+    """Files with one schema. A source may change its columns, their types or its format at any file."""
+
+    columns: tuple[str, ...]
+    files: tuple[str, ...]
+
+
+def layouts(spark: SparkSession, periods: list[PeriodFiles]) -> list[Layout]:
+    """All files by their full schema, from their footers; one of unknown layout is an error."""
+    files = list(dict.fromkeys(f for p in periods for f in p.files))
+    if not files:
+        return []
+    by_schema = defaultdict(list)
+    for row in footer_schemas(spark, files).collect():
+        by_schema[row.schema].append(row.file)
+    out = []
+    for schema, members in sorted(by_schema.items()):
+        columns = tuple(name for name, _ in json.loads(schema))
+        detect_format(columns)
+        out.append(Layout(columns, tuple(sorted(members))))
+    return out
 
 
 def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
-    """The canonical frame over all periods. Months with the same columns share one scan."""
-    found = layouts(spark, periods)
-    frames = [normalise(spark.read.parquet(*files), detect_format(columns)) for columns, files in found.items()]
+    """The canonical frame over all periods. Files with the same schema share one scan."""
+    frames = [normalise(spark.read.parquet(*x.files), detect_format(x.columns)) for x in layouts(spark, periods)]
     if not frames:
         return spark.createDataFrame([], CANONICAL_SCHEMA)
     out = frames[0]
@@ -165,9 +176,11 @@ def read_months(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
     keeps elsewhere get their month as a literal.
     """
     inside = [replace(p, files=tuple(f for f in p.files if f.startswith(p.folder + "/"))) for p in periods]
-    folder = F.regexp_extract("source_file", r"(?i)/billing_period=([^/]+)/[^/]*$", 1)
+    folder = F.regexp_extract("source_file", r"(?i)^.*/billing_period=([^/]+)/", 1)
     year, month = F.split_part(folder, F.lit("-"), F.lit(1)), F.split_part(folder, F.lit("-"), F.lit(2))
-    out = read_periods(spark, inside).withColumn("billing_period", F.concat_ws("-", year, F.lpad(month, 2, "0")))
+    unknown = F.raise_error(F.concat(F.lit("no billing month in the path of "), "source_file")).cast("string")
+    period = F.when(folder == "", unknown).otherwise(F.concat_ws("-", year, F.lpad(month, 2, "0")))
+    out = read_periods(spark, inside).withColumn("billing_period", period)
     for p in periods:
         outside = tuple(f for f in p.files if not f.startswith(p.folder + "/"))
         if outside:
@@ -184,15 +197,19 @@ def load_source(
 
 
 def listing_fingerprints(spark: SparkSession, base: str) -> dict[str, str]:
-    """Per month, a fingerprint of its file names, sizes and change times; no data is read.
+    """Per month, a fingerprint of its files' names, sizes and change times; no data is read.
 
-    A file that is rewritten in place changes the fingerprint of its month.
+    It covers the listing of the month's folder, the manifest with it, and the files that the manifest
+    names elsewhere or in subfolders. A file that is rewritten in place changes its month's fingerprint.
     """
-    prints = {}
+    prints, resolved = {}, defaultdict(set)
+    for p in discover(spark, base):
+        resolved[p.folder] |= set(p.files)
     for month, folder in ((p.month, p.folder) for p in billing_periods(spark, base)):
         digest = hashlib.sha256(prints.get(month, "").encode())
-        for e in storage.list_folder(spark, folder):
-            if not e.is_dir and not e.name.startswith(("_", ".")):
-                digest.update(f"{e.path}|{e.size}|{e.modified_ms}\n".encode())
+        listed = [e for e in storage.list_folder(spark, folder) if not e.is_dir and not e.name.startswith(("_", "."))]
+        elsewhere = sorted(resolved[folder] - {e.path for e in listed})
+        for e in [*listed, *storage.statuses(spark, elsewhere)]:
+            digest.update(f"{e.path}|{e.size}|{e.modified_ms}\n".encode())
         prints[month] = digest.hexdigest()
     return prints

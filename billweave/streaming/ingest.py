@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from billweave.model import CostMetric
+from billweave.model import BadRequest, CostMetric
 from billweave.operators.rules import Rules
 from billweave.operators.currency import single_currency
 from billweave.operators.series import daily_series
@@ -129,16 +129,18 @@ def ingest_available(table: SeriesTable, base: str, checkpoint: str) -> Streamin
 def check_available(
     table: SeriesTable, base: str, store: StateStore, source_id: str, rules: Rules, now: datetime, checkpoint: str
 ) -> StreamingQuery:
-    """Ingest, then an anomaly check per batch. Lateness is handled by evaluating the last settled
-    days again, not by dropping late lines."""
+    """Ingest and check, first what was only rewritten, which the stream does not report, then per batch
+    of new files. Lateness is handled by evaluating the last settled days again, not by dropping late
+    lines. A check of unchanged data ends at once."""
 
-    def on_batch(_batch, _id):
+    def refresh_and_check(*_batch):
         table.refresh(base)
         check_table(table, store, source_id, rules, now)
 
+    refresh_and_check()
     return (
         arriving_files(table.spark, base)
-        .writeStream.foreachBatch(on_batch)
+        .writeStream.foreachBatch(refresh_and_check)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -146,5 +148,7 @@ def check_available(
 
 
 def check_table(table: SeriesTable, store: StateStore, source_id: str, rules: Rules, now: datetime):
+    if rules.metric is not table.metric:
+        raise BadRequest(f"the table holds {table.metric.value} costs, the rules are for {rules.metric.value} ones")
     source = Source(source_id, lambda: None, table.fingerprint(), series=table.read)
     return run_check(store, source, rules, now)

@@ -105,7 +105,9 @@ def test_lookups_and_search(nc):
     assert [(r.resource_id, r.total) for r in hits] == [("i-Abc_1", 100.0), ("i-abcd1", 50.0)]
     assert [r.resource_id for r in costs.search_resources(nc, AUGUST, "c_").collect()] == ["i-Abc_1"]
     assert [r.resource_id for r in costs.search_resources(nc, AUGUST, "%").collect()] == ["bucket%"]
-    assert costs.search_resources(nc, AUGUST, "i", 0).count() == 1
+    assert costs.search_resources(nc, AUGUST, "i", 1).count() == 1
+    with pytest.raises(BadRequest):
+        costs.search_resources(nc, AUGUST, "i", 0)
     with pytest.raises(BadRequest):
         costs.search_resources(nc, AUGUST, "  ")
 

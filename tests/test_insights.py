@@ -36,7 +36,8 @@ def test_other_bucket(spark):
 
 def test_other_bucket_is_left_out_when_negligible_also_for_negative_totals(spark):
     tiny = demo(spark, [("a", 10_000.0), ("b", 10.0)])
-    assert len(labels(insights.breakdown_with_other(tiny, AUGUST, Dimension.SERVICE, 1))) == 1
+    assert labels(insights.breakdown_with_other(tiny, AUGUST, Dimension.SERVICE, 1))[1:] == [("Other", True, 10.0)]
+    assert len(labels(insights.breakdown_with_other(tiny, AUGUST, Dimension.SERVICE, 1, 0.0015))) == 1
     negative = demo(spark, [("a", -1000.0), ("b", -0.5)])
     rows = labels(insights.breakdown_with_other(negative, AUGUST, Dimension.SERVICE, 1))
     assert rows == [("b", False, -0.5), ("Other", True, -1000.0)]
@@ -61,10 +62,11 @@ def test_trend_with_other(spark):
     }
     whole = insights.trend_with_other(nc, f, Dimension.SERVICE, 8).collect()
     assert not any(r.is_other for r in whole) and len(whole) == 3 * 5
-    # The palette limit holds whatever n is asked for.
+    # As many are named as are asked for.
     many = lines(spark, [dict(day="2026-08-01", service_name=f"s{i:02}", account_id="1", cost=float(i)) for i in range(20)])
-    shown = insights.trend_with_other(many, f, Dimension.SERVICE, 50).collect()
-    assert [r.label for r in sorted(shown, key=lambda r: r.rank)] == ["Other"] + [f"s{i}" for i in range(19, 11, -1)]
+    shown = insights.trend_with_other(many, f, Dimension.SERVICE, 12).collect()
+    assert [r.label for r in sorted(shown, key=lambda r: r.rank)] == ["Other"] + [f"s{i:02}" for i in range(19, 7, -1)]
+    assert len(insights.trend_with_other(many, f, Dimension.SERVICE, 50).collect()) == 20
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +151,11 @@ def test_entity_detail(spark):
     accounts = {r.key: r.total for r in by["by_account"]}
     assert len(accounts) == 11 and accounts["Other"] == sum(range(1, 11)) and accounts["a19"] == 20.0
     assert len(by["resources"]) == 15 and [r.key for r in by["trend"]] == ["Usage"]
+
+
+def test_csv_keeps_blanks(spark, tmp_path):
+    labels = ["  lead", "trail  ", " =1+1", "=1", "a,b", 'q"']
+    df = spark.createDataFrame([(x,) for x in labels], "label string").coalesce(1)
+    write_csv(df, str(tmp_path / "out"), {"label": "Key"})
+    read = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert [r.Key for r in read.collect()] == ["  lead", "trail  ", " =1+1", "'=1", "a,b", 'q"']

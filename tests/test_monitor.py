@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from billweave.model import BadRequest, CostMetric
 from billweave.operators import inbox
 from billweave.operators.footers import INDEX_SCHEMA
 from billweave.operators.rules import Rules
@@ -39,7 +40,8 @@ def test_check_window():
     rules = Rules()
     assert check_window(date(2026, 10, 1), None, rules) == CheckWindow(date(2026, 8, 16), date(2026, 10, 2), date(2026, 9, 22))
     from_days = [date(2026, 9, 28), date(2026, 9, 10), date(2026, 1, 1)]
-    assert [check_window(date(2026, 10, 1), d, rules).check_from for d in from_days] == [date(2026, 9, 22), date(2026, 9, 11), date(2026, 8, 29)]
+    assert [check_window(date(2026, 10, 1), d, rules).check_from for d in from_days] == [date(2026, 9, 22), date(2026, 9, 11), date(2026, 1, 2)]
+    assert check_window(date(2026, 10, 1), date(2026, 1, 1), rules, longest=31).check_from == date(2026, 8, 29)
     assert check_window(date(2026, 10, 1), None, Rules(lookback_days=60)).query_start == date(2026, 7, 22)
 
 
@@ -82,7 +84,7 @@ def test_outcomes(spark, tmp_path):
     assert "lookback_days" in run_check(store, Source("good", lambda: nc, "g"), Rules(lookback_days=1), NOW).message
     mixed = nc.withColumn("currency", F.when(F.col("account_id") == "222222222222", "EUR").otherwise("USD"))
     out = run_check(store, Source("good", lambda: mixed, "h"), Rules(), NOW)
-    assert out.kind == "error" and "multiple currencies" in out.message
+    assert out.kind == "error" and "several currencies" in out.message
     assert store.load().runs.where("source_id = 'good'").first().last_checked_day == date(2026, 9, 28)
 
 
@@ -90,7 +92,7 @@ def test_cost_guard(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     nc = lines(spark, anomaly_lines())
     index = spark.createDataFrame([("f", 0, datetime(2026, 9, 1), datetime(2026, 9, 2), 20_000_000_000, 4)], INDEX_SCHEMA)
-    source = Source("s", lambda: nc, "f", index, remote=True)
+    source = Source("s", lambda: nc, "f", lambda *_: index, remote=True)
     out = run_check(store, source, Rules(), NOW)
     assert (out.kind, out.estimate_usd) == ("skipped_cost_guard", pytest.approx(1.8, abs=1e-4))
     # The skipped run keeps the old fingerprint, so it does not count as having seen the data.
@@ -98,7 +100,7 @@ def test_cost_guard(spark, tmp_path):
     assert run_check(store, source, Rules(), NOW, automatic=False).kind == "needs_confirmation"
     done = run_check(store, source, Rules(), NOW, automatic=False, confirmed=True)
     assert (done.kind, done.new_anomalies) == ("ok", 4)
-    assert run_check(store, Source("t", lambda: nc, "f", index), Rules(), NOW).kind == "ok"
+    assert run_check(store, Source("t", lambda: nc, "f", lambda *_: index), Rules(), NOW).kind == "ok"
 
 
 def test_source_at_a_location(spark, tmp_path):
@@ -106,7 +108,8 @@ def test_source_at_a_location(spark, tmp_path):
     assert run_check(store, billing_source(spark, "s", base), Rules(), NOW).kind == "ok"
     write_anomaly_export(spark, base)
     source = billing_source(spark, "s", base, remote=True)
-    assert source.index.count() == 2
+    assert source.index(date(2026, 8, 1), date(2026, 10, 1)).count() == 2
+    assert source.index(date(2026, 9, 1), date(2026, 10, 1)).count() == 1
     dear = {"egress_usd_per_gb": 1e6}
     assert run_check(store, source, Rules(), NOW, guard=dear).kind == "skipped_cost_guard"
     out = run_check(store, source, Rules(), NOW)
@@ -168,6 +171,38 @@ def test_continuous_check(spark, tmp_path):
     assert check_table(table, store, "s", Rules(), NOW).kind == "unchanged"
 
 
+def test_a_rewritten_month_is_checked_again(spark, tmp_path):
+    base, checkpoint = str(tmp_path / "data"), str(tmp_path / "checkpoint")
+    write_anomaly_export(spark, base)
+    table, store = SeriesTable(spark, str(tmp_path / "series")), StateStore(spark, str(tmp_path / "state"))
+    check_available(table, base, store, "s", Rules(), NOW, checkpoint).awaitTermination()
+    # The same file names with other amounts: the stream reports nothing.
+    changed = anomaly_lines(ec2_peak=100.0)
+    (old,) = (tmp_path / "data" / "BILLING_PERIOD=2026-09").glob("*.parquet")
+    other = tmp_path / "other"
+    focus_raw(spark, [r for r in changed if r["day"][:7] == "2026-09"]).coalesce(1).write.parquet(str(other))
+    (new,) = other.glob("*.parquet")
+    old.write_bytes(new.read_bytes())
+    (old.parent / f".{old.name}.crc").unlink(missing_ok=True)
+    check_available(table, base, store, "s", Rules(), NOW + timedelta(hours=6), checkpoint).awaitTermination()
+    assert ("service", "Amazon Elastic Compute Cloud", "spike") not in found(store)
+    assert table.changed_months(base) == []
+
+
+def test_rules_for_another_metric_are_refused(spark, tmp_path):
+    table, store = SeriesTable(spark, str(tmp_path / "series")), StateStore(spark, str(tmp_path / "state"))
+    with pytest.raises(BadRequest):
+        check_table(table, store, "s", Rules(metric=CostMetric.BILLED), NOW)
+
+
+def test_a_long_gap_is_evaluated_whole(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    nc = lines(spark, anomaly_lines())
+    store.update(lambda s: inbox.record_run(s, "s", NOW, "ok", "old", date(2026, 8, 20)))
+    out = run_check(store, Source("s", lambda: nc, "new"), Rules(), NOW)
+    assert (out.kind, out.checked_from) == ("ok", date(2026, 8, 21))
+
+
 def test_daily_spend_stream_equals_batch_for_settled_days(spark, tmp_path):
     rows = [("a", datetime(2026, 1, d, h), float(d)) for d in range(1, 9) for h in (0, 12, 23)]
     schema = "key string, ts timestamp, value double"

@@ -79,6 +79,7 @@ SINGLE_SCAN = {
     "movers": lambda nc: insights.biggest_movers(nc, AUGUST, JULY, Dimension.RESOURCE),
     "credits": lambda nc: insights.credits_split(nc, AUGUST),
     "entity": lambda nc: insights.entity_detail(nc, AUGUST, "account", "1"),
+    "years": lambda nc: insights.year_boundaries(nc, AUGUST),
     "series": lambda nc: daily_series(nc, AUGUST.start.date(), AUGUST.end.date()),
 }
 
@@ -91,9 +92,16 @@ def test_one_scan_hash_aggregates_and_no_cross_join(nc, name):
     assert "SortAggregate" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-@pytest.mark.parametrize("name", ["breakdown", "compare", "movers"])
+LIMITED = {
+    "breakdown": lambda nc: costs.breakdown(nc, AUGUST, Dimension.RESOURCE, 10),
+    "compare": lambda nc: costs.compare(nc, AUGUST, JULY, Dimension.RESOURCE, limit=10),
+    "movers": SINGLE_SCAN["movers"],
+}
+
+
+@pytest.mark.parametrize("name", LIMITED)
 def test_top_rows_are_taken_without_a_global_sort(nc, name):
-    assert "TakeOrderedAndProject" in executed(SINGLE_SCAN[name](nc))
+    assert "TakeOrderedAndProject" in executed(LIMITED[name](nc))
 
 
 def test_entity_sections_are_limited_before_the_shuffle(nc):

@@ -16,6 +16,7 @@ from billweave.sources.exports import (
     discover,
     listing_fingerprints,
     load_source,
+    read_months,
     resolve_path,
 )
 
@@ -70,6 +71,49 @@ def test_manifests(spark, tmp_path):
     assert [(p.month, len(p.files)) for p in discover(spark, str(base))] == [("2026-08", 2), ("2026-10", 0)]
 
 
+def test_files_of_one_month_that_differ(spark, tmp_path):
+    folder = tmp_path / "BILLING_PERIOD=2026-08"
+    folder.mkdir()
+    raws = [
+        focus(spark, "2026-08-10", 1.0),
+        focus(spark, "2026-08-11", 10.0).drop("Tags"),
+        focus(spark, "2026-08-12", 100.0, decimals=True),
+        focus(spark, "2026-08-13", 1000.0, service_code=False),
+        cur_raw(spark, [("r", CUR_SCENARIOS[0][1])], "2026-08-14"),
+    ]
+    for i, raw in enumerate(raws):
+        raw.coalesce(1).write.parquet(str(tmp_path / f"raw{i}"))
+        (part,) = (tmp_path / f"raw{i}").glob("*.parquet")
+        part.rename(folder / f"{i}.parquet")
+    nc = load_source(spark, str(tmp_path))
+    assert totals(nc) == {"focus12": 1111.0, "cur2": 100.0}
+    assert nc.where("usage_start IS NULL OR amortized_cost IS NULL").count() == 0
+    assert sorted(r.n for r in nc.select(F.size(F.map_keys("tags")).alias("n")).where("n > 0").collect()) == sorted(
+        r.n for r in nc.where("tags IS NOT NULL AND size(map_keys(tags)) > 0").select(F.size(F.map_keys("tags")).alias("n")).collect()
+    )
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "odd"))
+    (part,) = (tmp_path / "odd").glob("*.parquet")
+    part.rename(folder / "odd.parquet")
+    with pytest.raises(Exception):
+        load_source(spark, str(tmp_path))
+
+
+def test_files_in_subfolders_and_elsewhere_keep_their_month(spark, tmp_path):
+    base = tmp_path / "base"
+    folder = write_month(focus(spark, "2026-08-10", 1.0), base, "2026-08")
+    focus(spark, "2026-08-11", 10.0).coalesce(1).write.parquet(str(folder / "run1"))
+    focus(spark, "2026-08-12", 100.0).coalesce(1).write.parquet(str(tmp_path / "far"))
+    (near,), (far,) = (folder / "run1").glob("*.parquet"), (tmp_path / "far").glob("*.parquet")
+    (folder / "Manifest.json").write_text(json.dumps({"dataFiles": [f"run1/{near.name}", str(far)]}))
+    lines = read_months(spark, discover(spark, str(base)))
+    assert {(r.billing_period, r.amortized_cost) for r in lines.collect()} == {("2026-08", 10.0), ("2026-08", 100.0)}
+    before = listing_fingerprints(spark, str(base))
+    focus(spark, "2026-08-12", 9.0).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "again"))
+    (again,) = (tmp_path / "again").glob("*.parquet")
+    far.write_bytes(again.read_bytes())
+    assert listing_fingerprints(spark, str(base)) != before
+
+
 def test_paths_in_manifests(spark):
     cases = {"a/b.parquet": "/base/a/b.parquet", "/abs/x": "/abs/x", "s3://b/k": "s3://b/k", "C:\\x": "C:\\x", "D:/x": "D:/x"}
     rows = spark.createDataFrame([(p,) for p in cases], "p string")
@@ -156,6 +200,14 @@ def test_footer_index(spark, tmp_path):
     assert (none.min_ts, none.max_ts) == (None, None)
 
 
+def test_numbers_are_no_dates(spark, tmp_path):
+    pq.write_table(pa.table({"start": [20260801, 20260802], "day": ["2026-08-01", "2026-08-02"]}), str(tmp_path / "x.parquet"))
+    index = footers.footer_index(spark, [str(tmp_path / "x.parquet")], ["start"])
+    assert index.first().min_ts is None
+    assert footers.scan_estimate(index, [[("2026-08-01", "2026-09-01")]]).first().stats_missing
+    assert footers.footer_index(spark, [str(tmp_path / "x.parquet")], ["day"]).first().max_ts == datetime(2026, 8, 2)
+
+
 def test_data_fingerprint(spark):
     frame = lambda rows: spark.createDataFrame(rows, footers.INDEX_SCHEMA).repartition(3)
     print_of = lambda rows: footers.data_fingerprint(frame(rows)).first().fingerprint
