@@ -19,6 +19,7 @@ from billweave.plans.monitor import Source, run_check
 from billweave.session import scratch_dir, use_utc
 from billweave.sinks.csv import write_csv
 from billweave.sinks.state import StateStore
+from billweave.sources import storage
 from billweave.sources.exports import load_source
 from billweave.streaming.daily_spend import daily_spend
 from billweave.streaming.ingest import SeriesTable, ingest_available
@@ -66,6 +67,36 @@ register(
 )
 
 
+def _mixed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Months whose files differ: CUR 2.0 up to the tenth, then FOCUS 1.2 without a service code, then
+    FOCUS 1.2 with decimal costs."""
+    use_utc(spark)
+    base = scratch_dir(spark, "export")
+    cur, focus = cur_export(spark, d, tags=False), focus_export(spark, d, "1.2", tags=False)
+    day = F.dayofmonth("ChargePeriodStart")
+    decimals = {c: F.col(c).cast("decimal(30,12)") for c in focus.columns if c.endswith("Cost")}
+    _write_export(cur.where(F.dayofmonth("line_item_usage_start_date") <= 10), "bill_billing_period_start_date", base)
+    _write_export(focus.where((day > 10) & (day <= 20)).drop("x_ServiceCode"), "BillingPeriodStart", base)
+    _write_export(focus.where(day > 20).withColumns(decimals), "BillingPeriodStart", base)
+    nc = load_source(spark, base)
+    return present(
+        nc.groupBy("source_format", F.date_format("billing_period_start", "yyyy-MM").alias("month")).agg(
+            F.sum("billed_cost").alias("billed"), F.sum("amortized_cost").alias("amortized"), F.count("*").alias("row_count")
+        )
+    )
+
+
+register(
+    "export_mixed_files",
+    _mixed_files,
+    sql(
+        f"""SELECT CASE WHEN day(usage_start) <= 10 THEN 'cur2' ELSE 'focus12' END AS source_format,
+        strftime(billing_period_start, '%Y-%m') AS month, {r2('sum(billed_cost)')} AS billed,
+        {r2('sum(amortized_cost)')} AS amortized, count(*) AS row_count FROM nc GROUP BY 1, 2"""
+    ),
+)
+
+
 def _csv(spark, d):
     # Keys that a spreadsheet would run as formulas: every resource starts with one of the signs.
     nc = nc_for(spark, d).withColumn(
@@ -155,13 +186,57 @@ register(
 _LINE_COLUMNS = ["l_shipdate", "l_extendedprice", "l_partkey", "l_linestatus"]
 
 
+def _written_index(spark, d):
+    """The index of real files: one for each month, of many row groups."""
+    lines = table(spark, d, "lineitem").select(*_LINE_COLUMNS, F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    base = scratch_dir(spark, "months")
+    writer = lines.repartition("month").write.partitionBy("month").option("parquet.block.size", 4096)
+    writer.option("parquet.page.row.count.limit", 100).option("parquet.block.row.count.limit", 100).parquet(base)
+    months = [e.path for e in storage.list_folder(spark, base) if e.is_dir]
+    files = [e.path for m in months for e in storage.list_folder(spark, m) if e.name.endswith(".parquet")]
+    return footers.footer_index(spark, files, _LINE_COLUMNS)
+
+
 def _footers(spark, d):
-    index = footers.footer_index(spark, [f"{d}/lineitem.parquet"], _LINE_COLUMNS)
-    return present(index.withColumn("file", F.lit("lineitem")))
+    index = _written_index(spark, d).withColumn("month", F.regexp_extract("file", "month=([^/]+)/", 1))
+    return present(
+        index.groupBy("month").agg(
+            F.min("min_ts").alias("min_ts"),
+            F.max("max_ts").alias("max_ts"),
+            F.countDistinct("file").alias("files"),
+            (F.sum("chunks") == F.count("*") * len(_LINE_COLUMNS)).alias("all_columns"),
+        )
+    )
+
+
+def _stamp(column):
+    return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
 
 
-register("footer_index", _footers)
-register("data_fingerprint", lambda spark, d: footers.data_fingerprint(_derived_index(spark, d)))
+register(
+    "footer_index",
+    _footers,
+    f"""SELECT strftime(l_shipdate, '%Y-%m') AS month, {_stamp('min(l_shipdate)')} AS min_ts, {_stamp('max(l_shipdate)')} AS max_ts,
+    1::BIGINT AS files, TRUE AS all_columns FROM lineitem GROUP BY 1""",
+)
+register(
+    "scan_estimate_of_files",
+    lambda spark, d: footers.scan_estimate(_written_index(spark, d), SCANS).select("scan", "files", "stats_missing"),
+    """WITH m AS (SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi FROM lineitem GROUP BY strftime(l_shipdate, '%Y-%m'))
+    SELECT scan, count(*) FILTER ((hi >= a::TIMESTAMP AND lo < b::TIMESTAMP) OR (hi >= c::TIMESTAMP AND lo < d::TIMESTAMP)) AS files,
+      FALSE AS stats_missing
+    FROM m, (VALUES (0, '1998-01-01', '1998-02-01', '1998-01-01', '1998-02-01'),
+      (1, '1997-06-01', '1997-07-01', '1997-06-15', '1997-08-01'),
+      (2, '2005-01-01', '2005-02-01', '2005-01-01', '2005-02-01')) s(scan, a, b, c, d) GROUP BY scan""",
+)
+register(
+    "data_fingerprint",
+    lambda spark, d: footers.data_fingerprint(_derived_index(spark, d)),
+    f"""WITH {INDEX_CTE}, h AS (SELECT md5(concat_ws('|', file, row_group, coalesce({_stamp('lo')}, '-'), coalesce({_stamp('hi')}, '-'),
+      bytes::VARCHAR, chunks::VARCHAR)) AS h FROM idx)
+    SELECT sha256(count(*) || '|' || sum(('0x' || h[1:15])::BIGINT::HUGEINT)::VARCHAR || '|'
+      || sum(('0x' || h[16:30])::BIGINT::HUGEINT)::VARCHAR) AS fingerprint FROM h""",
+)
 
 # --- streams --------------------------------------------------------------------------------------
 
@@ -215,6 +290,28 @@ register(
     sql(f"SELECT scope_kind, scope_key, strftime(day, '%Y-%m-%d') AS day, {r2('cost')} AS cost FROM series", SERIES_CTE),
 )
 
+def _rewritten(spark, d):
+    """Two deliveries: the second one rewrites June 1998, delivered without costs at first, in place."""
+    use_utc(spark)
+    base = scratch_dir(spark, "arriving")
+    cur, month = cur_export(spark, d, tags=False), "bill_billing_period_start_date"
+    june = F.col(month) == F.lit("1998-06-01").cast("timestamp_ntz")
+    money = [f.name for f in cur.schema if f.dataType.simpleString() == "double" and f.name.endswith(("cost", "commitment", "fee"))]
+    first = cur.withColumns({c: F.when(~june, F.col(c)) for c in money})
+    _write_export(first, month, base)
+    series, checkpoint = SeriesTable(spark, scratch_dir(spark, "series")), scratch_dir(spark, "ingest-checkpoint")
+    ingest_available(series, base, checkpoint).awaitTermination()
+    cur.where(june).write.mode("overwrite").parquet(f"{base}/BILLING_PERIOD=1998-06")
+    ingest_available(series, base, checkpoint).awaitTermination()
+    return present(series.read())
+
+
+register(
+    "stream_rewritten_month",
+    _rewritten,
+    sql(f"SELECT scope_kind, scope_key, strftime(day, '%Y-%m-%d') AS day, {r2('cost')} AS cost FROM series", SERIES_CTE),
+)
+
 # --- the check pipeline ---------------------------------------------------------------------------
 
 CHECK_DAY = datetime(2000, 10, 1, 6)
