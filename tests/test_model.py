@@ -62,19 +62,20 @@ def test_page_filter_fills_only_empty_fields():
 
 
 def test_presets():
-    today = date(2026, 3, 31)
-    expect = {
-        "mtd": (date(2026, 3, 1), today),
-        "last-month": (date(2026, 2, 1), date(2026, 2, 28)),
-        "30d": (date(2026, 3, 2), today),
-        "3m": (date(2026, 1, 1), today),
-        "6m": (date(2025, 10, 1), today),
-        "12m": (date(2025, 4, 1), today),
-        "ytd": (date(2026, 1, 1), today),
-        "last-year": (date(2025, 1, 1), date(2025, 12, 31)),
-    }
-    assert {x.value: p.preset_range(x, today) for x in p.Preset} == expect
-    assert p.matching_presets(date(2026, 1, 1), today, today) == [p.Preset.MONTHS_3, p.Preset.YTD]
+    def starts(today):
+        """First days by preset, where the range ends today."""
+        ranges = {x: p.preset_range(x, today) for x in p.Preset}
+        assert all(last == today for x, (_, last) in ranges.items() if x not in (p.Preset.LAST_MONTH, p.Preset.LAST_YEAR))
+        return [f"{ranges[x][0]:%y-%m-%d}" for x in p.Preset]
+
+    leap_day, january = date(2024, 2, 29), date(2025, 1, 7)
+    assert starts(leap_day) == ["24-02-01", "24-01-01", "24-01-31", "23-12-01", "23-09-01", "23-03-01", "24-01-01", "23-01-01"]
+    assert starts(january) == ["25-01-01", "24-12-01", "24-12-09", "24-11-01", "24-08-01", "24-02-01", "25-01-01", "24-01-01"]
+    assert p.preset_range(p.Preset.LAST_MONTH, january)[1] == date(2024, 12, 31)
+    assert p.preset_range(p.Preset.LAST_MONTH, date(2023, 3, 31))[1] == date(2023, 2, 28)
+    assert p.preset_range(p.Preset.LAST_YEAR, leap_day)[1] == date(2023, 12, 31)
+    assert p.matching_presets(date(2025, 1, 1), january, january) == [p.Preset.MTD, p.Preset.YTD]
+    assert p.matching_presets(date(2025, 1, 2), january, january) == []
 
 
 def test_periods():

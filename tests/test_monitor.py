@@ -18,10 +18,10 @@ from .billing import anomaly_lines, focus_raw, lines, write_month
 
 NOW = datetime(2026, 10, 1, 8)
 EXPECTED = {
-    ("account", "111111111111", "spike"): (25, 27),
-    ("account", "333333333333", "new_spend"): (25, 25),
-    ("service", "Amazon Elastic Compute Cloud", "spike"): (25, 27),
-    ("service", "Amazon SageMaker", "new_spend"): (25, 25),
+    ("account", "acct-media", "spike"): (25, 27),
+    ("account", "acct-lab", "new_spend"): (25, 25),
+    ("service", "Render farm", "spike"): (25, 27),
+    ("service", "Vector search", "new_spend"): (25, 25),
 }
 
 
@@ -57,12 +57,12 @@ def test_exactly_four_anomalies_from_files(spark, tmp_path):
     manual = run_check(store, source, Rules(), NOW + timedelta(hours=1), automatic=False)
     assert (manual.kind, manual.new_anomalies) == ("ok", 0) and found(store) == EXPECTED
     assert run_check(store, source, Rules(min_delta_usd=21), NOW + timedelta(hours=2)).kind == "ok"
-    # AWS takes the spike back: the open anomalies go, the acknowledged one stays as seen.
-    store.update(lambda s: inbox.acknowledge(s, "s:account:111111111111:up:2026-09-25", NOW))
-    write_anomaly_export(spark, tmp_path / "data", ec2_peak=100.0)
+    # The provider takes the spike back: the open anomalies go, the acknowledged one stays as seen.
+    store.update(lambda s: inbox.acknowledge(s, "s:account:acct-media:up:2026-09-25", NOW))
+    write_anomaly_export(spark, tmp_path / "data", render_peak=400.0)
     again = Source("s", source.load, "v2")
     assert run_check(store, again, Rules(), NOW + timedelta(hours=3)).kind == "ok"
-    assert set(found(store)) == {("account", "333333333333", "new_spend"), ("service", "Amazon SageMaker", "new_spend")}
+    assert set(found(store)) == {("account", "acct-lab", "new_spend"), ("service", "Vector search", "new_spend")}
     assert store.load().anomalies.where("status = 'acknowledged'").count() == 1
 
 
@@ -82,7 +82,7 @@ def test_outcomes(spark, tmp_path):
     assert run_check(store, Source("bad", lambda: nc, "f"), Rules(), NOW).new_anomalies == 4
     assert run_check(store, Source("good", lambda: nc, "f"), Rules(enabled=False), NOW).kind == "disabled"
     assert "lookback_days" in run_check(store, Source("good", lambda: nc, "g"), Rules(lookback_days=1), NOW).message
-    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "222222222222", "EUR").otherwise("USD"))
+    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "acct-office", "EUR").otherwise("USD"))
     out = run_check(store, Source("good", lambda: mixed, "h"), Rules(), NOW)
     assert out.kind == "error" and "several currencies" in out.message
     assert store.load().runs.where("source_id = 'good'").first().last_checked_day == date(2026, 9, 28)
@@ -127,7 +127,7 @@ def test_sources_may_have_different_currencies(spark):
     series = daily_series(both, by=("source_id",))
     rows = detect(series, date(2026, 9, 22), date(2026, 9, 28), by=("source_id",)).collect()
     assert {s: sum(r.source_id == s for r in rows) for s in ("us", "eu")} == {"us": 8, "eu": 8}
-    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "222222222222", "EUR").otherwise("USD"))
+    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "acct-office", "EUR").otherwise("USD"))
     with pytest.raises(Exception, match="EUR, USD"):
         daily_series(union_sources({"us": nc, "eu": mixed}), by=("source_id",)).collect()
 
@@ -177,7 +177,7 @@ def test_a_rewritten_month_is_checked_again(spark, tmp_path):
     table, store = SeriesTable(spark, str(tmp_path / "series")), StateStore(spark, str(tmp_path / "state"))
     check_available(table, base, store, "s", Rules(), NOW, checkpoint).awaitTermination()
     # The same file names with other amounts: the stream reports nothing.
-    changed = anomaly_lines(ec2_peak=100.0)
+    changed = anomaly_lines(render_peak=400.0)
     (old,) = (tmp_path / "data" / "BILLING_PERIOD=2026-09").glob("*.parquet")
     other = tmp_path / "other"
     focus_raw(spark, [r for r in changed if r["day"][:7] == "2026-09"]).coalesce(1).write.parquet(str(other))
@@ -185,7 +185,7 @@ def test_a_rewritten_month_is_checked_again(spark, tmp_path):
     old.write_bytes(new.read_bytes())
     (old.parent / f".{old.name}.crc").unlink(missing_ok=True)
     check_available(table, base, store, "s", Rules(), NOW + timedelta(hours=6), checkpoint).awaitTermination()
-    assert ("service", "Amazon Elastic Compute Cloud", "spike") not in found(store)
+    assert ("service", "Render farm", "spike") not in found(store)
     assert table.changed_months(base) == []
 
 
