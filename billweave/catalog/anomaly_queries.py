@@ -274,13 +274,13 @@ merged AS (
   FROM islands GROUP BY scope_kind, scope_key, direction, island)"""
 
 
-def _merged_sql(muted="FALSE", where="TRUE"):
+def _merged_sql(muted="FALSE", where="TRUE", more=""):
     rules = RULE_SETS["drops_lookback_60"]
     return sql(
         f"""SELECT id, scope_kind, scope_key, kind, direction, strftime(first_day, '%Y-%m-%d') AS first_day,
         strftime(last_day, '%Y-%m-%d') AS last_day, points, {r2('total_impact')} AS total_impact,
         CASE rank WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'open' AS status,
-        {muted} AS muted FROM merged WHERE {where}""",
+        {muted} AS muted{more} FROM merged WHERE {where}""",
         *grid_ctes(rules.lookback_days, rules.memory_days),
         findings_cte(rules),
         ISLANDS_CTE,
@@ -290,6 +290,26 @@ def _merged_sql(muted="FALSE", where="TRUE"):
 register("inbox_merge", lambda spark, d: _inbox_rows(_merged(spark, d)), _merged_sql())
 
 
+def _sources(spark, d):
+    """Three sources with the same findings: one is configured, one is no longer, one is forgotten. The
+    position shows the order of the list."""
+    found = _findings(spark, d, RULE_SETS["drops_lookback_60"])
+    names = F.explode(F.array(*map(F.lit, ("star", "orphan", "gone"))))
+    state = inbox.InboxState.empty(spark)
+    state = inbox.InboxState(inbox.merge_run(state.anomalies, found.select(names.alias("source_id"), "*"), NOW), state.mutes, state.runs)
+    state = inbox.forget_source(state, "gone")
+    kept = state.anomalies.groupBy().agg(F.sort_array(F.collect_set("source_id")).alias("sources"))
+    listed = _inbox_rows(inbox.inbox(state, ["star"], NOW.date()).coalesce(1)).withColumn("position", F.monotonically_increasing_id())
+    return listed.withColumn("sources", F.array_join(kept.scalar(), ","))
+
+
+register(
+    "inbox_sources",
+    _sources,
+    _merged_sql(more=", row_number() OVER (ORDER BY rank DESC, last_day DESC, id) - 1 AS position, 'orphan,star' AS sources"),
+)
+
+
 def _retracted(spark, d):
     # A second run over the same days that finds only the large ones again.
     found = written(_findings(spark, d, RULE_SETS["drops_lookback_60"]), scratch_dir(spark, "findings"))

@@ -26,6 +26,9 @@ def rows(records, columns):
 def test_query(spark, sql, name):
     query = QUERIES[name]
     df = query.run(spark, DIR)
+    # It reads the given tables, or what it has written from them to the scratch folder.
+    read, scratch = df.inputFiles(), spark.conf.get("spark.checkpoint.dir")
+    assert read and all(DIR in f or scratch in f for f in read)
     got = df.collect()
     if query.sql is None:
         assert got
