@@ -28,6 +28,7 @@ from math import log1p
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,18 +154,19 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id
         features = Features(wanted)
         for batch in batches:
             found = [features.counts(t) for t in batch.column(2).to_pylist()]
-            ids = pa.array([list(c) for c, _ in found], pa.list_(pa.int64()))
-            values = pa.array([[log1p(1000 * x / max(n, 1)) for x in c.values()] for c, n in found], pa.list_(pa.float64()))
+            ids = pa.array([sorted(c) for c, _ in found], pa.list_(pa.int64()))
+            values = pa.array([[log1p(1000 * c[f] / max(n, 1)) for f in sorted(c)] for c, n in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, values], ["id", "grade", "ids", "values"])
 
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.mapInArrow(chosen_counts, f"id {kind}, grade int, ids array<bigint>, values array<double>").collect()
-    rows.sort(key=lambda r: (r.id, r.grade, sorted(zip(r.ids, r.values, strict=True))))
-    place = {f: i for i, f in enumerate(columns)}
-    owner = np.repeat(np.arange(len(rows)), [len(r.ids) for r in rows])
-    column = np.array([place[f] for r in rows for f in r.ids], dtype=np.int64)
-    value = np.array([v for r in rows for v in r["values"]])
-    y = np.searchsorted(levels, [r.grade for r in rows])
+    rows = sample.mapInArrow(chosen_counts, f"id {kind}, grade int, ids array<bigint>, values array<double>").toArrow()
+    # In the order of the ids, so that sums of fractions do not depend on where rows came from.
+    rows = rows.append_column("width", pc.list_value_length(rows["ids"]))
+    rows = rows.sort_by([("id", "ascending"), ("grade", "ascending"), ("width", "ascending")])
+    owner = np.repeat(np.arange(len(rows)), rows["width"].to_numpy())
+    column = np.searchsorted(columns, pc.list_flatten(rows["ids"]).to_numpy())
+    value = pc.list_flatten(rows["values"]).to_numpy()
+    y = np.searchsorted(levels, rows["grade"].to_numpy())
     weights, thresholds = descend(owner, column, value, y, len(columns), len(levels))
     return OrdinalModel({f: float(w) for f, w in zip(columns, weights, strict=True)}, tuple(thresholds.tolist()))
 
