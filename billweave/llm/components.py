@@ -13,15 +13,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every end of the edges ``(a, b)``: the smallest id that can be reached.
 
     Each round points the neighbours of an id at the smallest of them, first the larger ones, then the
-    others; the rounds end when no edge changes, after a number that grows with the logarithm of the
-    longest path. Edges stay in tables in the shared scratch folder; only a count and a checksum reach the
-    driver. An id with very many edges is a hot key of an aggregate with partial minima and of a join that
+    others; the rounds end when each component is a star around its smallest id, after a number that
+    grows with the logarithm of the longest path. Edges stay in tables in the shared scratch folder; only
+    whether a row is left reaches the driver. An id with very many edges is a hot key of an aggregate with partial minima and of a join that
     adaptive execution can split.
     """
     spark, path = edges.sparkSession, scratch_dir(edges.sparkSession, "edges")
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), path)
-    mark = _mark(now)
-    while mark[0]:
+    while not _are_stars(now):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,13 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
         old, path = path, scratch_dir(spark, "edges")
         now = written(small.where("u <> v").distinct(), path)
         delete_folder(spark, old)
-        before, mark = mark, _mark(now)
-        if before == mark:
-            break
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has a single ``v``, which is no ``u`` itself."""
+    several = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high")
+    inner = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return several.select("u").unionAll(inner).isEmpty()

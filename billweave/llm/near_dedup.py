@@ -9,12 +9,11 @@
 3. ``BANDS`` bands of ``ROWS`` registers are bucketed. Each bucket's members meet its smallest id; pairs
    whose collision-corrected Jaccard estimate is ``MARGIN`` standard deviations below the threshold end
    there, the others are verified on their full sets. Verified pairs are merged into components.
-4. Buckets that still hold several components go on, first with another representative. Then, in small
-   buckets, members meet all of other components; members of large ones are paired by prefix: similar
-   sets share one of the rarest shingles of each, so many as may be missing from the other, and one more.
-   That is exact for any fixed order of shingles, and passages that very many documents share are not
-   among the rarest. So no pair that shares a bucket is left out unless it is connected already, a bucket
-   full of copies costs one pair per member, and one full of a common passage does not cost its square.
+4. Buckets that still hold several components go on, first with another representative. Then members
+   meet all members of other components: those of small buckets as pairs, those of larger ones in blocks
+   of at most ``BLOCK`` members whose overlaps are counted at once, so that only similar pairs leave a
+   block. So no pair that shares a bucket is left out unless it is connected already, and a bucket full of
+   copies costs one pair per member and no more.
 
 A pair with similarity 0.8 shares no bucket with a probability of 3 in a million.
 
@@ -46,10 +45,13 @@ REGISTERS = 256
 BANDS, ROWS = 42, 6
 MANTISSA = 10
 MARGIN = 6.0
-#: Members of a bucket that are compared with each other; those of larger ones are paired by prefix.
+#: Members of a bucket that are compared pair by pair; those of larger ones are compared in blocks.
 SMALL_BUCKET = 8
-#: Counters of the sketch that orders shingles by how common they are.
-COUNTERS = 1 << 20
+BLOCK = 1024
+#: Shingles that a text may lose to equal 32-bit hashes in a block; the pairs found are verified in full.
+SLACK = 2
+#: Cells of a block's matrix of texts and shingles, at most.
+CELLS = 20_000_000
 EMPTY = 0xFFFF
 #: Remembered word hashes per task; results don't depend on it.
 MEMORY = 1_000_000
@@ -248,9 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     small = members.where(F.col("size") <= SMALL_BUCKET)
     other = small.select("key", F.col("id").alias("a"), F.col("component").alias("of"))
     within = small.join(other, "key").where("component < of").select("a", "id")
-    crowd = members.where(F.col("size") > SMALL_BUCKET).select("id", "component").distinct()
-    by_prefix = _prefix_pairs(sets.join(crowd, "id"), percent)
-    new = _new_pairs(within.unionAll(by_prefix), tried)
+    crowd = members.where(F.col("size") > SMALL_BUCKET)
+    new = _new_pairs(within.unionAll(_similar_in_blocks(crowd, sets, percent)), tried)
     found = stored(_passing(new, signed, sets, percent), "links")
     if not found.isEmpty():
         label = stored(components(edges.unionAll(found)), "labels")
@@ -286,46 +287,58 @@ def _new_pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
     return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
 
-def _prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``(a, id)`` of different components that share a shingle of both prefixes, from
-    ``(id, shingles, component)``.
+def _similar_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, id)`` of different components in a bucket that look similar enough on 32 bits of each hash,
+    from ``(key, id, size, component)``. A bucket of several blocks is one row for each two of them."""
 
-    The order is by a count of fixed size (``COUNTERS``), which is all that reaches the driver, and by
-    hash among equals. Components that have a shingle alone are left out before members are paired.
-    """
-    shift = np.uint64(64 - (COUNTERS.bit_length() - 1))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(raw, dtype=np.uint64) >> shift).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
-
-    common = np.zeros(COUNTERS, dtype=np.int64)
-    counted = members.select("shingles").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
-    for r in counted.toLocalIterator():
-        common[r.place] = r.n
-    shared = members.sparkSession.sparkContext.broadcast(common)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
+            short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(short, pa.binary())], ["id", "n", "short"])
+
+    short = sets.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(shorten, "id bigint, n bigint, short binary")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    rows = rows.join(short, "id").select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.struct("id", "component", "own", "n", "short").alias("m"))
+    gathered = rows.groupBy("key", "x", "y").agg(F.collect_set("m").alias("members")).select("x", "y", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, place, sizes = [], [], []
-            for i, raw in enumerate(batch.column(1).to_pylist()):
-                hashes = np.frombuffer(raw, dtype=np.uint64)
-                n = len(hashes)
-                first = np.lexsort((hashes, shared.value[(hashes >> shift).astype(np.int64)]))[: n - (n * percent + 99) // 100 + 1]
-                token.append(hashes[first].view(np.int64))
-                place.append(np.full(len(first), i))
-                sizes.append(np.full(len(first), n))
-            at = pa.array(np.concatenate(place) if place else np.empty(0, dtype=np.int64))
-            columns = [pa.array(np.concatenate(x) if x else np.empty(0, dtype=np.int64)) for x in (token, sizes)]
-            yield pa.RecordBatch.from_arrays([columns[0], batch.column(0).take(at), columns[1], batch.column(2).take(at)], ["token", "id", "n", "component"])
-
-    rows = stored(members.select("id", "shingles", "component").mapInArrow(prefixes, "token bigint, id bigint, n bigint, component bigint"), "prefixes")
-    several = rows.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
-    rows = rows.join(several.select("token"), "token", "left_semi")
-    other = rows.select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("of"))
-    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    return rows.join(other, "token").where(alike & (F.col("component") < F.col("of"))).select("a", "id")
+            for i in range(batch.num_rows):
+                x, y, block = (batch.column(k)[i].as_py() for k in range(3))
+                found = list(_similar_members(block, x != y, percent))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "id"])
+
+    return gathered.mapInArrow(run, "a bigint, id bigint").distinct()
+
+
+def _similar_members(block: list[dict], across: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of ids; ``across``: only of members that are in different halves of the block."""
+    tokens = [np.frombuffer(m["short"], dtype=np.uint32) for m in block]
+    ids, component, own, n = (np.array([m[c] for m in block]) for c in ("id", "component", "own", "n"))
+    # The largest component's members only meet the others.
+    names, kind = np.unique(component, return_inverse=True)
+    outside = np.flatnonzero(kind != np.bincount(kind).argmax())
+    different, number = np.unique(np.concatenate(tokens), return_inverse=True)
+    shared = np.bincount(number) > 1
+    place = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(block)), [len(t) for t in tokens])
+    keep = shared[number]
+    owner, number = owner[keep], place[number[keep]]
+    width = max(1, int(shared.sum()))
+    step = max(1, CELLS // len(block))
+    common = np.zeros((len(outside), len(block)), dtype=np.float32)
+    for start in range(0, width, step):
+        part = (number >= start) & (number < start + step)
+        matrix = np.zeros((len(block), min(step, width - start)), dtype=np.float32)
+        matrix[owner[part], number[part] - start] = 1
+        common += matrix[outside] @ matrix.T
+    most = common + SLACK
+    similar = (100 * most >= percent * (n[outside][:, None] + n[None, :] - most)) & (component[outside][:, None] != component[None, :])
+    similar &= 100 * np.minimum(n[outside][:, None], n[None, :]) >= percent * np.maximum(n[outside][:, None], n[None, :])
+    if across:
+        similar &= own[outside][:, None] != own[None, :]
+    for i, j in zip(*np.nonzero(similar), strict=True):
+        yield int(ids[outside[i]]), int(ids[j])

@@ -110,8 +110,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_crowds_that_share_a_passage_are_paired_by_prefix(spark, monkeypatch):
+@pytest.mark.parametrize("block", [5, 1024])
+def test_crowds_that_share_a_passage(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(6)
     common, texts = " ".join(rng.choices(VOCABULARY, k=40)), []
     for i in range(60):
@@ -125,12 +127,20 @@ def test_crowds_that_share_a_passage_are_paired_by_prefix(spark, monkeypatch):
     assert run(spark, rows, 2) == want and len({c for _, _, c in want}) > 30
 
 
-def test_prefix_pairs_lose_none(spark):
-    rng, sets = random.Random(7), {}
+@pytest.mark.parametrize("cells", [10, 10**7])
+def test_blocks_lose_no_pair(monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "CELLS", cells)
+    rng, block = random.Random(7), []
     for i in range(80):
-        base = sets[rng.randrange(i)] if i and rng.random() < 0.5 else frozenset(rng.sample(range(400), rng.randint(1, 60)))
-        sets[i] = frozenset(x if rng.random() > 0.06 else rng.randrange(400) for x in base)
-    mixed = {i: np.unique(near_dedup._mixed(np.array(sorted(s), dtype=np.uint64))) for i, s in sets.items()}
-    df = spark.createDataFrame([(i, bytearray(h.tobytes()), i) for i, h in mixed.items()], "id long, shingles binary, component long")
-    got = {tuple(sorted((r.a, r.id))) for r in near_dedup._prefix_pairs(df, 80).collect()}
-    assert {(i, j) for i, j in combinations(sets, 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])} <= got
+        base = block[rng.randrange(i)]["set"] if i and rng.random() < 0.5 else frozenset(rng.sample(range(400), rng.randint(1, 60)))
+        own = frozenset(x if rng.random() > 0.06 else rng.randrange(400) for x in base)
+        short = np.unique(np.array(sorted(own), dtype=np.uint32)).tobytes()
+        block.append({"id": i, "component": i // 3, "own": i % 2, "n": len(own), "short": short, "set": own})
+    for across in (False, True):
+        got = {tuple(sorted(p)) for p in near_dedup._similar_members(block, across, 80)}
+        want = {
+            (i, j)
+            for i, j in combinations(range(80), 2)
+            if i // 3 != j // 3 and (not across or i % 2 != j % 2) and 100 * len(block[i]["set"] & block[j]["set"]) >= 80 * len(block[i]["set"] | block[j]["set"])
+        }
+        assert want <= got and want
