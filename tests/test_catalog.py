@@ -9,6 +9,10 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
+#: These read the footers of files they have written from the tables, which no scan shows.
+FOOTERS = ("footer_index", "scan_estimate_of_files")
+
+
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
@@ -28,7 +32,7 @@ def test_query(spark, sql, name):
     df = query.run(spark, DIR)
     # It reads the given tables, or what it has written from them to the scratch folder.
     read, scratch = df.inputFiles(), spark.conf.get("spark.checkpoint.dir")
-    assert read and all(DIR in f or scratch in f for f in read)
+    assert (read or name in FOOTERS) and all(DIR in f or scratch in f for f in read)
     got = df.collect()
     if query.sql is None:
         assert got
