@@ -5,13 +5,19 @@ bit, so that the last ``REACH`` bytes decide its value. A chunk ends at a word w
 among the words around it, and at every line end. Where a cut falls depends on the text next to it alone,
 so an insertion moves the cuts near it and no others. Chunks vary in size and are compared by digest.
 
-A chunk is a repeat if it stands in a document with a smaller doc_id, or earlier in its own. Runs of
-repeats with ``min_words`` words or more are cut out; so of a passage that several documents share, the
-first keeps all, the others lose it but for a few words at its edges where the cuts have not yet met.
+A run of consecutive chunks with ``min_words`` words or more is a repeat if one document with a smaller
+doc_id holds it as a whole, or its own text at an earlier place. Repeats are cut out; so of a passage that
+several documents share, the first keeps all, the others lose it but for a few words at its edges where
+the cuts have not yet met. Chunks that only stand scattered over other texts, or in another order, stay.
 
-Each document sends each of its digests once. Digests are grouped with partial minima; those that several
-documents have are joined back with the documents' digests, which adaptive execution splits where one
-digest is hot; and each document's own repeats, no more than it has chunks, are joined with its text.
+What is compared are the shortest such runs: from each chunk onwards, and up to each chunk. Together those
+inside a longer run cover it, and a document that holds the run holds them all; so the words cut are those
+of all repeats, of whatever length.
+
+Each document sends the digest of each of its shortest runs once, at most two for a chunk. Digests are
+grouped with partial minima; those that several documents have are joined back with the documents' digests,
+which adaptive execution splits where one digest is hot; and each document's own repeats are joined with
+its text.
 
 Edge cases: null texts stay null and hold nothing. Rows with one doc_id are one document: they are no
 repeats of each other. Rows without a doc_id only lose what they repeat themselves. A text cut as a whole
@@ -86,27 +92,48 @@ def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[int]:
     return [d - (1 << 64) if d >> 63 else d for d in [digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]]
 
 
+def runs(raw: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, min_words: int) -> tuple[list[int], list[int], list[int]]:
+    """The shortest runs of chunks with ``min_words`` words, from each chunk onwards and up to each chunk, in
+    order: their first chunks, the chunks after their last, and the digests of their chunks' digests."""
+    before = np.concatenate(([0], np.cumsum(words)))
+    n = len(words)
+    after = np.searchsorted(before, before[:-1] + min_words)
+    onwards = np.flatnonzero(after <= n)
+    first = np.searchsorted(before, before[1:] - min_words, side="right") - 1
+    upto = np.flatnonzero(first >= 0)
+    # A chunk's own place counts as a run even if ``min_words`` is 0.
+    a = np.concatenate((onwards, np.minimum(first[upto], upto)))
+    b = np.concatenate((np.maximum(after[onwards], onwards + 1), upto + 1))
+    a, b = np.divmod(np.unique(a * (n + 1) + b), n + 1)
+    if not len(a):
+        return [], [], []
+    whole = np.array(digests(raw, starts, ends), dtype=np.int64).tobytes()
+    a, b = a.tolist(), b.tolist()
+    return a, b, digests(whole, 8 * np.array(a), 8 * np.array(b))
+
+
 def without_repeats(text: str | None, elsewhere: set[int], min_words: int) -> tuple[str | None, int, list[int]]:
-    """The text without runs of repeats, the words cut, and the byte ranges cut (start, end, start, ...)."""
+    """The text without repeats, the words cut, and the byte ranges cut (start, end, start, ...).
+    ``elsewhere``: the digests of runs that earlier documents hold."""
     if not text:
         return text, 0, []
     raw = text.encode("utf-8", "surrogatepass")
     starts, ends, words = chunks(raw)
-    seen, repeat = set(elsewhere), []
-    for d in digests(raw, starts, ends):
-        repeat.append(d in seen)
+    seen, depth = set(elsewhere), np.zeros(len(starts) + 1, dtype=np.int64)
+    for a, b, d in zip(*runs(raw, starts, ends, words, min_words), strict=True):
+        if d in seen:
+            depth[a] += 1
+            depth[b] -= 1
         seen.add(d)
-    marks = np.array([False, *repeat, False])
+    marks = np.concatenate(([False], np.cumsum(depth) > 0))
     edges = np.flatnonzero(marks[1:] != marks[:-1])
     out, spans, total, last = [], [], 0, 0
     before = np.concatenate(([0], np.cumsum(words)))
     for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        many = int(before[b] - before[a])
-        if many >= min_words:
-            total += many
-            spans += [int(starts[a]), int(ends[b - 1])]
-            out.append(raw[last : starts[a]])
-            last = int(ends[b - 1])
+        total += int(before[b] - before[a])
+        spans += [int(starts[a]), int(ends[b - 1])]
+        out.append(raw[last : starts[a]])
+        last = int(ends[b - 1])
     if not total:
         return text, 0, []
     out.append(raw[last:])
@@ -115,8 +142,8 @@ def without_repeats(text: str | None, elsewhere: set[int], min_words: int) -> tu
     return b"\n".join(parts).decode("utf-8", "surrogatepass"), total, spans
 
 
-def _digest_rows(docs: DataFrame) -> DataFrame:
-    """``(digest, id)`` of the different chunks of each row of ``docs(id, text)``."""
+def _digest_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(digest, id)`` of the different shortest runs of each row of ``docs(id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +151,7 @@ def _digest_rows(docs: DataFrame) -> DataFrame:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
                     raw = text.encode("utf-8", "surrogatepass")
-                    own = set(digests(raw, *chunks(raw)[:2]))
+                    own = set(runs(raw, *chunks(raw), min_words)[2])
                     found += own
                     ids += [i] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.int64())], ["digest", "id"])
@@ -136,9 +163,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "
     """``docs`` with the repeats cut out of ``text``, ``n_cut`` (words cut) and ``cut_ranges`` (bytes of the
     text as it was: start, end, start, end, ...). Texts without such runs stay as they are."""
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    rows = _digest_rows(plain)
+    rows = _digest_rows(plain, min_words)
     shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    shared = stored(shared.select("digest", "first"), "shared-chunks")
+    shared = stored(shared.select("digest", "first"), "shared-runs")
     repeats = rows.join(shared, "digest").where("id > first").groupBy(F.col("id").alias("_id")).agg(F.collect_set("digest").alias("_repeats"))
     both = docs.join(repeats, docs[doc_id] == repeats["_id"], "left").drop("_id")
     kind = docs.schema[text].dataType.simpleString()

@@ -112,3 +112,36 @@ def test_gear_hash_is_the_rolled_one():
         for b in raw[max(0, i - sd.REACH + 1) : i + 1]:
             h = (h << 1) + g[b]
         assert int(out[i]) == h % 2**64
+
+
+def test_lines_in_another_order_are_no_shared_passage(spark):
+    words = [f"item{i}" for i in range(60)]
+    other = random.Random(8).sample(words, 60)
+    rows = [(1, "\n".join(words), ""), (2, "\n".join(other), "")]
+    # Each of these lines stands in one of the documents before, a longer passage in none.
+    rows += [(i, "\n".join(words[i - 3 :: 12]), "") for i in range(3, 15)]
+    assert all(r.n_cut == 0 and r.text == t for r, (_, t, _) in zip(sorted(run(spark, rows)), rows))
+
+
+def test_runs_that_one_document_holds_are_cut_whole(spark):
+    rng = random.Random(9)
+    for _ in range(6):
+        lines = ["\n".join(prose(rng, rng.choice([1, 2, 24, 25])) for _ in range(12)).split("\n") for _ in range(3)]
+        rows = []
+        for i in range(12):
+            parts = []
+            for _ in range(5):
+                one, a = rng.choice(lines), rng.randrange(12)
+                parts += one[a : a + rng.randint(1, 5)]
+            rows.append((i, "\n".join(parts), ""))
+        chunked = {i: [(raw[a:b], int(n)) for a, b, n in zip(*sd.chunks(raw))] for i, t, _ in rows for raw in [t.encode()]}
+        for r in run(spark, rows):
+            own, marks = chunked[r.doc_id], set()
+            for a in range(len(own)):
+                for b in range(a + 1, len(own) + 1):
+                    if sum(n for _, n in own[a:b]) >= sd.MIN_WORDS:
+                        held = any(x[k : k + b - a] == own[a:b] for i, x in chunked.items() if i < r.doc_id for k in range(len(x)))
+                        if held or any(own[k : k + b - a] == own[a:b] for k in range(a)):
+                            marks |= set(range(a, b))
+            assert r.n_cut == sum(own[k][1] for k in marks)
+            assert r.text.split() == b" ".join(own[k][0] for k in range(len(own)) if k not in marks).decode().split()
