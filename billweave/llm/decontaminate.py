@@ -11,7 +11,7 @@ with more, the scan of a block is stored before the next, so that a task never h
 shuffled.
 
 Edge cases: a null text has no words; a null or word-less item is no window. Repeated items are items of
-their own. Items with a null id are left out. Repeated rows are scanned each on its own. An empty benchmark
+their own. Items with a null id mark words like all others, but are not named in ``items``. Repeated rows are scanned each on its own. An empty benchmark
 hits nothing, an empty table gives an empty table; a column named like a new one is replaced.
 """
 
@@ -46,14 +46,16 @@ class TestWindows:
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], n: int) -> None:
         self.number: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             size = min(n, len(ids))
             for i in range(len(ids) - size + 1 if ids else 0):
-                found[size][tuple(ids[i : i + size])].add(item)
+                owners = found[size][tuple(ids[i : i + size])]
+                if item is not None:
+                    owners.add(item)
         self.by_size = {}
         for size, windows in found.items():
             rows = np.array(list(windows), dtype=np.uint64).reshape(-1, size)
@@ -101,10 +103,10 @@ def ranges(marks: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))).tolist()
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size, read partition by partition and never all at once."""
     block, size = [], 0
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text)
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text)
     for item, words in rows.toLocalIterator():
         many = len(words_of(words))
         if block and size + many > BLOCK_WORDS:

@@ -78,3 +78,14 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     windows = dc.TestWindows([(1, "a b c"), (2, "c b a")], 2)
     marks, items = windows.scan([b"a", b"b", b"x", b"b", b"a"])
     assert marks.tolist() == [True, True, False, True, True] and items == {1, 2}
+
+
+@pytest.mark.parametrize("block", [10**6, 2])
+def test_items_without_an_id_mark_words(spark, monkeypatch, block):
+    monkeypatch.setattr(dc, "BLOCK_WORDS", block)
+    df = spark.createDataFrame([(1, "x a b c y z q r s t"), (2, "d e x e f a b"), (3, "x y z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c"), (7, "d e"), (None, "d e"), (None, "e f")], "item_id long, text string")
+    got = {r.doc_id: (spread(r.hit_ranges), list(r["items"])) for r in dc.find_hits(df, bench).collect()}
+    assert got == {1: ([1, 2, 3], []), 2: ([0, 1, 3, 4], [7]), 3: ([], [])}
+    clean = {r.doc_id: " ".join(r.text.split()) for r in dc.remove_hits(df, bench, least_left=0.3).collect()}
+    assert clean == {1: "x y z q r s t", 2: "x a b", 3: "x y z"}

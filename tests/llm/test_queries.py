@@ -99,6 +99,15 @@ def test_odd_rows(spark, odd, name):
     compare(spark, name, odd)
 
 
+def test_benchmark_items_without_an_id(spark, odd, tmp_path):
+    for t in TABLES:
+        table = spark.read.parquet(f"{odd}/{t}.parquet")
+        if t == "benchmark":
+            table = table.unionAll(spark.createDataFrame([(None, "W7, w8"), (None, "alpha beta"), (None, "a b c")], table.schema))
+        table.write.parquet(f"{tmp_path}/{t}.parquet")
+    compare(spark, "op7_decontamination", str(tmp_path))
+
+
 @pytest.mark.parametrize("name", QUERIES)
 def test_odd_and_empty_tables_give_a_row_for_each_row(spark, odd, tmp_path, name):
     for t in TABLES:
