@@ -7,7 +7,8 @@ are the roles. Viterbi finds the likeliest roles of a conversation.
 Transition and feature probabilities are counted from all lines with a marker, by Spark; a marker is
 believed but for one in a million.
 
-Long conversations: lines are gathered in blocks of ``BLOCK`` positions. A block is summed up by the best
+Long conversations: lines are sorted by ranges, numbered within their conversations and gathered in blocks
+of ``BLOCK`` lines, whatever their positions are; a conversation may fill many ranges. A block is summed up by the best
 score from each role before it to each role at its end, a matrix; the matrices of ``BLOCK`` blocks make
 that of a larger block, and so on until a conversation has one. The best ends are then handed down again
 and each block decoded between them. No task holds more than a block, however long a conversation is, and
@@ -27,10 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from billweave.llm.common import stored
 
@@ -234,6 +236,53 @@ def _by_block(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines(conv, at, mark, ...)``, all different, with ``n``: how many lines of the conversation come before.
+
+    Each range of the sorted lines counts for itself. Of each range its first and last line reach the driver,
+    which adds up how much of a range's first conversation stands in the ranges before.
+    """
+    order = ["conv", "at", "mark"]
+    schema = StructType([*lines.schema.fields]).add("part", IntegerType()).add("run", LongType()).add("n", LongType()).add("ends", BooleanType())
+    conv_at = lines.columns.index("conv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, n, last, held = TaskContext.get().partitionId(), -1, 0, None, None
+
+        def made(batch: pa.RecordBatch, runs: list[int], places: list[int], ends: bool) -> pa.RecordBatch:
+            size = batch.num_rows
+            new = [pa.array([part] * size, pa.int32()), pa.array(runs, pa.int64()), pa.array(places, pa.int64())]
+            return pa.RecordBatch.from_arrays([*batch.columns, *new, pa.array([False] * (size - 1) + [ends])], schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                yield made(*held, False)
+            runs, places = [], []
+            for conv in batch.column(conv_at).to_pylist():
+                if run < 0 or conv != last:
+                    last, run, n = conv, run + 1, 0
+                runs.append(run)
+                places.append(n)
+                n += 1
+            held = (batch, runs, places)
+        if held:
+            yield made(*held, True)
+
+    parts = stored(lines.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), "numbered")
+    edges = parts.where("run = 0 AND n = 0 OR ends").select("part", "run", "n", "conv", "ends").collect()
+    more, before = {}, None
+    for r in sorted(edges, key=lambda r: (r.part, r.run, r.n)):
+        if r.run == 0 and r.n == 0:
+            more[r.part] = before[1] if before and before[0] == r.conv else 0
+        if r.ends:
+            before = (r.conv, r.n + 1 + (more[r.part] if r.run == 0 else 0))
+    added = lines.sparkSession.createDataFrame([(p, m) for p, m in more.items() if m], "of int, more bigint")
+    found = parts.join(F.broadcast(added), (F.col("part") == F.col("of")) & (F.col("run") == 0), "left")
+    return found.select(*lines.columns, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+
+
 def recover_roles(lines: DataFrame, conv_id: str = "conv_id", position: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``lines`` with ``speaker``, the role recovered, ``starts_turn`` (another role spoke before),
     ``is_first`` and ``is_last`` (of its conversation)."""
@@ -248,10 +297,10 @@ def recover_roles(lines: DataFrame, conv_id: str = "conv_id", position: str = "t
         marker_of(F.col(role), F.col(text)).alias("marker"),
         features_of(F.col(text), F.col(position)).alias("code"),
     )
-    # The position's block, counted from the conversation's first; a gap in the positions is no line.
-    first = coded.groupBy("conv").agg(F.min("at").alias("first"))
-    coded = coded.join(first, coded["conv"].eqNullSafe(first["conv"])).select(coded["*"], F.floor((F.col("at") - F.col("first")) / BLOCK).cast("long").alias("block"))
-    gathered = coded.groupBy("conv", "block").agg(F.sort_array(F.collect_set(F.struct("at", "mark", "marker", "code"))).alias("lines"))
+    # Equal lines are one.
+    coded = coded.groupBy("conv", "at", "mark").agg(F.min("marker").alias("marker"), F.min("code").alias("code"))
+    placed = numbered(coded).withColumn("block", F.floor(F.col("n") / BLOCK).cast("long"))
+    gathered = placed.groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("n", "at", "mark", "marker", "code"))).alias("lines"))
     blocks = stored(gathered, "lines")
     model = count_model(blocks)
 

@@ -104,3 +104,37 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert len(got) == len(rows) and all(r.speaker in cf.ROLES and r.rendered for r in got)
     assert len({(r.speaker, r.rendered) for r in got if r.text == "x"}) == 1
     assert cf.render(cf.recover_roles(df.limit(0))).collect() == []
+
+
+def test_no_block_has_more_lines_whatever_the_positions(spark, monkeypatch):
+    rng = random.Random(5)
+    line = lambda i: (rng.choice(["user", "assistant", None]), f"{rng.choice(['Why', 'So'])} {i}" + rng.choice(["?", "."]))
+    rows = [(1, None, *line(i)) for i in range(90)] + [(None, i % 3, *line(i)) for i in range(90)] + [(2, 7, "user", "x")] * 40 + [(c, 0, *line(c)) for c in range(3, 20)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sizes, count = [], cf.count_model
+
+    def counted(blocks):
+        sizes.append([r.n for r in blocks.selectExpr("size(lines) AS n").collect()])
+        return count(blocks)
+
+    monkeypatch.setattr(cf, "count_model", counted)
+    said = lambda: sorted((repr(tuple(r)) for r in cf.render(cf.recover_roles(df)).collect()))
+    one = said()
+    monkeypatch.setattr(cf, "BLOCK", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert said() == one and len(one) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes[0]) == 90 and max(sizes[1]) == 8 and sum(sizes[1]) == 198
+
+
+def test_lines_are_numbered_across_ranges(spark):
+    rows = [(c, at, mark) for c, n in ((None, 50), (1, 1), (2, 120), (3, 3)) for at in range(2) for mark in range(n)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = cf.numbered(spark.createDataFrame(random.Random(6).sample(rows, len(rows)), "conv long, at long, mark long").repartition(3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = {None: 50, 1: 1, 2: 120, 3: 3}
+    assert len(got) == len(rows) and all(r.n == r.at * sizes[r.conv] + r.mark for r in got)
