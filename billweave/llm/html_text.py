@@ -2,7 +2,9 @@
 
 A page is read into a small tree of elements (arrays of parents, tags and counts; no markup is kept).
 Boilerplate is left out by what its tag or its class, id and role say: menus, headers and footers of the
-page, sidebars, notices, adverts, forms, scripts, styles, reader comments. For every element that stays,
+page, sidebars, notices, adverts, forms, scripts, styles, reader comments. A class or id that has other words
+besides (``social-history``) only tells so of elements that hold neither the largest density sum nor most
+of the characters where that is found. For every element that stays,
 its composite density is the characters per tag, adjusted by the share of characters and tags in links.
 An element's density sum is that of its children; the container with the largest sum is the main text.
 An enclosing ``article`` or ``main`` widens it. Where there is none, other blocks follow if they are at
@@ -75,6 +77,16 @@ CHROME = frozenset(
 HEADS = frozenset("header headers masthead siteheader pageheader".split())
 #: A class with one of these describes what is inside or next to the element (``has-sidebar``).
 AROUND = frozenset("has with no not without".split())
+#: Words that leave a name with one of ``CHROME`` what it is (``comment-list``, ``sidebar-left``).
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons col column container content cta global group holder icon icons inner item items "
+    "left link links list main outer page panel primary right row secondary section site slot text top unit wrap wrapper".split()
+)
+#: Of ``CHROME``, what a longer name may well have as its topic (``category-search``).
+TOPICS = frozenset(
+    "ad ads advertising alert alerts consent discussion form login notice notices notification notifications promo promotion "
+    "recommended related reply replies respond search share sharing signup social sponsored subscribe subscription".split()
+)
 KEEPS = frozenset("html body article main".split())
 CONTAINERS = frozenset("html body article main section div td th center blockquote table tbody tr details figure dl ul ol font span".split())
 
@@ -89,9 +101,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
-def is_chrome(attributes: str, inside: bool) -> bool:
-    """Whether class, id, role or being hidden tells that an element is not main text. ``inside``: it is
-    in an article, which may have a head of its own."""
+def is_chrome(attributes: str, inside: bool) -> bool | None:
+    """Whether class, id, role or being hidden tells that an element is not main text; None if only names
+    with other words besides do. ``inside``: it is in an article, which may have a head of its own."""
+    found: bool | None = False
     unwanted = CHROME if inside else CHROME | HEADS
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -101,8 +114,11 @@ def is_chrome(attributes: str, inside: bool) -> bool:
             for one in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", one).lower())
                 if AROUND.isdisjoint(words) and not unwanted.isdisjoint(words):
-                    return True
-    return False
+                    core = [w for w in words if w not in NEUTRAL and not w.isdigit()] or words
+                    if unwanted.issuperset(core) or core[-1] in unwanted - TOPICS:
+                        return True
+                    found = None
+    return found
 
 
 class Page:
@@ -111,6 +127,7 @@ class Page:
     def __init__(self, html: str, by_class: bool = True) -> None:
         self.by_class = by_class
         self.tags, self.parents, self.dropped = ["html"], [0], [False]
+        self.unsure: list[int] = []  # elements to be dropped unless they hold the main text
         self.opened: Counter[str] = Counter()
         self.runs: list[tuple[int, str | None]] = []  # element and text; None: a block begins or ends
         self.open = [0]
@@ -157,6 +174,9 @@ class Page:
                 drop = not inside
             elif attributes and self.by_class and (name not in KEEPS or name == "article" and "comment" in attributes.lower()):
                 drop = is_chrome(attributes, inside)
+                if drop is None:
+                    self.unsure.append(len(tags))
+                    drop = False
         tags.append(name)
         self.parents.append(parent)
         self.dropped.append(drop)
@@ -214,7 +234,8 @@ def main_text(html: str | None) -> str:
     return _main_text(Page(html)) or _main_text(Page(html, by_class=False))
 
 
-def _main_text(page: Page) -> str:
+def _measured(page: Page) -> tuple[int, list[float], list[int]] | None:
+    """The element with the largest density sum, and density and characters of each; None for a page without text."""
     n, parents, tags = len(page.tags), page.parents, page.tags
     own = [0] * n
     for element, text in page.runs:
@@ -232,13 +253,34 @@ def _main_text(page: Page) -> str:
         in_links[p] += in_links[i]
         anchors[p] += anchors[i]
     if not chars[0]:
-        return ""
+        return None
     share = in_links[0] / chars[0]
     dense = [0.0 if page.dropped[i] else density(chars[i], count[i] + (i > 0), in_links[i], anchors[i], share) for i in range(n)]
     total = [density(own[i], 1, own[i] if tags[i] == "a" else 0, 0, share) for i in range(n)]
     for i in range(n - 1, 0, -1):
         total[parents[i]] += dense[i]
     best = max((i for i in range(n) if not page.dropped[i] and tags[i] in CONTAINERS), key=lambda i: (total[i], -i))
+    return best, dense, chars
+
+
+def _main_text(page: Page) -> str:
+    n, parents, tags = len(page.tags), page.parents, page.tags
+    measured = _measured(page)
+    if measured is not None and page.unsure:
+        best, _, chars = measured
+        holds, i = {0}, best
+        while i:
+            holds.add(i)
+            i = parents[i]
+        unsure, inside = set(page.unsure), [not best] * n
+        for i in range(1, n):
+            inside[i] = i == best or inside[parents[i]]
+            main = i in holds or inside[i] and 2 * chars[i] > chars[best]
+            page.dropped[i] |= page.dropped[parents[i]] or i in unsure and not main
+        measured = _measured(page)
+    if measured is None:
+        return ""
+    best, dense, _ = measured
     path = [best]
     while path[-1]:
         path.append(parents[path[-1]])

@@ -104,3 +104,14 @@ def test_on_spark(spark):
     got = sorted(extract(df).select("page_id", "text", "n_chars").collect())
     assert [(r.page_id, len(r.text), r.n_chars) for r in got] == [(1, len(PROSE), len(PROSE)), (2, 0, 0), (2, 0, 0), (3, 500_001, 500_001)]
     assert extract(df.limit(0)).collect() == []
+
+
+def test_a_wrapper_named_like_chrome_keeps_its_article():
+    prose = "<p>" + "The river rose over its banks, and the town waited for the night to end. " * 6 + "</p>"
+    for name in ("post category-search", "social-history", "formHistory", "alert-fatigue"):
+        for attribute in ("class", "id"):
+            page = f"<h1>News</h1><div {attribute}='{name}'>{prose * 3}<div class='share-story'>Share this</div></div><div class='related-news'><p>Other news</p></div>"
+            text = main_text(page)
+            assert text.count("The river rose") == 18 and "Share this" not in text and "Other news" not in text, name
+    page = f"<div class='post'>{prose}</div><div class='comment-list'>{prose.replace('river', 'reader') * 9}</div>"
+    assert "river" in main_text(page) and "reader" not in main_text(page)
