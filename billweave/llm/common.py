@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+MOST_BYTES = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,22 +48,30 @@ def with_columns_schema(df: DataFrame, new: list[tuple[str, str]]) -> T.StructTy
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in taken] + added.fields)
 
 
+def free_names(df: DataFrame, *wished: str) -> list[str]:
+    """Names like those wished that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"_{name}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken) for name in wished]
+
+
 def map_batches(
     df: DataFrame,
     new: list[tuple[str, str]],
     function: Callable[[pa.RecordBatch], list[pa.Array]],
     keep: Callable[[list[pa.Array]], pa.Array] | None = None,
+    bounded: str | None = None,
 ) -> DataFrame:
     """Add columns that ``function`` makes from each Arrow batch. Rows stay where they are.
 
-    ``keep`` gives a mask from the new columns; rows where it is false are left out.
+    ``keep`` gives a mask from the new columns; rows where it is false are left out. ``bounded`` names a
+    column of texts or bytes of which no call gets more than ``MOST_BYTES``, or else a single row.
     """
     schema = with_columns_schema(df, new)
     kept = [f.name for f in schema.fields[: len(schema.fields) - len(new)]]
     names = kept + [n for n, _ in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches if bounded is None else (part for batch in batches for part in slices(batch, bounded)):
             made = function(batch)
             out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept] + made, names)
             yield out if keep is None else out.filter(keep(made))
@@ -69,6 +79,18 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``MOST_BYTES`` of a column, or of a single row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > MOST_BYTES:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    yield batch.slice(first)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

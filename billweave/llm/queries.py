@@ -6,12 +6,12 @@ Each query applies its operator to the whole table and derives the reported colu
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
-from billweave.llm import chat_format, decontaminate, html_text, near_dedup, pieces, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
-from billweave.llm.common import table
+from billweave.llm import byte_bpe, chat_format, decontaminate, html_text, merkle, near_dedup, periodic_runs, pieces, quality_classifier, quality_rules, substring_dedup, token_counts, url_filter
+from billweave.llm.common import ascii_lower, table, words_of
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +192,130 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.render(lines).select("conv_id", "turn", "speaker", "starts_turn", "rendered")
 
 
+#: The CRC-32 of each ``doc_id`` as text, byte by byte (its polynomial is a fixed value).
+_CRC_SQL = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+crc AS (SELECT DISTINCT doc_id, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM documents, crc_table WHERE doc_id IS NOT NULL)"""
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf_of(text: Column) -> Column:
+        return merkle.digest_of(*[merkle.field_of(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], merkle.field_of(text))
+
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "lang", leaf_of(F.col("text")).alias("own"), F.when(tampered, leaf_of(ascii_lower(F.col("text")))).alias("other"))
+    made = merkle.manifest(rows, F.col("own"), "lang", ["doc_id"])
+    found = merkle.proofs(made, made.leaves.select("tree", "place", "row"))
+    again = merkle.folded(F.coalesce("row.other", "reached"), F.col("path"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("reached").alias("leaf"),
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        again.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_SQL},
+fields AS (SELECT d.doc_id, coalesce('=' || lang, '-') AS tree, coalesce(crc % 3 = 0, false) AS tampered, text,
+    coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+  FROM documents d LEFT JOIN crc ON d.doc_id = crc.doc_id),
+hashed AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN tampered THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM fields),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM hashed),
+nodes AS (SELECT tree, 0 AS level, place, leaf AS digest, n FROM leaves
+  UNION ALL SELECT tree, level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8, n),
+groups AS (SELECT tree, digest AS subroot, level AS depth, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, place, subroot AS digest, n FROM groups
+  UNION ALL SELECT level + 1, place // 8, sha256(string_agg(digest, '' ORDER BY place)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+steps AS (
+  SELECT l.tree, l.place, b.level, string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < l.place >> (3 * b.level)) AS l,
+    string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > l.place >> (3 * b.level)) AS r
+  FROM leaves l JOIN nodes b ON b.tree = l.tree AND b.n > 1 AND b.place >> 3 = l.place >> (3 * b.level + 3) GROUP BY ALL),
+top_steps AS (
+  SELECT g.tree, g.depth + b.level AS level, string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place < g.place >> (3 * b.level)) AS l,
+    string_agg(b.digest, '' ORDER BY b.place) FILTER (b.place > g.place >> (3 * b.level)) AS r
+  FROM groups g JOIN tops b ON b.n > 1 AND b.place >> 3 = g.place >> (3 * b.level + 3) GROUP BY ALL),
+path AS (SELECT tree, place, level, coalesce(l, '') AS l, coalesce(r, '') AS r FROM steps
+  UNION ALL SELECT leaves.tree, leaves.place, level, coalesce(l, ''), coalesce(r, '') FROM leaves JOIN top_steps USING (tree)),
+paths AS (SELECT tree, place, list({{'l': l, 'r': r}} ORDER BY level) AS p FROM path GROUP BY ALL),
+fold AS (SELECT tree, place, coalesce(other, leaf) AS node, 1 AS lv, p FROM leaves LEFT JOIN paths USING (tree, place)
+  UNION ALL SELECT tree, place, sha256(p[lv].l || node || p[lv].r), lv + 1, p FROM fold WHERE lv <= coalesce(len(p), 0)),
+ends AS (SELECT tree, place, node FROM fold WHERE lv > coalesce(len(p), 0))
+SELECT doc_id, leaf, subroot, (SELECT digest FROM tops WHERE n = 1) AS root,
+  sha256(coalesce(array_to_string(list_transform(p, lambda s: s.l || s.r), ''), '')) AS proof_sha256, node AS folded_root,
+  node = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM leaves JOIN groups USING (tree) LEFT JOIN paths ON paths.tree = leaves.tree AND paths.place = leaves.place
+JOIN ends ON ends.tree = leaves.tree AND ends.place = leaves.place"""
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with part of the texts made periodic, as the query's contract says: from word ``a`` on, the
+    first ``p`` words again and again."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, g = words_of(F.col("text")), F.floor(h / 10).cast("long")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), again), F.lit(1), n), " ")
+    return docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), text).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.collapse_runs(docs)
+    # Runs ascend by start and period, so the first of equal exponents stays.
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    better = lambda x, y: y.isNull() | (x["length"] * y["period"] > y["length"] * x["period"])
+    best = F.aggregate("runs", none, lambda y, x: F.when(better(x, y), x).otherwise(y))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP12_SQL = f"""
+WITH {_CRC_SQL},
+original AS (SELECT row_number() OVER () AS id, d.doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, crc
+  FROM documents d LEFT JOIN crc ON d.doc_id = crc.doc_id),
+sized AS (SELECT *, len(w) AS n, CASE WHEN crc % 10 = 0 AND len(w) > 0 THEN (crc // 10) % len(w) END AS a FROM original),
+periods AS (SELECT *, 1 + (n - a) // (3 + (crc // 10) % 8) AS p FROM sized),
+docs AS (SELECT id, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM periods),
+words AS (SELECT id, n, i, w[i + 1] AS word FROM (SELECT id, n, w, unnest(range(n)) AS i FROM docs)),
+equal AS (SELECT x.id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM equal),
+stretches AS (SELECT id, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT id, start, length, min(q) AS period FROM stretches GROUP BY id, start, length),
+best AS (SELECT id, start, length, period FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY id),
+dropped AS (SELECT DISTINCT id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM words WHERE (id, i) NOT IN (SELECT (id, i) FROM dropped) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length::BIGINT AS length, period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN best USING (id) LEFT JOIN listed USING (id) LEFT JOIN kept USING (id)"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
+    return byte_bpe.decode(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_html_text": Query(op1_html_text, None),
     "op2_url_filter": Query(op2_url_filter, OP2_SQL),
@@ -203,4 +327,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": Query(op8_token_counts, None),
     "op9_substring_dedup": Query(op9_substring_dedup, None),
     "op10_chat_format": Query(op10_chat_format, None),
+    "op11_merkle_manifest": Query(op11_merkle_manifest, OP11_SQL),
+    "op12_periodic_runs": Query(op12_periodic_runs, OP12_SQL),
+    "op13_byte_bpe": Query(op13_byte_bpe, None),
 }

@@ -94,7 +94,7 @@ def test_small_tables(spark, name):
     compare(spark, name, DIR)
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter", "op4_quality_rules", "op7_decontamination"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op4_quality_rules", "op7_decontamination", "op11_merkle_manifest", "op12_periodic_runs"])
 def test_odd_rows(spark, odd, name):
     compare(spark, name, odd)
 
