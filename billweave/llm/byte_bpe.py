@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 
 from billweave.llm.common import map_batches, texts
 
-#: Remembered pieces and pairs of tokens per task; results don't depend on it.
-MEMORY = 1 << 20
+#: Pieces remembered per task, as many again that were used before those, and twice as many pairs of tokens;
+#: results don't depend on it.
+MEMORY = 1 << 18
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 SHIFT = 32
@@ -107,6 +108,7 @@ class Encoder:
         self.shorter = [next((whole[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in whole), NONE) for t in v.tokens]
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
     def beside(self, a: int, b: int) -> bool:
@@ -165,8 +167,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
         if len(self.pieces) > MEMORY:
-            self.pieces.clear()
-        if len(self.pairs) > MEMORY:
+            self.pieces, self.older = {}, self.pieces
+        if len(self.pairs) > 2 * MEMORY:
             self.pairs.clear()
         parts, known = self.find(text), self.pieces
         try:
@@ -175,13 +177,13 @@ class Encoder:
             return b"".join([known.get(p) or self._piece(p) for p in parts])
 
     def _piece(self, piece: str) -> bytes:
-        packed = b"".join([self.packed[t] for t in self.tokens_of(piece.encode("utf-8"))])
+        packed = self.older.get(piece) or b"".join([self.packed[t] for t in self.tokens_of(piece.encode("utf-8"))])
         if len(piece) <= LONGEST_REMEMBERED:
             self.pieces[piece] = packed
         return packed
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(v: Vocabulary, pattern: str) -> Encoder:
     return Encoder(v, pattern)
 
@@ -194,25 +196,50 @@ def decode_ids(packed: bytes, tokens: dict[int, bytes]) -> bytes:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids``, the packed ids of the texts by the rank file at ``ranks``, each match of
-    ``pattern`` for itself, and ``n_tokens``."""
+    """``docs`` with ``n_tokens`` and ``ids``, the packed ids of the texts by the rank file at ``ranks``, each
+    match of ``pattern`` for itself."""
+    encoded = _encoding(docs, ranks, pattern, text)
+    return map_batches(docs, _IDS, encoded, bounded=text)
+
+
+def decode(docs: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
+    """``docs`` with ``decoded``, the bytes of the packed ids. Ids cut from a text need not be valid UTF-8."""
+    decoded = _decoding(docs, ranks)
+    return map_batches(docs, _DECODED, lambda batch: [decoded(batch.column(batch.schema.get_field_index(ids)))], bounded=ids)
+
+
+def encode_and_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``encode`` and, decoded from these ids, that of ``decode``; one pass through
+    Python instead of two."""
+    encoded, decoded = _encoding(docs, ranks, pattern, text), _decoding(docs, ranks)
+
+    def function(batch: pa.RecordBatch) -> list[pa.Array]:
+        n, ids = encoded(batch)
+        return [n, ids, decoded(ids)]
+
+    return map_batches(docs, [*_IDS, *_DECODED], function, bounded=text)
+
+
+_IDS = [("n_tokens", "bigint"), ("ids", "binary")]
+_DECODED = [("decoded", "binary")]
+
+
+def _encoding(docs: DataFrame, ranks: str, pattern: str, text: str) -> Callable[[pa.RecordBatch], list[pa.Array]]:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(read_ranks(ranks)))
-    made: dict[str, Callable[[str], bytes]] = {}
 
     def function(batch: pa.RecordBatch) -> list[pa.Array]:
-        if "encode" not in made:
-            made["encode"] = _encoder(shared.value, pattern).encode
-        packed = [made["encode"](t or "") for t in texts(batch, text)]
-        return [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+        encode_text = _encoder(shared.value, pattern).encode
+        packed = [encode_text(t or "") for t in texts(batch, text)]
+        return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
 
-    return map_batches(docs, [("ids", "binary"), ("n_tokens", "bigint")], function, bounded=text)
+    return function
 
 
-def decode(docs: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
-    """``docs`` with ``decoded``, the bytes of the packed ids. Ids cut from a text need not be valid UTF-8."""
+def _decoding(docs: DataFrame, ranks: str) -> Callable[[pa.Array], pa.Array]:
     shared = docs.sparkSession.sparkContext.broadcast({i: t for t, i in read_ranks(ranks).items()})
 
-    def function(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([None if p is None else decode_ids(p, shared.value) for p in texts(batch, ids)], pa.binary())]
+    def function(packed: pa.Array) -> pa.Array:
+        tokens = shared.value
+        return pa.array([None if p is None else decode_ids(p, tokens) for p in packed.to_pylist()], pa.binary())
 
-    return map_batches(docs, [("decoded", "binary")], function, bounded=ids)
+    return function

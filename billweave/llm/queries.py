@@ -310,10 +310,8 @@ FROM docs LEFT JOIN best USING (id) LEFT JOIN listed USING (id) LEFT JOIN kept U
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids")
-    return byte_bpe.decode(encoded, ranks).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    out = byte_bpe.encode_and_decode(docs, ranks, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES: dict[str, Query] = {

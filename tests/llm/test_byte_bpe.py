@@ -106,7 +106,8 @@ def test_on_spark(spark, library):
     rows = [(1, "A few words, é.", 1), (2, None, 1), (3, "", 1), (4, "word " * 50_000, 1), (5, "twice", 1), (5, "twice", 1), (None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, IDS int")
     out = bb.decode(bb.encode(df, PATH, PATTERN), PATH)
-    assert out.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"]
+    assert out.columns == ["doc_id", "text", "n_tokens", "ids", "decoded"]
+    assert out.exceptAll(bb.encode_and_decode(df, PATH, PATTERN)).count() == 0
     for r in out.collect():
         assert ids(r.ids) == library.encode_ordinary(r.text or "")
         assert r.n_tokens == len(ids(r.ids))
