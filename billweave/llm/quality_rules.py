@@ -5,9 +5,10 @@ per language and source: the quartile plus a multiple of the spread between medi
 source with too few texts uses the merged sketch of its language, and none may be laxer than a bound
 that its language sets, so a source that is mostly junk does not make junk its norm.
 
-Native: DataFrame functions only. Texts are measured once; the measures are written to the shared
-scratch folder and read for the sketches and again for the join with the cut-offs. Sketches are merged
-map-side, so a source with a third of all rows sends one sketch per task.
+Native: DataFrame functions only. The measures, not the texts, are written to the shared scratch folder and
+read for the sketches and again for the join with the cut-offs. Where the result has to carry the texts they
+are measured a second time instead, so that no copy of them is kept. Sketches are merged map-side, so a
+source with a third of all rows sends one sketch per task.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not kept. Null languages and
 sources are groups like any other. A ratio over no words or no lines is 0. Repeated rows are judged
@@ -148,9 +149,13 @@ def quality_rules(
     See the module for nulls, ties and empty input.
     """
     carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {*MEASURES, "base_failed", "kept"}]
-    measured = measures(docs, text)
-    measured = stored(measured.select(*carried, F.col(lang).alias("_l"), F.col(source).alias("_s"), *MEASURES), "quality")
+    keyed = docs.withColumns({"_l": F.col(lang), "_s": F.col(source)})
+    with_text = text.lower() in (c.lower() for c in carried)
+    own = [] if with_text else carried
+    measured = stored(measures(keyed, text).select(*own, "_l", "_s", *MEASURES), "quality")
     table = stored(cutoffs(measured, rules, "_l", "_s"), "cutoffs")
+    if with_text:
+        measured = measures(keyed, text).select(*carried, "_l", "_s", *MEASURES)
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     joined = measured.join(table, F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source")), "left")
