@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from billweave.catalog.anomaly_queries import ISLANDS_CTE, SERIES_CTE, findings_cte, grid_ctes
 from billweave.catalog.cost_queries import IN_97, IN_98, PCT, YEAR_97, YEAR_98, compare_cte, nc_for
 from billweave.catalog.registry import register
-from billweave.catalog.star import SCHEMAS, cur_export, focus_export, present, r2, sql, table
+from billweave.catalog.star import SCHEMAS, cur_export, focus_costs, focus_export, present, r2, sql, table
 from billweave.model import Dimension
 from billweave.operators import footers, insights
 from billweave.operators.inbox import inbox
 from billweave.operators.rules import Rules
-from billweave.plans.monitor import Source, run_check
+from billweave.plans.monitor import Source, run_check, run_checks
 from billweave.session import scratch_dir, use_utc
 from billweave.sinks.csv import write_csv
 from billweave.sinks.state import StateStore
@@ -317,30 +317,57 @@ register(
 CHECK_DAY = datetime(2000, 10, 1, 6)
 
 
+RUN_DAYS = (CHECK_DAY - timedelta(days=7), CHECK_DAY)
+
+
+def _billed_by(nc: DataFrame, now: datetime) -> DataFrame:
+    return nc.where(F.col("usage_start") < F.lit(f"{now:%Y-%m-%d}").cast("timestamp_ntz"))
+
+
+def _inbox_rows(store: StateStore, sources: list[str]) -> DataFrame:
+    rows = inbox(store.load(), sources, CHECK_DAY.date())
+    return rows.select("id", "kind", "first_day", "last_day", F.size("points").cast("bigint").alias("points"), "total_impact", "severity", "status")
+
+
 def _check(spark, d):
     """Two runs a week apart over the whole table; the second one re-evaluates settled days."""
     nc = nc_for(spark, d, Dimension.SERVICE, Dimension.ACCOUNT).withColumn("amortized_cost", F.round("amortized_cost", 2))
     store = StateStore(spark, scratch_dir(spark, "state"))
-    rules = Rules(min_delta_pct=0.5)
-    for now in (CHECK_DAY - timedelta(days=7), CHECK_DAY):
-        # Only what had been billed by then.
-        seen = nc.where(F.col("usage_start") < F.lit(f"{now:%Y-%m-%d}").cast("timestamp_ntz"))
-        run_check(store, Source("star", lambda seen=seen: seen, f"{now}"), rules, now)
-    rows = inbox(store.load(), ["star"], CHECK_DAY.date())
-    return present(rows.select("id", "kind", "first_day", "last_day", F.size("points").cast("bigint").alias("points"), "total_impact", "severity", "status"))
+    for now in RUN_DAYS:
+        run_check(store, Source("star", lambda *_, now=now: _billed_by(nc, now), f"{now}"), Rules(min_delta_pct=0.5), now)
+    return present(_inbox_rows(store, ["star"]))
+
+
+def _check_all(spark, d):
+    """The same runs over four sources at once: two layouts with a currency of their own, one without data, and
+    one that the second run finds unchanged. Each run is one commit."""
+    cur = nc_for(spark, d, Dimension.SERVICE, Dimension.ACCOUNT)
+    focus = focus_costs(spark, d, "1.2", tags=False).withColumn("currency", F.lit("EUR"))
+    tables = {"cur": cur, "focus": focus, "still": cur}
+    tables = {name: nc.withColumn("amortized_cost", F.round("amortized_cost", 2)) for name, nc in tables.items()}
+    store = StateStore(spark, scratch_dir(spark, "state"))
+    for now in RUN_DAYS:
+        sources = [Source("none", lambda *_: None, f"{now}")]
+        for name, nc in tables.items():
+            sources.append(Source(name, lambda *_, nc=nc, now=now: _billed_by(nc, now), "same" if name == "still" else f"{now}"))
+        kinds = [o.kind for o in run_checks(store, sources, Rules(min_delta_pct=0.5), now)]
+    runs = store.load().runs.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source_id", "outcome"))), ",").alias("runs"))
+    counted = _inbox_rows(store, [*tables, "none"]).withColumn("runs", runs.scalar())
+    return present(counted.withColumns({"commits": F.lit(store.entry().version), "last": F.lit(",".join(kinds))}))
 
 
-def _check_sql():
+def _check_sql(source: str | None = None, newest: datetime = CHECK_DAY, more: str = ""):
     rules = Rules(min_delta_pct=0.5)
     # The runs evaluate adjoining days, from the first one's start to the newest day with data minus 2.
     within = (
-        "day >= DATE '2000-09-15' AND day <= (SELECT max(day) - 2 FROM series WHERE day < DATE '2000-10-01')"
+        f"day >= DATE '2000-09-15' AND day <= (SELECT max(day) - 2 FROM series WHERE day < DATE '{newest:%Y-%m-%d}')"
     )
     grid = grid_ctes(rules.lookback_days, rules.memory_days)
+    named = "id" if source is None else f"'{source}' || substr(id, 5) AS id"
     return sql(
-        f"""SELECT id, kind, strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
+        f"""SELECT {named}, kind, strftime(first_day, '%Y-%m-%d') AS first_day, strftime(last_day, '%Y-%m-%d') AS last_day,
         points, {r2('total_impact')} AS total_impact,
-        CASE rank WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'open' AS status FROM merged""",
+        CASE rank WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, 'open' AS status{more} FROM merged""",
         *grid,
         findings_cte(rules).replace("WHERE kind IS NOT NULL", f"WHERE kind IS NOT NULL AND {within}"),
         ISLANDS_CTE,
@@ -348,3 +375,13 @@ def _check_sql():
 
 
 register("check_two_runs", _check, _check_sql())
+
+_RUNS = ", 'cur=ok,focus=ok,none=ok,still=ok' AS runs, 2 AS commits, 'ok,ok,ok,unchanged' AS last"
+register(
+    "check_all_sources",
+    _check_all,
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_check_sql(name, newest, _RUNS)})"
+        for name, newest in (("cur", CHECK_DAY), ("focus", CHECK_DAY), ("still", RUN_DAYS[0]))
+    ),
+)

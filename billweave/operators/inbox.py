@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from billweave.functions.scalars import instant, severity_name, severity_rank
@@ -147,25 +147,67 @@ def _keep_fired(a: Column, fired: Column, checked_from: Column, checked_to: Colu
     return F.when(a["status"] == "open", _let(kept, retracted)).otherwise(a)
 
 
+def _islands(findings: DataFrame) -> DataFrame:
+    """Findings of a key that lie within reach of each other, as the anomaly that they would found:
+    first_day, last_day, kind, points, worst, total_impact and ``findings``, one for each day. Of several
+    findings for a day the last one by kind and values counts."""
+    point = F.struct("day", "expected", "actual", "severity").cast(POINT).alias("point")
+    days = findings.groupBy(*KEYS, "day").agg(F.max(F.struct("kind", point)).alias("f")).select(*KEYS, "day", "f.kind", "f.point")
+    in_order = Window.partitionBy(*KEYS).orderBy("day")
+    gap = F.datediff("day", F.lag("day").over(in_order))
+    begins = F.coalesce(gap > MAX_GAP_DAYS + 1, F.lit(True)).cast("int")
+    numbered = days.withColumn("begins", begins).withColumn("island", F.sum("begins").over(in_order))
+    return numbered.groupBy(*KEYS, "island").agg(
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+        F.min_by("kind", "day").alias("kind"),
+        F.array_sort(F.collect_list("point")).alias("points"),
+        F.max(severity_rank(F.col("point.severity"))).alias("worst"),
+        F.sum(F.col("point.actual") - F.col("point.expected")).alias("total_impact"),
+        F.array_sort(F.collect_list(F.struct("day", "kind", "point"))).alias("findings"),
+    )
+
+
+Checked = tuple[date, date] | dict[str, tuple[date, date]]
+
+
+def _by_source(checked: Checked, at: int, sources: list[str] | None) -> Column:
+    """The first or last checked day for a row's source; NULL where the source was not checked."""
+    if isinstance(checked, dict):
+        entries = [x for s, span in checked.items() for x in (F.lit(s), F.lit(span[at]))]
+        return F.try_element_at(F.create_map(*entries), F.col("source_id")) if entries else F.lit(None).cast("date")
+    day = F.lit(checked[at])
+    return day if sources is None else F.when(F.col("source_id").isin(sources), day)
+
+
 def merge_run(
     anomalies: DataFrame,
     findings: DataFrame,
     now: datetime,
-    checked: tuple[date, date] | None = None,
+    checked: Checked | None = None,
     sources: list[str] | None = None,
 ) -> DataFrame:
     """Retract, then merge the findings of one run over one or more sources.
 
-    ``findings`` has source_id and the detector's columns. With ``checked`` (inclusive), points of
-    open anomalies in that range that did not fire again are dropped, for the anomalies of
-    ``sources``; an open anomaly left without points disappears. Findings join an anomaly of the
-    same key within three days of it, in day order; the rest start new ones.
+    ``findings`` has source_id and the detector's columns. With ``checked`` (inclusive, for all of ``sources``
+    or by source), points of open anomalies in that range that did not fire again are dropped; an open
+    anomaly left without points disappears. Findings join an anomaly of the same key within three days of it,
+    in day order; the rest start new ones.
+
+    Findings are first put into islands, by the gaps between their days. An island that no known anomaly
+    is within reach of is a new anomaly as it stands. Only the others are folded into what is known: no
+    anomaly can grow into the reach of an island that is out of reach of the findings it grows by.
     """
     stamp = instant(now)
-    point = F.struct("day", "expected", "actual", "severity").cast(POINT).alias("point")
-    fresh = findings.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("day", F.col("kind"), point))).alias("findings")
-    )
+    reach = MAX_GAP_DAYS + 1
+    islands = _islands(findings)
+    spans = anomalies.select(*[F.col(k).alias(f"of_{k}") for k in KEYS], F.col("first_day").alias("known_from"), F.col("last_day").alias("known_to"))
+    same_key = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in KEYS]
+    touches = (F.col("first_day") <= F.date_add("known_to", reach)) & (F.col("last_day") >= F.date_sub("known_from", reach))
+    near = islands.join(spans, [*same_key, touches], "left_semi")
+    far = islands.join(spans, [*same_key, touches], "left_anti")
+
+    fresh = near.groupBy(*KEYS).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first_day", "findings"))), lambda i: i["findings"])).alias("findings"))
     worst = severity_rank(F.col("severity")).alias("worst")
     carried = F.struct(
         "id", "kind", "points", "first_day", "last_day", worst, "status", "escalated", "detected_at", "updated_at"
@@ -175,33 +217,57 @@ def merge_run(
             F.sort_array(F.collect_list(F.struct("position", carried.cast(_CARRIED).alias("a")))), lambda e: e["a"]
         ).alias("known")
     )
-    both = known.join(fresh, KEYS, "full_outer").select(
+    # Islands near an anomaly have its key.
+    both = known.join(fresh, KEYS, "left").select(
         *KEYS,
-        F.coalesce("known", F.array().cast(f"array<{_CARRIED}>")).alias("known"),
+        "known",
         F.coalesce("findings", F.array().cast(fresh.schema["findings"].dataType)).alias("findings"),
         F.concat_ws(":", *KEYS, F.lit("")).alias("id_prefix"),
     )
     if checked is not None:
         fired = F.transform("findings", lambda f: f["day"])
-        lo, hi = F.lit(checked[0]), F.lit(checked[1])
+        both = both.withColumns({"lo": _by_source(checked, 0, sources), "hi": _by_source(checked, 1, sources)})
         kept = F.filter(
-            F.transform("known", lambda a: _keep_fired(a, fired, lo, hi, stamp)), lambda a: F.size(a["points"]) > 0
+            F.transform("known", lambda a: _keep_fired(a, fired, F.col("lo"), F.col("hi"), stamp)), lambda a: F.size(a["points"]) > 0
         )
-        mine = F.col("source_id").isin(sources) if sources is not None else F.lit(True)
-        both = both.withColumn("known", F.when(mine, kept).otherwise(F.col("known")))
+        both = both.withColumn("known", F.when(F.col("lo").isNotNull(), kept).otherwise(F.col("known"))).drop("lo", "hi")
     merged = both.select(
         *KEYS,
+        F.size("known").alias("n_known"),
         F.posexplode(
             F.aggregate("findings", F.col("known"), lambda acc, f: _merge_one(acc, f, F.col("id_prefix"), stamp))
         ).alias("position", "a"),
     )
-    rolled_up = {
-        "total_impact": F.aggregate("points", F.lit(0.0), lambda s, p: s + (p["actual"] - p["expected"])),
+    joined = merged.select(
+        *KEYS,
+        F.when(F.col("position") < F.col("n_known"), F.col("position")).alias("place"),
+        "a.*",
+        F.aggregate("a.points", F.lit(0.0), lambda s, p: s + (p["actual"] - p["expected"])).alias("total_impact"),
+    )
+    founded = far.select(
+        *KEYS,
+        F.lit(None).cast("int").alias("place"),
+        F.concat_ws(":", *KEYS, F.date_format("first_day", "yyyy-MM-dd")).alias("id"),
+        "kind",
+        "points",
+        "first_day",
+        "last_day",
+        "worst",
+        F.lit("open").alias("status"),
+        F.lit(False).alias("escalated"),
+        stamp.alias("detected_at"),
+        stamp.alias("updated_at"),
+        "total_impact",
+    )
+    # Known ones keep their order, new ones follow by day.
+    order = Window.partitionBy(*KEYS).orderBy(F.col("place").asc_nulls_last(), "first_day")
+    given = {
         "severity": severity_name(F.col("worst")),
         "muted": F.lit(False),
+        "position": F.row_number().over(order) - 1,
     }
     columns = [c.split(" ")[0] for c in ANOMALY_SCHEMA.replace(POINT, "p").split(", ")]
-    return merged.select(*KEYS, "position", "a.*").select(*[rolled_up.get(c, F.col(c)).alias(c) for c in columns])
+    return joined.unionByName(founded).select(*[given.get(c, F.col(c)).alias(c) for c in columns])
 
 
 def apply_mutes(state: InboxState, today: date) -> InboxState:
@@ -225,6 +291,32 @@ def prune(state: InboxState, today: date, keep_days: int | None = RETENTION_DAYS
     return replace(state, anomalies=state.anomalies.where(F.col("last_day") >= F.lit(cutoff)))
 
 
+@dataclass(frozen=True)
+class Run:
+    """What is recorded of a check of one source. ``checked`` are the days that were evaluated (inclusive)
+    if the check was completed."""
+
+    source_id: str
+    outcome: str
+    fingerprint: str | None = None
+    last_checked_day: date | None = None
+    message: str | None = None
+    estimate_usd: float | None = None
+    checked: tuple[date, date] | None = None
+
+
+def record_runs(state: InboxState, runs: list[Run], now: datetime) -> InboxState:
+    """Replace the runs of these sources; a source's last checked day never moves back."""
+    spark = state.runs.sparkSession
+    values = [(r.source_id, r.fingerprint, r.last_checked_day, r.outcome, r.message, r.estimate_usd) for r in runs]
+    schema = ", ".join(c for c in RUN_SCHEMA.split(", ") if not c.startswith("last_run_at"))
+    rows = spark.createDataFrame(values, schema).withColumn("last_run_at", instant(now))
+    ours = F.col("source_id").isin([r.source_id for r in runs])
+    before = state.runs.where(ours).select("source_id", F.col("last_checked_day").alias("before"))
+    new = rows.join(before, "source_id", "left").withColumn("last_checked_day", F.greatest("last_checked_day", "before"))
+    return replace(state, runs=state.runs.where(~ours).unionByName(new.select(*state.runs.columns)))
+
+
 def record_run(
     state: InboxState,
     source_id: str,
@@ -236,19 +328,17 @@ def record_run(
     estimate_usd: float | None = None,
 ) -> InboxState:
     """Replace the source's run; its last checked day never moves back."""
-    spark = state.runs.sparkSession
-    values = [(source_id, fingerprint, last_checked_day, outcome, message, estimate_usd)]
-    schema = ", ".join(c for c in RUN_SCHEMA.split(", ") if not c.startswith("last_run_at"))
-    row = spark.createDataFrame(values, schema).withColumn("last_run_at", instant(now))
-    ours = F.col("source_id") == source_id
-    runs = state.runs.where(~ours).unionByName(row)
-    before = state.runs.where(ours).select("source_id", F.col("last_checked_day").alias("before"))
-    merged = (
-        runs.join(before, "source_id", "left")
-        .withColumn("last_checked_day", F.greatest("last_checked_day", "before"))
-        .select(*state.runs.columns)
-    )
-    return replace(state, runs=merged)
+    return record_runs(state, [Run(source_id, outcome, fingerprint, last_checked_day, message, estimate_usd)], now)
+
+
+def apply_runs(state: InboxState, runs: list[Run], findings: DataFrame, today: date, now: datetime) -> InboxState:
+    """The effect of checks of several sources: retract, merge, record the runs, apply mutes. ``findings`` has
+    a source_id; those of sources without a completed check are not expected."""
+    done = {r.source_id: r.checked for r in runs if r.checked is not None}
+    mine = F.col("source_id").isin(list(done))
+    merged = merge_run(state.anomalies.where(mine), findings, now, done)
+    state = replace(state, anomalies=state.anomalies.where(~mine).unionByName(merged))
+    return apply_mutes(record_runs(state, runs, now), today)
 
 
 def apply_run(
@@ -261,8 +351,7 @@ def apply_run(
     **run,
 ) -> InboxState:
     """One check's effect: retract, merge, record the run, apply mutes."""
-    ours = F.lit(source_id).alias("source_id")
-    tagged = findings.select(ours, *[c for c in findings.columns if c != "source_id"])
+    tagged = findings.select(F.lit(source_id).alias("source_id"), *[c for c in findings.columns if c != "source_id"])
     mine = state.anomalies.where(F.col("source_id") == source_id)
     others = state.anomalies.where(F.col("source_id") != source_id)
     merged = merge_run(mine, tagged, now, checked)

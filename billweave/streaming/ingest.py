@@ -150,5 +150,5 @@ def check_available(
 def check_table(table: SeriesTable, store: StateStore, source_id: str, rules: Rules, now: datetime):
     if rules.metric is not table.metric:
         raise BadRequest(f"the table holds {table.metric.value} costs, the rules are for {rules.metric.value} ones")
-    source = Source(source_id, lambda: None, table.fingerprint(), series=table.read)
+    source = Source(source_id, lambda *_: None, table.fingerprint(), series=table.read)
     return run_check(store, source, rules, now)

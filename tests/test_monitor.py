@@ -48,7 +48,7 @@ def test_check_window():
 def test_exactly_four_anomalies_from_files(spark, tmp_path):
     write_anomaly_export(spark, tmp_path / "data")
     store = StateStore(spark, str(tmp_path / "state"))
-    source = Source("s", lambda: load_source(spark, str(tmp_path / "data")), "v1")
+    source = Source("s", lambda *_: load_source(spark, str(tmp_path / "data")), "v1")
     out = run_check(store, source, Rules(), NOW)
     assert (out.kind, out.checked_from, out.checked_to, out.new_anomalies) == ("ok", date(2026, 9, 22), date(2026, 9, 28), 4)
     assert found(store) == EXPECTED
@@ -70,29 +70,78 @@ def test_outcomes(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     nc = lines(spark, anomaly_lines())
 
-    def fail():
+    def fail(*_):
         raise RuntimeError("no access")
 
-    kinds = [o.kind for o in run_checks(store, [Source("bad", fail, "f"), Source("none", lambda: None, "f"), Source("good", lambda: nc, "f")], Rules(), NOW)]
+    kinds = [o.kind for o in run_checks(store, [Source("bad", fail, "f"), Source("none", lambda *_: None, "f"), Source("good", lambda *_: nc, "f")], Rules(), NOW)]
     assert kinds == ["error", "ok", "ok"]
     runs = {r.source_id: r for r in store.load().runs.collect()}
     assert "no access" in runs["bad"].message and runs["bad"].fingerprint is None
     assert runs["good"].last_checked_day == date(2026, 9, 28) and runs["none"].last_checked_day is None
     # After an error the next run tries again.
-    assert run_check(store, Source("bad", lambda: nc, "f"), Rules(), NOW).new_anomalies == 4
-    assert run_check(store, Source("good", lambda: nc, "f"), Rules(enabled=False), NOW).kind == "disabled"
-    assert "lookback_days" in run_check(store, Source("good", lambda: nc, "g"), Rules(lookback_days=1), NOW).message
+    assert run_check(store, Source("bad", lambda *_: nc, "f"), Rules(), NOW).new_anomalies == 4
+    assert run_check(store, Source("good", lambda *_: nc, "f"), Rules(enabled=False), NOW).kind == "disabled"
+    assert "lookback_days" in run_check(store, Source("good", lambda *_: nc, "g"), Rules(lookback_days=1), NOW).message
     mixed = nc.withColumn("currency", F.when(F.col("account_id") == "acct-office", "EUR").otherwise("USD"))
-    out = run_check(store, Source("good", lambda: mixed, "h"), Rules(), NOW)
+    out = run_check(store, Source("good", lambda *_: mixed, "h"), Rules(), NOW)
     assert out.kind == "error" and "several currencies" in out.message
     assert store.load().runs.where("source_id = 'good'").first().last_checked_day == date(2026, 9, 28)
 
 
+def test_all_sources_are_one_commit(spark, tmp_path):
+    """Sources last checked on different days, one without data and one that fails: one commit, and the same
+    result as checks one by one."""
+    nc = lines(spark, anomaly_lines())
+    mixed = nc.withColumn("currency", F.when(F.col("account_id") == "acct-office", "EUR").otherwise("USD"))
+
+    def sources(version):
+        return [Source("a", lambda *_: nc, version), Source("bad", lambda *_: mixed, version), Source("none", lambda *_: None, version), Source("c", lambda *_: nc, version)]
+
+    def rows(store):
+        state = store.load()
+        anomalies = state.anomalies.select("id", "first_day", "last_day", "points", "severity", "status").collect()
+        runs = state.runs.select("source_id", "outcome", "last_checked_day", "fingerprint").collect()
+        return sorted(anomalies), sorted(map(str, runs))
+
+    together, alone = (StateStore(spark, str(tmp_path / name)) for name in ("together", "alone"))
+    for store in (together, alone):
+        store.update(lambda s: inbox.record_run(s, "c", NOW, "ok", "old", date(2026, 8, 30)))
+    out = run_checks(together, sources("v1"), Rules(), NOW)
+    assert [(o.kind, o.checked_from, o.new_anomalies) for o in out] == [("ok", date(2026, 9, 22), 4), ("error", None, 0), ("ok", date(2026, 9, 22), 0), ("ok", date(2026, 8, 31), 4)]
+    assert "several currencies" in out[1].message
+    assert together.entry().version == 2
+    for source in sources("v1"):
+        run_check(alone, source, Rules(), NOW)
+    assert alone.entry().version == 5 and rows(together) == rows(alone)
+    # Nothing changed but that the failed one is tried again: only its rows are written.
+    parts = together.entry().parts
+    assert [o.kind for o in run_checks(together, sources("v1"), Rules(), NOW + timedelta(hours=1))] == ["unchanged", "error", "unchanged", "unchanged"]
+    assert {s for s, p in together.entry().parts.items() if p != parts[s]} == {"bad"}
+    with pytest.raises(BadRequest):
+        run_checks(together, sources("v1") * 2, Rules(), NOW)
+
+
+def test_interleaved_checks_keep_both_results(spark, tmp_path):
+    """A check of another source is stored while one is at work: both end ok with all findings."""
+    nc, path = lines(spark, anomaly_lines()), str(tmp_path / "state")
+    inner = []
+
+    def load(*_):
+        if not inner:
+            inner.append(run_check(StateStore(spark, path), Source("b", lambda *_: nc, "f"), Rules(), NOW))
+        return nc
+
+    store = StateStore(spark, path)
+    out = run_check(store, Source("a", load, "f"), Rules(), NOW)
+    assert [(o.kind, o.new_anomalies) for o in (out, *inner)] == [("ok", 4), ("ok", 4)]
+    assert {(r.source_id, r["count"]) for r in store.load().anomalies.groupBy("source_id").count().collect()} == {("a", 4), ("b", 4)}
+
+
 def test_cost_guard(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     nc = lines(spark, anomaly_lines())
     index = spark.createDataFrame([("f", 0, datetime(2026, 9, 1), datetime(2026, 9, 2), 20_000_000_000, 4)], INDEX_SCHEMA)
-    source = Source("s", lambda: nc, "f", lambda *_: index, remote=True)
+    source = Source("s", lambda *_: nc, "f", lambda *_: index, remote=True)
     out = run_check(store, source, Rules(), NOW)
     assert (out.kind, out.estimate_usd) == ("skipped_cost_guard", pytest.approx(1.8, abs=1e-4))
     # The skipped run keeps the old fingerprint, so it does not count as having seen the data.
@@ -100,7 +149,7 @@ def test_cost_guard(spark, tmp_path):
     assert run_check(store, source, Rules(), NOW, automatic=False).kind == "needs_confirmation"
     done = run_check(store, source, Rules(), NOW, automatic=False, confirmed=True)
     assert (done.kind, done.new_anomalies) == ("ok", 4)
-    assert run_check(store, Source("t", lambda: nc, "f", lambda *_: index), Rules(), NOW).kind == "ok"
+    assert run_check(store, Source("t", lambda *_: nc, "f", lambda *_: index), Rules(), NOW).kind == "ok"
 
 
 def test_source_at_a_location(spark, tmp_path):
@@ -109,7 +158,10 @@ def test_source_at_a_location(spark, tmp_path):
     write_anomaly_export(spark, base)
     source = billing_source(spark, "s", base, remote=True)
     assert source.index(date(2026, 8, 1), date(2026, 10, 1)).count() == 2
-    assert source.index(date(2026, 9, 1), date(2026, 10, 1)).count() == 1
+    assert source.load(date(2026, 8, 1), date(2026, 10, 1)).selectExpr("regexp_extract(source_file, '=([^/]+)/', 1)").distinct().count() == 3
+    # Only the months around the window are read.
+    assert source.load(date(2026, 12, 1), date(2026, 12, 2)) is None
+    assert source.load(date(2026, 10, 5), date(2026, 10, 20)).selectExpr("regexp_extract(source_file, '=([^/]+)/', 1)").distinct().count() == 1
     dear = {"egress_usd_per_gb": 1e6}
     assert run_check(store, source, Rules(), NOW, guard=dear).kind == "skipped_cost_guard"
     out = run_check(store, source, Rules(), NOW)
@@ -199,7 +251,7 @@ def test_a_long_gap_is_evaluated_whole(spark, tmp_path):
     store = StateStore(spark, str(tmp_path / "state"))
     nc = lines(spark, anomaly_lines())
     store.update(lambda s: inbox.record_run(s, "s", NOW, "ok", "old", date(2026, 8, 20)))
-    out = run_check(store, Source("s", lambda: nc, "new"), Rules(), NOW)
+    out = run_check(store, Source("s", lambda *_: nc, "new"), Rules(), NOW)
     assert (out.kind, out.checked_from) == ("ok", date(2026, 8, 21))
 
 

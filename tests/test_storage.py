@@ -1,5 +1,5 @@
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -10,7 +10,7 @@ from billweave.functions.periods import months_overlapping
 from billweave.model import BadRequest
 from billweave.operators import footers, inbox
 from billweave.operators.inbox import InboxState
-from billweave.sinks.state import StateStore
+from billweave.sinks.state import StateConflict, StateStore
 from billweave.sources.exports import (
     billing_periods,
     discover,
@@ -216,26 +216,89 @@ def test_data_fingerprint(spark):
     assert len({print_of(INDEX), print_of(changed), print_of(INDEX[:2]), print_of(INDEX + INDEX[:1]), print_of([])}) == 5
 
 
+def files_of(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet")}
+
+
+def run_of(store, source_id, fingerprint):
+    return store.update(lambda s: inbox.record_run(s, source_id, datetime(2026, 10, 1), "ok", fingerprint), [source_id])
+
+
+def prints(store):
+    return {r.source_id: r.fingerprint for r in store.load().runs.collect()}
+
+
 def test_state_store(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"))
-    assert store.load().anomalies.count() == 0
-    now = datetime(2026, 10, 1)
+    store, now = StateStore(spark, str(tmp_path / "state")), datetime(2026, 10, 1)
+    log = tmp_path / "state" / "log"
+    assert store.load().anomalies.count() == 0 and store.entry().version == 0
     store.update(lambda s: inbox.record_run(s, "s", now, "ok", "f"))
     store.update(lambda s: inbox.mute(s, "s", "service", "a", 5, now.date()))
     state = store.load()
-    assert (state.runs.first().fingerprint, state.mutes.count(), store.latest()) == ("f", 1, 2)
-    # A half-written snapshot is not read, and its number is not used again.
-    (tmp_path / "state" / "v=3").mkdir()
-    assert store.latest() == 2
-    store.save(InboxState(state.anomalies, state.mutes, state.runs))
-    assert store.latest() == 4
-    # A snapshot of another format is left alone.
-    (tmp_path / "state" / "v=4" / "commit.json").write_text('{"format": 99}')
-    (tmp_path / "state" / "v=4" / ".commit.json.crc").unlink(missing_ok=True)
+    assert (state.runs.first().fingerprint, state.mutes.count(), store.entry().version) == ("f", 1, 2)
+    # A log file that a writer died on is not read, and its number is not used again.
+    (log / "3.json").write_text('{"form')
+    assert store.entry().version == 2
+    assert store.save(state) == 4 and prints(store) == {"s": "f"}
+    # A commit of another format is left alone.
+    (log / "4.json").write_text('{"format": 99}')
+    (log / ".4.json.crc").unlink(missing_ok=True)
     assert store.load().runs.count() == 0
-    assert (tmp_path / "state" / "v=4" / "runs").exists()
-    assert store.save(InboxState.empty(spark)) == 5
-    store.vacuum(keep=2)
-    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["v=4", "v=5"]
+    assert store.save(InboxState.empty(spark)) == 5 and store.entry().parts == {}
+    run_of(store, "t", "g")
     store.vacuum(keep=1)
-    assert store.latest() == 5
+    assert len(list((tmp_path / "state" / "parts").iterdir())) == 5
+    store.vacuum(keep=1, older_than=timedelta(0))
+    assert [p.name for p in log.glob("*.json")] == ["6.json"]
+    assert [p.name for p in (tmp_path / "state" / "parts").iterdir()] == [store.entry().parts["t"]]
+    assert prints(store) == {"t": "g"}
+
+
+def test_a_commit_leaves_other_sources_alone(spark, tmp_path):
+    store = StateStore(spark, str(tmp_path / "state"))
+    state = InboxState.empty(spark)
+    for s in ("a", "b", "", "c d/é"):
+        state = inbox.record_run(state, s, datetime(2026, 10, 1), "ok", f"1{s}")
+    store.save(state)
+    before, parts = files_of(tmp_path / "state" / "parts"), store.entry().parts
+    assert len(set(parts.values())) == 1 and set(parts) == {"a", "b", "", "c d/é"}
+    run_of(store, "b", "2")
+    assert prints(store) == {"a": "1a", "b": "2", "": "1", "c d/é": "1c d/é"}
+    after = files_of(tmp_path / "state" / "parts")
+    assert before.items() <= after.items()
+    assert {s for s, p in store.entry().parts.items() if p != parts[s]} == {"b"}
+    # Rows of one source are read from its own folder only.
+    plan = store.load(["a"]).runs._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source_part" in plan
+    assert [r.source_id for r in store.load(["a"]).runs.collect()] == ["a"]
+    forgotten = store.update(lambda s: inbox.forget_source(s, "a"))
+    assert forgotten.runs.count() == 3 and set(store.entry().parts) == {"b", "", "c d/é"}
+
+
+def test_a_lost_race_is_made_good(spark, tmp_path):
+    """Another writer commits between a change's load and its commit, once or more."""
+    mine, theirs = StateStore(spark, str(tmp_path / "state")), StateStore(spark, str(tmp_path / "state"))
+    run_of(theirs, "a", "0")
+    calls = []
+
+    def slowly(source_id, others):
+        def change(state):
+            calls.append(source_id)
+            if others:
+                run_of(theirs, *others.pop())
+            return inbox.record_run(state, source_id, datetime(2026, 10, 1), "ok", f"{[r.fingerprint for r in state.runs.collect()]}")
+
+        return change
+
+    # The other writer changed another source: what is written already holds.
+    mine.update(slowly("a", [("b", "1")]), ["a"])
+    assert calls == ["a"] and prints(mine) == {"a": "['0']", "b": "1"}
+    # It changed the same one: the change is applied again, to the newest state, as often as needed.
+    mine.update(slowly("a", [("a", "4"), ("a", "3")]), ["a"])
+    assert calls == ["a"] * 4 and prints(mine) == {"a": "['4']", "b": "1"}
+    # A change of the whole state meets any commit.
+    mine.update(lambda s: inbox.mute(slowly("c", [])(s), "c", "service", "x", 3, date(2026, 10, 1)))
+    assert set(prints(mine)) == {"a", "b", "c"}
+    with pytest.raises(StateConflict):
+        mine.update(slowly("a", [("a", str(i)) for i in range(20)]), ["a"])
+    assert prints(mine)["a"].isdigit()
