@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,10 @@ from billweave.catalog.anomaly_queries import ISLANDS_CTE, SERIES_CTE, findings_
 from billweave.catalog.cost_queries import IN_97, IN_98, PCT, YEAR_97, YEAR_98, compare_cte, nc_for
 from billweave.catalog.registry import register
 from billweave.catalog.star import SCHEMAS, cur_export, focus_costs, focus_export, present, r2, sql, table
-from billweave.model import Dimension
+from billweave.model import CostFilter, Dimension
 from billweave.operators import footers, insights
 from billweave.operators.inbox import inbox
+from billweave.operators.predicates import in_range
 from billweave.operators.rules import Rules
 from billweave.plans.monitor import Source, run_check, run_checks
 from billweave.session import scratch_dir, use_utc
@@ -21,6 +23,9 @@ from billweave.sinks.csv import write_csv
 from billweave.sinks.state import StateStore
 from billweave.sources import storage
 from billweave.sources.exports import load_source
+from billweave.sources.file_index import FileIndex, load_indexed
+from billweave.sources.footers import listing
+from billweave.sources.normalise import CUR_2
 from billweave.streaming.daily_spend import daily_spend
 from billweave.streaming.ingest import SeriesTable, ingest_available
 
@@ -238,6 +243,120 @@ register(
       || sum(('0x' || h[16:30])::BIGINT::HUGEINT)::VARCHAR) AS fingerprint FROM h""",
 )
 
+# --- the kept file index --------------------------------------------------------------------------
+
+
+def _two_deliveries(spark, d):
+    """An index over two deliveries: the second one rewrites May 1998 and adds all months from July 1998 on. A
+    third refresh finds nothing new. ``version`` tells by which refresh a footer was read."""
+    use_utc(spark)
+    base, month = scratch_dir(spark, "export"), "bill_billing_period_start_date"
+    cur = cur_export(spark, d, tags=False)
+    later = F.col(month) >= F.lit("1998-07-01").cast("timestamp_ntz")
+    _write_export(cur.where(~later), month, base)
+    index = FileIndex(spark, scratch_dir(spark, "file-index"))
+    index.refresh(base)
+    may = cur.where(F.col(month) == F.lit("1998-05-01").cast("timestamp_ntz"))
+    may.coalesce(1).write.mode("overwrite").parquet(f"{base}/BILLING_PERIOD=1998-05")
+    _write_export(cur.where(later), month, base)
+    index.refresh(base)
+    rows = index.refresh(base).select("file", "version", F.inline("row_groups"))
+    in_month = rows.groupBy(F.regexp_extract("file", "PERIOD=([^/]+)/", 1).alias("month"))
+    return present(
+        in_month.agg(
+            F.min("min_ts").alias("min_ts"),
+            F.max("max_ts").alias("max_ts"),
+            F.max("chunks").cast("bigint").alias("columns"),
+            F.min("version").cast("bigint").alias("version"),
+            F.max("version").cast("bigint").alias("last_version"),
+        )
+    )
+
+
+register(
+    "footer_index_two_deliveries",
+    _two_deliveries,
+    f"""SELECT month, {_stamp('min(l_shipdate)')} AS min_ts, {_stamp('max(l_shipdate)')} AS max_ts, {len(footers.ESTIMATE_COLUMNS[CUR_2])}::BIGINT AS columns,
+      CASE WHEN month = '1998-05' OR month >= '1998-07' THEN 2 ELSE 1 END::BIGINT AS version, version AS last_version
+    FROM (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_shipdate FROM lineitem) GROUP BY month""",
+)
+
+WANTED = ("1998-06-05", "1998-06-12")
+
+
+def _indexed(spark, d):
+    """Days of a range, from the files that can hold them: each month has three files, by day of the month."""
+    use_utc(spark)
+    base = scratch_dir(spark, "export")
+    cur, day = cur_export(spark, d, tags=False), F.dayofmonth("line_item_usage_start_date")
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        _write_export(cur.where(day.between(low, high)), "bill_billing_period_start_date", base)
+    start, end = map(date.fromisoformat, WANTED)
+    rows = FileIndex(spark, scratch_dir(spark, "file-index")).refresh(base)
+    nc = load_indexed(spark, rows, [(start, end)])
+    within = nc.where(in_range(CostFilter.between(start, end)))
+    by_day = within.groupBy(F.col("usage_start").cast("date").alias("day")).agg(
+        F.sum("billed_cost").alias("billed"), F.sum("amortized_cost").alias("amortized"), F.count("*").alias("row_count")
+    )
+    return present(by_day.withColumn("files_read", F.lit(len(nc.inputFiles())).cast("bigint")))
+
+
+register(
+    "indexed_month_summary",
+    _indexed,
+    sql(
+        f"""SELECT strftime(usage_start, '%Y-%m-%d') AS day, {r2('sum(billed_cost)')} AS billed,
+          {r2('sum(amortized_cost)')} AS amortized, count(*) AS row_count, (SELECT count(*) FROM files
+            WHERE hi >= TIMESTAMP '{WANTED[0]}' AND lo < TIMESTAMP '{WANTED[1]}') AS files_read
+        FROM nc WHERE usage_start >= TIMESTAMP '{WANTED[0]}' AND usage_start < TIMESTAMP '{WANTED[1]}' GROUP BY 1""",
+        """files AS (SELECT min(usage_start) AS lo, max(usage_start) AS hi FROM nc
+          GROUP BY date_trunc('month', usage_start), least((day(usage_start) - 1) // 10, 2))""",
+    ),
+)
+
+# --- manifests ------------------------------------------------------------------------------------
+
+
+def _manifests(spark, d):
+    """Months by their number modulo 5: without a manifest, with one that names files of the folder, of a
+    subfolder, of another place, and with one that cannot be parsed. Files that a manifest does not name are
+    in every month: each month is also delivered a second time, without costs that count."""
+    use_utc(spark)
+    base, far = scratch_dir(spark, "export"), scratch_dir(spark, "elsewhere")
+    cur, start = cur_export(spark, d, tags=False), "bill_billing_period_start_date"
+    kind = F.month(start) % 5
+    stale = cur.where(kind != 0).withColumn("line_item_line_item_type", F.lit("Stale"))
+    _write_export(cur.where(kind.isin(0, 1, 4)), start, base)
+    months = cur.where(kind == 2).withColumn("BILLING_PERIOD", F.date_format(start, "yyyy-MM"))
+    months.withColumn("run", F.lit("a b")).write.mode("append").partitionBy("BILLING_PERIOD", "run").parquet(base)
+    _write_export(cur.where(kind == 3), start, far)
+    before = [(r.folder, r.path) for r in listing(spark, [base, far]).collect()]
+    _write_export(stale, start, base)
+    named: dict[str, list[str]] = {}
+    for folder, path in before:
+        month = path[len(folder) + 1 :].split("/")[0]
+        inside = f"{base}/{month}/"
+        named.setdefault(month, []).append(path.removeprefix(inside))
+    for month, files in sorted(named.items()):
+        number = int(month[-2:]) % 5
+        if number:
+            text = "{not json" if number == 4 else json.dumps({"dataFiles": sorted(files)})
+            storage.create_marker(spark, f"{base}/{month}/Manifest.json", text)
+    nc = load_source(spark, base)
+    by_month = nc.groupBy(F.date_format("billing_period_start", "yyyy-MM").alias("month"))
+    return present(by_month.agg(F.sum("billed_cost").alias("billed"), F.sum("amortized_cost").alias("amortized"), F.count("*").alias("row_count")))
+
+
+register(
+    "export_manifests",
+    _manifests,
+    sql(
+        f"""SELECT strftime(billing_period_start, '%Y-%m') AS month, {r2('sum(billed_cost)')} AS billed,
+        {r2('sum(amortized_cost)')} AS amortized, count(*) AS row_count FROM nc
+        WHERE month(billing_period_start) % 5 <> 4 GROUP BY 1"""
+    ),
+)
+
 # --- streams --------------------------------------------------------------------------------------
 
 

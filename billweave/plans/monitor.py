@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from billweave.functions.periods import month_range
 from billweave.functions.scalars import instant
 from billweave.model import BadRequest
 from billweave.operators import inbox
@@ -22,6 +23,7 @@ from billweave.operators.series import daily_series
 from billweave.session import scratch_dir, written
 from billweave.sinks.state import StateStore
 from billweave.sources import exports, storage
+from billweave.sources.file_index import FileIndex, load_indexed, row_group_index
 
 log = logging.getLogger(__name__)
 
@@ -69,21 +71,38 @@ class Source:
     series: Callable[[date, date], DataFrame] | None = None
 
 
-def billing_source(spark: SparkSession, source_id: str, base: str, remote: bool = False) -> Source:
+def billing_source(
+    spark: SparkSession, source_id: str, base: str, remote: bool = False, kept_index: str | None = None
+) -> Source:
     """A source at a storage location. Making it reads no more than listings, which an unchanged
-    source needs; footers are read for the months of a check's window only."""
-    prints = sorted(exports.listing_fingerprints(spark, base).items())
+    source needs; footers are read for the months of a check's window only.
+
+    ``kept_index`` names a folder for an index of the files: a check then reads the footers of new and
+    rewritten files only, and scans only files that can hold days of its window."""
+    resolved = exports.resolve(spark, base)
+    prints = sorted(exports.fingerprints_of(resolved).items())
+
+    def months(start: date, end: date) -> list[exports.PeriodFiles]:
+        wanted = set(month_range(start, end))
+        return [p for p in resolved if p.readable and p.month in wanted]
+
+    def kept(start: date, end: date) -> DataFrame:
+        return FileIndex(spark, kept_index).refresh(base, start - MONTH, end + MONTH)
 
     def index(start: date, end: date) -> DataFrame | None:
+        if kept_index is not None:
+            return row_group_index(kept(start, end))
         out = None
-        for x in exports.layouts(spark, exports.discover(spark, base, start, end)):
+        for x in exports.layouts(spark, months(start, end)):
             part = footer_index(spark, list(x.files), ESTIMATE_COLUMNS[exports.detect_format(x.columns)])
             out = part if out is None else out.unionByName(part)
         return out
 
     def load(start: date, end: date) -> DataFrame | None:
         # Usage may be delivered in the folder of the month before or after its own.
-        periods = exports.discover(spark, base, start - MONTH, end + MONTH)
+        if kept_index is not None:
+            return load_indexed(spark, kept(start, end), [(start, end)]) if resolved else None
+        periods = months(start - MONTH, end + MONTH)
         return exports.read_periods(spark, periods) if any(p.files for p in periods) else None
 
     return Source(

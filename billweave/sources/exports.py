@@ -1,7 +1,8 @@
 """Billing exports on storage: find the months, resolve their files, read and normalise them.
 
 Layout: ``<base>/BILLING_PERIOD=yyyy-MM/`` with Parquet files and an optional ``Manifest.json``.
-File names and their schemas reach the driver; footers are read on the executors, the data by Spark.
+File names and the different schemas reach the driver; folders are listed and footers read on the executors,
+the data by Spark.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from billweave.functions.periods import month_range
 from billweave.model import CANONICAL_SCHEMA
 from billweave.sources import storage
-from billweave.sources.footers import footer_schemas
+from billweave.sources.footers import footer_schemas, listing
 from billweave.sources.normalise import detect_format, normalise
 
 log = logging.getLogger(__name__)
@@ -49,9 +51,16 @@ class BillingPeriod:
 
 @dataclass(frozen=True)
 class PeriodFiles:
+    """A month folder's data files. ``listed`` has what a fingerprint covers: the files of the folder itself,
+    the manifest with them, and data files elsewhere. ``whole``: the folder holds these files and nothing
+    else. A month with a broken manifest, or without any file, is not ``readable``."""
+
     month: str
     folder: str
     files: tuple[str, ...]
+    listed: tuple[storage.Entry, ...] = ()
+    whole: bool = False
+    readable: bool = True
 
 
 def billing_periods(spark: SparkSession, base: str) -> list[BillingPeriod]:
@@ -90,10 +99,23 @@ def manifest_files(spark: SparkSession, folders: list[str]) -> DataFrame:
     )
 
 
-def discover(
+def _listed(spark: SparkSession, folders: list[str]) -> dict[str, list[storage.Entry]]:
+    """The files in each folder and below, listed on the executors."""
+    found = defaultdict(list)
+    if folders:
+        for r in listing(spark, folders).collect():
+            found[r.folder].append(storage.Entry(r.path.rsplit("/", 1)[-1], r.path, False, r.size, r.modified_ms))
+    return {f: sorted(entries, key=lambda e: e.path) for f, entries in found.items()}
+
+
+def resolve(
     spark: SparkSession, base: str, start: date | None = None, end_exclusive: date | None = None
 ) -> list[PeriodFiles]:
-    """The data files per month, for the months that ``[start, end)`` touches (all by default)."""
+    """Every month folder that ``[start, end)`` touches (all by default) with its data files.
+
+    The driver lists ``base``, one entry a month; the month folders and those of files that a manifest names
+    elsewhere are listed on the executors, and manifests are read by one job.
+    """
     periods = billing_periods(spark, base)
     if start is not None and end_exclusive is not None:
         wanted = set(month_range(start, end_exclusive))
@@ -104,30 +126,49 @@ def discover(
     for month, folders in by_month.items():
         if len(folders) > 1:
             log.warning("month %s has several folders, reading all of them: %s", month, folders)
-    with_manifest = [p.folder for p in periods if storage.exists(spark, f"{p.folder}/{MANIFEST_NAME}")]
+    listed = _listed(spark, [p.folder for p in periods])
+    with_manifest = [f for f, entries in listed.items() if any(e.path == f"{f}/{MANIFEST_NAME}" for e in entries)]
     manifests = {}
     if with_manifest:
         for row in manifest_files(spark, with_manifest).collect():
             manifests[_plain(row.folder)] = row
-    out = []
+    named = {}
     for p in periods:
         row = manifests.get(_plain(p.folder))
-        if row is not None and row.broken:
-            log.warning("month %s skipped: its manifest cannot be parsed", p.month)
-        elif row is not None:
+        if row is not None and not row.broken:
             # Spark names the folder as a URI; keep the spelling of the listing.
             local = row.folder + "/"
-            files = [f"{p.folder}/{f.removeprefix(local)}" if f.startswith(local) else f for f in row.files]
-            out.append(PeriodFiles(p.month, p.folder, tuple(files)))
-        else:
-            files = [e.path for e in storage.list_folder(spark, p.folder) if not e.is_dir and e.name.endswith(".parquet")]
-            if files:
-                out.append(PeriodFiles(p.month, p.folder, tuple(files)))
-            else:
+            named[p.folder] = [f"{p.folder}/{f.removeprefix(local)}" if f.startswith(local) else f for f in row.files]
+    outside = {f.rsplit("/", 1)[0] for p in periods for f in named.get(p.folder, ()) if not f.startswith(p.folder + "/")}
+    known = {e.path: e for entries in [*listed.values(), *_listed(spark, sorted(outside)).values()] for e in entries}
+    out = []
+    for p in periods:
+        entries = listed.get(p.folder, [])
+        direct = [e for e in entries if "/" not in e.path[len(p.folder) + 1 :]]
+        row = manifests.get(_plain(p.folder))
+        if row is None:
+            files = [e.path for e in direct if e.name.endswith(".parquet")]
+            if not files:
                 log.warning("month %s skipped: no manifest and no Parquet files in %s", p.month, p.folder)
+            out.append(PeriodFiles(p.month, p.folder, tuple(files), tuple(direct), len(files) == len(entries), bool(files)))
+        elif row.broken:
+            log.warning("month %s skipped: its manifest cannot be parsed", p.month)
+            out.append(PeriodFiles(p.month, p.folder, (), tuple(direct), readable=False))
+        else:
+            files = named[p.folder]
+            # A file that is not there has size -1.
+            others = [known.get(f, storage.Entry(f, f, False, -1, 0)) for f in sorted(set(files) - {e.path for e in direct})]
+            out.append(PeriodFiles(p.month, p.folder, tuple(files), (*direct, *others)))
     return out
 
 
+def discover(
+    spark: SparkSession, base: str, start: date | None = None, end_exclusive: date | None = None
+) -> list[PeriodFiles]:
+    """The data files per month, for the months that ``[start, end)`` touches (all by default)."""
+    return [p for p in resolve(spark, base, start, end_exclusive) if p.readable]
+
+
 def _plain(uri: str) -> str:
     """A path without scheme and percent escapes, to match listings with input_file_name."""
     parsed = urlparse(uri)
@@ -147,26 +188,38 @@ def layouts(spark: SparkSession, periods: list[PeriodFiles]) -> list[Layout]:
     files = list(dict.fromkeys(f for p in periods for f in p.files))
     if not files:
         return []
-    by_schema = defaultdict(list)
-    for row in footer_schemas(spark, files).collect():
-        by_schema[row.schema].append(row.file)
+    return layouts_of(footer_schemas(spark, files))
+
+
+def layouts_of(schemas: DataFrame) -> list[Layout]:
+    """``(file, schema)`` rows by schema; a schema reaches the driver once, not once a file."""
     out = []
-    for schema, members in sorted(by_schema.items()):
-        columns = tuple(name for name, _ in json.loads(schema))
+    for row in schemas.groupBy("schema").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("schema").collect():
+        columns = tuple(name for name, _ in json.loads(row.schema))
         detect_format(columns)
-        out.append(Layout(columns, tuple(sorted(members))))
+        out.append(Layout(columns, tuple(row.files)))
     return out
 
 
-def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
-    """The canonical frame over all periods. Files with the same schema share one scan."""
-    frames = [normalise(spark.read.parquet(*x.files), detect_format(x.columns)) for x in layouts(spark, periods)]
+def read_layouts(spark: SparkSession, found: list[Layout], folders: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The canonical frame over layouts. ``folders``: files of folders that hold nothing else; one whose files
+    are all of one layout is read as a folder, so that Spark lists it instead of being handed its files."""
+    frames = []
+    for x in found:
+        members, paths = set(x.files), []
+        for folder, files in (folders or {}).items():
+            if members.issuperset(files):
+                paths.append(folder)
+                members.difference_update(files)
+        frames.append(normalise(spark.read.parquet(*paths, *sorted(members)), detect_format(x.columns)))
     if not frames:
         return spark.createDataFrame([], CANONICAL_SCHEMA)
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    return reduce(DataFrame.unionByName, frames)
+
+
+def read_periods(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
+    """The canonical frame over all periods. Files with the same schema share one scan."""
+    return read_layouts(spark, layouts(spark, periods), {p.folder: p.files for p in periods if p.whole})
 
 
 def read_months(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
@@ -184,7 +237,7 @@ def read_months(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
     for p in periods:
         outside = tuple(f for f in p.files if not f.startswith(p.folder + "/"))
         if outside:
-            nc = read_periods(spark, [replace(p, files=outside)])
+            nc = read_periods(spark, [replace(p, files=outside, whole=False)])
             out = out.unionByName(nc.withColumn("billing_period", F.lit(p.month)))
     return out
 
@@ -202,14 +255,14 @@ def listing_fingerprints(spark: SparkSession, base: str) -> dict[str, str]:
     It covers the listing of the month's folder, the manifest with it, and the files that the manifest
     names elsewhere or in subfolders. A file that is rewritten in place changes its month's fingerprint.
     """
-    prints, resolved = {}, defaultdict(set)
-    for p in discover(spark, base):
-        resolved[p.folder] |= set(p.files)
-    for month, folder in ((p.month, p.folder) for p in billing_periods(spark, base)):
-        digest = hashlib.sha256(prints.get(month, "").encode())
-        listed = [e for e in storage.list_folder(spark, folder) if not e.is_dir and not e.name.startswith(("_", "."))]
-        elsewhere = sorted(resolved[folder] - {e.path for e in listed})
-        for e in [*listed, *storage.statuses(spark, elsewhere)]:
+    return fingerprints_of(resolve(spark, base))
+
+
+def fingerprints_of(resolved: list[PeriodFiles]) -> dict[str, str]:
+    prints = {}
+    for p in resolved:
+        digest = hashlib.sha256(prints.get(p.month, "").encode())
+        for e in p.listed:
             digest.update(f"{e.path}|{e.size}|{e.modified_ms}\n".encode())
-        prints[month] = digest.hexdigest()
+        prints[p.month] = digest.hexdigest()
     return prints

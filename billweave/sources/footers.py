@@ -1,7 +1,7 @@
-"""Parquet footers, read on the executors.
+"""Folder listings and Parquet footers, read on the executors.
 
-pyarrow opens the files; it gets the store's settings from Spark's Hadoop configuration, and each task
-makes one file system per store.
+pyarrow lists folders and opens files; it gets the store's settings from Spark's Hadoop configuration, and
+each task makes one file system per store.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-FILES_PER_TASK = 64
+FILES_PER_TASK, FOLDERS_PER_TASK = 64, 16
 #: Settings of the s3a connector and the arguments that pyarrow has for them.
 S3A_SETTINGS = {
     "fs.s3a.access.key": "access_key",
@@ -38,26 +38,53 @@ class FileOpener:
     def __init__(self, options: dict[str, str]) -> None:
         self.options, self.known = options, {}
 
-    def metadata(self, uri: str) -> pq.FileMetaData:
+    def located(self, uri: str) -> tuple[fs.FileSystem, str]:
         parsed = urlparse(uri)
         scheme = parsed.scheme if len(parsed.scheme) > 1 else ""  # a drive letter is no scheme
         key = (scheme, parsed.netloc)
         if scheme in ("", "file"):
-            system, path = fs.LocalFileSystem(), unquote(parsed.path) if scheme else uri
-        elif scheme in ("s3", "s3a", "s3n"):
+            return fs.LocalFileSystem(), unquote(parsed.path) if scheme else uri
+        if scheme in ("s3", "s3a", "s3n"):
             if key not in self.known:
                 arguments = {S3A_SETTINGS[k]: v for k, v in self.options.items() if k in S3A_SETTINGS}
                 if self.options.get("fs.s3a.connection.ssl.enabled") == "false":
                     arguments["scheme"] = "http"
                 self.known[key] = fs.S3FileSystem(**arguments)
-            system, path = self.known[key], parsed.netloc + unquote(parsed.path)
-        else:
-            if key not in self.known:
-                self.known[key] = fs.FileSystem.from_uri(f"{scheme}://{parsed.netloc}/")[0]
-            system, path = self.known[key], unquote(parsed.path)
+            return self.known[key], parsed.netloc + unquote(parsed.path)
+        if key not in self.known:
+            self.known[key] = fs.FileSystem.from_uri(f"{scheme}://{parsed.netloc}/")[0]
+        return self.known[key], unquote(parsed.path)
+
+    def metadata(self, uri: str) -> pq.FileMetaData:
+        system, path = self.located(uri)
         with system.open_input_file(path) as source:
             return pq.ParquetFile(source).metadata
 
+    def files(self, folder: str) -> list[tuple[str, int, int]]:
+        """Path, size and change time (ms) of the files in a folder and below, spelled as the folder is; none
+        if it does not exist."""
+        system, path = self.located(folder.rstrip("/"))
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
+        base = folder.rstrip("/")
+        return [(base + f.path[len(path) :], f.size, (f.mtime_ns or 0) // 1_000_000) for f in found if f.type == fs.FileType.File]
+
+
+def listing(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``(folder, path, size, modified_ms)`` of all files in the folders and below, listed in tasks of a few
+    folders each. Hidden files, whose names begin with ``_`` or ``.``, are left out."""
+    options = store_options(spark)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        opener = FileOpener(options)
+        for batch in batches:
+            rows = [(f, *entry) for f in batch["folder"] for entry in opener.files(f)]
+            rows = [r for r in rows if not any(part[:1] in ("_", ".") for part in r[1][len(r[0].rstrip("/")) + 1 :].split("/"))]
+            yield pd.DataFrame(rows, columns=["folder", "path", "size", "modified_ms"])
+
+    tasks = max(1, -(-len(folders) // FOLDERS_PER_TASK))
+    frame = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(tasks, "folder")
+    return frame.mapInPandas(read, "folder string, path string, size bigint, modified_ms bigint")
+
 
 def files_frame(spark: SparkSession, files: list[str] | DataFrame) -> DataFrame:
     """One row per file, a few files per task."""

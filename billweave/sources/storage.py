@@ -39,19 +39,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def statuses(spark: SparkSession, paths: list[str]) -> list[Entry]:
-    """Size and change time of single files; a missing one has size -1."""
-    found = []
-    for path in paths:
-        fs, hadoop_path = _fs(spark, path)
-        if fs.exists(hadoop_path):
-            s = fs.getFileStatus(hadoop_path)
-            found.append(Entry(hadoop_path.getName(), path, s.isDirectory(), s.getLen(), s.getModificationTime()))
-        else:
-            found.append(Entry(hadoop_path.getName(), path, False, -1, 0))
-    return found
-
-
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, hadoop_path = _fs(spark, path)
     fs.delete(hadoop_path, True)

@@ -22,7 +22,7 @@ from billweave.operators.series import daily_series
 from billweave.plans.monitor import Source, run_check
 from billweave.sinks.state import StateStore
 from billweave.sources import storage
-from billweave.sources.exports import discover, listing_fingerprints, read_months
+from billweave.sources.exports import fingerprints_of, listing_fingerprints, read_months, resolve
 
 SERIES_SCHEMA = (
     "scope_kind string, scope_key string, day date, currency string, cost double, billing_period string"
@@ -50,8 +50,10 @@ class SeriesTable:
         return json.loads(storage.read_small(self.spark, f"{self.path}/ledger/{versions[-1]}.json"))
 
     def changed_months(self, base: str) -> list[str]:
+        return self._changed(listing_fingerprints(self.spark, base))
+
+    def _changed(self, now: dict[str, str]) -> list[str]:
         known = {m: e["fingerprint"] for m, e in self.ledger().items()}
-        now = listing_fingerprints(self.spark, base)
         return sorted(m for m in known.keys() | now.keys() if known.get(m) != now.get(m))
 
     def refresh(self, base: str) -> list[str]:
@@ -60,13 +62,14 @@ class SeriesTable:
         New rows go to a new folder and count once the ledger names it, so a job that dies half-way
         leaves the old rows in force.
         """
-        before = listing_fingerprints(self.spark, base)
-        months = self.changed_months(base)
+        resolved = resolve(self.spark, base)
+        before = fingerprints_of(resolved)
+        months = self._changed(before)
         if not months:
             return []
         version = max(self._ledgers(), default=0) + 1
         folder = f"{self.path}/data/v={version}-{datetime.now():%Y%m%d%H%M%S%f}"
-        periods = [p for p in discover(self.spark, base) if p.month in months]
+        periods = [p for p in resolved if p.readable and p.month in months]
         if periods:
             lines = read_months(self.spark, periods)
             series = daily_series(lines, metric=self.metric, on_mixed="split", by=("billing_period",))
