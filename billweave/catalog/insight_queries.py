@@ -90,6 +90,11 @@ register(
     _trend(Dimension.ACCOUNT, 50, replace(WHOLE, granularity=Granularity.YEAR)),
     _trend_sql("account_id", 50, "year"),
 )
+register(
+    "trend_with_500",
+    _trend(Dimension.RESOURCE, 500, replace(WHOLE, granularity=Granularity.YEAR)),
+    _trend_sql("resource_id", 500, "year"),
+)
 register(
     "trend_day_by_region",
     _trend(Dimension.REGION, 8, replace(YEAR_98, granularity=Granularity.DAY)),

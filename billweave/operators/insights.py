@@ -30,6 +30,8 @@ from billweave.operators.predicates import matches
 
 # Charge categories shown as credits.
 CREDIT_CATEGORIES = ["Credit", "Refund", "Discount", "Adjustment"]
+#: Names of a trend that are broadcast.
+MOST_BROADCAST = 10_000
 
 
 def breakdown_with_other(
@@ -69,65 +71,45 @@ def _other_entry(min_share: float) -> Column:
 def trend_with_other(nc: DataFrame, f: CostFilter, dimension: Dimension, n: int = 10) -> DataFrame:
     """Stacked trend: period, rank, label, is_other, total, row_count.
 
-    Groups are ranked by their total over the whole range; the first ``n`` keep their name, the rest is folded per period. Absent (period, group) pairs are 0. "Other" has rank
-    0 and exists only when some group was folded.
+    Groups are ranked by their total over the whole range; the first ``n`` keep their name, the rest is folded
+    per period. Absent (period, group) pairs are 0. "Other" has rank 0 and exists only when some group was
+    folded.
+
+    The ranking is a dictionary of ``n`` keys at most, joined by broadcast before a second partial sum by
+    period and position; the plan is the same for every ``n``.
     """
     keep = check_limit(n)
     points = totals_by(nc, f, period=period_start(f.granularity, F.col("usage_start")), key=F.col(dimension.column))
     groups = points.groupBy("key").agg(F.sum("total").alias("total"), F.sum("row_count").alias("rows"))
     top = groups.orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("key"), "rows").limit(keep)
-    ranking = top.agg(
+    ranking_row = top.agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("order"), F.col("key").isNull(), "key"))),
             lambda g: g["key"],
-        )
-    ).scalar()
-    # At most n names, so the position is found by looking through the list.
-    position = F.get(
-        F.filter(
-            F.transform(F.col("ranking"), lambda g, i: F.struct(g.eqNullSafe(F.col("key")).alias("hit"), i.alias("i"))),
-            lambda e: e["hit"],
-        ),
-        F.lit(0),
-    ).getField("i")
-    ranked = points.withColumn("ranking", ranking).withColumn("position", F.coalesce(position, F.lit(-1))).drop("ranking")
-    def folded_sum(measure, prefix):
-        zero = F.lit(0).cast(points.schema[measure].dataType)
-        hits = [F.sum(F.when(F.col("position") == i, F.col(measure))) for i in range(-1, keep)]
-        return [F.coalesce(hit, zero).alias(f"{prefix}{i}") for i, hit in enumerate(hits)]
-
-    sums = [*folded_sum("total", "s"), *folded_sum("row_count", "n")]
-    per_period = ranked.groupBy("period").agg(*sums).withColumn("ranking", ranking)
-    folded = F.size(F.col("ranking")) < F.col("n_groups")
-    named = [
-        F.struct(
-            F.lit(i + 1).alias("rank"),
-            display_label(F.get("ranking", F.lit(i))).alias("label"),
-            F.lit(False).alias("is_other"),
-            F.col(f"s{i + 1}").alias("total"),
-            F.col(f"n{i + 1}").alias("row_count"),
-        )
-        for i in range(keep)
-    ]
-    other = F.struct(
-        F.lit(0).alias("rank"),
-        F.lit(OTHER_LABEL).alias("label"),
-        F.lit(True).alias("is_other"),
-        F.col("s0").alias("total"),
-        F.col("n0").alias("row_count"),
-    )
-    counted = groups.agg(F.struct(F.count("*").alias("n"), F.sum("total").alias("total"), F.sum("rows").alias("rows")))
-    n_groups = counted.scalar().getField("n")
-    series = F.filter(
-        F.array(other, *named),
-        lambda s: F.when(s["is_other"], F.col("folded")).otherwise(s["rank"] <= F.size(F.col("ranking"))),
+        ).alias("ranking")
     )
-    return (
-        per_period.withColumn("n_groups", n_groups)
-        .withColumn("folded", folded)
-        .select("period", F.explode(series).alias("s"))
-        .select("period", "s.*")
+    dictionary = ranking_row.select(F.posexplode("ranking").alias("position", "named"))
+    # Beyond the bound Spark decides by the sizes that it sees.
+    small = F.broadcast(dictionary) if keep <= MOST_BROADCAST else dictionary
+    positions = points.join(small, F.col("key").eqNullSafe(F.col("named")), "left")
+    folded = positions.groupBy("period", F.coalesce("position", F.lit(-1)).alias("position")).agg(
+        F.sum("total").alias("total"), F.sum("row_count").alias("row_count")
     )
+    # At most n + 1 entries each.
+    entry = F.struct("position", F.struct("total", "row_count"))
+    per_period = folded.groupBy("period").agg(F.map_from_entries(F.collect_list(entry)).alias("sums"))
+    counted = groups.agg(F.struct(F.count("*").alias("n"), F.sum("total").alias("total"), F.sum("rows").alias("rows")))
+    filled = per_period.withColumn("ranking", ranking_row.scalar()).withColumn("n_groups", counted.scalar().getField("n"))
+
+    def row(rank: Column, label: Column, is_other: bool) -> Column:
+        sums = F.try_element_at("sums", rank - 1)
+        zero = {c: F.lit(0).cast(points.schema[c].dataType) for c in ("total", "row_count")}
+        values = [F.coalesce(sums[c], zero[c]).alias(c) for c in zero]
+        return F.struct(rank.alias("rank"), label.alias("label"), F.lit(is_other).alias("is_other"), *values)
+
+    named = F.transform("ranking", lambda key, i: row(i + 1, display_label(key), False))
+    other = F.filter(F.array(row(F.lit(0), F.lit(OTHER_LABEL), True)), lambda _: F.size("ranking") < F.col("n_groups"))
+    return filled.select("period", F.explode(F.concat(other, named)).alias("s")).select("period", "s.*")
 
 
 def comparison_table(

@@ -43,7 +43,7 @@ def test_other_bucket_is_left_out_when_negligible_also_for_negative_totals(spark
     assert rows == [("b", False, -0.5), ("Other", True, -1000.0)]
 
 
-def test_trend_with_other(spark):
+def test_trend_with_other(spark, monkeypatch):
     rows = [
         ("2026-08-01", "a", 10.0),
         ("2026-08-02", "a", 1.0),
@@ -67,6 +67,11 @@ def test_trend_with_other(spark):
     shown = insights.trend_with_other(many, f, Dimension.SERVICE, 12).collect()
     assert [r.label for r in sorted(shown, key=lambda r: r.rank)] == ["Other"] + [f"s{i:02}" for i in range(19, 7, -1)]
     assert len(insights.trend_with_other(many, f, Dimension.SERVICE, 50).collect()) == 20
+    # The plan does not grow with the names, and ranks beyond the broadcast bound give the same rows.
+    nodes = lambda n: len(insights.trend_with_other(many, f, Dimension.SERVICE, n)._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(nodes(500) - nodes(5)) < 100
+    monkeypatch.setattr(insights, "MOST_BROADCAST", 1)
+    assert sorted(insights.trend_with_other(many, f, Dimension.SERVICE, 12).collect()) == sorted(shown)
 
 
 @pytest.fixture(scope="module")
