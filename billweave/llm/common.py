@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,9 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the folders of ``stored`` are noted, within ``noting``.
+_noted: list[list[str]] = []
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` computed once, as a table in the shared scratch folder."""
-    return written(df, scratch_dir(df.sparkSession, purpose))
+    path = scratch_dir(df.sparkSession, purpose)
+    for folders in _noted[-1:]:
+        folders.append(path)
+    return written(df, path)
+
+
+@contextmanager
+def noting(folders: list[str]) -> Iterator[None]:
+    """Add the folders of all tables that ``stored`` makes inside to a list."""
+    _noted.append(folders)
+    try:
+        yield
+    finally:
+        _noted.pop()
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept, as a table, and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` writes every stage's rows to the shared scratch folder before the
-next one reads them, so a lost executor costs at most one stage.
+next one reads them, so a lost executor costs at most one stage. A stage's scratch tables go when the next
+stage is called with a table that is not read from them, its output when the next one is written.
 
 Rows with null or empty texts fail the quality rules, so the later stages only meet them when they are
 called on their own; they let them through. Each stage treats ties, repeated rows and empty tables as its
@@ -12,6 +13,8 @@ operator says.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
+from urllib.parse import unquote, urlparse
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +22,9 @@ from pyspark.sql import functions as F
 
 from billweave.catalog.registry import Query
 from billweave.llm import decontaminate, near_dedup, pieces, quality_rules, substring_dedup
-from billweave.llm.common import stored, table
+from billweave.llm.common import noting, stored, table
+from billweave.session import scratch_dir, written
+from billweave.sources.storage import delete_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -64,19 +69,49 @@ def _chars() -> Column:
     return F.length("text").cast("long")
 
 
+#: Scratch tables of the stages called so far.
+_left: list[str] = []
+
+
+def _clear(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the scratch tables of earlier stages that ``docs`` is not read from. A stage's result is written
+    and read again before the next stage gets it; what the result was made from is not needed then."""
+    if _left:
+        read = {unquote(urlparse(f).path).rsplit("/", 1)[0] for f in docs.inputFiles()}
+        kept = [folder for folder in _left if any(r == p or r.startswith(p + "/") for p in [urlparse(folder).path] for r in read)]
+        for folder in set(_left) - set(kept):
+            delete_folder(spark, folder)
+        _left[:] = kept
+
+
+def _tidy(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _clear(spark, docs)
+        with noting(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality),
-    ("near_dedup", one_of_each_group),
-    ("substring_dedup", without_repeats),
-    ("decontamination", decontaminated),
-    ("sentencepiece", encoded),
+    ("quality_rules", _tidy(quality)),
+    ("near_dedup", _tidy(one_of_each_group)),
+    ("substring_dedup", _tidy(without_repeats)),
+    ("decontamination", _tidy(decontaminated)),
+    ("sentencepiece", _tidy(encoded)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        path = scratch_dir(spark, name)
+        docs = written(stage(spark, docs, sf_dir), path)
+        _clear(spark, docs)
+        if before is not None:
+            delete_folder(spark, before)
+        before = path
     return docs
 
 

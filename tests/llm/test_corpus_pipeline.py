@@ -167,3 +167,23 @@ def test_stages_let_rows_without_text_or_id_through(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         got = stage(spark, docs, DIR)
         assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "2", "None", "None"]
+
+
+def test_scratch_tables_go_with_their_stage(spark, tmp_path):
+    """Tables that the given rows are read from stay, all others of earlier stages go; of a run only the
+    result is left."""
+    from pathlib import Path
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    corpus_pipeline._clear(spark, spark.range(1))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, docs, DIR)
+    lazy = corpus_pipeline.STAGES[3][1](spark, first, DIR)
+    n = lazy.count()
+    first.write.parquet(str(tmp_path / "first"))
+    again = spark.read.parquet(str(tmp_path / "first"))
+    assert corpus_pipeline.STAGES[3][1](spark, again, DIR).count() == n
+    assert not [f for f in corpus_pipeline._left if "/quality-" in f]
+    out = corpus_pipeline.run(spark, DIR)
+    assert out.count() and corpus_pipeline._left == []
+    assert len(list(Path(base).glob("sentencepiece-*"))) == 1 and not list(Path(base).glob("near_dedup-*"))
