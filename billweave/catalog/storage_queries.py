@@ -26,6 +26,7 @@ from billweave.sources.exports import load_source
 from billweave.sources.file_index import FileIndex, load_indexed
 from billweave.sources.footers import listing
 from billweave.sources.normalise import CUR_2
+from billweave.sources.value_index import ValueIndex, months_loader, search_indexed
 from billweave.streaming.daily_spend import daily_spend
 from billweave.streaming.ingest import SeriesTable, ingest_available
 
@@ -314,6 +315,81 @@ register(
     ),
 )
 
+# --- the kept index of values ---------------------------------------------------------------------
+
+
+def _values_after_rewrite(spark, d):
+    """All values that lines hold after two deliveries. The first one has other services, resources and teams in
+    June 1998, which the second one writes anew; it also adds all months from July 1998 on."""
+    use_utc(spark)
+    base, month = scratch_dir(spark, "export"), "bill_billing_period_start_date"
+    cur = cur_export(spark, d)
+    june = F.col(month) == F.lit("1998-06-01").cast("timestamp_ntz")
+    later = F.col(month) > F.lit("1998-06-01").cast("timestamp_ntz")
+    wrong = {c: F.concat(F.lit("wrong "), F.col(c)) for c in ("product_product_name", "line_item_resource_id")}
+    wrong["resource_tags"] = F.transform_values("resource_tags", lambda _, v: F.concat(F.lit("wrong "), v))
+    _write_export(cur.where(~june & ~later), month, base)
+    _write_export(cur.where(june).withColumns(wrong), month, base)
+    index = ValueIndex(spark, scratch_dir(spark, "value-index"))
+    index.refresh(base)
+    cur.where(june).coalesce(1).write.mode("overwrite").parquet(f"{base}/BILLING_PERIOD=1998-06")
+    _write_export(cur.where(later), month, base)
+    read = len(index.refresh(base))
+    return index.counts().withColumnRenamed("n", "lines").withColumn("months_read", F.lit(read).cast("bigint"))
+
+
+_VALUES = ["service_name", "account_id", "region", "availability_zone", "charge_category", "resource_id"]
+_TAGS = {"Segment": "tag_segment", "Priority": "tag_priority", "Team": "tag_team"}
+register(
+    "distinct_values_after_rewrite",
+    _values_after_rewrite,
+    sql(
+        """SELECT kind, tag_key, value, count(*) AS lines, (SELECT count(DISTINCT billing_period_start) FROM nc
+          WHERE billing_period_start >= TIMESTAMP '1998-06-01') AS months_read FROM held GROUP BY ALL""",
+        "held AS ("
+        + " UNION ALL ".join(
+            [f"SELECT '{c}' AS kind, CAST(NULL AS VARCHAR) AS tag_key, {c} AS value FROM nc WHERE {c} IS NOT NULL" for c in _VALUES]
+            + [f"SELECT 'tag', '{key}', {c} FROM nc WHERE tag_segment IS NOT NULL" for key, c in _TAGS.items()]
+        )
+        + ")",
+    ),
+)
+
+# Trigrams of many ids, of few, none of them, and needles too short for one; one that no id has.
+NEEDLES = [" PART-1 ", "rt-19", "t-1999", "7", "99", "part_1"]
+
+
+def _search_indexed(spark, d):
+    use_utc(spark)
+    base = scratch_dir(spark, "export")
+    _write_export(cur_export(spark, d, tags=False), "bill_billing_period_start_date", base)
+    index = ValueIndex(spark, scratch_dir(spark, "value-index"))
+    index.refresh(base)
+    load, out = months_loader(spark, base), None
+    for needle in NEEDLES:
+        read: list[str] = []
+
+        def remembered(months: list[str], read: list[str] = read) -> DataFrame:
+            read += months
+            return load(months)
+
+        rows = search_indexed(index, remembered, YEAR_98, needle)
+        rows = rows.select(F.lit(needle).alias("needle"), "*", F.lit(len(read)).cast("bigint").alias("months_read"))
+        out = rows if out is None else out.unionAll(rows)
+    return present(out)
+
+
+register(
+    "resource_search_indexed",
+    _search_indexed,
+    sql(
+        f"""SELECT needle, resource_id, {r2('sum(amortized_cost) FILTER (' + IN_98 + ')')} AS total, any_value(months) AS months_read
+        FROM (SELECT *, (SELECT count(DISTINCT billing_period_start) FROM nc h WHERE contains(h.resource_id, n.text)) AS months
+          FROM (VALUES {', '.join(f"('{n}', '{n.strip().lower()}')" for n in NEEDLES)}) n(needle, text)) w
+        JOIN nc ON contains(resource_id, w.text) GROUP BY needle, resource_id HAVING count(*) FILTER ({IN_98}) > 0"""
+    ),
+)
+
 # --- manifests ------------------------------------------------------------------------------------
 
 

@@ -199,27 +199,34 @@ class FilterValues:
 
     A picker shows the first ``most`` values, which bounds what is kept on the driver; ``cut`` names
     the lookups that have more, for which ``distinct_values`` and its like give all rows. A failed
-    lookup is not remembered.
+    lookup is not remembered. With a kept ``index`` of values (``sources.value_index``), lookups read that
+    instead of the cost table.
     """
 
-    def __init__(self, nc: DataFrame, fingerprint: str, most: int = 1000):
-        self.most = check_limit(most)
+    def __init__(self, nc: DataFrame | None, fingerprint: str, most: int = 1000, index=None):
+        self.most, self._index = check_limit(most), index
         self.cut: set[tuple[str, str]] = set()
         self._nc = nc
         self._fingerprint = fingerprint
         self._known: dict[tuple[str, str], list[str]] = {}
 
-    def refresh(self, nc: DataFrame, fingerprint: str) -> None:
+    def refresh(self, nc: DataFrame | None, fingerprint: str) -> None:
         if fingerprint != self._fingerprint:
             self._nc, self._fingerprint, self._known, self.cut = nc, fingerprint, {}, set()
 
     def of(self, dimension: Dimension) -> list[str]:
+        if self._index is not None:
+            return self._lookup(("column", dimension.column), lambda: self._index.values(dimension, self.most + 1))
         return self._lookup(("column", dimension.column), lambda: distinct_values(self._nc, dimension, self.most + 1))
 
     def tag_keys(self) -> list[str]:
+        if self._index is not None:
+            return self._lookup(("tag_keys", ""), lambda: self._index.tag_keys(self.most + 1))
         return self._lookup(("tag_keys", ""), lambda: distinct_tag_keys(self._nc, self.most + 1))
 
     def tag_values(self, key: str) -> list[str]:
+        if self._index is not None:
+            return self._lookup(("tag_values", key), lambda: self._index.tag_values(key, self.most + 1))
         return self._lookup(("tag_values", key), lambda: distinct_tag_values(self._nc, key, self.most + 1))
 
     def _lookup(self, name, query) -> list[str]:

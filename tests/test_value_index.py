@@ -1,0 +1,119 @@
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from billweave.model import BadRequest, CostFilter, Dimension
+from billweave.operators import costs
+from billweave.sources import value_index
+from billweave.sources.exports import load_source
+from billweave.sources.value_index import ValueIndex, grams, months_loader, search_indexed
+
+from .billing import focus_raw, write_month
+
+YEAR = CostFilter.between("2026-01-01", "2027-01-01")
+
+
+def listed(df):
+    return [r.value for r in df.collect()]
+
+
+def write(spark, base, month, *rows):
+    full = [dict(day=f"{month}-10", account_id="1", cost=1.0, **r) for r in rows]
+    write_month(focus_raw(spark, full), base, month)
+
+
+def same_as_scan(spark, index, base):
+    nc = load_source(spark, base)
+    for d in Dimension:
+        assert listed(index.values(d)) == listed(costs.distinct_values(nc, d))
+    assert listed(index.tag_keys()) == listed(costs.distinct_tag_keys(nc))
+    for key in ("Env", "Team", "none"):
+        assert listed(index.tag_values(key)) == listed(costs.distinct_tag_values(nc, key))
+
+
+def test_values_follow_the_files(spark, tmp_path, monkeypatch):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    assert index.refresh(base) == [] and listed(index.values(Dimension.SERVICE)) == []
+    write(spark, base, "2026-08", dict(service_name="EC2", tags={"Env": "prod", "Team": None}), dict(service_name="S3", tags=None))
+    write(spark, base, "2026-09", dict(service_name="EC2", tags={}), dict(service_name="", resource_id="i-9"))
+    assert index.refresh(base) == ["2026-08", "2026-09"]
+    same_as_scan(spark, index, base)
+    assert index.refresh(base) == []
+    read = []
+    original = value_index.read_months
+    monkeypatch.setattr(value_index, "read_months", lambda s, p: read.append([x.month for x in p]) or original(s, p))
+    # S3 goes, EC2 stays because September has it, a key gets a value.
+    write(spark, base, "2026-08", dict(service_name="RDS", tags={"Team": "a"}))
+    assert index.refresh(base) == ["2026-08"] and read == [["2026-08"]]
+    assert listed(index.values(Dimension.SERVICE)) == ["", "EC2", "RDS"]
+    same_as_scan(spark, index, base)
+    # A month that goes needs no reading at all.
+    for f in (tmp_path / "data" / "BILLING_PERIOD=2026-09").iterdir():
+        f.unlink()
+    assert index.refresh(base) == ["2026-09"] and read == [["2026-08"]]
+    same_as_scan(spark, index, base)
+
+
+def test_deltas_are_added_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(value_index, "MOST_DELTAS", 2)
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    for n in range(5):
+        write(spark, base, "2026-08", dict(service_name=f"s{n}"), *[dict(service_name="all")] * (n + 1))
+        index.refresh(base)
+        assert len(index.entry()["deltas"]) <= 2
+    assert {r.value: r.n for r in index.counts().where("kind = 'service_name'").collect()} == {"all": 5, "s4": 1}
+
+
+def test_pickers_read_the_index(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    write(spark, base, "2026-08", *[dict(service_name=f"s{n}", tags={"Env": f"e{n}"}) for n in range(3)])
+    index.refresh(base)
+    picker = costs.FilterValues(None, "v1", most=2, index=index)
+    assert picker.of(Dimension.SERVICE) == ["s0", "s1"] and picker.tag_keys() == ["Env"] and picker.tag_values("Env") == ["e0", "e1"]
+    assert picker.cut == {("column", "service_name"), ("tag_values", "Env")}
+    with pytest.raises(BadRequest):
+        index.tag_values("")
+
+
+def test_grams(spark):
+    texts = [None, "", "ab", "abc", "abcd", "aaaa", "Ünï", "a\U0001f600bc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", grams(F.col("t")).alias("g"))
+    got = {r.t: r.g for r in df.collect()}
+    for t in texts[1:]:
+        assert got[t] == list(dict.fromkeys(t[i : i + 3] for i in range(len(t) - 2))), t
+    assert not got[None]
+
+
+def test_search_equals_a_scan(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    ids = ["i-ABC", "i-abd", "vol/100%_x", "İstanbul-1", "a", "", None, "ßtraße", "i-abc"]
+    write(spark, base, "2026-08", *[dict(resource_id=i) for i in ids])
+    write(spark, base, "2026-09", dict(resource_id="lonely-id"), dict(resource_id="i-abc"))
+    write(spark, base, "2025-09", dict(resource_id="old-abc"))
+    index.refresh(base)
+    nc, read = load_source(spark, base), []
+
+    def load(months):
+        read.append(months)
+        return months_loader(spark, base)(months)
+
+    for needle in ("ABC", "abc", "i-ab", "%_x", "a", "ab", " lonely ", "İst", "ßtra", "STRASSE", "nowhere", "lonelyabc"):
+        got = search_indexed(index, load, YEAR, needle).collect()
+        assert got == costs.search_resources(nc, YEAR, needle).collect(), needle
+    assert ["2026-09"] in read and [] in read
+    with pytest.raises(BadRequest):
+        search_indexed(index, load, YEAR, "  ")
+
+
+def test_a_search_reads_months_with_matches_only(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    for month in ("2026-07", "2026-08", "2026-09"):
+        write(spark, base, month, *[dict(resource_id=f"{month}-r{n}") for n in range(20)])
+    index.refresh(base)
+    rows = index.resources("08-r1")
+    assert {(r.billing_period, r.value) for r in rows.collect()} == {("2026-08", f"2026-08-r{n}") for n in (1, *range(10, 20))}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram," in plan, plan
+    nc = months_loader(spark, base)(["2026-08"])
+    assert all("2026-08" in f for f in nc.inputFiles()) and YEAR.start.date() == date(2026, 1, 1)
