@@ -28,7 +28,8 @@ from billweave.sources.footers import listing
 from billweave.sources.normalise import CUR_2
 from billweave.sources.value_index import ValueIndex, months_loader, search_indexed
 from billweave.streaming.daily_spend import daily_spend
-from billweave.streaming.ingest import SeriesTable, ingest_available
+from billweave.streaming.ingest import SeriesTable, check_available, ingest_available
+from billweave.streaming.window import SeriesWindow
 
 
 def _write_export(raw: DataFrame, month_column: str, base: str) -> None:
@@ -551,11 +552,11 @@ def _check_all(spark, d):
     return present(counted.withColumns({"commits": F.lit(store.entry().version), "last": F.lit(",".join(kinds))}))
 
 
-def _check_sql(source: str | None = None, newest: datetime = CHECK_DAY, more: str = ""):
+def _check_sql(source: str | None = None, newest: datetime = CHECK_DAY, more: str = "", oldest: str = "2000-09-15"):
     rules = Rules(min_delta_pct=0.5)
     # The runs evaluate adjoining days, from the first one's start to the newest day with data minus 2.
     within = (
-        f"day >= DATE '2000-09-15' AND day <= (SELECT max(day) - 2 FROM series WHERE day < DATE '{newest:%Y-%m-%d}')"
+        f"day >= DATE '{oldest}' AND day <= (SELECT max(day) - 2 FROM series WHERE day < DATE '{newest:%Y-%m-%d}')"
     )
     grid = grid_ctes(rules.lookback_days, rules.memory_days)
     named = "id" if source is None else f"'{source}' || substr(id, 5) AS id"
@@ -580,3 +581,45 @@ register(
         for name, newest in (("cur", CHECK_DAY), ("focus", CHECK_DAY), ("still", RUN_DAYS[0]))
     ),
 )
+
+
+# The second run comes two days after the first and evaluates all but two of its days again.
+STREAM_DAYS = (datetime(2000, 9, 28, 6), datetime(2000, 9, 30, 6))
+WRONG_DAYS = (date(2000, 9, 21), date(2000, 9, 25))
+
+
+def _continuous(spark, d):
+    """A continuous check over two deliveries. The first one charges some days of September a second time, to a
+    service and an account that there are not; the second one rewrites the month, and what was found on them is
+    taken back. ``before`` tells of how many such series findings were open after the first check, ``months``
+    how many months' series the second one read."""
+    use_utc(spark)
+    base, month = scratch_dir(spark, "arriving"), "bill_billing_period_start_date"
+    cur, usage = cur_export(spark, d, tags=False), F.col("line_item_usage_start_date")
+    september = F.col(month) == F.lit("2000-09-01").cast("timestamp_ntz")
+    nowhere = {c: F.lit("nowhere") for c in ("product_product_name", "line_item_usage_account_id")}
+
+    def until(now: datetime) -> DataFrame:
+        return cur.where(usage < F.lit(f"{now:%Y-%m-%d}").cast("timestamp_ntz"))
+
+    twice = cur.where(usage.cast("date").between(*WRONG_DAYS)).withColumns(nowhere)
+    _write_export(until(STREAM_DAYS[0]).unionByName(twice), month, base)
+    table, window = SeriesTable(spark, scratch_dir(spark, "series")), SeriesWindow(spark, scratch_dir(spark, "window"))
+    store, checkpoint = StateStore(spark, scratch_dir(spark, "state")), scratch_dir(spark, "ingest-checkpoint")
+    rules = Rules(min_delta_pct=0.5)
+    check_available(table, base, store, "star", rules, STREAM_DAYS[0], checkpoint, window).awaitTermination()
+    first = window.entry()["months"]
+    is_open = (F.col("scope_key") == "nowhere") & (F.col("status") == "open")
+    before = store.load().anomalies.where(is_open).select("scope_kind").distinct().count()
+    until(STREAM_DAYS[1]).where(september).coalesce(1).write.mode("overwrite").parquet(f"{base}/BILLING_PERIOD=2000-09")
+    check_available(table, base, store, "star", rules, STREAM_DAYS[1], checkpoint, window).awaitTermination()
+    read = sum(first.get(m) != stamp for m, stamp in window.entry()["months"].items())
+    rows = _inbox_rows(store, ["star"])
+    return present(rows.withColumns({"before": F.lit(before).cast("bigint"), "months": F.lit(read).cast("bigint")}))
+
+
+register(
+    "continuous_check_two_deliveries",
+    _continuous,
+    _check_sql(None, STREAM_DAYS[1], ", 2::BIGINT AS before, 1::BIGINT AS months", "2000-09-19"),
+)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime
+from functools import partial
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ from billweave.sinks.state import StateStore
 from billweave.sources import storage
 from billweave.sources.exports import fingerprints_of, listing_fingerprints, read_months, resolve
 
+if TYPE_CHECKING:
+    from billweave.streaming.window import SeriesWindow
+
 SERIES_SCHEMA = (
     "scope_kind string, scope_key string, day date, currency string, cost double, billing_period string"
 )
@@ -87,17 +92,23 @@ class SeriesTable:
             if entry.path not in used:
                 storage.delete_folder(self.spark, entry.path)
 
-    def read(self, start: date | None = None, end: date | None = None) -> DataFrame:
-        """scope_kind, scope_key, day, cost over all months. A day may have lines in two months'
-        files, so the months are added up."""
+    def rows(self, months: list[str] | None = None) -> DataFrame:
+        """The stored rows (``SERIES_SCHEMA``) of the billing months given, all by default."""
         by_folder = {}
         for month, entry in self.ledger().items():
-            by_folder.setdefault(entry["folder"], []).append(month)
+            if months is None or month in months:
+                by_folder.setdefault(entry["folder"], []).append(month)
         rows = self.spark.createDataFrame([], SERIES_SCHEMA)
-        for folder, months in by_folder.items():
+        for folder, held in by_folder.items():
             if storage.exists(self.spark, folder):
                 part = self.spark.read.schema(SERIES_SCHEMA).parquet(folder)
-                rows = rows.unionByName(part.where(F.col("billing_period").isin(months)))
+                rows = rows.unionByName(part.where(F.col("billing_period").isin(held)))
+        return rows
+
+    def read(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        """scope_kind, scope_key, day, cost over all months. A day may have lines in two months'
+        files, so the months are added up."""
+        rows = self.rows()
         if start is not None:
             rows = rows.where((F.col("day") >= F.lit(start)) & (F.col("day") < F.lit(end)))
         keys = ["scope_kind", "scope_key", "day"]
@@ -130,15 +141,23 @@ def ingest_available(table: SeriesTable, base: str, checkpoint: str) -> Streamin
 
 
 def check_available(
-    table: SeriesTable, base: str, store: StateStore, source_id: str, rules: Rules, now: datetime, checkpoint: str
+    table: SeriesTable,
+    base: str,
+    store: StateStore,
+    source_id: str,
+    rules: Rules,
+    now: datetime,
+    checkpoint: str,
+    window: SeriesWindow | None = None,
 ) -> StreamingQuery:
     """Ingest and check, first what was only rewritten, which the stream does not report, then per batch
     of new files. Lateness is handled by evaluating the last settled days again, not by dropping late
-    lines. A check of unchanged data ends at once."""
+    lines. A check of unchanged data ends at once. With ``window``, the newest days of all series are kept
+    between batches, and a check reads the series of changed months only."""
 
     def refresh_and_check(*_batch):
         table.refresh(base)
-        check_table(table, store, source_id, rules, now)
+        check_table(table, store, source_id, rules, now, window)
 
     refresh_and_check()
     return (
@@ -150,8 +169,11 @@ def check_available(
     )
 
 
-def check_table(table: SeriesTable, store: StateStore, source_id: str, rules: Rules, now: datetime):
+def check_table(
+    table: SeriesTable, store: StateStore, source_id: str, rules: Rules, now: datetime, window: SeriesWindow | None = None
+):
     if rules.metric is not table.metric:
         raise BadRequest(f"the table holds {table.metric.value} costs, the rules are for {rules.metric.value} ones")
-    source = Source(source_id, lambda *_: None, table.fingerprint(), series=table.read)
+    series = table.read if window is None else partial(window.series, table)
+    source = Source(source_id, lambda *_: None, table.fingerprint(), series=series)
     return run_check(store, source, rules, now)

@@ -13,6 +13,7 @@ from billweave.sinks.state import StateStore
 from billweave.sources.exports import load_source
 from billweave.streaming.daily_spend import daily_spend
 from billweave.streaming.ingest import SeriesTable, check_available, check_table, ingest_available
+from billweave.streaming.window import SeriesWindow
 
 from .billing import anomaly_lines, focus_raw, lines, write_month
 
@@ -241,6 +242,50 @@ def test_a_rewritten_month_is_checked_again(spark, tmp_path):
     assert table.changed_months(base) == []
 
 
+def test_a_kept_window_reads_changed_months_only(spark, tmp_path, monkeypatch):
+    base, start, end = str(tmp_path / "data"), date(2026, 8, 1), date(2026, 10, 1)
+    write_anomaly_export(spark, base)
+    # Usage of a window day that is delivered in another month's folder.
+    late = [dict(day="2026-09-02", service_name="Mail relay", account_id="acct-office", cost=5.0)]
+    write_month(focus_raw(spark, late), base, "2026-10")
+    table, window = SeriesTable(spark, str(tmp_path / "series")), SeriesWindow(spark, str(tmp_path / "window"))
+    read, rows = [], table.rows
+    monkeypatch.setattr(table, "rows", lambda months=None: read.append(months) or rows(months))
+
+    def same(start):
+        got = window.series(table, start, end).collect()
+        return sorted(got) == sorted(table.read(start, end).collect()) and read.pop() is None
+
+    table.refresh(base)
+    assert same(start) and read == [["2026-07", "2026-08", "2026-09", "2026-10"]]
+    assert same(start) and len(read) == 1
+    # A month is rewritten, one is emptied and a new one comes; the window moves on.
+    write_month(focus_raw(spark, [r for r in anomaly_lines(render_peak=400.0) if r["day"][:7] == "2026-09"]), base, "2026-09")
+    for f in (tmp_path / "data" / "BILLING_PERIOD=2026-10").iterdir():
+        f.unlink()
+    write_month(focus_raw(spark, [dict(late[0], cost=7.0)]), base, "2026-11")
+    table.refresh(base)
+    assert same(date(2026, 8, 20)) and read[1:] == [["2026-09", "2026-10", "2026-11"]]
+    days = window.advance(table, date(2026, 8, 20)).select(F.explode("days.day").alias("day"))
+    assert days.agg(F.min("day")).first()[0] == date(2026, 8, 20)
+    # Nothing changed, but days before those kept are asked for.
+    assert same(date(2026, 8, 10)) and read[2:] == [["2026-07", "2026-08", "2026-09", "2026-10", "2026-11"]]
+    window.vacuum(keep=1)
+    assert same(date(2026, 8, 10)) and len(read) == 3
+
+
+def test_continuous_check_with_a_kept_window(spark, tmp_path):
+    base, checkpoint = str(tmp_path / "data"), str(tmp_path / "checkpoint")
+    write_anomaly_export(spark, base)
+    table, store = SeriesTable(spark, str(tmp_path / "series")), StateStore(spark, str(tmp_path / "state"))
+    window = SeriesWindow(spark, str(tmp_path / "window"))
+    check_available(table, base, store, "s", Rules(), NOW, checkpoint, window).awaitTermination()
+    assert found(store) == EXPECTED
+    write_month(focus_raw(spark, [r for r in anomaly_lines(render_peak=400.0) if r["day"][:7] == "2026-09"]), base, "2026-09")
+    check_available(table, base, store, "s", Rules(), NOW + timedelta(hours=6), checkpoint, window).awaitTermination()
+    assert ("service", "Render farm", "spike") not in found(store) and ("service", "Vector search", "new_spend") in found(store)
+
+
 def test_rules_for_another_metric_are_refused(spark, tmp_path):
     table, store = SeriesTable(spark, str(tmp_path / "series")), StateStore(spark, str(tmp_path / "state"))
     with pytest.raises(BadRequest):
