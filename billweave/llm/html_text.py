@@ -3,8 +3,11 @@
 A page is read into a small tree of elements (arrays of parents, tags and counts; no markup is kept).
 Boilerplate is left out by what its tag or its class, id and role say: menus, headers and footers of the
 page, sidebars, notices, adverts, forms, scripts, styles, reader comments. A class or id that has other words
-besides (``social-history``) only tells so of elements that hold neither the largest density sum nor most
-of the characters where that is found. For every element that stays,
+besides (``social-history``), or one that page builders put around anything (``widget``), only tells so of
+elements that hold neither the largest density sum nor most of the characters where that is found. A form is
+left out if it has less than ``FORM_CHARS`` characters for each of its fields, and else treated alike. No name
+rules out what holds a ``main`` element, or, comments apart, ten times the text of all that would stay.
+For every element that stays,
 its composite density is the characters per tag, adjusted by the share of characters and tags in links.
 An element's density sum is that of its children; the container with the largest sum is the main text.
 An enclosing ``article`` or ``main`` widens it. Where there is none, other blocks follow if they are at
@@ -60,7 +63,7 @@ ENDS = {
 
 # What is not main text, by tag and by the words of class, id and role.
 DROPPED = frozenset(
-    "script style noscript template title head iframe object embed applet svg canvas audio video map nav footer aside form button "
+    "script style noscript template title head iframe object embed applet svg canvas audio video map nav footer aside button "
     "select textarea input datalist dialog menu noembed noframes xmp search".split()
 )
 CHROME = frozenset(
@@ -85,37 +88,58 @@ NEUTRAL = frozenset(
 #: Of ``CHROME``, what a longer name may well have as its topic (``category-search``).
 TOPICS = frozenset(
     "ad ads advertising alert alerts consent discussion form login notice notices notification notifications promo promotion "
-    "recommended related reply replies respond search share sharing signup social sponsored subscribe subscription".split()
+    "recommended related reply replies respond search share sharing signup social sponsored subscribe subscription widget widgets".split()
 )
+#: Of ``CHROME``, what says little even alone.
+WEAK = frozenset("discussion widget widgets".split())
+#: Names of reader comments, which may well be longer than the text.
+COMMENTS = frozenset(
+    "comment comments commentlist commentbox commentform commentarea commentsection commentthread commentbody commenttext "
+    "respond reply replies disqus".split()
+)
+#: A form with less text for each field is one to be filled in; one with more is a wrapper of the page.
+FORM_CHARS = 300
+FIELDS = frozenset("input textarea select button".split())
+#: Names are not believed if what they rule out has so many times the text of what is left.
+TOO_MUCH = 10
 KEEPS = frozenset("html body article main".split())
 CONTAINERS = frozenset("html body article main section div td th center blockquote table tbody tr details figure dl ul ol font span".split())
 
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?([a-zA-Z][^\s/>]*)([^>]*)>", re.S
+    r"<!--(?:-?>|.*?--!?>|.*)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]*))*+)>"
+    r"|</?([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S,
 )
 _OPENING = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
 _MARKS = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|$)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _WORD = re.compile(r"[a-z0-9]+")
+_NO_FIELD = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
+def is_hidden(attributes: str) -> bool:
+    for m in _MARKS.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
+            return True
+    return False
+
+
 def is_chrome(attributes: str, inside: bool) -> bool | None:
-    """Whether class, id, role or being hidden tells that an element is not main text; None if only names
-    with other words besides do. ``inside``: it is in an article, which may have a head of its own."""
+    """Whether class, id or role tells that an element is not main text; None if only weak names, or names
+    with other words besides, do. ``inside``: it is in an article, which may have a head of its own."""
     found: bool | None = False
     unwanted = CHROME if inside else CHROME | HEADS
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
-            return True
         if name in ("class", "id", "role"):
             for one in value.split():
                 words = _WORD.findall(_CAMEL.sub("-", one).lower())
                 if AROUND.isdisjoint(words) and not unwanted.isdisjoint(words):
                     core = [w for w in words if w not in NEUTRAL and not w.isdigit()] or words
-                    if unwanted.issuperset(core) or core[-1] in unwanted - TOPICS:
+                    if not WEAK.issuperset(core) and (unwanted.issuperset(core) or core[-1] in unwanted - TOPICS):
                         return True
                     found = None
     return found
@@ -127,7 +151,11 @@ class Page:
     def __init__(self, html: str, by_class: bool = True) -> None:
         self.by_class = by_class
         self.tags, self.parents, self.dropped = ["html"], [0], [False]
+        self.named: list[int] = []  # elements dropped by their names
+        self.comments: set[int] = set()  # of these, reader comments
         self.unsure: list[int] = []  # elements to be dropped unless they hold the main text
+        self.weak: list[int] = []  # of these, forms
+        self.fields: list[int] = []
         self.opened: Counter[str] = Counter()
         self.runs: list[tuple[int, str | None]] = []  # element and text; None: a block begins or ends
         self.open = [0]
@@ -135,7 +163,7 @@ class Page:
         while at < last and (token := _TOKEN.search(html, at, last)):
             self._text(html[at : token.start()])
             at = token.end()
-            if token[0].startswith("<!--") and not token[0].endswith("-->"):
+            if token[0].startswith("<!--") and not token[0].endswith(("-->", "--!>")):
                 return
             name = token[1] or token[3]
             if name is None:
@@ -167,16 +195,24 @@ class Page:
         if name in BLOCKS or name == "br":
             self.runs.append((stack[-1], None if name in BLOCKS else " "))
         parent = stack[-1]
-        drop = self.dropped[parent] or name in DROPPED
+        drop = name in DROPPED
         inside = bool(self.opened["article"] or self.opened["main"])
+        if name in FIELDS and not (name == "input" and _NO_FIELD.search(attributes)):
+            self.fields.append(len(tags))
+        if name == "form":
+            self.weak.append(len(tags))
         if not drop:
             if name == "header":
                 drop = not inside
             elif attributes and self.by_class and (name not in KEEPS or name == "article" and "comment" in attributes.lower()):
-                drop = is_chrome(attributes, inside)
-                if drop is None:
+                drop = is_hidden(attributes)
+                chrome = not drop and is_chrome(attributes, inside)
+                if chrome:
+                    self.named.append(len(tags))
+                    if not COMMENTS.isdisjoint(_WORD.findall(_CAMEL.sub("-", attributes).lower())):
+                        self.comments.add(len(tags))
+                elif chrome is None:
                     self.unsure.append(len(tags))
-                    drop = False
         tags.append(name)
         self.parents.append(parent)
         self.dropped.append(drop)
@@ -263,19 +299,87 @@ def _measured(page: Page) -> tuple[int, list[float], list[int]] | None:
     return best, dense, chars
 
 
+def _below(page: Page, counts: list[int]) -> list[int]:
+    """The sum of ``counts`` over each element and all that it holds."""
+    out = counts[:]
+    for i in range(len(out) - 1, 0, -1):
+        out[page.parents[i]] += out[i]
+    return out
+
+
+def _rule_out(page: Page) -> None:
+    """Settle what is dropped by tags, forms and names, and all inside it."""
+    n, parents, tags = len(page.tags), page.parents, page.tags
+
+    def inherited(own: list[bool]) -> list[bool]:
+        out = own[:]
+        for i in range(1, n):
+            out[i] |= out[parents[i]]
+        return out
+
+    plain = inherited(page.dropped)
+    in_link = [False] * n
+    for i in range(1, n):
+        in_link[i] = tags[i] == "a" or in_link[parents[i]]
+    own, prose = [0] * n, [0] * n
+    for element, text in page.runs:
+        if text is not None and not plain[element]:
+            size = len("".join(text.split()))
+            own[element] += size
+            prose[element] += 0 if in_link[element] else size
+    chosen = page.dropped[:]
+    forms: list[int] = []
+    if page.weak:
+        fields, at = _below(page, own), [0] * n
+        for i in page.fields:
+            at[i] = 1
+        held = _below(page, at)
+        for i in page.weak:
+            if fields[i] < FORM_CHARS * held[i]:
+                chosen[i] = True
+            else:
+                forms.append(i)
+    page.weak = forms
+    mains = _below(page, [int(t == "main") for t in tags])
+    named = {i for i in page.named if not mains[i]}
+    for i in named:
+        chosen[i] = True
+    page.dropped = inherited(chosen)
+    if not named:
+        return
+    left = sum(c for i, c in enumerate(prose) if not page.dropped[i])
+    holds = _below(page, prose)
+    most = max(named - page.comments, key=lambda i: (holds[i], -i), default=0)
+    articles = any(c and not page.dropped[i] for i, c in enumerate(_below(page, own)) if tags[i] in ("article", "main"))
+    if most and holds[most] > TOO_MUCH * left and not articles:
+        # Names inside it still count, those around it do not.
+        i = most
+        while i:
+            chosen[i] &= i not in named
+            i = parents[i]
+        page.dropped = inherited(chosen)
+
+
 def _main_text(page: Page) -> str:
+    _rule_out(page)
     n, parents, tags = len(page.tags), page.parents, page.tags
     measured = _measured(page)
-    if measured is not None and page.unsure:
+    if measured is not None and (page.unsure or page.weak):
         best, _, chars = measured
         holds, i = {0}, best
         while i:
             holds.add(i)
             i = parents[i]
-        unsure, inside = set(page.unsure), [not best] * n
+        unsure, inside = {*page.unsure, *page.weak}, [not best] * n
+        # An article or main element elsewhere speaks against a form.
+        keeps = [int(chars[i] > 0 and not page.dropped[i] and tags[i] in ("article", "main")) for i in range(n)]
+        in_it, outside = _below(page, keeps), keeps[:]
+        for i in range(1, n):
+            outside[i] += outside[parents[i]]
+        unfit = {i for i in page.weak if in_it[0] > in_it[i] + outside[parents[i]]}
         for i in range(1, n):
             inside[i] = i == best or inside[parents[i]]
-            main = i in holds or inside[i] and 2 * chars[i] > chars[best]
+            main = i not in unfit and (i in holds or inside[i] and 2 * chars[i] > chars[best])
             page.dropped[i] |= page.dropped[parents[i]] or i in unsure and not main
         measured = _measured(page)
     if measured is None:
@@ -299,11 +403,12 @@ def _main_text(page: Page) -> str:
     blocks, block = [], []
     for element, text in [*page.runs, (0, None)]:
         if text is None:
-            if block and (whole := " ".join(unescape("".join(block)).split())):
+            if block and (whole := " ".join("".join(block).split())):
                 blocks.append(whole)
             block = []
         elif not page.dropped[element] and chosen[element]:
-            block.append(text)
+            # A reference doesn't go on behind a tag.
+            block.append(unescape(text))
     return "\n\n".join(blocks)
 
 

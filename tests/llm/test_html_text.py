@@ -115,3 +115,38 @@ def test_a_wrapper_named_like_chrome_keeps_its_article():
             assert text.count("The river rose") == 18 and "Share this" not in text and "Other news" not in text, name
     page = f"<div class='post'>{prose}</div><div class='comment-list'>{prose.replace('river', 'reader') * 9}</div>"
     assert "river" in main_text(page) and "reader" not in main_text(page)
+
+
+ARTICLE = "<p>" + "The river rose over its banks, and the town waited for the night to end. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        "<div class='elementor-widget-container'>%s</div>",
+        "<div class='elementor-element elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'>%s</div></div>",
+        "<div class='content-sidebar-wrap'><main>%s</main><aside>beside</aside></div>",
+        "<div class='widget Blog'>%s</div>",
+        "<section id='discussion'>%s</section><section id='more'><p>A smaller section.</p></section>",
+        "<form id='aspnetForm'><input type=hidden name=__VIEWSTATE value=x><input name=q>%s</form>",
+        *[f"<div class='{name}'>%s</div>" for name in ("banner", "search", "overlay", "content-widget", "popup page", "alert")],
+    ],
+)
+def test_page_builders_wrappers_keep_the_article(wrapped):
+    for body in (f"<p>Welcome to the site.</p>{wrapped % (ARTICLE * 3)}", f"{wrapped % (ARTICLE * 3)}<p>See you again.</p>", wrapped % (ARTICLE * 3)):
+        text = main_text(page(MENU + body + "<div class='sidebar'><p>Left out.</p></div>"))
+        assert text.count("The river rose") == 18 and "Left out" not in text and "beside" not in text, body[:80]
+
+
+def test_forms_and_comments_do_not_win():
+    comments = f"<div class='comments'>{ARTICLE.replace('river', 'reader') * 30}</div>"
+    assert main_text(page(f"<div>{ARTICLE}</div>{comments}")).count("rose") == 6
+    terms = f"<form>{ARTICLE * 5}<button>Agree</button></form>"
+    assert main_text(page(f"<article><p>{PROSE}</p></article>{terms}")) == PROSE
+
+
+def test_attributes_comments_and_references_as_in_a_browser():
+    assert main_text("<p>First.</p><p title=it's>Second isn't lost.</p><p>Third's.</p>") == "First.\n\nSecond isn't lost.\n\nThird's."
+    assert main_text("<p title = 'a>b' x=\"c>d\" y==z>One</p>") == "One"
+    assert main_text("<p>a<!-->b<!--->c<!-- x --!>d<!-- y -->e</p>") == "abcde"
+    assert main_text("<p>&<b>lt;</b> &lt;x&gt; &am<i>p;</i></p>") == "&lt; <x> &amp;"
