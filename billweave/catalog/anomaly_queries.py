@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from billweave.sources.normalise import union_sources
 START, END = date.fromisoformat(FIRST_DAY), date.fromisoformat(END_DAY)
 FROM_DAY = date(1995, 4, 1)
 NOW = datetime(2002, 1, 1)
+LATER = NOW + timedelta(days=1)
 SETTLING = 2
 
 
@@ -355,3 +356,49 @@ register(
     _visible,
     _merged_sql(where="last_day >= DATE '2001-08-17' AND NOT (scope_kind = 'account' AND scope_key = 'NATION_3')"),
 )
+
+
+ACKNOWLEDGED = 3
+
+
+def _escalated(spark, d):
+    """The first check sees accounts' findings as low ones; the first few anomalies of each kind of series are
+    acknowledged then. The second check gives all findings their severity: acknowledged anomalies that rise by
+    it open again as escalated. It comes with an earlier last day, which does not move the history back."""
+    rules, today = RULE_SETS["floors_lookback_14"], NOW.date()
+    found = written(_findings(spark, d, rules), scratch_dir(spark, "findings"))
+    low = F.when(F.col("scope_kind") == "account", "low").otherwise(F.col("severity"))
+    first = inbox.apply_run(
+        inbox.InboxState.empty(spark), "star", (START, END), found.withColumn("severity", low), today, NOW, fingerprint="a", last_checked_day=END
+    )
+    folder = scratch_dir(spark, "state")
+    state = inbox.InboxState(
+        *[written(t, f"{folder}/{name}") for name, t in (("a", first.anomalies), ("m", first.mutes), ("r", first.runs))]
+    )
+    for kind in ("account", "service"):
+        ids = state.anomalies.where(F.col("scope_kind") == kind).orderBy("id").select("id").limit(ACKNOWLEDGED)
+        for row in ids.collect():
+            state = inbox.acknowledge(state, row.id, NOW)
+    state = inbox.apply_run(state, "star", (START, END), found, today, LATER, fingerprint="b", last_checked_day=START)
+    runs = state.runs.select("source_id", "last_checked_day", "outcome", "fingerprint", "last_run_at")
+    listed = state.anomalies.join(runs, "source_id")
+    columns = ["id", "severity", "status", "escalated", "last_checked_day", "outcome", "fingerprint", "last_run_at"]
+    return present(listed.select(*columns))
+
+
+def _escalated_sql():
+    rules = RULE_SETS["floors_lookback_14"]
+    return sql(
+        f"""SELECT id, CASE rank WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
+        CASE WHEN place > {ACKNOWLEDGED} OR rises THEN 'open' ELSE 'acknowledged' END AS status,
+        place <= {ACKNOWLEDGED} AND rises AS escalated, '{END:%Y-%m-%d}' AS last_checked_day, 'ok' AS outcome, 'b' AS fingerprint,
+        '{LATER:%Y-%m-%d %H:%M:%S}' AS last_run_at
+        FROM (SELECT *, row_number() OVER (PARTITION BY scope_kind ORDER BY id) AS place,
+          scope_kind = 'account' AND rank > 0 AS rises FROM merged)""",
+        *grid_ctes(rules.lookback_days, rules.memory_days),
+        findings_cte(rules),
+        ISLANDS_CTE,
+    )
+
+
+register("inbox_escalation", _escalated, _escalated_sql())

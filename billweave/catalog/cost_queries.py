@@ -19,7 +19,7 @@ from billweave.catalog.star import (
     r2,
     sql,
 )
-from billweave.functions.periods import months_overlapping, previous_period
+from billweave.functions.periods import auto_granularity, months_overlapping, previous_period
 from billweave.model import (
     CostFilter,
     CostMetric,
@@ -527,6 +527,81 @@ register(
     ),
 )
 
+# Everything that SQL text or a pattern could take for something else.
+ODD = "it's 100%_of \\ \"x\"; -- "
+
+
+def _odd_values(spark, d):
+    """Filter values are literals, whatever characters they have."""
+    nc = nc_for(spark, d, Dimension.SERVICE, Dimension.REGION, tags=True)
+    odd = nc.withColumns(
+        {
+            "service_name": F.concat(F.lit(ODD), "service_name"),
+            "tags": F.map_from_arrays(F.transform(F.map_keys("tags"), lambda k: F.concat(F.lit(ODD), k)), F.map_values("tags")),
+        }
+    )
+    tag = TagFilter(ODD + "Segment", TagOp.IN, ("BUILDING", "' OR '1'='1"))
+    f = replace(YEAR_98, services=(ODD + "LARGE", ODD + "SMALL", "%"), tags=(tag,))
+    return present(costs.breakdown(odd, f, Dimension.REGION))
+
+
+register(
+    "filter_values_are_literals",
+    _odd_values,
+    sql(
+        f"""SELECT region AS key, 'USD' AS currency, {r2('sum(amortized_cost)')} AS total, count(*) AS row_count FROM nc
+        WHERE {IN_98} AND service_name IN ('LARGE', 'SMALL') AND tag_segment = 'BUILDING' GROUP BY region"""
+    ),
+)
+
+# A range for each granularity: up to 90 days, up to three years, beyond.
+_AUTO = {"day": ("1998-02-01", "1998-05-02"), "month": ("1997-01-01", "2000-01-02"), "year": ("1996-01-01", "2000-01-01")}
+
+
+def _auto(spark, d):
+    nc, out = nc_for(spark, d), None
+    for start, end in _AUTO.values():
+        f = CostFilter.between(start, end)
+        f = replace(f, granularity=auto_granularity((f.end - f.start).days))
+        rows = costs.timeseries(nc, f).select(F.lit(f.granularity.value).alias("granularity"), "*")
+        out = rows if out is None else out.unionAll(rows)
+    return present(out)
+
+
+register(
+    "timeseries_auto_granularity",
+    _auto,
+    sql(
+        " UNION ALL ".join(
+            f"""SELECT '{g}' AS granularity, strftime(date_trunc('{g}', usage_start), '%Y-%m-%d %H:%M:%S') AS period, 'USD' AS currency,
+            {r2('sum(amortized_cost)')} AS total, count(*) AS row_count FROM nc
+            WHERE usage_start >= TIMESTAMP '{a}' AND usage_start < TIMESTAMP '{b}' GROUP BY 2"""
+            for g, (a, b) in _AUTO.items()
+        )
+    ),
+)
+
+
+def _null_order(spark, d):
+    """Services by cost, with their places: those whose costs are all NULL come last, the one without a name
+    after the others. There are a few services, so one task may number them."""
+    nc = nc_for(spark, d, Dimension.SERVICE)
+    nc = nc.withColumn("amortized_cost", F.when(F.col("service_name") != "LARGE", F.col("amortized_cost")))
+    ordered = costs.breakdown(nc, YEAR_98, Dimension.SERVICE).coalesce(1)
+    return present(ordered.withColumn("position", F.monotonically_increasing_id()))
+
+
+register(
+    "breakdown_null_order",
+    _null_order,
+    sql(
+        f"""SELECT service_name AS key, 'USD' AS currency, {r2('total')} AS total, row_count,
+          row_number() OVER (ORDER BY total DESC NULLS LAST, service_name NULLS LAST) - 1 AS position
+        FROM (SELECT service_name, sum(CASE WHEN service_name <> 'LARGE' THEN amortized_cost END) AS total, count(*) AS row_count
+          FROM nc WHERE {IN_98} GROUP BY service_name)"""
+    ),
+)
+
 # --- lookups and search ---------------------------------------------------------------------------
 
 for _dimension in (Dimension.SERVICE, Dimension.ACCOUNT, Dimension.REGION, Dimension.RESOURCE):

@@ -44,7 +44,7 @@ def test_a_source_that_changed_format(spark, tmp_path):
     write_month(focus(spark, "2026-08-10", 7.0), tmp_path, "2026-08", name="billing_period")
     write_month(cur_raw(spark, [(r, f) for r, f, _, _ in CUR_SCENARIOS], "2026-09-15"), tmp_path, "2026-09")
     nc = load_source(spark, str(tmp_path))
-    assert totals(nc) == {"focus10": 5.0, "focus12": 7.0, "cur2": 145.0}
+    assert totals(nc) == {"focus10": 5.0, "focus12": 7.0, "cur2": 234.0}
     assert totals(load_source(spark, str(tmp_path), date(2026, 8, 1), date(2026, 9, 1))) == {"focus12": 7.0}
     assert all("billing_period=2026-08" in r.source_file for r in nc.where("source_format = 'focus12'").collect())
 
