@@ -86,7 +86,7 @@ def test_files_of_one_month_that_differ(spark, tmp_path):
         (part,) = (tmp_path / f"raw{i}").glob("*.parquet")
         part.rename(folder / f"{i}.parquet")
     nc = load_source(spark, str(tmp_path))
-    assert totals(nc) == {"focus12": 1111.0, "cur2": 100.0}
+    assert totals(nc) == {"focus12": 1111.0, "cur2": float(CUR_SCENARIOS[0][3])}
     assert nc.where("usage_start IS NULL OR amortized_cost IS NULL").count() == 0
     assert sorted(r.n for r in nc.select(F.size(F.map_keys("tags")).alias("n")).where("n > 0").collect()) == sorted(
         r.n for r in nc.where("tags IS NOT NULL AND size(map_keys(tags)) > 0").select(F.size(F.map_keys("tags")).alias("n")).collect()
