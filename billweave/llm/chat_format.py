@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
-from billweave.llm.common import stored
+from billweave.llm.common import aside, named, stored
 
 ROLES = ("system", "user", "assistant")
 #: Names of speakers and their role.
@@ -165,6 +165,16 @@ def transcript_lines(transcripts: DataFrame, conv_id: str = "conv_id", text: str
     return each.select(conv_id, F.col("turn").cast("long"), F.lit(None).cast("string").alias("role"), "text")
 
 
+def transcribed(lines: DataFrame, shown: Column, role: str = "role", text: str = "text") -> DataFrame:
+    """Turns with roles as the lines of a transcript: the speaker's marker before the text where ``shown``
+    is true and the role a known one, and no role but in ``given_role``, to compare with."""
+    name = F.lower(F.trim(named(role)))
+    marker = F.when(shown & name.isin(*SPEAKERS), F.concat(F.initcap(name), F.lit(": ")))
+    body = F.concat(F.coalesce(marker, F.lit("")), F.coalesce(named(text), F.lit("")))
+    own = [c for c in lines.columns if c.lower() not in {role.lower(), text.lower(), "given_role"}]
+    return lines.select(*[named(c) for c in own], named(role).alias("given_role"), body.alias(text))
+
+
 def count_model(blocks: DataFrame) -> SpeakerModel:
     """Count the model from all lines with a marker; the counts that reach the driver are of fixed number."""
 
@@ -283,20 +293,21 @@ def numbered(lines: DataFrame) -> DataFrame:
     return found.select(*lines.columns, (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
 
 
-def recover_roles(lines: DataFrame, conv_id: str = "conv_id", position: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``lines`` with ``speaker``, the role recovered, ``starts_turn`` (another role spoke before),
+def recover_roles(lines: DataFrame, conv_id: str = "conv_id", position: str = "turn", role: str | None = "role", text: str = "text") -> DataFrame:
+    """``lines`` with ``speaker``, the role recovered (without a column of roles from the texts alone), ``starts_turn`` (another role spoke before),
     ``is_first`` and ``is_last`` (of its conversation)."""
-    own = [c for c in lines.columns if c.lower() not in NEW]
-    place = F.coalesce(F.col(position).cast("long"), F.lit(-1))
-    mark = F.xxhash64(F.coalesce(F.col(role), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
-    keyed = lines.select(*own, F.col(conv_id).alias("_conv"), place.alias("_at"), mark.alias("_mark"))
-    coded = keyed.select(
-        F.col("_conv").alias("conv"),
-        F.col("_at").alias("at"),
-        F.col("_mark").alias("mark"),
-        marker_of(F.col(role), F.col(text)).alias("marker"),
-        features_of(F.col(text), F.col(position)).alias("code"),
+    away, back = aside([c for c in lines.columns if c.lower() not in NEW])
+    at, body, said_by = named(position), named(text), F.lit(None).cast("string") if role is None else named(role)
+    mark = F.xxhash64(F.coalesce(said_by, F.lit("\x00")), F.coalesce(body, F.lit("\x00")))
+    keyed = lines.select(
+        *away,
+        named(conv_id).alias("_conv"),
+        F.coalesce(at.cast("long"), F.lit(-1)).alias("_at"),
+        mark.alias("_mark"),
+        marker_of(said_by, body).alias("_marker"),
+        features_of(body, at).alias("_code"),
     )
+    coded = keyed.select(*[F.col(f"_{c}").alias(c) for c in ("conv", "at", "mark", "marker", "code")])
     # Equal lines are one.
     coded = coded.groupBy("conv", "at", "mark").agg(F.min("marker").alias("marker"), F.min("code").alias("code"))
     placed = numbered(coded).withColumn("block", F.floor(F.col("n") / BLOCK).cast("long"))
@@ -355,7 +366,7 @@ def recover_roles(lines: DataFrame, conv_id: str = "conv_id", position: str = "t
 
     said = _by_block(with_ends(blocks, fixed), decoded, f"conv {kind}, at bigint, mark bigint, speaker string, starts_turn boolean, is_first boolean, is_last boolean")
     same = keyed["_conv"].eqNullSafe(said["conv"]) & (keyed["_at"] == said["at"]) & (keyed["_mark"] == said["mark"])
-    return keyed.join(said, same, "left").select(*[keyed[c] for c in own], *NEW)
+    return keyed.join(said, same, "left").select(*back, *NEW)
 
 
 def render(lines: DataFrame, text: str = "text") -> DataFrame:

@@ -72,6 +72,26 @@ def free_names(df: DataFrame, *wished: str) -> list[str]:
     return [next(n for n in (f"_{name}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken) for name in wished]
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def aside(columns: list[str]) -> tuple[list[Column], list[Column]]:
+    """The columns as ``own0``, ``own1``, ..., and those under their names again. With all columns of a
+    caller renamed, an operator's names cannot clash with them."""
+    away = [named(c).alias(f"own{i}") for i, c in enumerate(columns)]
+    return away, [F.col(f"own{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def whole_number(df: DataFrame, name: str) -> Column:
+    """An id as a long; ids that are no integers are refused."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"column '{name}' must hold integers, not {kind.simpleString()}; number the documents first")
+    return named(name).cast("long")
+
+
 def map_batches(
     df: DataFrame,
     new: list[tuple[str, str]],

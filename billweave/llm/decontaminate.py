@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import byte_table, map_batches, stored, texts
+from billweave.llm.common import byte_table, free_names, map_batches, named, stored, texts, whole_number
 
 WINDOW = 10
 BLOCK_WORDS = 500_000
@@ -106,7 +106,7 @@ def ranges(marks: np.ndarray) -> list[int]:
 def item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks of bounded size, read partition by partition and never all at once."""
     block, size = [], 0
-    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long"), text)
+    rows = benchmark.where(F.col(text).isNotNull()).select(whole_number(benchmark, item_id), text)
     for item, words in rows.toLocalIterator():
         many = len(words_of(words))
         if block and size + many > BLOCK_WORDS:
@@ -156,25 +156,26 @@ def remove_hits(
     cut until nothing hits; with several blocks the rounds over all of them end when one cuts nothing.
     Texts without hits stay as they are, byte for byte.
     """
+    words, left, changed = names = free_names(docs, "words", "left", "cut")
     out, rounds = docs, 0
     while True:
         several = 0
         for block in item_blocks(benchmark, item_id, item_text):
             shared = docs.sparkSession.sparkContext.broadcast(TestWindows(block, n))
             out = stored(out, "cut") if several or rounds else out
-            out = _cut_by(out, shared, text, first_round=not rounds, first=not several)
+            out = _cut_by(out, shared, text, names, first_round=not rounds, first=not several)
             several += 1
         rounds += 1
         if several == 1:
             break
         out = stored(out, "cut")
-        if out.where("_cut").isEmpty():
+        if out.where(changed).isEmpty():
             break
-    return out.where(F.col("_left") >= least_left * F.col("_words")).select(*docs.columns)
+    return out.where(F.col(left) >= least_left * F.col(words)).select(*[named(c) for c in docs.columns])
 
 
-def _cut_by(docs: DataFrame, shared, text: str, first_round: bool, first: bool) -> DataFrame:
-    """Cut by one block. ``_words``: words at the start, ``_left``: words now, ``_cut``: cut in this round."""
+def _cut_by(docs: DataFrame, shared, text: str, names: list[str], first_round: bool, first: bool) -> DataFrame:
+    """Cut by one block. The columns of ``names``: words at the start, words now, cut in this round."""
 
     def function(batch: pa.RecordBatch) -> list[pa.Array]:
         column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
@@ -190,13 +191,13 @@ def _cut_by(docs: DataFrame, shared, text: str, first_round: bool, first: bool)
                 marked = ranges(windows.scan(words)[0])
             left.append(len(words))
         if not first_round or not first:
-            counts = column("_words")
+            counts = column(names[0])
         if not first:
-            changed = [a or b for a, b in zip(changed, column("_cut"), strict=True)]
+            changed = [a or b for a, b in zip(changed, column(names[2]), strict=True)]
         return [pa.array(bodies, batch.schema.field(text).type), pa.array(counts, pa.int64()), pa.array(left, pa.int64()), pa.array(changed, pa.bool_())]
 
     kind = docs.schema[text].dataType.simpleString()
-    return map_batches(docs, [(text, kind), ("_words", "bigint"), ("_left", "bigint"), ("_cut", "boolean")], function)
+    return map_batches(docs, [(text, kind), *zip(names, ("bigint", "bigint", "boolean"), strict=True)], function)
 
 
 def cut(text: str, marked: list[int]) -> str:

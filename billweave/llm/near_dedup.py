@@ -11,9 +11,10 @@
    there, the others are verified on their full sets. Verified pairs are merged into components.
 4. Buckets that still hold several components go on, first with another representative. Then members
    meet all members of other components: those of small buckets as pairs, those of larger ones in blocks
-   of at most ``BLOCK`` members whose overlaps are counted at once, so that only similar pairs leave a
-   block. So no pair that shares a bucket is left out unless it is connected already, and a bucket full of
-   copies costs one pair per member and no more.
+   of about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, whose overlaps are counted at once, so that
+   only similar pairs leave a block. The members outside a bucket's largest component have blocks of their
+   own, and only these meet others: a bucket full of copies with a few strangers sends each copy once per
+   block of strangers. So no pair that shares a bucket is left out unless it is connected already.
 
 A pair with similarity 0.8 shares no bucket with a probability of 3 in a million.
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import byte_table, stored
+from billweave.llm.common import byte_table, stored, whole_number
 from billweave.llm.components import components
 
 REGISTERS = 256
@@ -47,9 +48,8 @@ MANTISSA = 10
 MARGIN = 6.0
 #: Members of a bucket that are compared pair by pair; those of larger ones are compared in blocks.
 SMALL_BUCKET = 8
-BLOCK = 1024
-#: Shingles that a text may lose to equal 32-bit hashes in a block; the pairs found are verified in full.
-SLACK = 2
+#: Members of a block, at most, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 23
 #: Cells of a block's matrix of texts and shingles, at most.
 CELLS = 20_000_000
 EMPTY = 0xFFFF
@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     ``component_id`` is the smallest doc_id that links reach, ``kept`` whether it is the document itself.
     """
     threshold = percent / 100
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    plain = docs.select(whole_number(docs, doc_id).alias("id"), F.col(text).alias("text"))
     sketch = stored(sketches(plain, shingle, threshold), "sketches")
     node = sketch.where("id IS NOT NULL AND n > 0")
     same = stored(node.groupBy("digest").agg(F.min("id").alias("rep")), "same-sets")
@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     other = small.select("key", F.col("id").alias("a"), F.col("component").alias("of"))
     within = small.join(other, "key").where("component < of").select("a", "id")
     crowd = members.where(F.col("size") > SMALL_BUCKET)
-    new = _new_pairs(within.unionAll(_similar_in_blocks(crowd, sets, percent)), tried)
+    new = _new_pairs(within.unionAll(_similar_in_blocks(crowd, sets, signed.select("id", "n").distinct(), percent)), tried)
     found = stored(_passing(new, signed, sets, percent), "links")
     if not found.isEmpty():
         label = stored(components(edges.unionAll(found)), "labels")
@@ -287,9 +287,32 @@ def _new_pairs(met: DataFrame, tried: DataFrame) -> DataFrame:
     return stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
 
 
-def _similar_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame) -> DataFrame:
+    """``(key, id, component, x, y, own)`` from ``(key, id, component, n)``: each member once for each two
+    blocks, ``own`` among them, that have to meet. Blocks below ``strangers`` hold members outside the
+    bucket's largest component; the others, whose members are all of it, need not meet each other."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    largest = F.struct("size", "component")
+    total = sizes.groupBy("key").agg(F.max(largest).alias("most"), F.max_by("n", largest).alias("n_most"), F.sum("size").alias("size"), F.sum("n").alias("n"))
+    many = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / BLOCK_SHINGLES))
+    total = total.select(
+        "key",
+        F.col("most.component").alias("main"),
+        many(F.col("size") - F.col("most.size"), F.col("n") - F.col("n_most")).alias("strangers"),
+        many(F.col("most.size"), F.col("n_most")).alias("copies"),
+    )
+    rows = members.join(total, "key")
+    stranger = F.col("component") != F.col("main")
+    place = F.xxhash64("id")
+    rows = rows.withColumn("own", F.when(stranger, F.pmod(place, "strangers")).otherwise(F.col("strangers") + F.pmod(place, "copies")))
+    last = F.when(stranger, F.col("strangers") + F.col("copies")).otherwise(F.col("strangers")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return rows.select("key", "id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+
+
+def _similar_in_blocks(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """``(a, id)`` of different components in a bucket that look similar enough on 32 bits of each hash,
-    from ``(key, id, size, component)``. A bucket of several blocks is one row for each two of them."""
+    from ``(key, id, size, component)`` and ``sizes(id, n)``. Each two blocks that meet are one row."""
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,9 +321,8 @@ def _similar_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(short, pa.binary())], ["id", "n", "short"])
 
     short = sets.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(shorten, "id bigint, n bigint, short binary")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = members.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    rows = rows.join(short, "id").select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.struct("id", "component", "own", "n", "short").alias("m"))
+    rows = _blocks(members.select("key", "id", "component").join(sizes, "id")).join(short, "id")
+    rows = rows.select("key", "x", "y", F.struct("id", "component", "own", "n", "short").alias("m"))
     gathered = rows.groupBy("key", "x", "y").agg(F.collect_set("m").alias("members")).select("x", "y", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +357,9 @@ def _similar_members(block: list[dict], across: bool, percent: int) -> Iterator[
         matrix = np.zeros((len(block), min(step, width - start)), dtype=np.float32)
         matrix[owner[part], number[part] - start] = 1
         common += matrix[outside] @ matrix.T
-    most = common + SLACK
+    # Shingles that a text lost to equal short hashes; a pair has lost no more in common than either.
+    lost = n - np.array([len(t) for t in tokens])
+    most = common + np.minimum(lost[outside][:, None], lost[None, :])
     similar = (100 * most >= percent * (n[outside][:, None] + n[None, :] - most)) & (component[outside][:, None] != component[None, :])
     similar &= 100 * np.minimum(n[outside][:, None], n[None, :]) >= percent * np.maximum(n[outside][:, None], n[None, :])
     if across:

@@ -36,8 +36,8 @@ MARK = "▁"
 MULTIPLIER = 0xD1342543DE82EF95
 #: Remembered words and pairs per task; results don't depend on it.
 MEMORY = 600_000
-#: Words encoded together, at most.
-ROWS = 8192
+#: Words encoded together, at most, and their characters.
+ROWS, CELLS = 8192, 1 << 20
 #: Texts are taken in groups of about so many characters.
 GROUP = 4_000_000
 
@@ -223,8 +223,9 @@ class Encoder:
             by_size[len(run)].append(run)
         ids: dict[str, bytes] = {}
         for size, rows in by_size.items():
-            for k in range(0, len(rows), ROWS):
-                ids.update(zip(rows[k : k + ROWS], self.viterbi(rows[k : k + ROWS], size), strict=True))
+            many = max(1, min(ROWS, CELLS // size))
+            for k in range(0, len(rows), many):
+                ids.update(zip(rows[k : k + many], self.viterbi(rows[k : k + many], size), strict=True))
         for w, ps in mixed.items():
             self.memory[w] = b"".join(ids[p] if p in ids else self.bytes_of(p) for p in ps)
         self.memory.update((w, x) for w, x in ids.items() if w in words)

@@ -8,8 +8,9 @@ Features are hashed from words, their beginnings, their shape (symbols, capitals
 row, repeated lines and the length. Their value is log(1 + rate per thousand words).
 
 Fitting: ``MAX_ROWS`` labelled rows at most, those with the smallest hash of their id, a documented bound
-as is that of the features (``MAX_FEATURES``, the ones that tell top grades from others best; the test
-counts come from Spark with partial sums). Both together bound what the driver holds. All rows of the
+as is that of the features (``MAX_FEATURES``, the ones that tell top grades from others best by a
+likelihood-ratio test whose bound follows the number of features tested, so that ``BY_CHANCE`` of them
+would pass if none told anything; the counts come from Spark with partial sums). Both together bound what the driver holds. All rows of the
 table are scored, each task with the weights, which are broadcast.
 
 Edge cases: labels without an id or a rating are left out; without labels, or with a single grade, every
@@ -25,6 +26,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 from math import log1p
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,8 @@ from billweave.llm.common import map_batches, stored, texts
 DIMENSIONS = 1 << 18
 MAX_ROWS = 20_000
 MAX_FEATURES = 2_000
-#: Features whose share differs less between top and other grades, in standard errors, are not used.
-LEAST_Z = 6.0
+#: Of the features tested, so many may pass by chance; the bound on their deviates follows from it.
+BY_CHANCE = 1.0
 EPOCHS, RATE, DECAY = 600, 0.3, 1e-4
 SYMBOLS = "#*$%&|<>!"
 EDGES = ".,!?;:" + SYMBOLS
@@ -121,7 +123,7 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, least_z: float = LEAST_Z) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, by_chance: float = BY_CHANCE) -> OrdinalModel:
     """Fit on the labelled rows of ``docs``. ``grade`` is an expression on ``labels``; see the module for
     the bounds."""
     rated = labels.select(F.col(doc_id).alias("_id"), grade.cast("int").alias("_grade")).where("_id IS NOT NULL AND _grade IS NOT NULL")
@@ -143,10 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id
         some = np.flatnonzero(hits.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(hits[0, some]), pa.array(hits[1, some])], ["feature", "other", "good"])
 
-    share = (F.col("good") + F.col("other")) / n
-    z = F.abs(F.col("good") / good - F.col("other") / other) / F.sqrt(share * (1 - share) * (1 / good + 1 / other))
     tested = sample.mapInArrow(tally, "feature bigint, other bigint, good bigint").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("other").alias("other"))
-    used = tested.where((F.col("good") + F.col("other") < n) & (z >= least_z)).orderBy(F.desc(z), "feature").limit(max(0, MAX_FEATURES)).select("feature")
+    tested = stored(tested.where(F.col("good") + F.col("other") < n), "tested")
+    z = deviate(F.col("good"), F.col("other"), good, other)
+    bound = NormalDist().inv_cdf(1 - min(0.5, by_chance / (2 * max(1, tested.count()))))
+    used = tested.where(z >= bound).orderBy(F.desc(z), "feature").limit(max(0, MAX_FEATURES)).select("feature")
     columns = sorted(r.feature for r in used.collect())
     wanted = set(columns)
 
@@ -171,6 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, doc_id: str = "doc_id
     return OrdinalModel({f: float(w) for f, w in zip(columns, weights, strict=True)}, tuple(thresholds.tolist()))
 
 
+def deviate(in_good: Column, in_other: Column, good: int, other: int) -> Column:
+    """How far apart a feature's shares of two kinds of texts are, in standard deviations: the root of the
+    log-likelihood ratio, which holds for rare features too."""
+    texts_with, n = in_good + in_other, good + other
+
+    def part(seen: Column, kind: int, among: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (among * kind))).otherwise(F.lit(0.0))
+
+    without = n - texts_with
+    ratio = part(in_good, good, texts_with) + part(in_other, other, texts_with) + part(good - in_good, good, without) + part(other - in_other, other, without)
+    return F.sqrt(F.greatest(2 * ratio, F.lit(0.0)))
+
+
 def descend(owner: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of largest likelihood, by gradient steps scaled per parameter."""
     n = len(y)

@@ -1,18 +1,24 @@
 """Quality rules whose cut-offs follow the data.
 
 Every rule is a ratio of a text. Its cut-off comes from a mergeable quantile sketch (KLL) of that ratio
-per language and source: the quartile plus a multiple of the spread between median and quartile. A
-source with too few texts uses the merged sketch of its language, and none may be laxer than a bound
-that its language sets, so a source that is mostly junk does not make junk its norm.
+per language and source: the quartile plus a multiple of the distance between median and quartile. The
+quartiles of a source are blended with those of its language, which come from the merged sketches, by the
+source's number of texts: ``PRIOR`` texts of a source weigh as much as its language. No source's cut-off
+is laxer than its language's by more than that distance once more, so a source that is mostly junk does
+not make junk its norm.
+
+Most texts have no symbols and no repeats at all. Counts are therefore raised by one before they are
+divided, which makes a ratio say how much of it a text of that length can show: quartiles differ then, and
+they differ between sources of long and of short texts.
 
 Native: DataFrame functions only. Texts are measured once; the measures are written to the shared
 scratch folder and read for the sketches and again for the join with the cut-offs. Sketches are merged
 map-side, so a source with a third of all rows sends one sketch per task.
 
 Edge cases: a null or empty text has no words, fails the base rule and is not kept. Null languages and
-sources are groups like any other. A ratio over no words or no lines is 0. Repeated rows are judged
-alike, each on its own. An empty table gives an empty table. Columns of the input that have a name of
-the new columns are replaced.
+sources are groups like any other. A source none of whose texts pass the base rule has no cut-offs.
+Repeated rows are judged alike, each on its own. An empty table gives an empty table. Columns of the
+input that have a name of the new columns are replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -22,34 +28,35 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import BLANKS, stored, words_of
+from billweave.llm.common import BLANKS, aside, named, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Groups whose cut-offs are broadcast; above it Spark joins them as any table.
 BROADCAST_GROUPS = 20_000
 #: Sketch parameter: ranks are exact up to about this many texts, and within 0.1 % beyond.
 SKETCH_K = 4096
-MIN_GROUP = 100
+#: A source with this many texts weighs as much as its language.
+PRIOR = 100.0
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject above ``q75 + reach * max(q75 - median, spread)`` and, if ``both``, below the mirror of it.
+    """Reject above ``q75 + reach * (q75 - median)`` and, if ``both``, below the mirror of it.
 
-    ``spread`` keeps a rule usable where half of all texts have the same value, 0 mostly.
+    ``least`` stands for the distance where all texts are alike; it is far below that of real texts.
     """
 
     ratio: str
-    spread: float
-    reach: float = 6.0
+    reach: float
+    least: float
     both: bool = False
 
 
 RULES = (
-    Rule("symbol_ratio", 0.05),
-    Rule("dup_line_ratio", 0.125),
-    Rule("repeat_ratio", 0.078125),
-    Rule("mean_word_chars", 0.5, both=True),
+    Rule("symbol_ratio", 20.0, 1e-4),
+    Rule("dup_line_ratio", 15.0, 1e-4),
+    Rule("repeat_ratio", 50.0, 1e-4),
+    Rule("mean_word_chars", 10.0, 1e-2, both=True),
 )
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 QUANTILES = {"lo": 0.25, "mid": 0.5, "hi": 0.75}
@@ -96,13 +103,15 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ratios() -> dict[str, Column]:
-    """The columns that ``RULES`` look at, from the counts."""
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    """The columns that ``RULES`` look at, from the counts: symbols, repeated lines and repeated words by
+    words, each raised by one, and the mean length of a word."""
+    raised = lambda count: (F.col(count) + 1).cast("double") / (F.col("n_words") + 1).cast("double")
+    length = F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double"))
     return {
-        "symbol_ratio": per("n_symbols", "n_words"),
-        "dup_line_ratio": per("n_dup_lines", "n_lines"),
-        "repeat_ratio": per("n_repeat_words", "n_words"),
-        "mean_word_chars": per("word_chars", "n_words"),
+        "symbol_ratio": raised("n_symbols"),
+        "dup_line_ratio": raised("n_dup_lines"),
+        "repeat_ratio": raised("n_repeat_words"),
+        "mean_word_chars": F.coalesce(length, F.lit(0.0)),
     }
 
 
@@ -121,18 +130,18 @@ def cutoffs(measured: DataFrame, rules: tuple[Rule, ...] = RULES, lang: str = "l
     languages = groups.groupBy("_lang").agg(*merged).select(F.col("_lang").alias("_of"), F.struct(*quantiles).alias("_all"))
     groups = groups.select("_lang", "_source", "_n", F.struct(*quantiles).alias("_own"))
     both = groups.join(languages, groups["_lang"].eqNullSafe(languages["_of"]))
+    weight = F.col("_n").cast("double")
     columns = []
     for r in rules:
-        def bounds(of: str, r: Rule = r) -> tuple[Column, Column]:
-            lo, mid, hi = (F.col(of)[f"{r.ratio}_{n}"] for n in QUANTILES)
-            return lo - r.reach * F.greatest(mid - lo, F.lit(r.spread)), hi + r.reach * F.greatest(hi - mid, F.lit(r.spread))
-
-        (own_lo, own_hi), (all_lo, all_hi) = bounds("_own"), bounds("_all")
-        few, slack = F.col("_n") < MIN_GROUP, r.reach * r.spread
+        everything = {n: F.col("_all")[f"{r.ratio}_{n}"] for n in QUANTILES}
+        own = {n: (weight * F.col("_own")[f"{r.ratio}_{n}"] + PRIOR * q) / (weight + PRIOR) for n, q in everything.items()}
+        distance = lambda a, b, r=r: r.reach * F.greatest(b - a, F.lit(r.least))
+        most = everything["hi"] + 2 * distance(everything["mid"], everything["hi"])
+        columns.append(F.least(own["hi"] + distance(own["mid"], own["hi"]), most).alias(f"{r.ratio}_hi"))
         if r.both:
-            columns.append(F.when(few, all_lo).otherwise(F.greatest(own_lo, all_lo - slack)).alias(f"{r.ratio}_lo"))
-        columns.append(F.when(few, all_hi).otherwise(F.least(own_hi, all_hi + slack)).alias(f"{r.ratio}_hi"))
-    return both.select("_lang", "_source", *columns)
+            least = everything["lo"] - 2 * distance(everything["lo"], everything["mid"])
+            columns.append(F.greatest(own["lo"] - distance(own["lo"], own["mid"]), least).alias(f"{r.ratio}_lo"))
+    return both.select("_lang", "_source", "_n", *columns)
 
 
 def quality_rules(
@@ -147,9 +156,9 @@ def quality_rules(
 
     See the module for nulls, ties and empty input.
     """
-    carried = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {*MEASURES, "base_failed", "kept"}]
-    measured = measures(docs, text)
-    measured = stored(measured.select(*carried, F.col(lang).alias("_l"), F.col(source).alias("_s"), *MEASURES), "quality")
+    away, back = aside([c for c in (docs.columns if carry is None else carry) if c.lower() not in {*MEASURES, "base_failed", "kept"}])
+    plain = docs.select(*away, named(text).alias("_text"), named(lang).alias("_l"), named(source).alias("_s"))
+    measured = stored(measures(plain, "_text").drop("_text"), "quality")
     table = stored(cutoffs(measured, rules, "_l", "_s"), "cutoffs")
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
@@ -159,4 +168,4 @@ def quality_rules(
         fine &= F.coalesce(value[r.ratio] <= F.col(f"{r.ratio}_hi"), F.lit(True))
         if r.both:
             fine &= F.coalesce(value[r.ratio] >= F.col(f"{r.ratio}_lo"), F.lit(True))
-    return joined.select(*carried, *MEASURES, base_failed().alias("base_failed"), (~base_failed() & fine).alias("kept"))
+    return joined.select(*back, *MEASURES, base_failed().alias("base_failed"), (~base_failed() & fine).alias("kept"))

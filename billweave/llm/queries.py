@@ -62,30 +62,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op4_sql() -> str:
     ratios = {
-        "symbol_ratio": "CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0 END",
-        "dup_line_ratio": "CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END",
-        "repeat_ratio": "CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END",
-        "mean_word_chars": "CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END",
+        "symbol_ratio": "(n_symbols + 1)::DOUBLE / (n_words + 1)::DOUBLE",
+        "dup_line_ratio": "(n_dup_lines + 1)::DOUBLE / (n_words + 1)::DOUBLE",
+        "repeat_ratio": "(n_repeat_words + 1)::DOUBLE / (n_words + 1)::DOUBLE",
+        "mean_word_chars": "CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words::DOUBLE ELSE 0 END",
     }
-    own, everything, bounds, tests = [], [], [], []
+    picks, bounds, tests = [], [], []
+    prior = f"{quality_rules.PRIOR}::DOUBLE"
     for r in quality_rules.RULES:
         for n, q in quality_rules.QUANTILES.items():
-            pick = f"list_sort(list({r.ratio}))[greatest(1, ceil({q} * count(*))::BIGINT)] AS {r.ratio}_{n}"
-            own.append(pick)
-            everything.append(pick)
-
-        def bound(of: str, side: str, r=r) -> str:
-            lo, mid, hi = (f"{of}.{r.ratio}_{n}" for n in quality_rules.QUANTILES)
-            if side == "hi":
-                return f"{hi} + {r.reach} * greatest({hi} - {mid}, {r.spread}::DOUBLE)"
-            return f"{lo} - {r.reach} * greatest({mid} - {lo}, {r.spread}::DOUBLE)"
-
-        slack = r.reach * r.spread
-        few = f"g.n < {quality_rules.MIN_GROUP}"
-        bounds.append(f"CASE WHEN {few} THEN {bound('a', 'hi')} ELSE least({bound('g', 'hi')}, {bound('a', 'hi')} + {slack}) END AS {r.ratio}_hi")
+            picks.append(f"list_sort(list({r.ratio}))[greatest(1, ceil({q} * count(*))::BIGINT)] AS {r.ratio}_{n}")
+        all_ = {n: f"a.{r.ratio}_{n}" for n in quality_rules.QUANTILES}
+        own = {n: f"((g.n::DOUBLE * g.{r.ratio}_{n} + {prior} * a.{r.ratio}_{n}) / (g.n::DOUBLE + {prior}))" for n in quality_rules.QUANTILES}
+        distance = lambda x, y, r=r: f"{r.reach}::DOUBLE * greatest({y} - {x}, {r.least}::DOUBLE)"
+        bounds.append(f"least({own['hi']} + {distance(own['mid'], own['hi'])}, {all_['hi']} + 2 * ({distance(all_['mid'], all_['hi'])})) AS {r.ratio}_hi")
         tests.append(f"{r.ratio} <= {r.ratio}_hi")
         if r.both:
-            bounds.append(f"CASE WHEN {few} THEN {bound('a', 'lo')} ELSE greatest({bound('g', 'lo')}, {bound('a', 'lo')} - {slack}) END AS {r.ratio}_lo")
+            bounds.append(f"greatest({own['lo']} - {distance(own['lo'], own['mid'])}, {all_['lo']} - 2 * ({distance(all_['lo'], all_['mid'])})) AS {r.ratio}_lo")
             tests.append(f"{r.ratio} >= {r.ratio}_lo")
     return f"""
 WITH split AS (
@@ -108,8 +101,8 @@ counts AS (
 m AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{sql} AS {name}" for name, sql in ratios.items())}
   FROM counts),
-g AS (SELECT lang, source, count(*) AS n, {", ".join(own)} FROM m WHERE NOT base_failed GROUP BY lang, source),
-a AS (SELECT lang, {", ".join(everything)} FROM m WHERE NOT base_failed GROUP BY lang),
+g AS (SELECT lang, source, count(*) AS n, {", ".join(picks)} FROM m WHERE NOT base_failed GROUP BY lang, source),
+a AS (SELECT lang, {", ".join(picks)} FROM m WHERE NOT base_failed GROUP BY lang),
 cut AS (SELECT g.lang, g.source, {", ".join(bounds)} FROM g JOIN a ON g.lang IS NOT DISTINCT FROM a.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce({" AND ".join(tests)}, true) AS kept
@@ -188,8 +181,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = chat_format.recover_roles(table(spark, sf_dir, "conversations"))
-    return chat_format.render(lines).select("conv_id", "turn", "speaker", "starts_turn", "rendered")
+    """Turns as a transcript shows them: speaker markers before three of four, the given role hidden. The
+    recovered role stands beside the given one."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) != 0
+    lines = chat_format.transcribed(given.withColumn("marked", marked), F.col("marked"))
+    said = chat_format.render(chat_format.recover_roles(lines, role=None))
+    return said.select("conv_id", "turn", "marked", "given_role", "speaker", F.col("speaker").eqNullSafe(F.col("given_role")).alias("agrees"), "starts_turn", "rendered")
 
 
 #: The CRC-32 of each ``doc_id`` as text, byte by byte (its polynomial is a fixed value).

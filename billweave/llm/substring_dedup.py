@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.common import BLANKS, map_batches, stored, texts
+from billweave.llm.common import BLANKS, free_names, map_batches, stored, texts, whole_number
 
 REACH = 16
 #: A cut's value is smaller than those of so many words before it, and not greater than of those after.
@@ -162,20 +162,21 @@ def _digest_rows(docs: DataFrame, min_words: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeats cut out of ``text``, ``n_cut`` (words cut) and ``cut_ranges`` (bytes of the
     text as it was: start, end, start, end, ...). Texts without such runs stay as they are."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    plain = docs.select(whole_number(docs, doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     rows = _digest_rows(plain, min_words)
     shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     shared = stored(shared.select("digest", "first"), "shared-runs")
-    repeats = rows.join(shared, "digest").where("id > first").groupBy(F.col("id").alias("_id")).agg(F.collect_set("digest").alias("_repeats"))
-    both = docs.join(repeats, docs[doc_id] == repeats["_id"], "left").drop("_id")
+    of, found = free_names(docs, "id", "repeats")
+    repeats = rows.join(shared, "digest").where("id > first").groupBy(F.col("id").alias(of)).agg(F.collect_set("digest").alias(found))
+    both = docs.join(repeats, docs[doc_id] == repeats[of], "left").drop(of)
     kind = docs.schema[text].dataType.simpleString()
 
     def function(batch: pa.RecordBatch) -> list[pa.Array]:
         bodies, cut, spans = [], [], []
-        for body, own in zip(texts(batch, text), texts(batch, "_repeats"), strict=True):
+        for body, own in zip(texts(batch, text), texts(batch, found), strict=True):
             for column, value in zip((bodies, cut, spans), without_repeats(body, set(own or ()), min_words), strict=True):
                 column.append(value)
         return [pa.array(bodies, batch.schema.field(text).type), pa.array(cut, pa.int64()), pa.array(spans, pa.list_(pa.int32()))]
 
     new = [(text, kind), ("n_cut", "bigint"), ("cut_ranges", "array<int>")]
-    return map_batches(both, new, function).drop("_repeats")
+    return map_batches(both, new, function).drop(found)

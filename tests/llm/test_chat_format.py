@@ -3,6 +3,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from billweave.llm import chat_format as cf
 
@@ -138,3 +139,30 @@ def test_lines_are_numbered_across_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sizes = {None: 50, 1: 1, 2: 120, 3: 3}
     assert len(got) == len(rows) and all(r.n == r.at * sizes[r.conv] + r.mark for r in got)
+
+
+def test_transcribed_turns(spark):
+    rows = [(1, 0, "user", "Hi"), (1, 1, " Assistant", None), (1, 2, "tool", "x"), (1, 3, None, "y"), (1, 4, "system", "z")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], SCHEMA + ", _at string")
+    got = sorted(cf.transcribed(df, F.col("turn") < 4).collect(), key=lambda r: r.turn)
+    assert [r.text for r in got] == ["User: Hi", "Assistant: ", "x", "y", "z"]
+    assert [r.given_role for r in got] == [r[2] for r in rows] and "role" not in got[0].asDict() and got[0]["_at"] == "s"
+
+
+@pytest.mark.parametrize("every, least", [(4, 0.95), (2, 0.9)])
+def test_roles_of_the_given_turns_come_back(spark, every, least):
+    """One of ``every`` turns of the given table has no marker; its role follows from the model."""
+    given = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    lines = cf.transcribed(given.withColumn("marked", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(every)) != 0), F.col("marked"))
+    got = cf.recover_roles(lines, role=None).collect()
+    open_ = [r for r in got if not r.marked]
+    assert len(got) == given.count() and len(open_) > len(got) / (2 * every)
+    assert all(r.speaker == r.given_role for r in got if r.marked)
+    assert sum(r.speaker == r.given_role for r in open_) / len(open_) >= least
+
+
+def test_clashing_names(spark):
+    taken = ["_conv", "_at", "_mark", "_marker", "_code", "own0", "conv", "n", "block", "a.b", "Is_First"]
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, None, "b"), (None, None, None, None)], SCHEMA).select("*", *[F.lit(c).alias(c) for c in taken])
+    got = cf.render(cf.recover_roles(df)).collect()
+    assert len(got) == 3 and all(r[c] == c for r in got for c in taken[:-1])

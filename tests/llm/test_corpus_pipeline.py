@@ -28,17 +28,16 @@ def plain_quality(rows):
                 hit |= {p + k for p in places for k in range(3)}
         n = len(words)
         ratios = (
-            sum(text.count(c) for c in quality_rules.SYMBOLS) / n if n else 0.0,
-            (len(lines) - len(set(lines))) / len(lines) if lines else 0.0,
-            len(hit) / n if n else 0.0,
+            (sum(text.count(c) for c in quality_rules.SYMBOLS) + 1) / (n + 1),
+            (len(lines) - len(set(lines)) + 1) / (n + 1),
+            (len(hit) + 1) / (n + 1),
             sum(map(len, words)) / n if n else 0.0,
         )
         judged.append((row, n < 50 or 100 * len(hit) > 50 * n, ratios))
 
-    def bounds(chosen, r, k):
+    def quartiles(chosen, k):
         values = sorted(x[2][k] for x in chosen)
-        lo, mid, hi = (values[max(1, math.ceil(q * len(values))) - 1] for q in (0.25, 0.5, 0.75))
-        return lo - r.reach * max(mid - lo, r.spread), hi + r.reach * max(hi - mid, r.spread)
+        return [values[max(1, math.ceil(q * len(values))) - 1] for q in (0.25, 0.5, 0.75)]
 
     kept = []
     for row, failed, ratios in judged:
@@ -48,11 +47,10 @@ def plain_quality(rows):
         group = [x for x in language if x[0][3] == row[3]]
         fine = True
         for k, r in enumerate(quality_rules.RULES):
-            lo, hi = bounds(language, r, k)
-            slack = r.reach * r.spread
-            if len(group) >= quality_rules.MIN_GROUP:
-                own_lo, own_hi = bounds(group, r, k)
-                lo, hi = max(own_lo, lo - slack), min(own_hi, hi + slack)
+            wide, n = quartiles(language, k), len(group)
+            a, b, c = ((n * x + quality_rules.PRIOR * y) / (n + quality_rules.PRIOR) for x, y in zip(quartiles(group, k), wide))
+            lo = max(a - r.reach * max(b - a, r.least), wide[0] - 2 * (r.reach * max(wide[1] - wide[0], r.least)))
+            hi = min(c + r.reach * max(c - b, r.least), wide[2] + 2 * (r.reach * max(wide[2] - wide[1], r.least)))
             fine &= ratios[k] <= hi and (not r.both or ratios[k] >= lo)
         if fine:
             kept.append(row)
@@ -187,3 +185,13 @@ def test_scratch_tables_go_with_their_stage(spark, tmp_path):
     out = corpus_pipeline.run(spark, DIR)
     assert out.count() and corpus_pipeline._left == []
     assert len(list(Path(base).glob("sentencepiece-*"))) == 1 and not list(Path(base).glob("near_dedup-*"))
+
+
+def test_the_quality_stage_keeps_columns_named_like_its_counts(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", "-1L AS n_words", "'mine' AS kept", "doc_id AS row", "0 AS `a.b`")
+    got = corpus_pipeline.quality(spark, docs, DIR)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r.n_words == -1 and r.kept == "mine" and r.row == r.doc_id for r in rows)
+    plain = corpus_pipeline.quality(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect())

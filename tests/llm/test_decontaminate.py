@@ -89,3 +89,14 @@ def test_items_without_an_id_mark_words(spark, monkeypatch, block):
     assert got == {1: ([1, 2, 3], []), 2: ([0, 1, 3, 4], [7]), 3: ([], [])}
     clean = {r.doc_id: " ".join(r.text.split()) for r in dc.remove_hits(df, bench, least_left=0.3).collect()}
     assert clean == {1: "x y z q r s t", 2: "x a b", 3: "x y z"}
+
+
+def test_columns_of_any_name_stay(spark):
+    item = "one two three four five six seven eight nine ten"
+    more = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, more + " " + item, "a", "b", "c"), (2, more, "a", "b", "c")], "doc_id long, text string, _words string, _left string, _cut string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.remove_hits(docs, items).collect()}
+    assert got[1].text == got[2].text == more and all((r["_words"], r["_left"], r["_cut"]) == ("a", "b", "c") for r in got.values())
+    with pytest.raises(TypeError, match="item_id"):
+        dc.remove_hits(docs, items.selectExpr("'x' AS item_id", "text"))

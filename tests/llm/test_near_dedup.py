@@ -144,3 +144,46 @@ def test_blocks_lose_no_pair(monkeypatch, cells):
             if i // 3 != j // 3 and (not across or i % 2 != j % 2) and 100 * len(block[i]["set"] & block[j]["set"]) >= 80 * len(block[i]["set"] | block[j]["set"])
         }
         assert want <= got and want
+
+
+def test_a_stranger_in_a_crowd_costs_each_member_once(spark):
+    """20,000 copies and one stranger in a bucket: rows sent grow with the bucket, not with its square."""
+    crowd = spark.range(20_000).selectExpr("7L AS key", "id", "IF(id = 9, 9L, 0L) AS component", "50L AS n")
+    rows = near_dedup._blocks(crowd)
+    assert rows.count() == 19_999 + 1 + 20
+    sizes = rows.groupBy("x", "y").count().collect()
+    assert len(sizes) == 21 and max(r["count"] for r in sizes) < 1200
+
+
+def test_long_members_make_small_blocks(spark):
+    few = spark.range(64).selectExpr("7L AS key", "id", "id % 2 AS component", "2000000L AS n")
+    assert max(r["count"] for r in near_dedup._blocks(few).groupBy("x", "y").count().collect()) < 40
+
+
+def test_blocks_let_all_different_members_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(8)
+    rows = [(k, i, rng.choice([0, 0, 0, 1, 2]) + 100 * k, rng.randint(1, 90)) for k in range(3) for i in range(40 * k + 3)]
+    made = near_dedup._blocks(spark.createDataFrame(rows, "key long, id long, component long, n long")).collect()
+    met = {}
+    for r in made:
+        met.setdefault((r.key, r.x, r.y), []).append(r)
+    pairs = [(k, *sorted((a.id, b.id))) for (k, x, y), block in met.items() for a in block for b in block if a.id < b.id and a.component != b.component and (x == y or a.own != b.own)]
+    want = {(a[0], *sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    assert set(pairs) == want and len(pairs) == len(want)
+
+
+def test_long_texts_at_the_threshold_leave_a_block():
+    """Sets of 270,000 shingles, 80 % alike to the last one, of which equal short hashes hide several."""
+    rng = np.random.default_rng(9)
+    every = rng.integers(0, 2**64, 300_000, dtype=np.uint64)
+    sets = [every[:270_000], np.concatenate((every[:240_000], every[270_000:])), rng.integers(0, 2**64, 270_000, dtype=np.uint64)]
+    short = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in sets]
+    assert min(len(s) - len(t) for s, t in zip(sets, short)) > 2
+    block = [{"id": i, "component": i, "own": 0, "n": len(s), "short": t.tobytes()} for i, (s, t) in enumerate(zip(sets, short))]
+    assert {tuple(sorted(p)) for p in near_dedup._similar_members(block, False, 80)} == {(0, 1)}
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError, match="doc_id"):
+        near_dedup.near_duplicates(spark.createDataFrame([("a", "x y z")], "doc_id string, text string"))

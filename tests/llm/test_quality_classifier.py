@@ -46,7 +46,7 @@ def test_held_out_texts(spark, fitted):
 def test_fitting_is_repeatable_and_bounded(spark, fitted):
     docs, labels, model = fitted
     assert qc.fit(docs.repartition(5), labels.repartition(3), F.col("grade")) == model
-    small = qc.fit(docs, labels, F.col("grade"), max_rows=200, least_z=3.0)
+    small = qc.fit(docs, labels, F.col("grade"), max_rows=200)
     assert small != model and len(small.weights) <= qc.MAX_FEATURES
 
 
@@ -79,3 +79,32 @@ def test_edge_cases(spark, fitted):
     assert qc.classify(df.limit(0), model).collect() == []
     none = qc.fit(docs, labels.limit(0), F.col("grade"))
     assert {(r.expected_grade, r.p_top, r.kept) for r in qc.classify(df, none).collect()} == {(0.0, 1.0, True)}
+
+
+def test_few_labels_give_features(spark):
+    """Some ninety labels, as the smallest tables have."""
+    rows = corpus(90, 4)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = qc.fit(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"), F.col("grade"))
+    held_out = corpus(300, 5)
+    got = qc.classify(spark.createDataFrame(held_out, "doc_id long, text string, grade int"), model).collect()
+    assert model.weights and np.mean([r.kept == (r.grade == 2) for r in got]) > 0.85
+
+
+def test_labels_that_tell_nothing_give_hardly_any_feature(spark):
+    rows = corpus(400, 6)
+    rng = random.Random(7)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = qc.fit(docs, spark.createDataFrame([(r[0], rng.choice([0, 1, 2])) for r in rows], "doc_id long, grade int"), F.col("grade"))
+    assert len(model.weights) <= 5
+
+
+def test_deviates_are_those_of_the_likelihood(spark):
+    rows = [(0, 10), (3, 0), (11, 76), (5, 38), (11, 0)]
+    got = spark.createDataFrame(rows, "a int, b int").select(qc.deviate(F.col("a"), F.col("b"), 11, 76).alias("z")).collect()
+
+    def best(hits, n):
+        return sum(x * np.log(x / n) for x in (hits, n - hits) if x)
+
+    for (a, b), r in zip(rows, got):
+        assert r.z == pytest.approx(max(0, 2 * (best(a, 11) + best(b, 76) - best(a + b, 87))) ** 0.5, abs=1e-6)

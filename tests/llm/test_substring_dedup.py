@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from billweave.llm import substring_dedup as sd
 
 VOCABULARY = [f"word{i}" for i in range(3000)]
@@ -145,3 +147,12 @@ def test_runs_that_one_document_holds_are_cut_whole(spark):
                             marks |= set(range(a, b))
             assert r.n_cut == sum(own[k][1] for k in marks)
             assert r.text.split() == b" ".join(own[k][0] for k in range(len(own)) if k not in marks).decode().split()
+
+
+def test_columns_of_any_name_stay(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, passage, "a", "b"), (2, passage + "\nown words", "a", "b")], "doc_id long, text string, _id string, _repeats string")
+    got = {r.doc_id: r for r in sd.substring_dedup(docs).collect()}
+    assert got[1].n_cut == 0 and got[2].n_cut == 60 and all((r["_id"], r["_repeats"]) == ("a", "b") for r in got.values())
+    with pytest.raises(TypeError, match="doc_id"):
+        sd.substring_dedup(docs.selectExpr("'x' AS doc_id", "text"))
