@@ -30,8 +30,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules reject go. The rows are carried whole, so that columns of the table
+    that are named like the rules' counts stay what they are."""
+    rows = docs.select(F.struct("*").alias("row"), "text", "lang", "source")
+    return quality_rules.quality_rules(rows, carry=["row"]).where("kept").select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
