@@ -1,13 +1,15 @@
 """The storage queries on tables whose keys, months or files the given ones do not have."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 
-from billweave.catalog import QUERIES
+from billweave.catalog import QUERIES, storage_queries
 
 from .test_catalog import TABLES, rows
 
-# Part numbers of six and seven digits beside short ones; two years of days.
+# Part numbers of six and seven digits beside short ones; four years of days.
 STAR = {
     "region": "SELECT i::INT AS r_regionkey, 'R' || i AS r_name FROM range(2) t(i)",
     "nation": "SELECT i::INT AS n_nationkey, 'N' || i AS n_name, (i % 2)::INT AS n_regionkey FROM range(4) t(i)",
@@ -21,7 +23,7 @@ STAR = {
     "lineitem": """SELECT i % 100 AS l_orderkey, [7, 77, 19999, 123456, 199901, 1234567][i % 6 + 1] AS l_partkey, i % 5 AS l_suppkey,
       (i % 7)::INT AS l_linenumber, (1 + i % 50)::DOUBLE AS l_quantity, (100 + i % 997)::DOUBLE AS l_extendedprice,
       0.0::DOUBLE AS l_discount, 0.0::DOUBLE AS l_tax, ['A', 'N', 'R'][i % 3 + 1] AS l_returnflag,
-      ['F', 'O'][i % 2 + 1] AS l_linestatus, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * (i % 730) AS l_shipdate FROM range(4000) t(i)""",
+      ['F', 'O'][i % 2 + 1] AS l_linestatus, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * (i % 1400) AS l_shipdate FROM range(4000) t(i)""",
     "events": "SELECT i AS event_id, TIMESTAMP '1997-01-01' AS ts, i AS user_id, 'e' AS event_type, 1.0::DOUBLE AS value, '' AS props FROM range(3) t(i)",
 }
 
@@ -43,3 +45,24 @@ def same(df, name, con):
 def test_csv_export_of_long_part_numbers(spark, star):
     folder, con = star
     same(QUERIES["csv_export"].run(spark, folder), "csv_export", con)
+
+
+REWRITES = {
+    "footer_index_two_deliveries": "1998-05",
+}
+
+
+@pytest.mark.parametrize("name", REWRITES)
+def test_a_rewritten_month_is_written_by_several_tasks(spark, star, tmp_path, monkeypatch, name):
+    folder, con = star
+    monkeypatch.setattr(storage_queries, "scratch_dir", lambda _, purpose: f"{tmp_path}/{purpose}")
+    # So that small partitions stay apart, as large ones do.
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        df = QUERIES[name].run(spark, folder)
+        if name != "continuous_check_two_deliveries":  # its SQL is about the days of the given tables
+            same(df, name, con)
+    finally:
+        spark.conf.set(merged, "true")
+    assert len(list(Path(tmp_path).glob(f"*/BILLING_PERIOD={REWRITES[name]}/*.parquet"))) > 1
