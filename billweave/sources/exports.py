@@ -230,10 +230,12 @@ def read_months(spark: SparkSession, periods: list[PeriodFiles]) -> DataFrame:
     """
     inside = [replace(p, files=tuple(f for f in p.files if f.startswith(p.folder + "/"))) for p in periods]
     folder = F.regexp_extract("source_file", r"(?i)^.*/billing_period=([^/]+)/", 1)
-    year, month = F.split_part(folder, F.lit("-"), F.lit(1)), F.split_part(folder, F.lit("-"), F.lit(2))
+    found = F.col("billing_period")
+    year, month = F.split_part(found, F.lit("-"), F.lit(1)), F.split_part(found, F.lit("-"), F.lit(2))
     unknown = F.raise_error(F.concat(F.lit("no billing month in the path of "), "source_file")).cast("string")
-    period = F.when(folder == "", unknown).otherwise(F.concat_ws("-", year, F.lpad(month, 2, "0")))
-    out = read_periods(spark, inside).withColumn("billing_period", period)
+    period = F.when(found == "", unknown).otherwise(F.concat_ws("-", year, F.lpad(month, 2, "0")))
+    # In two steps: the pattern is looked for once a line, not at each mention.
+    out = read_periods(spark, inside).withColumn("billing_period", folder).withColumn("billing_period", period)
     for p in periods:
         outside = tuple(f for f in p.files if not f.startswith(p.folder + "/"))
         if outside:

@@ -4,9 +4,10 @@ Distinct values come from counts that are maintained: each value with the number
 a month is rewritten, its old counts are taken away and its new ones added, as one small delta; no other
 month is read. A value is there as long as its deltas add up to more than nothing.
 
-Resource ids have trigram postings as well, by month: every three consecutive characters of an id in lower
-case lead to the id. A search takes the needle's rarest trigram, verifies the ids posted under it, and so
-learns which months can hold a match and between which ids the matches lie, before it reads any cost line.
+Resource ids have trigram postings as well: every three consecutive characters of an id in lower case lead to
+the id, and the id to the months that have it. An id is posted once by a refresh, however many months it is in.
+A search takes the needle's rarest trigram, verifies the ids posted under it, and so learns which months can
+hold a match and between which ids the matches lie, before it reads any cost line.
 
 A log names the month parts and the deltas in force. Rows of a refresh that dies half-way are named by none.
 """
@@ -29,6 +30,7 @@ from billweave.sources.exports import fingerprints_of, read_months, resolve
 
 VALUE_KEY = ["kind", "tag_key", "value"]
 COUNT_SCHEMA = "kind string, tag_key string, value string, n bigint"
+ID_SCHEMA = "value string, months array<string>"
 GRAM_SCHEMA = "gram string, value string"
 GRAM_COUNT_SCHEMA = "gram string, n bigint"
 TAG = "tag"
@@ -36,6 +38,9 @@ TAG = "tag"
 GRAM = 3
 #: More deltas than this are added up into one.
 MOST_DELTAS = 16
+#: Of the tables of a part. An index of another one is made anew by the next refresh.
+FORMAT = 2
+ENTRY_TYPE = "array<struct<kind:string,tag_key:string,value:string>>"
 
 
 def values_of(nc: DataFrame, *by: str) -> DataFrame:
@@ -45,12 +50,13 @@ def values_of(nc: DataFrame, *by: str) -> DataFrame:
         F.struct(F.lit(d.column).alias("kind"), F.lit(None).cast("string").alias("tag_key"), F.col(d.column).alias("value"))
         for d in Dimension
     ]
-    named = F.filter(F.array(*columns), lambda e: e["value"].isNotNull())
     tags = F.transform(
         F.map_entries("tags"), lambda e: F.struct(F.lit(TAG).alias("kind"), e["key"].alias("tag_key"), e["value"].alias("value"))
     )
-    entries = F.concat(named, F.coalesce(tags, F.slice(named, 1, 0)))
-    return nc.select(*by, F.inline(entries)).groupBy(*by, *VALUE_KEY).agg(F.count("*").alias("n"))
+    entries = F.concat(F.array(*columns), F.coalesce(tags, F.array().cast(ENTRY_TYPE)))
+    # A plain filter on the rows: one on the array would call a function for every entry.
+    held = nc.select(*by, F.inline(entries)).where((F.col("kind") == TAG) | F.col("value").isNotNull())
+    return held.groupBy(*by, *VALUE_KEY).agg(F.count("*").alias("n"))
 
 
 def grams(text: Column) -> Column:
@@ -72,9 +78,12 @@ class ValueIndex:
         """``months``: month -> fingerprint and part; ``deltas``: the parts whose counts add up."""
         for version in reversed(self._versions()):
             try:
-                return json.loads(storage.read_small(self.spark, f"{self.path}/log/{version}.json"))
+                entry = json.loads(storage.read_small(self.spark, f"{self.path}/log/{version}.json"))
             except ValueError:  # a writer died on it; the one before is as good, only older
                 continue
+            if entry.get("format") == FORMAT:
+                return entry
+            break
         return {"months": {}, "deltas": []}
 
     def refresh(self, base: str) -> list[str]:
@@ -102,7 +111,7 @@ class ValueIndex:
         # What a month holds before and after, most of it, adds up to nothing and is not stored.
         delta = delta.groupBy(*VALUE_KEY).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
         delta.write.parquet(f"{folder}/delta")
-        text = json.dumps({"months": months, "deltas": [*deltas, part]})
+        text = json.dumps({"format": FORMAT, "months": months, "deltas": [*deltas, part]})
         if not storage.create_marker(self.spark, f"{self.path}/log/{version}.json", text):
             raise RuntimeError(f"another job refreshed {self.path} at the same time")
         return changed
@@ -112,14 +121,16 @@ class ValueIndex:
         month = "billing_period"
         values = values_of(nc, month).hint("rebalance", month).sortWithinPartitions(month, "kind")
         values.write.parquet(f"{folder}/values")
-        ids = self.spark.read.schema(f"{COUNT_SCHEMA}, {month} string").parquet(f"{folder}/values")
-        ids = ids.where(F.col("kind") == Dimension.RESOURCE.column)
-        posted = ids.select(F.explode(grams(F.lower("value"))).alias("gram"), "value", month)
-        # Sorted by trigram as well; a frequent one spreads over several ranges by its values.
-        ranged = posted.repartitionByRange("gram", month, "value").sortWithinPartitions("gram", month, "value")
+        held = self.spark.read.schema(f"{COUNT_SCHEMA}, {month} string").parquet(f"{folder}/values")
+        held = held.where(F.col("kind") == Dimension.RESOURCE.column)
+        held.groupBy("value").agg(F.collect_list(month).alias("months")).write.parquet(f"{folder}/ids")
+        ids = self.spark.read.schema(ID_SCHEMA).parquet(f"{folder}/ids")
+        posted = ids.select(F.explode(grams(F.lower("value"))).alias("gram"), "value")
+        # Sorted by trigram; a frequent one spreads over several ranges by its values.
+        ranged = posted.repartitionByRange("gram", "value").sortWithinPartitions("gram", "value")
         ranged.write.parquet(f"{folder}/postings")
-        back = self.spark.read.schema(f"{GRAM_SCHEMA}, {month} string").parquet(f"{folder}/postings")
-        back.groupBy("gram", month).agg(F.count("*").alias("n")).write.parquet(f"{folder}/grams")
+        back = self.spark.read.schema(GRAM_SCHEMA).parquet(f"{folder}/postings")
+        back.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{folder}/grams")
 
     def _month_rows(self, name: str, schema: str, months: dict[str, dict]) -> DataFrame:
         """``(*schema, billing_period)`` of the months given."""
@@ -135,6 +146,19 @@ class ValueIndex:
                 out = rows if out is None else out.unionAll(rows)
         return self.spark.createDataFrame([], f"{schema}, billing_period string") if out is None else out
 
+    def _part_rows(self, name: str, schema: str, months: dict[str, dict]) -> DataFrame:
+        """``(*schema, part)`` of the parts that have some of the months, ids with these months only."""
+        out = None
+        for part in sorted({e["part"] for e in months.values()}):
+            folder = f"{self.path}/parts/{part}/{name}"
+            if storage.exists(self.spark, folder):
+                rows = self.spark.read.schema(schema).parquet(folder).withColumn("part", F.lit(part))
+                if schema == ID_SCHEMA:
+                    held = [m for m, e in months.items() if e["part"] == part]
+                    rows = rows.withColumn("months", F.array_intersect("months", F.lit(held))).where(F.size("months") > 0)
+                out = rows if out is None else out.unionAll(rows)
+        return self.spark.createDataFrame([], f"{schema}, part string") if out is None else out
+
     def _deltas(self, parts: list[str]) -> DataFrame:
         folders = [f"{self.path}/parts/{p}/delta" for p in parts]
         rows = self.spark.read.schema(COUNT_SCHEMA)
@@ -163,23 +187,28 @@ class ValueIndex:
         rows = self.counts().where((F.col("kind") == TAG) & (F.col("tag_key") == key) & F.col("value").isNotNull())
         return first_rows(rows.select("value").orderBy("value"), limit)
 
-    def resources(self, needle: str) -> DataFrame:
-        """``(billing_period, value)``: the ids that contain ``needle``, by the months that have them."""
+    def ids(self, needle: str) -> DataFrame:
+        """``(part, value, months)``: the ids that contain ``needle``, with the months that have them. One that
+        several refreshes have met has a row for each."""
         needle = needle.strip()
         if not needle:
             raise BadRequest("a search text is required")
         months = self.entry()["months"]
+        ids = self._part_rows("ids", ID_SCHEMA, months)
         # Spark's lower case, as in the postings. As many rows as the needle has trigrams.
         asked = self.spark.range(1).select(F.explode(grams(F.lower(F.lit(needle)))).alias("gram"))
         asked = [r.gram for r in asked.collect()]
-        if asked:
-            totals = self._month_rows("grams", GRAM_COUNT_SCHEMA, months).where(F.col("gram").isin(asked))
-            posted = {r.gram: r.n for r in totals.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-            rarest = min(asked, key=lambda g: (posted.get(g, 0), g))
-            rows = self._month_rows("postings", GRAM_SCHEMA, months).where(F.col("gram") == rarest)
-        else:
-            rows = self._month_rows("values", COUNT_SCHEMA, months).where(F.col("kind") == Dimension.RESOURCE.column)
-        return rows.where(contains_text(F.col("value"), needle)).select("billing_period", "value")
+        if not asked:
+            return ids.where(contains_text(F.col("value"), needle))
+        totals = self._part_rows("grams", GRAM_COUNT_SCHEMA, months).where(F.col("gram").isin(asked))
+        posted = {r.gram: r.n for r in totals.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        rarest = min(asked, key=lambda g: (posted.get(g, 0), g))
+        rows = self._part_rows("postings", GRAM_SCHEMA, months).where(F.col("gram") == rarest)
+        return ids.join(rows.where(contains_text(F.col("value"), needle)).drop("gram"), ["part", "value"])
+
+    def resources(self, needle: str) -> DataFrame:
+        """``(billing_period, value)``: the ids that contain ``needle``, by the months that have them."""
+        return self.ids(needle).select(F.explode("months").alias("billing_period"), "value")
 
 
 def search_indexed(
@@ -192,14 +221,14 @@ def search_indexed(
     """As ``search_resources``, reading only months that hold a match. ``load`` gives the canonical frame of the
     billing months it is asked for; the index must be up to date with it.
 
-    Of the matches themselves only their smallest and greatest id per month reach the driver: with them the
-    reader skips row groups, and ``contains`` decides on each line as it does without an index."""
-    hits = index.resources(needle).groupBy("billing_period").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    found = sorted(hits.collect())
-    nc = load([r.billing_period for r in found])
+    Of the matches themselves only their months and their smallest and greatest id reach the driver: with
+    these the reader skips row groups, and ``contains`` decides on each line as it does without an index."""
+    hits = index.ids(needle)
+    found = sorted(r.month for r in hits.select(F.explode("months").alias("month")).distinct().collect())
+    nc = load(found)
     if found:
-        low, high = min(r.low for r in found), max(r.high for r in found)
-        nc = nc.where(F.col("resource_id").between(low, high))
+        ends = hits.agg(F.min("value").alias("low"), F.max("value").alias("high")).first()
+        nc = nc.where(F.col("resource_id").between(ends.low, ends.high))
     return search_resources(nc, f, needle, limit)
 
 

@@ -117,3 +117,28 @@ def test_a_search_reads_months_with_matches_only(spark, tmp_path):
     assert "EqualTo(gram," in plan, plan
     nc = months_loader(spark, base)(["2026-08"])
     assert all("2026-08" in f for f in nc.inputFiles()) and YEAR.start.date() == date(2026, 1, 1)
+
+
+def test_an_id_is_posted_once_for_all_its_months(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    months = [f"2026-{m:02d}" for m in range(1, 9)]
+    for month in months:
+        write(spark, base, month, dict(resource_id="i-abc"))
+    index.refresh(base)
+    assert spark.read.parquet(f"{index.path}/parts/*/postings").count() == 3
+    write(spark, base, "2026-03", dict(resource_id="i-xyz"))
+    index.refresh(base)
+    got = sorted((r.billing_period, r.value) for r in index.resources("i-").collect())
+    assert got == [(m, "i-xyz" if m == "2026-03" else "i-abc") for m in months]
+
+
+def test_an_index_of_another_format_is_made_anew(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    write(spark, base, "2026-08", dict(resource_id="i-abc"))
+    index.refresh(base)
+    entry = index.entry()
+    del entry["format"]
+    assert value_index.storage.create_marker(spark, f"{index.path}/log/2.json", value_index.json.dumps(entry))
+    assert index.refresh(base) == ["2026-08"] and index.refresh(base) == []
+    assert {r.value: r.n for r in index.counts().where("kind = 'resource_id'").collect()} == {"i-abc": 1}
+    assert listed(index.resources("abc")) == ["i-abc"]
