@@ -68,3 +68,12 @@ def test_a_rewritten_month_is_written_by_several_tasks(spark, star, tmp_path, mo
     finally:
         spark.conf.set(merged, "true")
     assert len(list(Path(tmp_path).glob(f"*/BILLING_PERIOD={REWRITES[name]}/*.parquet"))) > 1
+
+
+def test_a_second_delivery_is_read_back(spark, star, monkeypatch):
+    folder, con = star
+    read = []
+    original = storage_queries._write_export
+    monkeypatch.setattr(storage_queries, "_write_export", lambda raw, *a, **k: read.append(raw.inputFiles()) or original(raw, *a, **k))
+    same(QUERIES["export_manifests"].run(spark, folder), "export_manifests", con)
+    assert any(folder in f for f in read[0]) and read[-1] and not any(folder in f for f in read[-1])
