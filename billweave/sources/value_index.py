@@ -25,12 +25,13 @@ from pyspark.sql import functions as F
 from billweave.model import BadRequest, CostFilter, Dimension
 from billweave.operators.costs import first_rows, search_resources
 from billweave.operators.predicates import contains_text
+from billweave.session import RELEASE, settings
 from billweave.sources import storage
 from billweave.sources.exports import fingerprints_of, read_months, resolve
 
 VALUE_KEY = ["kind", "tag_key", "value"]
 COUNT_SCHEMA = "kind string, tag_key string, value string, n bigint"
-ID_SCHEMA = "value string, months array<string>"
+ID_SCHEMA = "value string, months array<string>, n bigint"
 GRAM_SCHEMA = "gram string, value string"
 GRAM_COUNT_SCHEMA = "gram string, n bigint"
 TAG = "tag"
@@ -39,7 +40,7 @@ GRAM = 3
 #: More deltas than this are added up into one.
 MOST_DELTAS = 16
 #: Of the tables of a part. An index of another one is made anew by the next refresh.
-FORMAT = 2
+FORMAT = 3
 ENTRY_TYPE = "array<struct<kind:string,tag_key:string,value:string>>"
 
 
@@ -99,18 +100,25 @@ class ValueIndex:
         folder = f"{self.path}/parts/{part}"
         periods = [p for p in resolved if p.readable and p.month in changed]
         if periods:
-            self._write_months(read_months(self.spark, periods), folder)
+            with settings(self.spark, RELEASE):
+                self._write_months(read_months(self.spark, periods), folder)
         months = {m: e for m, e in known.items() if m not in changed}
         months |= {m: {"fingerprint": now[m], "part": part} for m in changed if m in now}
         gone = self._month_rows("values", COUNT_SCHEMA, {m: e for m, e in known.items() if m in changed})
         come = self._month_rows("values", COUNT_SCHEMA, {m: months[m] for m in changed if m in months})
-        delta = gone.withColumn("n", -F.col("n")).unionAll(come).drop("billing_period")
+        delta = gone.withColumn("n", -F.col("n")).drop("billing_period")
+        # The part is of these months alone, so its ids are counted already; there are many of them in each month.
+        delta = delta.unionAll(come.where(F.col("kind") != Dimension.RESOURCE.column).drop("billing_period"))
+        if periods:
+            ids = self.spark.read.schema(ID_SCHEMA).parquet(f"{folder}/ids")
+            delta = delta.unionAll(ids.select(F.lit(Dimension.RESOURCE.column), F.lit(None).cast("string"), "value", "n"))
         deltas = old["deltas"]
         if len(deltas) >= MOST_DELTAS:
             delta, deltas = delta.unionAll(self._deltas(deltas)), []
         # What a month holds before and after, most of it, adds up to nothing and is not stored.
         delta = delta.groupBy(*VALUE_KEY).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
-        delta.write.parquet(f"{folder}/delta")
+        with settings(self.spark, RELEASE):
+            delta.write.parquet(f"{folder}/delta")
         text = json.dumps({"format": FORMAT, "months": months, "deltas": [*deltas, part]})
         if not storage.create_marker(self.spark, f"{self.path}/log/{version}.json", text):
             raise RuntimeError(f"another job refreshed {self.path} at the same time")
@@ -122,8 +130,10 @@ class ValueIndex:
         values = values_of(nc, month).hint("rebalance", month).sortWithinPartitions(month, "kind")
         values.write.parquet(f"{folder}/values")
         held = self.spark.read.schema(f"{COUNT_SCHEMA}, {month} string").parquet(f"{folder}/values")
-        held = held.where(F.col("kind") == Dimension.RESOURCE.column)
-        held.groupBy("value").agg(F.collect_list(month).alias("months")).write.parquet(f"{folder}/ids")
+        # An id has a row for each of its months by now, so there is nothing to gather before they are dealt out.
+        held = held.where(F.col("kind") == Dimension.RESOURCE.column).select("value", month, "n").repartition("value")
+        ids = held.groupBy("value").agg(F.collect_list(month).alias("months"), F.sum("n").alias("n"))
+        ids.write.parquet(f"{folder}/ids")
         ids = self.spark.read.schema(ID_SCHEMA).parquet(f"{folder}/ids")
         posted = ids.select(F.explode(grams(F.lower("value"))).alias("gram"), "value")
         # Sorted by trigram; a frequent one spreads over several ranges by its values.
@@ -155,9 +165,11 @@ class ValueIndex:
                 rows = self.spark.read.schema(schema).parquet(folder).withColumn("part", F.lit(part))
                 if schema == ID_SCHEMA:
                     held = [m for m, e in months.items() if e["part"] == part]
-                    rows = rows.withColumn("months", F.array_intersect("months", F.lit(held))).where(F.size("months") > 0)
+                    # Some months may be of a later part, so the count of all is of no use.
+                    rows = rows.drop("n").withColumn("months", F.array_intersect("months", F.lit(held))).where(F.size("months") > 0)
                 out = rows if out is None else out.unionAll(rows)
-        return self.spark.createDataFrame([], f"{schema}, part string") if out is None else out
+        none = self.spark.createDataFrame([], f"{schema}, part string")
+        return (none.drop("n") if schema == ID_SCHEMA else none) if out is None else out
 
     def _deltas(self, parts: list[str]) -> DataFrame:
         folders = [f"{self.path}/parts/{p}/delta" for p in parts]

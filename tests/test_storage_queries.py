@@ -1,11 +1,14 @@
 """The storage queries on tables whose keys, months or files the given ones do not have."""
 
+import re
+import time
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from billweave.catalog import QUERIES, storage_queries
+from billweave.catalog.star import cur_export
 
 from .test_catalog import TABLES, rows
 
@@ -77,3 +80,43 @@ def test_a_second_delivery_is_read_back(spark, star, monkeypatch):
     monkeypatch.setattr(storage_queries, "_write_export", lambda raw, *a, **k: read.append(raw.inputFiles()) or original(raw, *a, **k))
     same(QUERIES["export_manifests"].run(spark, folder), "export_manifests", con)
     assert any(folder in f for f in read[0]) and read[-1] and not any(folder in f for f in read[-1])
+
+
+def test_deliveries_are_dealt_out_before_their_columns_are_made(spark, star, monkeypatch):
+    folder, con = star
+    dealt, rewritten = [], []
+    write, rewrite = storage_queries._write_export, storage_queries._rewrite_month
+    monkeypatch.setattr(storage_queries, "_write_export", lambda raw, *a, **k: dealt.append(k.get("dealt")) or write(raw, *a, **k))
+    monkeypatch.setattr(storage_queries, "_rewrite_month", lambda raw, *a, **k: rewritten.extend(raw.inputFiles()) or rewrite(raw, *a, **k))
+    same(QUERIES["distinct_values_after_rewrite"].run(spark, folder), "distinct_values_after_rewrite", con)
+    assert dealt == [True, True, True]
+    # The lines of the rewritten month were joined for the first delivery.
+    assert rewritten and not any(folder in f for f in rewritten)
+
+
+def test_a_dealt_line_carries_no_names_of_places(spark, star):
+    folder, _ = star
+    cur = cur_export(spark, folder, by_month=True)
+    plan = cur._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.search(r"RebalancePartitions [^\n]*\n[^\n]*Project \[([^\n]*)\]\n", plan)[1]
+    assert "c_nationkey" in moved and not re.search("n_name|r_name|l_orderkey|o_custkey", moved), moved
+    assert sorted(map(str, cur.collect())) == sorted(map(str, cur_export(spark, folder).collect()))
+
+
+def test_shuffle_files_go_with_the_delivery(spark, star, tmp_path):
+    folder, _ = star
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "/shuffle_" in f}
+
+    before = shuffled()
+    cur, month = cur_export(spark, folder, part=False, account=False, tags=False), "bill_billing_period_start_date"
+    storage_queries._write_export(cur, month, f"{tmp_path}/export")
+    storage_queries._rewrite_month(cur, f"{tmp_path}/export", "1997-01")
+    until = time.time() + 10
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"

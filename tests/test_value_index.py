@@ -132,6 +132,20 @@ def test_an_id_is_posted_once_for_all_its_months(spark, tmp_path):
     assert got == [(m, "i-xyz" if m == "2026-03" else "i-abc") for m in months]
 
 
+def test_ids_are_counted_once_for_all_their_months(spark, tmp_path):
+    base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
+    for month, lines in (("2026-07", 1), ("2026-08", 2), ("2026-09", 3)):
+        write(spark, base, month, *[dict(resource_id="i-abc")] * lines, dict(resource_id=f"i-{month}"), dict(resource_id=None))
+    index.refresh(base)
+    first = spark.read.parquet(f"{index.path}/parts/*/ids")
+    assert {r.value: (r.n, sorted(r.months)) for r in first.collect()}["i-abc"] == (6, ["2026-07", "2026-08", "2026-09"])
+    write(spark, base, "2026-08", *[dict(resource_id="i-abc")] * 5, dict(resource_id="i-2026-07"))
+    index.refresh(base)
+    got = {r.value: r.n for r in index.counts().where("kind = 'resource_id'").collect()}
+    assert got == {"i-abc": 9, "i-2026-07": 2, "i-2026-09": 1}
+    same_as_scan(spark, index, base)
+
+
 def test_an_index_of_another_format_is_made_anew(spark, tmp_path):
     base, index = str(tmp_path / "data"), ValueIndex(spark, str(tmp_path / "index"))
     write(spark, base, "2026-08", dict(resource_id="i-abc"))
